@@ -6,6 +6,8 @@ taken as a difference of prefix sums, then mixed; equal words have equal hashes
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240601))
@@ -73,7 +75,10 @@ class Words:
         np.cumsum(lengths + 1, out=first[1:])
         self.text_at = first
         self.offsets = np.searchsorted(self.starts, first)
-        self.hashes = span_hashes(_CODES[self.data], self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return span_hashes(_CODES[self.data], self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
 
     def __len__(self) -> int:
         return len(self.raw)
