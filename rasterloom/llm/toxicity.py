@@ -1,18 +1,22 @@
 """Toxicity (2): class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihoods.
 
-Method. Words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, outer punctuation dropped) are counted by class over all labelled
-training rows. The `VOCABULARY` most frequent words get ids; all others are one unknown word. For class c:
+Method. Words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, outer punctuation dropped), their stems (first STEM bytes of longer
+words) and pairs of neighbours are counted by class over all labelled training rows, once a document, so that neither
+repeated lines nor long documents weigh more; equal texts count once. The VOCABULARY most frequent words have symbols of
+their own, rarer words share their stem's symbol (of STEMS), all others one unknown symbol. For class c
   P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + D T_c(v) / n_c(v) * P_c(w)
-  P_c(w)     = max(n_c(w) - D, 0) / n_c + D T_c / n_c * P(w),   P(w) = distinct left neighbours of w / distinct bigrams
-T are numbers of distinct types, D = n1 / (n1 + 2 n2) by counts of counts. P(w) is shared by both classes, so that an
-expression that is rare in one of them falls back on the same count and hardly moves the comparison. The score's
-argument is the mean over a text's words of log P_toxic - log P_ordinary; a logistic curve fitted on a fold of the
-training rows that the counts leave out turns it into a probability.
+  P_c(w)     = max(n_c(w) - D, 0) / n_c + D T_c / n_c * P(w),   P(w) = distinct left neighbours of w / distinct pairs
+T are numbers of distinct types, D = n1 / (n1 + 2 n2) by counts of counts. P(w) is shared by both classes. An expression
+whose class counts don't differ significantly (log-likelihood ratio statistic below SIGNIFICANT, or a ratio within a
+factor e) backs off wholly to the shared counts in both classes and contributes nothing, so that what is rare doesn't
+add noise. A pair counts where it is significant itself, else its second word does. The mean over a text's words of
+log P_toxic - log P_ordinary, on an asinh scale, goes through a logistic curve, which is fitted on a fold of the
+training rows that the counts leave out.
 
 Plan. Labels are joined to texts map-side if there are at most BROADCAST_LABELS (counted), else by a shuffled join: all
 labelled rows are used at any size. Counts are merged inside tasks and by partially aggregated group-bys. What is
-broadcast is bounded: VOCABULARY words and the BIGRAMS most frequent bigrams; a bigram beyond them backs off. The
-curve is fitted on a histogram of BINS bins over all rows of the calibration fold. Scoring is a map without a shuffle.
+broadcast is bounded: VOCABULARY words, STEMS stems and the PAIRS most frequent significant pairs. The curve is fitted
+on a histogram of BINS bins over all rows of the calibration fold. Scoring is a map without a shuffle.
 
 Defined cases. Texts without words (null, empty, white space) have argument 0. A label table with several rows for an
 id counts the largest; null ids and labels don't train. If a class has no training text, every score is the share of
@@ -28,21 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import chunked, cut, flat, fold
+from rasterloom.llm.common import chunked, cut, flat, fold, stash
 from rasterloom.llm.lookup import Lookup
-from rasterloom.llm.words import Words, mix
+from rasterloom.llm.words import _CODES, Words, mix, span_hashes
 
-VOCABULARY, BIGRAMS, BINS = 1 << 16, 1 << 20, 4096
+VOCABULARY, STEMS, PAIRS, BINS, STEM = 1 << 16, 1 << 15, 1 << 20, 4096, 5
+SIGNIFICANT = 20.0
 BROADCAST_LABELS = 2_000_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
-LIMIT = 8.0
+#: Arguments are asinh(SCALE * mean); the histogram spans -LIMIT to LIMIT.
+SCALE, LIMIT = 1000.0, 16.0
 
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 class Tokens(Words):
-    """Words without the punctuation around them; those of punctuation alone are left out."""
+    """Words without the punctuation around them; those of punctuation alone are left out. Keys have 52 bits."""
 
     def __init__(self, raw: list[bytes]):
         super().__init__(raw)
@@ -54,132 +60,138 @@ class Tokens(Words):
         keep = a < b
         place = np.concatenate(([0], np.cumsum(keep)))
         self.starts, self.ends, self.offsets = a[keep], b[keep], place[self.offsets]
+        self.owner = np.repeat(np.arange(len(raw)), self.counts())
+        self.keys = self.hashes >> np.uint64(12)
+        if len(self.starts):
+            codes = _CODES[self.data]
+            self.stems = mix(span_hashes(codes, self.starts, np.minimum(self.ends, self.starts + STEM)) ^ np.uint64(0x5EED)) >> np.uint64(12)
+        else:
+            self.stems = self.keys
+        self.long = np.flatnonzero(self.ends - self.starts > STEM)
 
 
-def _tally(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of weights of each class; toxic: one number for each key."""
-    return _tally2(keys, toxic.astype(np.int64), (~toxic).astype(np.int64))
+def tally(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (52 bits) and the numbers of toxic and ordinary texts that hold them; owner below 4096."""
+    packed = np.unique((keys << np.uint64(12)) | owner.astype(np.uint64))
+    t = toxic[(packed & np.uint64(4095)).astype(np.int64)].astype(np.int64)
+    return summed(packed >> np.uint64(12), t, 1 - t)
 
 
-def _tally2(keys: np.ndarray, t: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    k = keys[order]
-    edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+def summed(k: np.ndarray, t: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for sorted keys with counts."""
     if not len(k):
         return k, t, o
-    return k[edge], np.add.reduceat(t[order], edge), np.add.reduceat(o[order], edge)
+    edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k[edge], np.add.reduceat(t, edge), np.add.reduceat(o, edge)
 
 
-def _counted(of, most: int = 1 << 21):
-    """A map that merges (key, toxic, ordinary) inside the task; `of` gives keys and owners of a chunk of texts."""
+def _counted(of, most: int = 1 << 20):
+    """A map that merges (key, toxic, ordinary) inside the task; `of` gives kinds, keys and owners for a chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
 
-        def merged() -> tuple[np.ndarray, ...]:
-            return _tally2(*(np.concatenate([h[j] for h in held]) for j in range(3)))
+        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            k, t, o = (np.concatenate([h[j] for h in parts]) for j in range(3))
+            order = np.argsort(k)
+            return summed(k[order], t[order], o[order])
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                k, t, o = merged(parts)
+                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(t), pa.array(o)], ["kind", "k", "t", "o"])
 
         for batch in flat(batches):
             toxic = np.asarray(batch.column(0)).astype(bool)
             for at, raw in chunked(batch.column(1)):
-                keys, owner = of(raw)
-                held.append(_tally(keys, toxic[at + owner]))
-                if len(held) > 12:
-                    held = [merged()]
-            if held and sum(len(h[0]) for h in held) > most:
-                k, t, o = merged()
-                yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(t), pa.array(o)], ["k", "t", "o"])
-                held = []
-        if held:
-            k, t, o = merged()
-            yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(t), pa.array(o)], ["k", "t", "o"])
+                for kind, keys, owner in of(raw):
+                    parts = held.setdefault(kind, [])
+                    parts.append(tally(keys, owner, toxic[at : at + len(raw)]))
+                    if len(parts) > 12:
+                        held[kind] = [merged(parts)]
+            if sum(len(h[0]) for parts in held.values() for h in parts) > most:
+                yield from give()
+                held = {}
+        yield from give()
 
     return run
 
 
-def _word_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    w = Tokens(raw)
-    return w.hashes, np.repeat(np.arange(len(raw)), w.counts())
+COUNTED = "kind int, k long, t long, o long"
 
 
-def _pair_ids(raw: list[bytes], find: Lookup, unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, their texts, and for each neighbouring pair of one text the place of its second word."""
+def _words_and_stems(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     w = Tokens(raw)
-    ids = find(w.hashes)
-    ids = np.where(ids < 0, unknown, ids).astype(np.int64)
-    owner = np.repeat(np.arange(len(raw)), w.counts())
-    second = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-    return ids, owner, second, (ids[second - 1] << 20) | ids[second] if len(second) else np.zeros(0, np.int64)
+    return [(0, w.keys, w.owner), (1, w.stems[w.long], w.owner[w.long])]
+
+
+class Symbols:
+    """Symbol numbers of words: own ones, then stems, then one for all others."""
+
+    def __init__(self, words: np.ndarray, stems: np.ndarray):
+        self.words, self.stems, self.unknown = words, stems, len(words) + len(stems)
+        self.find = self.find_stem = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"find": None, "find_stem": None}
+
+    def of(self, w: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words, and the places of words that follow one of their own text."""
+        if self.find is None:  # once in each worker
+            self.find, self.find_stem = Lookup(self.words << np.uint64(12)), Lookup(self.stems << np.uint64(12))
+        ids = self.find(w.keys << np.uint64(12)).astype(np.int64)
+        rare = w.long[ids[w.long] < 0]
+        stem = self.find_stem(w.stems[rare] << np.uint64(12))
+        ids[rare[stem >= 0]] = len(self.words) + stem[stem >= 0]
+        ids[ids < 0] = self.unknown
+        return ids, np.flatnonzero(w.owner[1:] == w.owner[:-1]) + 1
 
 
 def _pair_keys(shared):
-    def of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        keys, find = _looked_up(shared)
-        _, owner, second, pairs = _pair_ids(raw, find, len(keys))
-        return pairs.astype(np.uint64), owner[second]
+    def of(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        w = Tokens(raw)
+        ids, second = shared.value.of(w)
+        return [(2, ((ids[second - 1] << 20) | ids[second]).astype(np.uint64), w.owner[second])]
 
     return of
 
 
-_KEPT: dict[int, tuple] = {}
+def statistic(t: np.ndarray, o: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio statistic of class counts against the toxic share of all counts."""
+    n = t + o
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(t > 0, t * np.log(t / (n * share)), 0.0) + np.where(o > 0, o * np.log(o / (n * (1 - share))), 0.0))
 
 
-def _looked_up(shared) -> tuple[np.ndarray, Lookup]:
-    """The broadcast words and their index, built once in each Python worker."""
-    mark = id(shared.value)
-    if mark not in _KEPT:
-        _KEPT.clear()
-        _KEPT[mark] = (shared.value, Lookup(shared.value))
-    return _KEPT[mark]
+class Model:
+    """Log ratios of the significant expressions, and the curve."""
 
+    def __init__(self, symbols: Symbols, single: np.ndarray, pairs: np.ndarray, pair: np.ndarray):
+        self.symbols, self.single = symbols, single
+        hashes = mix(pairs.astype(np.uint64))
+        order = np.argsort(hashes)
+        self.pairs, self.pair = hashes[order], pair[order]
+        self.a, self.b, self.find = 1.0, 0.0, None
 
-class Model:
-    """Kneser-Ney tables in numpy; see the module's text."""
-
-    def __init__(self, words: np.ndarray, uni: tuple[np.ndarray, np.ndarray], pairs: np.ndarray, pair_counts: tuple[np.ndarray, np.ndarray], left: np.ndarray, totals: list[np.ndarray], types: list[np.ndarray], discount: float):
-        self.words = words
-        base = (left + 0.5) / (left + 0.5).sum()
-        self.single, self.back, self.pair = [], [], []
-        first = (pairs >> 20).astype(np.int64)
-        for c in range(2):
-            n = uni[c].astype(float)
-            total = max(1.0, n.sum())
-            self.single.append(np.maximum(n - discount, 0) / total + discount * np.count_nonzero(n) / total * base)
-            seen = np.maximum(totals[c], 1).astype(float)
-            self.back.append(np.where(totals[c] > 0, discount * types[c] / seen, 1.0))
-            self.pair.append(np.maximum(pair_counts[c] - discount, 0) / seen[first])
-        self.pairs = mix(pairs.astype(np.uint64))
-        order = np.argsort(self.pairs)
-        self.pairs, self.pair = self.pairs[order], [p[order] for p in self.pair]
-        self.a, self.b, self.prior = 1.0, 0.0, 0.0
-        self.find = self.find_pair = None
-
-    def ready(self) -> Model:
-        if self.find is None:
-            self.find, self.find_pair = Lookup(self.words), Lookup(self.pairs)
-        return self
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"find": None}
 
     def arguments(self, raw: list[bytes]) -> np.ndarray:
-        """Mean log-likelihood ratio of each text; 0 for texts without words."""
-        ids, owner, second, pairs = _pair_ids(raw, self.find, len(self.words))
-        at = self.find_pair(mix(pairs.astype(np.uint64)))
-        known = at >= 0
-        p = []
-        for c in range(2):
-            own = self.single[c][ids]
-            own[second] *= self.back[c][ids[second - 1]]
-            own[second[known]] += self.pair[c][at[known]]
-            p.append(own)
-        ratio = np.log(p[0]) - np.log(p[1])
-        n = np.bincount(owner, minlength=len(raw))
-        return np.bincount(owner, ratio, len(raw)) / np.maximum(n, 1)
+        """asinh of the scaled mean log-likelihood ratio of each text; 0 for texts without words."""
+        if self.find is None:  # once in each worker
+            self.find = Lookup(self.pairs)
+        w = Tokens(raw)
+        ids, second = self.symbols.of(w)
+        ratio = self.single[ids]
+        at = self.find(mix(((ids[second - 1] << 20) | ids[second]).astype(np.uint64)))
+        ratio[second[at >= 0]] = self.pair[at[at >= 0]]
+        mean = np.bincount(w.owner, ratio, len(raw)) / np.maximum(w.counts(), 1)
+        return np.arcsinh(SCALE * mean)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if isinstance(model, Model):
-            model.ready()
         for batch in flat(batches):
             for at, raw in chunked(batch.column(1)):
                 if isinstance(model, Model):
@@ -223,55 +235,75 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model from all labelled rows outside the held-out fold; a number if a class has none."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    fitting = rows.where(F.col("fold") != CALIBRATION).select("toxic", "text")
-    counts = cut(fitting.mapInArrow(_counted(_word_keys), "k long, t long, o long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-    sums = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
-    if not sums[0] or not sums[1]:
-        return 1.0 if sums[0] else 0.0
-    top = counts.where(F.col("t") + F.col("o") > 1).orderBy((F.col("t") + F.col("o")).desc(), "k").limit(VOCABULARY).toArrow()
-    words = np.asarray(top.column("k")).view(np.uint64)
-    order = np.argsort(words)
-    words = words[order]
-    uni = []
-    for c, total in zip("to", sums, strict=True):
-        n = np.asarray(top.column(c))[order]
-        uni.append(np.append(n, max(0, total - n.sum())))
-    shared = spark.sparkContext.broadcast(words)
-    pairs = fitting.mapInArrow(_counted(_pair_keys(shared)), "k long, t long, o long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    pairs = cut(pairs)
+    fitting = rows.where(F.col("fold") != CALIBRATION).groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    fitting = stash(fitting, "labelled")
+    both = F.sum("t").alias("t"), F.sum("o").alias("o")
+    counts = cut(fitting.mapInArrow(_counted(_words_and_stems), COUNTED).groupBy("kind", "k").agg(*both))
+    sums = {r["kind"]: (r["t"], r["o"]) for r in counts.groupBy("kind").agg(*both).collect()}
+    n_t, n_o = sums.get(0, (0, 0))
+    if not n_t or not n_o:
+        return 1.0 if n_t else 0.0
+
+    def top(kind: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        often = F.col("t") + F.col("o")
+        found = counts.where((F.col("kind") == kind) & (often > 2)).orderBy(often.desc(), "k").limit(most).toArrow()
+        k = np.asarray(found.column("k")).view(np.uint64)
+        order = np.argsort(k)
+        return k[order], np.asarray(found.column("t"))[order], np.asarray(found.column("o"))[order]
+
+    words, word_t, word_o = top(0, VOCABULARY)
+    stems, stem_t, stem_o = top(1, STEMS)
+    symbols = Symbols(words, stems)
+    shared = spark.sparkContext.broadcast(symbols)
+    pairs = cut(fitting.mapInArrow(_counted(_pair_keys(shared)), COUNTED).groupBy("k").agg(*both))
     v, w = F.shiftright("k", 20), F.col("k").bitwiseAND(F.lit((1 << 20) - 1))
-    by_first = pairs.groupBy(v.alias("w")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to")).toArrow()
-    by_second = pairs.groupBy(w.alias("w")).agg(F.count("*").alias("n")).toArrow()
-    ones = pairs.agg(F.count_if(F.col("t") + F.col("o") == 1), F.count_if(F.col("t") + F.col("o") == 2)).first()
-    discount = min(0.95, max(0.3, ones[0] / max(1, ones[0] + 2 * ones[1])))
+    firsts = pairs.groupBy(v.alias("w")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to")).toArrow()
+    seconds = pairs.groupBy(w.alias("w")).agg(F.count("*").alias("n")).toArrow()
+    once, twice = pairs.agg(F.count_if(F.col("t") + F.col("o") == 1), F.count_if(F.col("t") + F.col("o") == 2)).first()
+    discount = min(0.95, max(0.3, once / max(1, once + 2 * twice)))
 
     def spread(t: pa.Table, column: str) -> np.ndarray:
-        out = np.zeros(len(words) + 1, np.int64)
+        out = np.zeros(symbols.unknown + 1)
         out[np.asarray(t.column("w"))] = np.asarray(t.column(column))
         return out
 
-    kept = pairs.where(F.col("t") + F.col("o") > 1).orderBy((F.col("t") + F.col("o")).desc(), "k").limit(BIGRAMS).toArrow()
+    left = spread(seconds, "n") + 0.5
+    base = left / left.sum()
+    share = n_t / (n_t + n_o)
+    single, own = [], [np.concatenate((word_t, stem_t, [0])).astype(float), np.concatenate((word_o, stem_o, [0])).astype(float)]
+    types = counts.where("kind = 0").agg(F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
+    for n, total, distinct in zip(own, (n_t, n_o), types, strict=True):
+        single.append(np.maximum(n - discount, 0) / total + discount * distinct / total * base)
+    ratio = np.log(single[0]) - np.log(single[1])
+    ratio[(statistic(*own, share) < SIGNIFICANT) | (np.abs(ratio) < 1)] = 0.0
+
+    t, o = F.col("t").cast("double"), F.col("o").cast("double")
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + o) * F.lit(p)))).otherwise(F.lit(0.0))
+    kept = pairs.where(2 * (part(t, share) + part(o, 1 - share)) >= SIGNIFICANT).orderBy((F.col("t") + F.col("o")).desc(), "k").limit(PAIRS).toArrow()
     keys = np.asarray(kept.column("k"))
-    model = Model(words, tuple(uni), keys, (np.asarray(kept.column("t")).astype(float), np.asarray(kept.column("o")).astype(float)), spread(by_second, "n").astype(float), [spread(by_first, "nt"), spread(by_first, "no")], [spread(by_first, "tt"), spread(by_first, "to")], discount)
+    first, second = keys >> 20, keys & ((1 << 20) - 1)
+    of_pair = []
+    for c, total, kinds, low in zip("to", ("nt", "no"), ("tt", "to"), single, strict=True):
+        seen = spread(firsts, total)
+        back = np.where(seen > 0, discount * spread(firsts, kinds) / np.maximum(seen, 1), 1.0)
+        of_pair.append(np.maximum(np.asarray(kept.column(c)) - discount, 0) / np.maximum(seen, 1)[first] + back[first] * low[second])
+    pair = np.log(of_pair[0]) - np.log(of_pair[1]) if len(keys) else np.zeros(0)
+    large = np.abs(pair) >= 1
+    model = Model(symbols, ratio, keys[large], pair[large])
 
     calibration = rows.where(F.col("fold") == CALIBRATION)
-    own = spark.sparkContext.broadcast(model)
-    scored = calibration.select(F.col("toxic").cast("long").alias("id"), "text").mapInArrow(_score(own), "id long, argument double, score double")
+    scored = calibration.select(F.col("toxic").cast("long").alias("id"), "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), "id long, argument double, score double")
     clipped = F.least(F.greatest(F.col("argument"), F.lit(-LIMIT)), F.lit(LIMIT))
     bins = scored.groupBy("id", F.floor((clipped + LIMIT) * (BINS / (2 * LIMIT))).alias("bin")).agg(F.count("*").alias("n"), F.sum(clipped).alias("s")).toArrow().to_pylist()
-    if bins:
-        at = np.array([b["s"] / b["n"] for b in bins])
-        n = np.array([b["n"] for b in bins], float)
-        toxic = np.array([b["id"] for b in bins]) > 0
-        if toxic.any() and not toxic.all():
-            model.a, model.b = fit_curve(at, n * toxic, n * ~toxic)
+    n = np.array([b["n"] for b in bins], float)
+    toxic = np.array([b["id"] for b in bins], float) > 0
+    if toxic.any() and not toxic.all():
+        model.a, model.b = fit_curve(np.array([b["s"] / b["n"] for b in bins]), n * toxic, n * ~toxic)
     return model
 
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, argument, score) of every document."""
-    if isinstance(model, Model):
-        model.find = model.find_pair = None  # indexes are built where they are used
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_score(shared), "id long, argument double, score double")
