@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid, mixing, secret_scan, toxicity
+from rasterloom.llm import langid, mixing, secret_scan, token_counts, token_files, toxicity
 from rasterloom.llm.common import fold, table
 from rasterloom.llm.neardup import near_duplicates
 
 
+def byte_bpe() -> str:
+    """The public byte-level BPE file; wherever the tokenizers' package lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def kind_is(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
@@ -29,6 +36,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.tokens_of(table(spark, sf_dir, "documents"), byte_bpe(), end=2)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -39,6 +51,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text before and after three edits a document, at places drawn from its id."""
+    docs = table(spark, sf_dir, "documents")
+    length = F.coalesce(F.char_length("text"), F.lit(0))
+
+    def edit(k: int) -> Column:
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"edit{k}"), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
+        start = (draw % (length + 1)).cast("long")
+        return F.struct(start.alias("start"), (start + 4 * k).alias("end"), F.element_at(F.array(F.lit(""), F.lit(" [edited]"), F.lit("x")), k + 1).alias("text"))
+
+    counted = token_counts.token_counts(docs.select("doc_id", "text", F.array(*map(edit, range(3))).alias("edits")), byte_bpe(), edits_col="edits")
+    return counted.withColumnRenamed("id", "doc_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
@@ -49,8 +75,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_token_files": op6_token_files,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
 
