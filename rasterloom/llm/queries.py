@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import langid, mixing, secret_scan, token_counts, token_files, toxicity
 from rasterloom.llm.common import fold, table
+from rasterloom.llm.embedding_links import embedding_links
 from rasterloom.llm.neardup import near_duplicates
 
 
@@ -23,6 +24,10 @@ def kind_is(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -72,7 +77,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.spelled(base).cast("binary"), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"))
 
 
+ORACLE_1 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_max(list_transform(embedding, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+FROM embeddings LEFT JOIN least_of ON vec_id = least_of.a LEFT JOIN counted ON vec_id = counted.a
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_toxicity": op2_toxicity,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
@@ -83,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_neardup": ORACLE_1,
     "op8_mixing": mixing.ORACLE,
 }
