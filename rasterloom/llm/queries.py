@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import langid, mixing, secret_scan, token_counts, token_files, toxicity
 from rasterloom.llm.common import fold, table
+from rasterloom.llm.decontamination import contaminated
 from rasterloom.llm.embedding_links import embedding_links
 from rasterloom.llm.neardup import near_duplicates
 
@@ -35,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold("doc_id", 4) != 2))
@@ -96,6 +102,7 @@ FROM embeddings LEFT JOIN least_of ON vec_id = least_of.a LEFT JOIN counted ON v
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_toxicity": op2_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_minhash_neardup": op7_minhash_neardup,
