@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid, mixing, secret_scan, token_counts, token_files, toxicity
+from rasterloom.llm import langid, mixing, pii, secret_scan, token_counts, token_files, toxicity
 from rasterloom.llm.common import fold, table
 from rasterloom.llm.decontamination import contaminated
 from rasterloom.llm.embedding_links import embedding_links
@@ -36,6 +36,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [F.size(F.filter("spans", kind_is(k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.spelled(base).cast("binary"), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -102,6 +109,7 @@ FROM embeddings LEFT JOIN least_of ON vec_id = least_of.a LEFT JOIN counted ON v
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
