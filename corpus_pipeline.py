@@ -1,4 +1,66 @@
-STAGES = []
+"""The corpus pipeline: five stages, each of which calls one training-data operator on all that the stage before kept.
+
+Each stage's function takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents. Models and statistics are learned from the stage's own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.llm import langid
+from rasterloom.llm.common import fold, stash, table, without
+from rasterloom.llm.decontamination import contaminated
+from rasterloom.llm.mixing import mixed
+from rasterloom.llm.neardup import near_duplicates
+from rasterloom.llm.queries import byte_bpe
+from rasterloom.llm.token_files import tokens_of
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: those of no letter, and those none of whose n-grams any language holds."""
+    found = langid.predict(docs, langid.train(docs.where(fold("doc_id", 4) != 2)))
+    return without(docs, found.where((F.col("lang_pred") == langid.UND) | (F.col("score") <= 0)).select("id"), "doc_id")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id; of repeated ids one row stays."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = stash(docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), "once")
+    return without(docs, near_duplicates(docs).where("not kept").select("id"), "doc_id")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("id").distinct(), "doc_id")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, in order of ids, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    read = tokens_of(docs, byte_bpe(), end=2)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_copies),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", token_output),
+]
+
+#: Models, components and token ids are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stash(stage(spark, docs, sf_dir), f"stage{number}")
+    return docs

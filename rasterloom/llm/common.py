@@ -64,3 +64,14 @@ def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             yield batch.slice(at, 4096)
+
+
+#: Ids that without() may broadcast; more are taken out by a shuffled join.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in the one column of ids; rows without id stay. Ids are broadcast if counted few."""
+    gone = stash(ids.toDF("_gone").where("_gone is not null").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
