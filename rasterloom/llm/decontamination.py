@@ -1,11 +1,12 @@
 """Benchmark decontamination (4): latent semantic retrieval of TF-IDF passages, then sequence and answer checks.
 
 Method. Texts are cut into passages of PASSAGE words. Words are hashed to 2**FEATURE_BITS features; idf = log(N / n) by
-passages over all documents. A randomised SVD of the TF-IDF passage matrix A gives the latent space: with a fixed
+passages and words over all documents. A randomised SVD of the TF-IDF passage matrix A gives the latent space: with a fixed
 Gaussian test matrix G, every task adds up its part of C = A'(A G), and the small Nystrom factor of G'C turns the sum
 into right singular vectors and values of A. Words are then points idf(w) V(w) (whitened by the singular values); a
 window of words is the sum of its points, and windows that slide over each text are compared with the benchmark's
-items by cosine. A window at or above `cosine` is a candidate. It is confirmed on the words themselves: the longest
+items by cosine. A window at or above `cosine` is a candidate, if it
+shares SHARED of its words with the item at all. It is confirmed on the words themselves: the longest
 common subsequence of the item and the window with its surroundings must hold `direct` of the item's words, or `loose`
 of them if it also holds `answer` of the words of the item's last sentence (a paraphrase that keeps the answer).
 
@@ -30,26 +31,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import chunked, flat
+from rasterloom.llm.lookup import Lookup
 from rasterloom.llm.toxicity import Tokens
+from rasterloom.llm.words import mix
 
 
-FEATURE_BITS, RANK, PASSAGE, LEAST = 15, 64, 32, 5
-WINDOW, STRIDE, ITEMS = 32, 16, 4096
+FEATURE_BITS, RANK, PASSAGE, LEAST = 14, 64, 32, 5
+WINDOW, STRIDE, ITEMS = 32, 16, 1024
 COSINE, DIRECT, LOOSE, ANSWER = 0.45, 0.75, 0.6, 0.8
+#: A window that shares less than this part of its words (or of a shorter item's) with an item can't confirm it.
+SHARED = 0.3
 SLICES = 64
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def _features(w: Tokens) -> np.ndarray:
     return (w.hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def _passage_starts(w: Tokens) -> np.ndarray:
-    """First words of the passages; none crosses a text."""
+def _blocks(w: Tokens, values: np.ndarray, size: int, pad) -> tuple[np.ndarray, np.ndarray]:
+    """Words' values in rows of `size`, no row across texts and the last of a text padded; and each row's text."""
     counts = w.counts()
-    n = -(-counts // PASSAGE)
-    first = np.repeat(w.offsets[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])) * PASSAGE, n)
-    return first + np.arange(int(n.sum())) * PASSAGE
+    n = -(-counts // size)
+    text = np.repeat(np.arange(len(counts)), n)
+    ahead = np.concatenate(([0], np.cumsum(n)[:-1])) * size - w.offsets[:-1]
+    out = np.full(int(n.sum()) * size, pad, values.dtype)
+    out[np.arange(len(values)) + np.repeat(ahead, counts)] = values
+    return out.reshape(-1, size), text
 
 
 def _slices(total: np.ndarray) -> pa.RecordBatch:
@@ -58,16 +66,13 @@ def _slices(total: np.ndarray) -> pa.RecordBatch:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by feature, and passages."""
     total, passages = np.zeros(1 << FEATURE_BITS), 0
     for batch in flat(batches):
         for _, raw in chunked(batch.column(0), CHUNK):
             w = Tokens(raw)
-            starts = _passage_starts(w)
-            passages += len(starts)
-            if len(starts):
-                owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w.hashes))))
-                keys = np.unique((owner.astype(np.int64) << FEATURE_BITS) | _features(w))
-                total += np.bincount(keys & ((1 << FEATURE_BITS) - 1), minlength=len(total))
+            passages += int((-(-w.counts() // PASSAGE)).sum())
+            total += np.bincount(_features(w), minlength=len(total))
     if passages:
         yield _slices(np.append(total, passages))
 
@@ -83,29 +88,26 @@ def _sketch(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _TEST:
             _TEST.append(test_matrix())
-        scaled = _TEST[0] * shared.value[:, None]
-        total = np.zeros_like(scaled)
+        idf = shared.value
+        none = len(idf)  # the feature of padding
+        scaled = np.concatenate((_TEST[0] * idf[:, None], np.zeros((1, RANK), np.float32)))
+        squares = np.append(idf**2, 0)
+        total = np.zeros((RANK, none + 1))
         seen = False
         for batch in flat(batches):
-            for _, raw in chunked(batch.column(0), CHUNK):
+            for _, raw in chunked(batch.column(0), 4 * CHUNK):
                 w = Tokens(raw)
-                starts = _passage_starts(w)
-                if not len(starts):
+                f, _ = _blocks(w, _features(w), PASSAGE, none)
+                if not len(f):
                     continue
                 seen = True
-                f = _features(w)
-                size = np.diff(np.append(starts, len(f)))
-                y = np.add.reduceat(scaled[f], starts, axis=0)
-                norm = np.add.reduceat(shared.value[f] ** 2, starts)
-                y /= np.maximum(norm, 1e-6)[:, None]
-                # rows of the passages' sums, added up by feature
-                order = np.argsort(f.astype(np.uint16), kind="stable")
-                by = f[order]
-                edge = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
-                owner = np.repeat(np.arange(len(starts)), size)
-                total[by[edge]] += np.add.reduceat(y[owner[order]], edge, axis=0)
+                y = np.concatenate([scaled[f[i : i + 512]].sum(axis=1) for i in range(0, len(f), 512)])
+                y = (y / np.maximum(squares[f].sum(axis=1), 1e-6)[:, None]).T
+                flat_f = f.ravel()
+                for j in range(RANK):
+                    total[j] += np.bincount(flat_f, np.repeat(y[j], PASSAGE), none + 1)
         if seen:
-            yield _slices((total * shared.value[:, None]).astype(np.float32).ravel())
+            yield _slices((total[:, :none].T * idf[:, None]).astype(np.float32).ravel())
 
     return run
 
@@ -170,7 +172,26 @@ class Items:
                 sums.append(points[w.offsets[i] : w.offsets[i + 1]].sum(axis=0))
         z = np.array(sums, np.float32).reshape(len(sums), -1)
         self.points = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        self.longest = max(map(len, self.words), default=0)
+        self.vocabulary = np.unique(np.concatenate([np.array(x, np.uint64) for x in self.words])) if self.words else np.zeros(0, np.uint64)
+        pairs = [mix((np.searchsorted(self.vocabulary, np.unique(np.array(x, np.uint64))).astype(np.uint64) << np.uint64(32)) + np.uint64(j)) for j, x in enumerate(self.words)]
+        self.pairs = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        self.least = np.array([SHARED * min(len(x), WINDOW) for x in self.words])
+        self.find = self.find_pair = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"find": None, "find_pair": None}
+
+    def ready(self) -> None:
+        if self.find is None:  # once in each worker
+            self.find, self.find_pair = Lookup(self.vocabulary), Lookup(self.pairs)
+
+    def shared(self, known: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How many words of each row (places in the vocabulary, -1 for none) are words of the row's item."""
+        out = np.zeros(len(known), np.int64)
+        row, at = np.nonzero(known >= 0)
+        hit = self.find_pair(mix((known[row, at].astype(np.uint64) << np.uint64(32)) + item[row].astype(np.uint64))) >= 0
+        np.add.at(out, row[hit], 1)
+        return out
 
 
 def _answer_words(text: bytes, n: int) -> int:
@@ -199,45 +220,46 @@ def _search(space_shared, items_shared, limits: tuple[float, float, float, float
     cosine, direct, loose, answer = limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items = space_shared.value, items_shared.value
+        items: Items = items_shared.value
+        items.ready()
+        none = len(space_shared.value)
+        space = np.concatenate((space_shared.value, np.zeros((1, RANK), np.float32)))
+        steps = WINDOW // STRIDE
         for batch in flat(batches):
-            out: list[tuple] = []
+            best: dict[tuple[int, int], tuple] = {}
             for at, raw in chunked(batch.column(1), CHUNK):
-                if not items.words:
-                    break
                 w = Tokens(raw)
-                counts = w.counts()
-                # blocks of STRIDE words; a window is WINDOW // STRIDE of them
-                n = -(-counts // STRIDE)
-                total = int(n.sum())
-                if not total:
+                f, text = _blocks(w, _features(w), STRIDE, none)
+                if not len(f) or not items.words:
                     continue
-                text_of = np.repeat(np.arange(len(raw)), n)
-                first = np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                begin = w.offsets[:-1][text_of] + (np.arange(total) - first) * STRIDE
-                blocks = np.add.reduceat(space[_features(w)], begin, axis=0)
-                windows = blocks.copy()
-                for k in range(1, WINDOW // STRIDE):
-                    same = text_of[k:] == text_of[:-k]
-                    windows[:-k][same] += blocks[k:][same]
+                known, _ = _blocks(w, items.find(w.hashes), STRIDE, -1)
+                sums = space[f].sum(axis=1)
+                windows, around = sums.copy(), [known]
+                for k in range(1, steps):
+                    same = text[k:] == text[:-k]
+                    windows[:-k][same] += sums[k:][same]
+                    later = np.full_like(known, -1)
+                    later[:-k][same] = known[k:][same]
+                    around.append(later)
                 windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
-                best: dict[tuple[int, int], tuple] = {}
-                for b in range(0, total, 4096):
-                    near = windows[b : b + 4096] @ items.points.T
-                    for i, j in zip(*np.nonzero(near >= cosine), strict=True):
-                        t = int(text_of[b + i])
-                        item = items.words[j]
-                        a = max(int(w.offsets[t]), int(begin[b + i]) - len(item))
-                        e = min(int(w.offsets[t + 1]), int(begin[b + i]) + WINDOW + len(item))
-                        bits = common_subsequence(item, w.hashes[a:e].tolist())
-                        share = bits.bit_count() / len(item)
-                        tail = items.answers[j]
-                        kept = (bits >> (len(item) - tail)).bit_count() / tail
-                        if share >= direct or (share >= loose and kept >= answer):
-                            row = (share, kept, float(near[i, j]), int(begin[b + i] - w.offsets[t]))
-                            if best.get((t, j), (-1.0,)) < row:
-                                best[t, j] = row
-                out += [(at + t, items.ids[j], *row) for (t, j), row in sorted(best.items())]
+                known = np.concatenate(around, axis=1)
+                near = windows @ items.points.T
+                i, j = np.divmod(np.flatnonzero(near.ravel() >= cosine), len(items.words))
+                held = items.shared(known[i], j) >= items.least[j]
+                first = np.searchsorted(text, text)
+                for x, y in zip(i[held].tolist(), j[held].tolist(), strict=True):
+                    t, word = int(text[x]), int(x - first[x]) * STRIDE
+                    item, begin = items.words[y], int(w.offsets[t])
+                    a, e = max(begin, begin + word - len(item)), min(int(w.offsets[t + 1]), begin + word + WINDOW + len(item))
+                    bits = common_subsequence(item, w.hashes[a:e].tolist())
+                    share = bits.bit_count() / len(item)
+                    tail = items.answers[y]
+                    kept = (bits >> (len(item) - tail)).bit_count() / tail
+                    if share >= direct or (share >= loose and kept >= answer):
+                        row = (share, kept, float(near[x, y]), word)
+                        if best.get((at + t, y), (-1.0,)) < row:
+                            best[at + t, y] = row
+            out = [(t, items.ids[y], *row) for (t, y), row in sorted(best.items())]
             rows = np.array([o[0] for o in out], np.int64)
             yield pa.record_batch([batch.column(0).take(pa.array(rows)), *(pa.array([o[k] for o in out], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.int64())))], ["id", "item_id", "share", "answer", "cosine", "word"])
 

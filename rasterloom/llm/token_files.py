@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
     """Token files of all documents under path (a folder that all executors share)."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     dealt.mapInArrow(_encode(tokenizer, end), SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -26,6 +26,7 @@ toxic training labels (0.0 without any). One row for each input row, repeated id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,18 @@ class Tokens(Words):
         place = np.concatenate(([0], np.cumsum(keep)))
         self.starts, self.ends, self.offsets = a[keep], b[keep], place[self.offsets]
         self.owner = np.repeat(np.arange(len(raw)), self.counts())
-        self.keys = self.hashes >> np.uint64(12)
-        if len(self.starts):
-            codes = _CODES[self.data]
-            self.stems = mix(span_hashes(codes, self.starts, np.minimum(self.ends, self.starts + STEM)) ^ np.uint64(0x5EED)) >> np.uint64(12)
-        else:
-            self.stems = self.keys
         self.long = np.flatnonzero(self.ends - self.starts > STEM)
 
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return self.hashes >> np.uint64(12)
+
+    @cached_property
+    def stems(self) -> np.ndarray:
+        if not len(self.starts):
+            return self.keys
+        return mix(span_hashes(_CODES[self.data], self.starts, np.minimum(self.ends, self.starts + STEM)) ^ np.uint64(0x5EED)) >> np.uint64(12)
+
 
 def tally(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys (52 bits) and the numbers of toxic and ordinary texts that hold them; owner below 4096."""
