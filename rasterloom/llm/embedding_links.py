@@ -34,7 +34,8 @@ from rasterloom.llm.components import Forest, components
 from rasterloom.llm.neardup import _bounds, _runs
 
 SAMPLE, LISTS, SUBSPACES, CODES, ROUNDS = 16_384, 1024, 8, 256, 8
-#: Rows of a block of a list, as partners or as queries.
+#: Rows of a block of a list, as partners or as queries; also the rows that a list of the largest label should have,
+#: since a query is sent to each list that it probes.
 BLOCK = 2048
 _SLACK = 1e-6
 
@@ -106,6 +107,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _packed(raw: np.ndarray) -> list[bytes]:
+    """Rows as bytes: 32-bit where that loses nothing."""
+    short = raw.astype(np.float32)
+    exact = (short.astype(np.float64) == raw).all(axis=1)
+    return [a.tobytes() if e else b.tobytes() for a, b, e in zip(short, raw, exact, strict=True)]
+
+
+def _unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    if all(len(r) == 4 * dim for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in rows], np.float64).reshape(-1, dim)
+
+
 def units_of(raw: np.ndarray) -> np.ndarray:
     x = raw / np.abs(raw).max(axis=1, keepdims=True)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
@@ -126,8 +140,8 @@ def _deal(shared, radius: float):
                 take = pa.array(np.concatenate((np.arange(len(own)), row)))
                 both = part.select(["label", "dim", "id", "copies"]).take(take)
                 role = np.concatenate((np.zeros(len(own), np.int32), np.ones(len(row), np.int32)))
-                vec = pa.array([x.tobytes() for x in raw], pa.binary()).take(take)
-                code = pa.array([c.tobytes() + np.float64(e).tobytes() for c, e in zip(codes, error, strict=True)], pa.binary()).take(take)
+                vec = pa.array(_packed(raw), pa.binary()).take(take)
+                code = pa.array([c.tobytes() + np.float64(e).tobytes() for c, e in zip(codes, error, strict=True)] + [b""] * len(row), pa.binary())
                 yield pa.record_batch([*both.columns, pa.array(np.concatenate((own, lists)).astype(np.int32)), pa.array(role), vec, code], ["label", "dim", "id", "copies", "list", "role", "vec", "code"])
 
     return run
@@ -145,14 +159,15 @@ def _search(shared, threshold: float, radius: float):
         for t in _runs(batches, _KEYS, 1 << 12):
             bounds = _bounds(t, _KEYS)
             ids, copies, role, lists = (np.asarray(t.column(c)) for c in ("id", "copies", "role", "list"))
-            vec = np.frombuffer(b"".join(t.column("vec").to_pylist())).reshape(-1, index.dim)
-            code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(-1, SUBSPACES + 8)
+            vec = _unpacked(t.column("vec").to_pylist(), index.dim)
+            code = t.column("code").to_pylist()
             a_out, b_out, n_out = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 held, asking = a + np.flatnonzero(role[a:b] == 0), a + np.flatnonzero(role[a:b] == 1)
                 if not len(held) or not len(asking):
                     continue
-                codes, error = code[held, :SUBSPACES], np.ascontiguousarray(code[held, SUBSPACES:]).view(np.float64).ravel()
+                both = np.frombuffer(b"".join(code[i] for i in held), np.uint8).reshape(-1, SUBSPACES + 8)
+                codes, error = both[:, :SUBSPACES], np.ascontiguousarray(both[:, SUBSPACES:]).view(np.float64).ravel()
                 norm = np.sqrt((vec[held] ** 2).sum(axis=1))
                 names, place = np.unique(ids[a:b], return_inverse=True)
                 forest = Forest(len(names))
@@ -199,12 +214,12 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed = rows.withColumn("good", F.coalesce(whole, F.lit(False))).withColumn("h1", F.when(F.col("good"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(1), "v")))
     classes = keyed.where("good").groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = stash(classes.withColumn("dim", F.size("v")), "vectors")
-    shape = classes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    shape = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.max("dim").alias("dim")).first()
     if not shape["n"]:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dim = -(-shape["dim"] // SUBSPACES) * SUBSPACES
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    index = Index(units_of(_matrix(sample, dim)), max(1, min(LISTS, int(math.sqrt(shape["n"])))))
+    index = Index(units_of(_matrix(sample, dim)), max(1, min(LISTS, math.ceil(shape["n"] / BLOCK))))
     shared = spark.sparkContext.broadcast(index)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     dealt = stash(classes.select("label", "dim", "id", "copies", "v").mapInArrow(_deal(shared, radius), DEALT), "dealt")
