@@ -5,8 +5,8 @@ passages and words over all documents. A randomised SVD of the TF-IDF passage ma
 Gaussian test matrix G, every task adds up its part of C = A'(A G), and the small Nystrom factor of G'C turns the sum
 into right singular vectors and values of A. Words are then points idf(w) V(w) (whitened by the singular values); a
 window of words is the sum of its points, and windows that slide over each text are compared with the benchmark's
-items by cosine. A window at or above `cosine` is a candidate, if it
-shares SHARED of its words with the item at all. It is confirmed on the words themselves: the longest
+items by cosine. A window at or above `cosine` is a candidate, if its
+words make up SHARED of the item's idf at all. It is confirmed on the words themselves: the longest
 common subsequence of the item and the window with its surroundings must hold `direct` of the item's words, or `loose`
 of them if it also holds `answer` of the words of the item's last sentence (a paraphrase that keeps the answer).
 
@@ -39,8 +39,8 @@ from rasterloom.llm.words import mix
 FEATURE_BITS, RANK, PASSAGE, LEAST = 14, 64, 32, 5
 WINDOW, STRIDE, ITEMS = 32, 16, 1024
 COSINE, DIRECT, LOOSE, ANSWER = 0.45, 0.75, 0.6, 0.8
-#: A window that shares less than this part of its words (or of a shorter item's) with an item can't confirm it.
-SHARED = 0.3
+#: A window whose words make up less than this part of an item's idf (of what a window can hold of it) can't confirm it.
+SHARED = 0.25
 SLICES = 64
 CHUNK = 1 << 18
 
@@ -135,8 +135,8 @@ def gathered(texts: DataFrame) -> DataFrame:
     return texts.coalesce(max(1, min(n, max(2 * texts.sparkSession.sparkContext.defaultParallelism, n // 16))))
 
 
-def latent_space(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
-    """(features, RANK) float32: the point of each feature, idf included, whitened; None without any passage."""
+def latent_space(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
+    """(features, RANK) float32, the point of each feature, idf included, whitened; and the idf. None without any passage."""
     texts = gathered(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")))
     counts = _total(texts, _count, "<f8")
     if counts is None:
@@ -152,13 +152,13 @@ def latent_space(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     values = np.maximum(values, shift)
     left, single, _ = np.linalg.svd(c @ (vectors / np.sqrt(values)), full_matrices=False)
     spread = np.sqrt(np.maximum(single, single.max() * 1e-4))  # singular values of A
-    return (idf[:, None] * left * (spread.mean() / spread)).astype(np.float32)
+    return (idf[:, None] * left * (spread.mean() / spread)).astype(np.float32), idf
 
 
 class Items:
     """Benchmark items: ids, word hashes, latent points, and the places of the answer's words."""
 
-    def __init__(self, ids: list[int], raw: list[bytes], space: np.ndarray):
+    def __init__(self, ids: list[int], raw: list[bytes], space: np.ndarray, idf: np.ndarray):
         w = Tokens(raw)
         f = _features(w)
         points = space[f]
@@ -170,12 +170,16 @@ class Items:
                 self.words.append(own.tolist())
                 self.answers.append(_answer_words(text, len(own)))
                 sums.append(points[w.offsets[i] : w.offsets[i + 1]].sum(axis=0))
-        z = np.array(sums, np.float32).reshape(len(sums), -1)
+        z = np.array(sums, np.float32).reshape(len(sums), RANK)
         self.points = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         self.vocabulary = np.unique(np.concatenate([np.array(x, np.uint64) for x in self.words])) if self.words else np.zeros(0, np.uint64)
-        pairs = [mix((np.searchsorted(self.vocabulary, np.unique(np.array(x, np.uint64))).astype(np.uint64) << np.uint64(32)) + np.uint64(j)) for j, x in enumerate(self.words)]
+        self.weights = idf[(self.vocabulary >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]
+        pairs, self.least = [], np.zeros(len(self.words))
+        for j, x in enumerate(self.words):
+            own = np.searchsorted(self.vocabulary, np.unique(np.array(x, np.uint64)))
+            pairs.append(mix((own.astype(np.uint64) << np.uint64(32)) + np.uint64(j)))
+            self.least[j] = SHARED * self.weights[own].sum() * min(1.0, WINDOW / len(x))
         self.pairs = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        self.least = np.array([SHARED * min(len(x), WINDOW) for x in self.words])
         self.find = self.find_pair = None
 
     def __getstate__(self) -> dict:
@@ -186,12 +190,11 @@ class Items:
             self.find, self.find_pair = Lookup(self.vocabulary), Lookup(self.pairs)
 
     def shared(self, known: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """How many words of each row (places in the vocabulary, -1 for none) are words of the row's item."""
-        out = np.zeros(len(known), np.int64)
+        """The idf of each row's words (places in the vocabulary, -1 for none) that are words of the row's item."""
         row, at = np.nonzero(known >= 0)
-        hit = self.find_pair(mix((known[row, at].astype(np.uint64) << np.uint64(32)) + item[row].astype(np.uint64))) >= 0
-        np.add.at(out, row[hit], 1)
-        return out
+        word = known[row, at]
+        hit = self.find_pair(mix((word.astype(np.uint64) << np.uint64(32)) + item[row].astype(np.uint64))) >= 0
+        return np.bincount(row[hit], self.weights[word[hit]], len(known))
 
 
 def _answer_words(text: bytes, n: int) -> int:
@@ -269,18 +272,19 @@ def _search(space_shared, items_shared, limits: tuple[float, float, float, float
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, direct: float = DIRECT, loose: float = LOOSE, answer: float = ANSWER) -> DataFrame:
     """(id, item_id, share, answer, cosine, word): documents and the items that they hold, one row a pair."""
     spark = docs.sparkSession
-    space = latent_space(docs, text_col)
+    found_space = latent_space(docs, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shape = "id long, item_id long, share double, answer double, cosine double, word long"
-    if space is None:
+    if found_space is None:
         return spark.createDataFrame([], shape)
+    space, idf = found_space
     space_shared = spark.sparkContext.broadcast(space)
     found = None
     block: list[tuple[int, bytes]] = []
     wanted = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
 
     def search(block: list[tuple[int, bytes]]) -> DataFrame:
-        items = Items([i for i, _ in block], [t for _, t in block], space)
+        items = Items([i for i, _ in block], [t for _, t in block], space, idf)
         return rows.mapInArrow(_search(space_shared, spark.sparkContext.broadcast(items), (cosine, direct, loose, answer)), shape)
 
     for row in wanted.toLocalIterator():
