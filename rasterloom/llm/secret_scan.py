@@ -88,14 +88,15 @@ def allowed(text: bytes) -> bool:
     if sum(kinds) < 2 or kinds == (False, True, True):  # one case, digits alone, or letters alone
         return True
     low = text.lower()
-    if _UUID.search(text) or any(w in low for w in PLACEHOLDERS):
-        return True
     steps = [b - a for a, b in zip(low, low[1:], strict=False)]
     return max((sum(s == k for s in steps) for k in (-1, 0, 1)), default=0) * 2 > len(steps)
 
 
 def entropy_spans(text: bytes, start: int, window: int, thresholds: dict[str, float]) -> Iterator[tuple[str, int, int, float]]:
-    """Spans of one candidate; start is its offset."""
+    """Spans of one candidate; start is its offset. UUIDs are cut out of it, and a placeholder word suppresses it whole."""
+    if any(w in text.lower() for w in PLACEHOLDERS):
+        return
+    text = _UUID.sub(lambda m: b"\0" * len(m.group()), text)
     data = np.frombuffer(text + b" ", np.uint8)
     for kind, least in thresholds.items():
         for a, b in zip(*runs_of(_CLASSES[kind], data, window), strict=True):
