@@ -257,14 +257,67 @@ def streamlines(px: DataFrame, label: int, seed: int = 7, **options) -> DataFram
 
 
 def edge_bands(px: DataFrame, levels: int = 2, width: float = 2.5, root: str | None = None, **options) -> DataFrame:
-    """(image_id, label, neighbor, level, area, r, g, b): bands inside region borders."""
+    """(image_id, label, neighbor, level, area, r, g, b, d): bands inside region borders, with their paths ('' if too thin)."""
 
     def of(p: Planes) -> list[dict]:
         lineage = {int(i): int(p[root][p["label"] == i][0]) for i in np.unique(p["label"])} if root else None
         found = models.bands(p["label"], _rgb(p), lineage, levels, width, **options)
-        return [{k: f[k] for k in ("label", "neighbor", "level")} | {"area": int(f["mask"].sum()), **{c: float(v) for c, v in zip("rgb", f["color"], strict=True)}} for f in found]
+        return [{k: f[k] for k in ("label", "neighbor", "level")} | {"area": int(f["mask"].sum()), **{c: float(v) for c, v in zip("rgb", f["color"], strict=True)}, "d": curves.region_path(f["mask"], "cr", 0.4, 0.4, least_area=4.0)} for f in found]
 
-    return per_image(px, of, "label int, neighbor int, level int, area long, r double, g double, b double", ["label", *RGB, *([root] if root else [])])
+    return per_image(px, of, "label int, neighbor int, level int, area long, r double, g double, b double, d string", ["label", *RGB, *([root] if root else [])])
+
+
+def edge_lines(px: DataFrame, mode: str = "both", chroma: float = 9.0, high: float = 0.975, low: float = 0.9, coherence: float = 0.45, width: float = 2.0, least_area: int = 24, least_length: int = 8, tolerance: float = 0.6) -> DataFrame:
+    """(image_id, line, d, r, g, b, width): centre lines of colourful or strong edges outside the background; channels in 0..1."""
+
+    def of(p: Planes) -> list[dict]:
+        rgb = _rgb(p)
+        t = conv.structure_tensor(rgb)
+        of_lab = conv.lab(rgb)
+        colour = conv.gaussian(np.hypot(of_lab[..., 1], of_lab[..., 2]), 1.0)
+        mask = np.zeros(colour.shape, bool)
+        if mode in ("chroma", "both"):
+            mask |= colour > chroma
+        if mode in ("energy", "both"):
+            mask |= masks.hysteresis(t["energy"], *np.quantile(t["energy"], (low, high))) & (t["coh"] > coherence)
+        edge = np.concatenate((p["label"][0], p["label"][-1], p["label"][:, 0], p["label"][:, -1]))
+        mask &= p["label"] != int(np.bincount(edge).argmax())
+        own = masks.components(mask.astype(int), mask)
+        large = np.flatnonzero(np.bincount(own[mask], minlength=1) >= least_area)
+        lines = masks.skeleton_paths(masks.thinned(mask & np.isin(own, large)), least_length)
+        out = []
+        for k, line in enumerate(lines):
+            under = np.median(conv.bilinear(rgb, line[:, 0], line[:, 1]), axis=0)
+            strength = float(np.median(conv.bilinear(t["coh"], line[:, 0], line[:, 1])))
+            points = curves.simplified(line, tolerance)
+            d = "M" + "L".join(f"{curves.fixed(x)} {curves.fixed(y)}" for x, y in points)
+            out.append({"line": k, "d": d, **{c: float(v) for c, v in zip("rgb", under, strict=True)}, "width": width * (0.5 + 0.5 * strength)})
+        return out
+
+    return per_image(px, of, "line int, d string, r double, g double, b double, width double", ["label", *RGB])
+
+
+def gradient_models(px: DataFrame, min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05) -> DataFrame:
+    """(image_id, label, kind, cx, cy, ux, uy, lo, hi, stops, range, gain): chosen ramps of all regions in one pass.
+
+    The same columns as operators.fit.fit_gradients; one shuffle by image in place of its aggregations.
+    """
+
+    def of(p: Planes) -> list[dict]:
+        rgb = _rgb(p)
+        gy, gx = np.gradient(rgb @ np.array([0.299, 0.587, 0.114])) if min(rgb.shape[:2]) > 1 else (np.zeros(rgb.shape[:2]),) * 2
+        out = []
+        for i in np.unique(p["label"]).tolist():
+            ys, xs = np.nonzero(p["label"] == i)
+            a, b = gx[ys, xs], gy[ys, xs]
+            m = models.fit(ys, xs, rgb[ys, xs], a, b, a * a + b * b, min_gain, min_range, margin)
+            if m:
+                u = m.get("u", (None, None))
+                stops = [{"offset": float(o), **{c: float(v) for c, v in zip("rgb", row, strict=True)}} for o, row in zip(m["offsets"], m["values"], strict=True)]
+                out.append({"label": i, "kind": "radial" if m["radial"] else "linear", "cx": float(m["cx"]), "cy": float(m["cy"]), "ux": None if u[0] is None else float(u[0]), "uy": None if u[1] is None else float(u[1]), "lo": float(m["lo"]), "hi": float(m["hi"]), "stops": stops, "range": m["range"], "gain": m["gain"]})
+        return out
+
+    return per_image(px, of, "label int, kind string, cx double, cy double, ux double, uy double, lo double, hi double, stops array<struct<offset:double,r:double,g:double,b:double>>, range double, gain double", ["label", *RGB])
 
 
 def seams(px: DataFrame, chroma: float = 12.0, scale: float = 1.0, least: int = 40) -> DataFrame:

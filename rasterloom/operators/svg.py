@@ -30,6 +30,21 @@ def gradient_def(id_: Column, fits: str = "") -> Column:
     return F.when(f("ux").isNotNull(), line).otherwise(ring)
 
 
+def line(d: Column, stroke: Column, width: Column, alpha: float) -> Column:
+    return F.concat(F.lit('<path d="'), d, F.lit('" fill="none" stroke="'), stroke, F.lit('" stroke-width="'), F.format_string("%.2f", width), F.lit(f'" stroke-opacity="{alpha}"/>'))
+
+
+def shade_def(id_: Column) -> Column:
+    """A radial gradient of white or black whose opacity follows a shade layer's profile (columns cx, cy, r, knots)."""
+    n = F.size("knots")
+    stop = F.transform("knots", lambda v, i: F.concat(F.lit('<stop offset="'), F.format_string("%.3f", i / n), F.lit('" stop-color="'), F.when(v > 0, "#ffffff").otherwise("#000000"), F.lit('" stop-opacity="'), F.format_string("%.3f", F.least(F.abs(v) / 255.0, F.lit(1.0))), F.lit('"/>')))
+    return F.concat(F.lit('<radialGradient id="'), id_, F.lit('">'), F.array_join(stop, ""), F.lit('<stop offset="1" stop-color="#000000" stop-opacity="0"/></radialGradient>'))
+
+
+def disc(id_: Column) -> Column:
+    return F.concat(F.format_string('<circle cx="%.1f" cy="%.1f" r="%.1f" fill="url(#', "cx", "cy", "r"), id_, F.lit(')"/>'))
+
+
 def documents(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(image_id, svg) from parts (image_id, layer, seq, element[, def]) and sizes (image_id, w, h[, background]).
 

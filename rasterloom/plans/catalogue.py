@@ -561,6 +561,16 @@ def aa_bands(spark, d):
     return grids.edge_bands(_unit(spark, d))
 
 
+@query
+def edge_lines(spark, d):
+    return grids.edge_lines(_unit(spark, d))
+
+
+@query
+def gradient_models(spark, d):
+    return grids.gradient_models(_unit(spark, d)).select(*KEY, "kind", F.size("stops").alias("n_stops"), "gain")
+
+
 @query
 def detail_layer(spark, d):
     return grids.seams(_unit(spark, d))
@@ -568,7 +578,7 @@ def detail_layer(spark, d):
 
 @query
 def shade_stack(spark, d):
-    return grids.shade_stack(_unit(spark, d), 4).select("image_id", "seq", "cx", "cy", "r", "gain")
+    return grids.shade_stack(_unit(spark, d).withColumn("label", F.lit(0)), 4).select("image_id", "seq", "cx", "cy", "r", "gain")
 
 
 # ---- text, documents ----------------------------------------------------------------------------

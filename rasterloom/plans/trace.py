@@ -7,7 +7,7 @@ aggregations and joins. Tables that several branches read are cut at a Parquet w
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import hex_color
@@ -80,12 +80,11 @@ def region_paths(px: DataFrame, p: Params) -> DataFrame:
 
 def region_models(px: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(fills, fits): flat colours by core medians, and the chosen gradients."""
-    core = regions.core(px, 3)
-    fills = regions.fill_color(px, core)
-    sloped = fit.gradients(px.withColumn("_l", F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114), "_l").withColumn("energy", F.col("gx") ** 2 + F.col("gy") ** 2)
-    pca = fit.pca_axis(px)
-    axes = pca.withColumn("kind", F.lit("pca")).unionByName(pca.drop("ux", "uy").join(fit.tensor_axis(sloped), regions.KEY).withColumn("kind", F.lit("tensor")))
-    return fills, fit.fit_gradients(px, axes, fit.radial_centers(sloped), p.grad_min_gain, p.grad_min_range, p.grad_radial_margin, p.grad_stops)
+    return regions.fill_color(px, regions.core(px, 3)), grids.gradient_models(px, p.grad_min_gain, p.grad_min_range, p.grad_radial_margin)
+
+
+def _parts(df: DataFrame, layer: str, seq: Column, element: Column, definition: Column | None = None) -> DataFrame:
+    return df.select("image_id", F.lit(layer).alias("layer"), seq.cast("long").alias("seq"), element.alias("element"), (F.lit(None).cast("string") if definition is None else definition).alias("def"))
 
 
 def traced(px: DataFrame, p: Params | None = None, cut=lambda df, name: df) -> DataFrame:
@@ -104,17 +103,28 @@ def traced(px: DataFrame, p: Params | None = None, cut=lambda df, name: df) -> D
     colour = hex_color(F.col("r"), F.col("g"), F.col("b"))
     shapes = region_paths(px, p).join(fills, regions.KEY).join(order, regions.KEY).join(fits, regions.KEY, "left").join(ground, "image_id").where("label <> ground")
     fill = F.when(F.col("stops").isNotNull(), F.concat(F.lit("url(#"), id_, F.lit(")"))).otherwise(colour)
-    parts = shapes.select("image_id", F.lit("regions").alias("layer"), F.col("rank").cast("long").alias("seq"), svg.path(F.col("d"), fill).alias("element"), F.when(F.col("stops").isNotNull(), svg.gradient_def(id_)).alias("def"))
+    sloped = F.col("stops").isNotNull()
+    parts = _parts(shapes, "regions", F.col("rank"), svg.path(F.col("d"), fill), F.when(sloped, svg.gradient_def(id_)))
+    if p.aa_levels > 0:
+        rims = grids.edge_bands(px, p.aa_levels, p.aa_width, "root", least_area=p.aa_min_area, least_radius=p.aa_min_radius).where("d <> ''")
+        parts = parts.unionByName(_parts(rims, "regions", F.lit(500_000) + F.col("label") * 100 + F.col("level"), svg.path(F.col("d"), colour)))
     if p.detail_chroma > 0:
         detail = grids.seams(px, p.detail_chroma, p.detail_scale, p.detail_min_area)
-        parts = parts.unionByName(detail.select("image_id", F.lit("regions").alias("layer"), (F.col("component") + 1_000_000).cast("long").alias("seq"), svg.path(F.col("d"), colour).alias("element"), F.lit(None).cast("string").alias("def")))
+        parts = parts.unionByName(_parts(detail, "regions", F.col("component") + 1_000_000_000, svg.path(F.col("d"), colour)))
     if not p.no_strokes:
         active = quality.activity(predicted, regions.core(px, 1))
         with_activity = px.join(active, regions.KEY, "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
         options = {"alpha": p.stroke_alpha, "reference": p.stroke_activity_ref, "least_alpha": p.stroke_alpha_min, "width": p.stroke_width, "spacing": p.spacing, "ratio": p.occ_ratio, "step": p.stroke_step, "longest": p.stroke_max, "shortest": p.stroke_min, "nodes": p.stroke_nodes, "least_coh": p.coh_min, "most_turn": p.max_turn}
         lines = grids.stroke_groups(with_activity, p.seed, (p.cs_sigma_d, p.cs_sigma_i), **options)
         drawn = F.concat(F.lit('<path d="'), F.col("d"), F.lit('" fill="'), colour, F.lit('" fill-opacity="'), F.format_string("%.2f", "alpha"), F.lit('"/>'))
-        parts = parts.unionByName(lines.select("image_id", F.lit("strokes").alias("layer"), (F.col("label") * 100_000 + F.col("seq")).cast("long").alias("seq"), drawn.alias("element"), F.lit(None).cast("string").alias("def")))
+        parts = parts.unionByName(_parts(lines, "strokes", F.col("label") * 100_000 + F.col("seq"), drawn))
+    if p.edge_mode != "off":
+        found = grids.edge_lines(px, p.edge_mode, p.edge_chroma, p.edge_hi, p.edge_lo, p.edge_coh, p.edge_width, p.edge_min_area, p.edge_min_len, p.edge_tol)
+        parts = parts.unionByName(_parts(found, "edges", F.col("line"), svg.line(F.col("d"), colour, F.col("width"), p.edge_alpha)))
+    if p.shade_blobs:
+        shades = grids.shade_stack(px, p.shade_layers)
+        name = F.concat(F.lit("s"), F.col("seq").cast("string"))
+        parts = parts.unionByName(_parts(shades, "shade", F.col("seq"), svg.disc(name), svg.shade_def(name)))
     size = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     canvas = size.join(ground, "image_id").join(fills.select("image_id", F.col("label").alias("ground"), colour.alias("background")), ["image_id", "ground"])
     docs = svg.documents(parts, canvas.select("image_id", "w", "h", "background"))

@@ -43,7 +43,7 @@ def test_names():
 
 def test_trace_makes_documents(spark, tmp_path):
     px = fit.scaled(fig(spark, SMALL).where("image_id IN (1, 2)")).drop("label")
-    p = params(scale=1.0, method="colors", kmeans_k=6, kmeans_iters=4, min_area=40, autoscale=False, contour_min_area=8.0, gzip=True, spacing=6.0, stroke_min=8.0)
+    p = params(scale=1.0, method="colors", kmeans_k=6, kmeans_iters=4, min_area=40, autoscale=False, contour_min_area=8.0, gzip=True, spacing=6.0, stroke_min=8.0, aa_levels=2, edge_mode="both", shade_blobs=True, shade_layers=2)
     cut = lambda df, name: (df.write.mode("overwrite").parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
     docs = traced(px, p, cut)
     rows = docs.collect()
