@@ -115,16 +115,29 @@ def ramp_gain(px_t: DataFrame, keys: list[str], bins: int = 8, least_range: floa
     return flat.join(error, keys, "left").select(*keys, (1 - F.coalesce("axis", F.lit(0.0)) / (F.col("flat") + EPS)).alias("gain"))
 
 
-def profiles(px_t: DataFrame, keys: list[str], radial: bool, stops: int = 10) -> DataFrame:
-    """(keys, n, lo, hi, stops, range, gain): a ramp along t. Radial offsets are fractions of hi; two stops at least."""
-    least = 2.0 if radial else 4.0
-    ends = _normalised(px_t, keys, least).groupBy(*keys).agg(F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    binned = ramp_bins(px_t, keys, stops, least)
+def profiles(px_t: DataFrame, keys: list[str], radial: bool, stops: int = 10, bins: int = 8) -> DataFrame:
+    """(keys, n, lo, hi, stops, range, gain): a ramp along t. Radial offsets are fractions of hi; two stops at least.
+
+    The bins of ramp_bins and of ramp_gain come from one aggregation: squared errors to a bin's median follow from its sums.
+    """
+    u = _normalised(px_t, keys, 2.0 if radial else 4.0)
+    schemes = F.array(F.struct(F.lit(0).alias("scheme"), F.least(F.floor(F.col("u") * stops), F.lit(stops - 1)).cast("int").alias("bin")), F.struct(F.lit(1).alias("scheme"), F.floor(F.col("u") * bins).cast("int").alias("bin")))
+    rows = u.select(*keys, "n", "lo", "hi", *CHANNELS, F.explode(schemes).alias("s")).select("*", "s.scheme", "s.bin").drop("s")
+    sums = [x for c in CHANNELS for x in (F.median(c).alias(c), F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) ** 2).alias(f"q_{c}"))]
+    binned = rows.groupBy(*keys, "n", "lo", "hi", "scheme", "bin").agg(F.count("*").alias("m"), *sums)
+    stop, counted = (F.col("scheme") == 0) & (F.col("m") >= LEAST_BIN), (F.col("scheme") == 1) & (F.col("bin") < bins) & (F.col("m") > LEAST_BIN)
     centre = (F.col("bin") + 0.5) / stops
-    listed = binned.join(ends.drop("n"), keys).withColumn("offset", (F.col("lo") + centre * (F.col("hi") - F.col("lo"))) / F.col("hi") if radial else centre)
-    widest = F.greatest(*(F.max(c) - F.min(c) for c in CHANNELS))
-    made = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("offset", *CHANNELS))).alias("stops"), widest.alias("range")).where(F.size("stops") >= 2)
-    return ends.join(made, keys).join(ramp_gain(px_t, keys, least_range=least), keys)
+    offset = (F.col("lo") + centre * (F.col("hi") - F.col("lo"))) / F.col("hi") if radial else centre
+    error = sum((F.col(f"q_{c}") - 2 * F.col(c) * F.col(f"s_{c}") + F.col("m") * F.col(c) ** 2 for c in CHANNELS), F.lit(0.0))
+    whole = F.col("scheme") == 1
+    flat = sum((F.sum(F.when(whole, F.col(f"q_{c}"))) - F.sum(F.when(whole, F.col(f"s_{c}"))) ** 2 / F.first("n") for c in CHANNELS), F.lit(0.0))
+    widest = F.greatest(*(F.max(F.when(stop, F.col(c))) - F.min(F.when(stop, F.col(c))) for c in CHANNELS))
+    made = binned.groupBy(*keys, "n", "lo", "hi").agg(
+        F.array_sort(F.collect_list(F.when(stop, F.struct(offset.alias("offset"), *CHANNELS)))).alias("stops"),
+        widest.alias("range"),
+        (1 - F.coalesce(F.sum(F.when(counted, error)), F.lit(0.0)) / (flat + EPS)).alias("gain"),
+    )
+    return made.where(F.size("stops") >= 2)
 
 
 def fit_gradients(px: DataFrame, axes: DataFrame, centers: DataFrame, min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05, stops: int = 10) -> DataFrame:

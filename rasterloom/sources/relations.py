@@ -17,6 +17,20 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.select("vec_id", F.expr("cast(p div 8 as int)").alias("py"), (F.col("p") % TILE).cast("int").alias("px"), q.alias("q"))
 
 
+class TilePixels:
+    """pixels_of(tile): a row (y, x, q) for each element of an 8 x 8 tile of values around 0; nothing for a null tile."""
+
+    def eval(self, tile: list[float] | None):
+        for p, v in enumerate(tile or ()):
+            if v is not None:
+                yield p // TILE, p % TILE, max(0, min(255, int((v + 0.5) * 256 // 1)))
+
+
+def register(spark: SparkSession) -> None:
+    """The table function pixels_of for SQL: SELECT vec_id, t.* FROM embeddings, LATERAL pixels_of(embedding) t."""
+    spark.udtf.register("pixels_of", F.udtf(TilePixels, returnType="y int, x int, q int"))
+
+
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, y, x, q): one grey 8 x 8 tile a vector."""
     return _tiles(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x"), "q")

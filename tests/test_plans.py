@@ -82,3 +82,24 @@ def test_kernel_equals_expression(spark):
     kernel = {(r["y"], r["x"]) for r in grids.per_pixel(small, lambda p: {"core": __import__("rasterloom.kernels.masks", fromlist=["x"]).eroded(p["label"] == 3)}, "core boolean", ["label"]).where("core").collect()}
     rows = {(r["y"], r["x"]) for r in regions.core(small, 1).where("label = 3").collect()}
     assert kernel == rows
+
+
+def test_table_function(spark):
+    from rasterloom.sources import relations
+
+    relations.register(spark)
+    spark.read.parquet(f"{SMALL}/embeddings.parquet").limit(20).createOrReplaceTempView("some")
+    got = spark.sql("SELECT vec_id AS image_id, t.* FROM some, LATERAL pixels_of(embedding) t")
+    want = relations.px(spark, SMALL).join(spark.table("some").selectExpr("vec_id AS image_id"), "image_id", "left_semi")
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == 20 * 64
+
+
+def test_one_pass_profiles_equal_separate_ones(spark):
+    px = fit.scaled(fig(spark, SMALL).where("label = 3"))
+    t = px.withColumn("t", F.col("x").cast("double"))
+    whole = {r["image_id"]: r for r in fit.profiles(t, regions.KEY, False).collect()}
+    gains = {r["image_id"]: r["gain"] for r in fit.ramp_gain(t, regions.KEY).collect()}
+    bins = fit.ramp_bins(t, regions.KEY).collect()
+    assert whole and all(abs(whole[i]["gain"] - gains[i]) < 1e-9 for i in gains)
+    for i, r in whole.items():
+        assert [tuple(s)[1:] for s in r["stops"]] == [(b["r"], b["g"], b["b"]) for b in sorted((b for b in bins if b["image_id"] == i), key=lambda b: b["bin"])]
