@@ -1,10 +1,9 @@
 """MinHash near-dedup (7): a multi-index Hamming join of b-bit signatures, confirmed on full shingle sets.
 
 Method. Each text is the set of its distinct `width`-word shingles (64-bit hashes). Its signature holds `hashes`
-symbols of 16 bits (MinHash). Two sets of similarity s differ in a symbol with probability 1 - s, so that a pair at
-the threshold differs in more than `errors` symbols with a probability below 1e-5 for the defaults (64 symbols, 22
-errors, 0.85). The signature is split into `chunks` chunks; by pigeonhole a pair within `errors` differing symbols has
-a chunk with at most errors // chunks of them, which is at most one. Enumerating the one allowed error of a chunk (a
+symbols of 16 bits (MinHash). Two sets of similarity s differ in a symbol with probability 1 - s; `errors` is the least
+number that a pair at the threshold exceeds with a probability below MISSED. The signature is split into errors // 2 + 1
+chunks; by pigeonhole a pair within `errors` differing symbols has a chunk with at most one of them. Enumerating the one allowed error of a chunk (a
 key for each symbol left out) therefore guarantees that every pair under the signature distance shares a key.
 
 Plan. (1) One pass computes set size, a 128-bit set key and the signature; equal sets collapse to their smallest id in
@@ -22,6 +21,7 @@ id. Rows without id are left out. Extra columns are ignored; empty tables give e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from rasterloom.llm.common import chunked, cut, flat, stash
 from rasterloom.llm.components import Forest, components
 from rasterloom.llm.words import Words, mix, shingles
 
-HASHES, ERRORS, CHUNKS, WIDTH = 64, 22, 12, 5
+HASHES, WIDTH, MISSED = 64, 5, 1e-5
 #: Rows of a block: a larger key group or component is dealt as pairs of blocks.
 BLOCK_SETS = 1024
 #: Shingles of a block of full sets.
@@ -46,6 +46,17 @@ _ADDED = _RNG.integers(0, 2**32, 512, dtype=np.uint32)
 SIGNED = "id long, n_shingles long, k1 long, k2 long, sig binary"
 
 
+def allowed_errors(percent: int, hashes: int = HASHES) -> int:
+    """The least number of differing symbols that a pair at the threshold exceeds with a probability below MISSED."""
+    p = 1 - percent / 100
+    tail = 0.0
+    for k in range(hashes, -1, -1):
+        tail += math.comb(hashes, k) * p**k * (1 - p) ** (hashes - k)
+        if tail >= MISSED:
+            return k
+    return 0
+
+
 def distinct_sets(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and their offsets."""
     all_of, offsets = shingles(Words(raw), width)
@@ -243,10 +254,10 @@ def _confirm(percent: int, hashes: int, errors: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH, hashes: int = HASHES, errors: int = ERRORS, chunks: int = CHUNKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per id; see the module's text for method and defined cases."""
-    if errors // chunks > 1:
-        raise ValueError("a chunk may hold one error at most: raise chunks")
+    errors = allowed_errors(percent, hashes)
+    chunks = errors // 2 + 1
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if texts.groupBy("id").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("id").agg(F.min("text").alias("text"))

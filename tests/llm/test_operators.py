@@ -92,13 +92,16 @@ def test_neardup_edges(spark):
 
 def test_signature_guarantee():
     """All pairs of signatures within the distance share a key."""
+    assert [neardup.allowed_errors(p) for p in (80, 85, 100)] == [28, 23, 0]
     rng = np.random.default_rng(0)
-    sig = rng.integers(0, 3, (30, neardup.HASHES)).astype(np.uint16)
-    near = sig.copy()
-    for row in near:
-        row[rng.choice(neardup.HASHES, neardup.ERRORS, replace=False)] ^= 7
-    a, b = (neardup.chunk_keys(s, neardup.CHUNKS, 1) for s in (sig, near))
-    assert all(set(x.tolist()) & set(y.tolist()) for x, y in zip(a, b, strict=True))
+    for errors in (28, 23, 1, 0):
+        sig = rng.integers(0, 3, (30, neardup.HASHES)).astype(np.uint16)
+        near = sig.copy()
+        for row in near:
+            row[rng.choice(neardup.HASHES, errors, replace=False)] ^= 7
+        chunks = errors // 2 + 1
+        a, b = (neardup.chunk_keys(s, chunks, errors // chunks) for s in (sig, near))
+        assert all(set(x.tolist()) & set(y.tolist()) for x, y in zip(a, b, strict=True))
 
 
 def vectors(seed=0):
