@@ -161,11 +161,16 @@ def test_pii(spark):
     assert {r["id"]: r["text"] for r in clean} == {1: "to [email] or [phone]!", 2: ""}
 
 
-def test_pii_trees_separate_examples(spark):
+def test_pii_trees_on_new_examples(spark):
+    from pyspark.sql import functions as F
+
     trees, thresholds = pii.fit(spark)
-    seen = pii.examples(spark, 360).selectExpr("id + 100000 AS id", "text", "y")
-    del seen
     assert len(trees.trees) == pii.TREES and all(t < 1e9 for t in thresholds.values())
+    new = pii.examples(spark, pii.EXAMPLES + 600).where(F.col("id") >= pii.EXAMPLES)
+    seen = new.select("y", F.col("text"), F.explode(pii.proposals(F.col("text"))).alias("p")).select("y", pii.features(F.col("text"), F.col("p")).alias("x"), trees.column(pii.features(F.col("text"), F.col("p"))).alias("score"))
+    rows = seen.collect()
+    assert all(abs(trees.score(list(r["x"])) - r["score"]) < 1e-9 for r in rows)
+    assert sum((r["score"] >= 0) == (r["y"] == 1) for r in rows) > 0.9 * len(rows)
 
 
 def test_pii_fuzz(spark):
