@@ -7,9 +7,10 @@ their own, rarer words share their stem's symbol (of STEMS), all others one unkn
   P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + D T_c(v) / n_c(v) * P_c(w)
   P_c(w)     = max(n_c(w) - D, 0) / n_c + D T_c / n_c * P(w),   P(w) = distinct left neighbours of w / distinct pairs
 T are numbers of distinct types, D = n1 / (n1 + 2 n2) by counts of counts. P(w) is shared by both classes. An expression
-whose class counts don't differ significantly (log-likelihood ratio statistic below SIGNIFICANT, or a ratio within a
-factor e) backs off wholly to the shared counts in both classes and contributes nothing, so that what is rare doesn't
-add noise. A pair counts where it is significant itself, else its second word does. The mean over a text's words of
+whose class counts don't differ significantly (log-likelihood ratio statistic below SIGNIFICANT), or whose log ratio is
+within EFFECT, as with the rare words of a group of near copies, backs off wholly to the shared counts in both classes
+and contributes nothing, so that what is rare doesn't add noise. A pair counts where it is significant itself, else its
+second word does. The mean over a text's words of
 log P_toxic - log P_ordinary, on an asinh scale, goes through a logistic curve, which is fitted on a fold of the
 training rows that the counts leave out.
 
@@ -38,7 +39,7 @@ from rasterloom.llm.lookup import Lookup
 from rasterloom.llm.words import _CODES, Words, mix, span_hashes
 
 VOCABULARY, STEMS, PAIRS, BINS, STEM = 1 << 16, 1 << 15, 1 << 20, 4096, 5
-SIGNIFICANT = 20.0
+SIGNIFICANT, EFFECT = 20.0, 3.0
 BROADCAST_LABELS = 2_000_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: Arguments are asinh(SCALE * mean); the histogram spans -LIMIT to LIMIT.
@@ -280,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for n, total, distinct in zip(own, (n_t, n_o), types, strict=True):
         single.append(np.maximum(n - discount, 0) / total + discount * distinct / total * base)
     ratio = np.log(single[0]) - np.log(single[1])
-    ratio[(statistic(*own, share) < SIGNIFICANT) | (np.abs(ratio) < 1)] = 0.0
+    ratio[(statistic(*own, share) < SIGNIFICANT) | (np.abs(ratio) < EFFECT)] = 0.0
 
     t, o = F.col("t").cast("double"), F.col("o").cast("double")
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + o) * F.lit(p)))).otherwise(F.lit(0.0))
@@ -293,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         back = np.where(seen > 0, discount * spread(firsts, kinds) / np.maximum(seen, 1), 1.0)
         of_pair.append(np.maximum(np.asarray(kept.column(c)) - discount, 0) / np.maximum(seen, 1)[first] + back[first] * low[second])
     pair = np.log(of_pair[0]) - np.log(of_pair[1]) if len(keys) else np.zeros(0)
-    large = np.abs(pair) >= 1
+    large = np.abs(pair) >= EFFECT
     model = Model(symbols, ratio, keys[large], pair[large])
 
     calibration = rows.where(F.col("fold") == CALIBRATION)
