@@ -225,3 +225,17 @@ def accepts(before: DataFrame, after: DataFrame, gain: float = 0.2) -> DataFrame
     """Regions whose children's excess is at most (1 - gain) of theirs while rms grows by 5 % at most."""
     a, b = before.select(*KEY, F.col("excess").alias("e0"), F.col("rms").alias("r0")), after.select(*KEY, F.col("excess").alias("e1"), F.col("rms").alias("r1"))
     return a.join(b, KEY).where((F.col("e1") <= (1 - gain) * F.col("e0")) & (F.col("r1") <= 1.05 * F.col("r0")))
+
+
+def regroup(px: DataFrame, groups: DataFrame, fits: DataFrame, refit) -> DataFrame:
+    """Models after regions were joined: groups is (image_id, label, group) of all regions; fits are the old models.
+
+    A group of one region keeps its model under the group's label; only the pixels of the others go to refit (pixels ->
+    models), so that a pass costs what changed.
+    """
+    members = groups.groupBy("image_id", "group").agg(F.count("*").alias("n"))
+    alone = groups.join(members.where("n = 1"), ["image_id", "group"]).select(*KEY, "group")
+    kept = fits.join(alone, KEY).drop("label").withColumnRenamed("group", "label")
+    changed = groups.join(members.where("n > 1"), ["image_id", "group"]).select(*KEY, "group")
+    moved = px.join(changed, KEY).drop("label").withColumnRenamed("group", "label")
+    return kept.unionByName(refit(moved), allowMissingColumns=True)

@@ -383,6 +383,14 @@ def fit_select(spark, d):
     return _models(spark, d)[2].select(*KEY, "kind", F.size("stops").alias("n_stops"), micro(F.col("gain")).alias("gain"))
 
 
+@query
+def regroup_models(spark, d):
+    px_ = _unit(spark, d)
+    groups = px_.select(*KEY).distinct().withColumn("group", F.when(F.col("label") == 2, 0).otherwise(F.col("label")).cast("int"))
+    old = grids.gradient_models(px_)
+    return fit.regroup(px_, groups, old, grids.gradient_models).select(*KEY, "kind", "gain")
+
+
 @query
 def fill_predict(spark, d):
     predicted = fit.residuals(fit.predict(*_models(spark, d)))

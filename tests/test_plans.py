@@ -103,3 +103,28 @@ def test_one_pass_profiles_equal_separate_ones(spark):
     assert whole and all(abs(whole[i]["gain"] - gains[i]) < 1e-9 for i in gains)
     for i, r in whole.items():
         assert [tuple(s)[1:] for s in r["stops"]] == [(b["r"], b["g"], b["b"]) for b in sorted((b for b in bins if b["image_id"] == i), key=lambda b: b["bin"])]
+
+
+def test_slim_folder(spark, tmp_path):
+    from rasterloom.plans.slim import slim_folder
+
+    (tmp_path / "a.svg").write_text('<svg><g id="regions"><path d="M0.50 1.00L10.0 10.0Z"/></g></svg>')
+    (tmp_path / "b.svg").write_text("<svg><g></svg>")
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in slim_folder(spark, str(tmp_path)).collect()}
+    assert 'd="M.5 1L10 10z"' in rows["a.svg"]["svg"] and rows["a.svg"]["valid"] and rows["a.svg"]["svgz"][:2] == b"\x1f\x8b"
+    assert not rows["b.svg"]["valid"] and rows["b.svg"]["svg"] == "<svg><g></svg>"
+
+
+def test_regroup_refits_what_changed(spark):
+    seen = []
+
+    def refit(df):
+        seen.append(df)
+        return grids.gradient_models(df)
+
+    px = fit.scaled(fig(spark, SMALL).where("image_id = 1"))
+    groups = px.select("image_id", "label").distinct().selectExpr("image_id", "label", "cast(if(label = 2, 1, label) as int) AS group")
+    old = grids.gradient_models(px)
+    got = {r["label"]: r["gain"] for r in fit.regroup(px, groups, old, refit).collect()}
+    assert {r["label"] for r in seen[0].select("label").distinct().collect()} == {1}
+    assert got[3] == {r["label"]: r["gain"] for r in old.collect()}[3]
