@@ -43,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least; kept between calls up to a bounded length."""
     if _POWERS and len(_POWERS[0]) >= n:
         return _POWERS[0], _POWERS[1]
-    size = max(n, 1 << 21)
+    size = max(n, 1 << 20)
     both = _geometric(_BASE, size), _geometric(pow(_BASE, -1, 2**64), size)
     if size <= 1 << 23:
         _POWERS[:] = both
