@@ -9,8 +9,10 @@ corrected for the language's own false positive rate f (share of slots with its
 (count - n * f) / (1 - f), at least 0. The largest corrected count decides; ties go to the first language by name.
 
 Plan. Counting is a map that merges n-grams inside a task before a partially aggregated group-by; slot positions are
-aggregated with bit_or, so that at most SLOTS rows ever reach the driver, whatever the corpus; the filter has a fixed
-size and is broadcast. Predicting is a map without a shuffle. Memory: the filter, a chunk, or the longest text.
+aggregated with bit_or. The slots grow with the n-grams without a limit, so that the false positive rate is bounded: above
+SLOTS, n-grams are dealt by hash to several filters of that size, which are broadcast one by one. Driver and tasks hold
+one of them at a time; a chunk of texts is looked up in all in turn, and counts add up. Predicting is a map without a
+shuffle. Memory: one filter, a chunk, or the longest text.
 
 Defined cases. Texts that are null or hold no letter: 'und', score 0. Letters but no known n-gram: the language of
 the most training n-grams, score 0. Without any training text: 'und'. Rows without language don't train. One row for
@@ -27,15 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut, flat
+from rasterloom.llm.lookup import in_turn, release
 from rasterloom.llm.words import mix
 
 UND = "und"
 SHARE, LEAST_COUNT, HASHES = 0.25, 3, 4
-#: Most slots of the filter; fewer are used for fewer n-grams.
-SLOTS = 1 << 22
+#: Most slots of a filter, at PER_GRAM an n-gram: fewer are used for fewer n-grams, several filters for more.
+SLOTS, PER_GRAM = 1 << 22, 12
 #: A task hands on its counts when it holds so many distinct n-grams.
 HELD_GRAMS = 1 << 21
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS, PARTS_CHARS = 1 << 20, 1 << 22
 
 _LETTERS: list[np.ndarray] = []
 
@@ -66,11 +69,11 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(ends, keep, "right")
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def text_chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     texts = [x or "" for x in column.to_pylist()]
     at, size = 0, 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > CHUNK_CHARS:
+        if size and size + len(x) > most:
             yield at, texts[at:i]
             at, size = i, 0
         size += len(x) + 2
@@ -115,38 +118,52 @@ def slots_of(keys: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
     return [((h + step * np.uint64(j)) >> np.uint64(20)).astype(np.int64) & (slots - 1) for j in range(hashes)]
 
 
-def _place(hashes: int, slots: int):
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The filter of each n-gram."""
+    return (mix(keys ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+
+
+def _place(hashes: int, slots: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.asarray(batch.column(0)).view(np.uint64)
+            part = pa.array(part_of(keys, parts))
             for at in slots_of(keys, hashes, slots):
-                yield pa.record_batch([pa.array(at), *batch.columns[1:]], ["slot", *batch.schema.names[1:]])
+                yield pa.record_batch([part, pa.array(at), *batch.columns[1:]], ["part", "slot", *batch.schema.names[1:]])
 
     return run
 
 
+def false_rates(planes: np.ndarray, languages: int) -> list[float]:
+    bits = ((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(languages))
+    return [float(b.mean()) ** HASHES for b in bits]
+
+
 class Model:
-    """languages by name; planes: (planes, slots) bitmasks, 64 languages a plane."""
+    """languages by name; planes: (planes, slots) bitmasks, 64 languages a plane, or broadcasts of one for each filter."""
 
-    def __init__(self, languages: list[str], planes: np.ndarray, most: int):
-        self.languages, self.planes, self.most = languages, planes, most
-        bits = [(planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(len(languages))]
-        self.false = [float(b.mean()) ** HASHES for b in bits]
+    def __init__(self, languages: list[str], planes: np.ndarray | list, most: int, false: list[list[float]] | None = None):
+        self.languages, self.most = languages, most
+        self.parts = planes if isinstance(planes, list) else [planes]
+        self.false = false or [false_rates(p, len(languages)) for p in self.parts]
 
     def corrected(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) counts less the expected false positives."""
         keys, owner = grams(texts)
-        total = np.bincount(owner, minlength=len(texts)).astype(float)
+        part = part_of(keys, len(self.parts)) if len(self.parts) > 1 else None
         out = np.zeros((len(texts), len(self.languages)))
-        at = slots_of(keys, HASHES, self.planes.shape[1])
-        for p, plane in enumerate(self.planes):
-            mask = plane[at[0]]
-            for a in at[1:]:
-                mask &= plane[a]
-            for i in range(p * 64, min(p * 64 + 64, len(self.languages))):
-                hits = np.bincount(owner, ((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(float), len(texts))
-                out[:, i] = np.maximum(0.0, (hits - total * self.false[i]) / max(1e-9, 1 - self.false[i]))
-        return out
+        for number, (planes, false) in enumerate(zip(in_turn(self.parts), self.false, strict=True)):
+            k, own = (keys, owner) if part is None else (keys[part == number], owner[part == number])
+            total = np.bincount(own, minlength=len(texts)).astype(float)
+            at = slots_of(k, HASHES, planes.shape[1])
+            for p, plane in enumerate(planes):
+                mask = plane[at[0]]
+                for a in at[1:]:
+                    mask &= plane[a]
+                for i in range(p * 64, min(p * 64 + 64, len(self.languages))):
+                    hits = np.bincount(own, ((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(float), len(texts))
+                    out[:, i] += (hits - total * false[i]) / max(1e-9, 1 - false[i])
+        return np.maximum(0.0, out)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share: float = SHARE, least: int = LEAST_COUNT, slots: int = SLOTS) -> Model | None:
@@ -172,20 +189,28 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share
     masks = [mask(p) for p in range(planes)]
     masked = cut(by_gram.select("gram", *masks))
     n = masked.count()
-    slots = int(min(slots, 1 << max(10, int(np.ceil(np.log2(max(1, n) * 12))))))
-    placed = masked.mapInArrow(_place(HASHES, slots), "slot long, " + ", ".join(f"m{p} long" for p in range(planes)))
-    filled = placed.groupBy("slot").agg(*(F.bit_or(f"m{p}").alias(f"m{p}") for p in range(planes))).toArrow()
-    table = np.zeros((planes, slots), np.uint64)
-    for p in range(planes):
-        table[p, np.asarray(filled.column("slot"))] = np.asarray(filled.column(f"m{p}")).view(np.uint64)
-    return Model(languages, table, languages.index(max(languages, key=lambda x: totals[x])))
-
-
-def _predict(shared):
+    parts = max(1, -(-n * PER_GRAM // slots))
+    slots = int(min(slots, 1 << max(10, int(np.ceil(np.log2(max(1, n) * PER_GRAM))))))
+    placed = masked.mapInArrow(_place(HASHES, slots, parts), "part long, slot long, " + ", ".join(f"m{p} long" for p in range(planes)))
+    filled = placed.groupBy("part", "slot").agg(*(F.bit_or(f"m{p}").alias(f"m{p}") for p in range(planes)))
+    filled = cut(filled) if parts > 1 else filled
+    tables, false = [], []
+    for part in range(parts):
+        own = filled.where(F.col("part") == part).toArrow()
+        table = np.zeros((planes, slots), np.uint64)
+        for p in range(planes):
+            table[p, np.asarray(own.column("slot"))] = np.asarray(own.column(f"m{p}")).view(np.uint64)
+        false.append(false_rates(table, len(languages)))
+        tables.append(docs.sparkSession.sparkContext.broadcast(table))
+        release(tables[-1])
+    return Model(languages, tables, languages.index(max(languages, key=lambda x: totals[x])), false)
+
+
+def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
+        several = model is not None and len(model.parts) > 1
         for batch in flat(batches):
-            for at, texts in text_chunks(batch.column(1)):
+            for at, texts in text_chunks(batch.column(1), PARTS_CHARS if several else CHUNK_CHARS):
                 lang, score = [UND] * len(texts), [0.0] * len(texts)
                 if model is not None:
                     counts = model.corrected(texts)
@@ -202,6 +227,5 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): score is the best language's share of all corrected counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared), "id long, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -33,3 +35,16 @@ class Lookup:
             out[rest[good]] = place[good]
             rest = rest[~good & (key < hashes[rest]) & (place < self.n)]
         return out
+
+
+def in_turn(parts: list) -> Iterator:
+    """Values of broadcasts (or plain values), of which only one is held at a time unless there is only one."""
+    for part in parts:
+        yield getattr(part, "value", part)
+        if len(parts) > 1:
+            release(part)
+
+
+def release(part) -> None:
+    """A broadcast's value leaves this process's memory; it is read from its file again where it is asked for."""
+    part.__dict__.pop("_value", None)

@@ -415,3 +415,14 @@ def test_token_counts(spark, tokenizer):
     assert changed["n_tokens_edited"] == count(long[:100] + "é" + long[120:]) and changed["n_reencoded"] < 80
     assert by[1, 0]["n_tokens_edited"] == count("new") and by[2, 0]["n_edits"] == 0
     assert token_counts.token_counts(docs.where("doc_id < 0"), byte_bpe()).count() == 0
+
+
+def test_language_filter_of_any_size(spark):
+    """More n-grams than the most slots of one filter: they go into several."""
+    rng = random.Random(5)
+    stems = {k: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(400)] for k, letters in {"aa": "abcdefghij", "bb": "abcdefghkl", "cc": "abcdefghmn"}.items()}
+    rows = [(i, " ".join(rng.choice(stems[k]) for _ in range(40)), k) for i, k in enumerate(["aa", "bb", "cc"] * 100)]
+    docs = documents(spark, rows)
+    model = langid.train(docs.where("doc_id % 4 <> 2"), slots=1 << 10)
+    assert {r["id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {i: k for i, _, k in rows}
+    assert len(model.parts) > 1 and max(max(f) for f in model.false) < 0.05
