@@ -2,22 +2,23 @@
 
 Method. Words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, outer punctuation dropped), their stems (first STEM bytes of longer
 words) and pairs of neighbours are counted by class over all labelled training rows, once a document, so that neither
-repeated lines nor long documents weigh more; equal texts count once. The VOCABULARY most frequent words have symbols of
-their own, rarer words share their stem's symbol (of STEMS), all others one unknown symbol. For class c
+repeated lines nor long documents weigh more; equal texts count once. Every word is a symbol of its own, however many
+there are. For class c
   P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + D T_c(v) / n_c(v) * P_c(w)
   P_c(w)     = max(n_c(w) - D, 0) / n_c + D T_c / n_c * P(w),   P(w) = distinct left neighbours of w / distinct pairs
 T are numbers of distinct types, D = n1 / (n1 + 2 n2) by counts of counts. P(w) is shared by both classes. An expression
 whose class counts don't differ significantly (log-likelihood ratio statistic below SIGNIFICANT), or whose log ratio is
 within EFFECT, as with the rare words of a group of near copies, backs off wholly to the shared counts in both classes
 and contributes nothing, so that what is rare doesn't add noise. A pair counts where it is significant itself, else its
-second word does. The mean over a text's words of
+second word does, and for words of fewer than OWN training texts their stem. The mean over a text's words of
 log P_toxic - log P_ordinary, on an asinh scale, goes through a logistic curve, which is fitted on a fold of the
 training rows that the counts leave out.
 
 Plan. Labels are joined to texts map-side if there are at most BROADCAST_LABELS (counted), else by a shuffled join: all
-labelled rows are used at any size. Counts are merged inside tasks and by partially aggregated group-bys. What is
-broadcast is bounded: VOCABULARY words, STEMS stems and the PAIRS most frequent significant pairs. The curve is fitted
-on a histogram of BINS bins over all rows of the calibration fold. Scoring is a map without a shuffle.
+labelled rows are used at any size. Counts are merged inside tasks and by partially aggregated group-bys, and stay
+distributed tables; probabilities are joined to the expressions. All expressions above the thresholds are used: they are
+broadcast in parts of at most PART, by hash, of which driver and tasks hold one at a time. The curve is fitted on a
+histogram of BINS bins over all rows of the calibration fold. Scoring is a map without a shuffle.
 
 Defined cases. Texts without words (null, empty, white space) have argument 0. A label table with several rows for an
 id counts the largest; null ids and labels don't train. If a class has no training text, every score is the share of
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import chunked, cut, flat, fold, stash
-from rasterloom.llm.lookup import Lookup
+from rasterloom.llm.common import CHUNK_BYTES, chunked, cut, flat, fold, stash
+from rasterloom.llm.lookup import Lookup, in_turn, release
 from rasterloom.llm.words import _CODES, Words, mix, span_hashes
 
-VOCABULARY, STEMS, PAIRS, BINS, STEM = 1 << 16, 1 << 15, 1 << 20, 4096, 5
+OWN, BINS, STEM = 3, 4096, 5
 SIGNIFICANT, EFFECT = 20.0, 3.0
 BROADCAST_LABELS = 2_000_000
+#: Most expressions of a broadcast, and bytes of text that are looked up in several ones at once.
+PART, PARTS_CHUNK = 1 << 22, 1 << 22
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: Arguments are asinh(SCALE * mean); the histogram spans -LIMIT to LIMIT.
 SCALE, LIMIT = 1000.0, 16.0
@@ -69,6 +72,11 @@ class Tokens(Words):
     def keys(self) -> np.ndarray:
         return self.hashes >> np.uint64(12)
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        """The places of words that follow one of their own text."""
+        return np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1
+
     @cached_property
     def stems(self) -> np.ndarray:
         if not len(self.starts):
@@ -76,43 +84,43 @@ class Tokens(Words):
         return mix(span_hashes(_CODES[self.data], self.starts, np.minimum(self.ends, self.starts + STEM)) ^ np.uint64(0x5EED)) >> np.uint64(12)
 
 
-def tally(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (52 bits) and the numbers of toxic and ordinary texts that hold them; owner below 4096."""
-    packed = np.unique((keys << np.uint64(12)) | owner.astype(np.uint64))
+def tally(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray, *of_key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys (52 bits), the numbers of toxic and ordinary texts that hold them, and what goes with a key; owner below 4096."""
+    packed, at = np.unique((keys << np.uint64(12)) | owner.astype(np.uint64), return_index=True)
     t = toxic[(packed & np.uint64(4095)).astype(np.int64)].astype(np.int64)
-    return summed(packed >> np.uint64(12), t, 1 - t)
+    return summed(packed >> np.uint64(12), t, 1 - t, *(x[at] for x in of_key))
 
 
-def summed(k: np.ndarray, t: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def summed(k: np.ndarray, t: np.ndarray, o: np.ndarray, *of_key: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same for sorted keys with counts."""
     if not len(k):
-        return k, t, o
+        return k, t, o, *of_key
     edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[edge], np.add.reduceat(t, edge), np.add.reduceat(o, edge)
+    return k[edge], np.add.reduceat(t, edge), np.add.reduceat(o, edge), *(x[edge] for x in of_key)
 
 
 def _counted(of, most: int = 1 << 20):
-    """A map that merges (key, toxic, ordinary) inside the task; `of` gives kinds, keys and owners for a chunk of texts."""
+    """A map that merges (key, toxic, ordinary, v, w) inside the task; `of` gives kinds, keys, owners, v and w for a chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, ...]]] = {}
 
         def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            k, t, o = (np.concatenate([h[j] for h in parts]) for j in range(3))
-            order = np.argsort(k)
-            return summed(k[order], t[order], o[order])
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0])
+            return summed(*(c[order] for c in columns))
 
         def give() -> Iterator[pa.RecordBatch]:
             for kind, parts in held.items():
-                k, t, o = merged(parts)
-                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(t), pa.array(o)], ["kind", "k", "t", "o"])
+                k, t, o, v, w = merged(parts)
+                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(t), pa.array(o), pa.array(v.view(np.int64)), pa.array(w.view(np.int64))], ["kind", "k", "t", "o", "v", "w"])
 
         for batch in flat(batches):
             toxic = np.asarray(batch.column(0)).astype(bool)
             for at, raw in chunked(batch.column(1)):
-                for kind, keys, owner in of(raw):
+                for kind, keys, owner, v, w in of(raw):
                     parts = held.setdefault(kind, [])
-                    parts.append(tally(keys, owner, toxic[at : at + len(raw)]))
+                    parts.append(tally(keys, owner, toxic[at : at + len(raw)], v, w))
                     if len(parts) > 12:
                         held[kind] = [merged(parts)]
             if sum(len(h[0]) for parts in held.values() for h in parts) > most:
@@ -123,83 +131,65 @@ def _counted(of, most: int = 1 << 20):
     return run
 
 
-COUNTED = "kind int, k long, t long, o long"
+COUNTED = "kind int, k long, t long, o long, v long, w long"
 
 
-def _words_and_stems(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _words_and_stems(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words go with their stems (v; 0 for short words)."""
     w = Tokens(raw)
-    return [(0, w.keys, w.owner), (1, w.stems[w.long], w.owner[w.long])]
-
-
-class Symbols:
-    """Symbol numbers of words: own ones, then stems, then one for all others."""
-
-    def __init__(self, words: np.ndarray, stems: np.ndarray):
-        self.words, self.stems, self.unknown = words, stems, len(words) + len(stems)
-        self.find = self.find_stem = None
+    stem, stems = np.zeros_like(w.keys), w.stems[w.long]
+    stem[w.long] = stems
+    return [(0, w.keys, w.owner, stem, stem), (1, stems, w.owner[w.long], stems, stems)]
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"find": None, "find_stem": None}
-
-    def of(self, w: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all words, and the places of words that follow one of their own text."""
-        if self.find is None:  # once in each worker
-            self.find, self.find_stem = Lookup(self.words << np.uint64(12)), Lookup(self.stems << np.uint64(12))
-        ids = self.find(w.keys << np.uint64(12)).astype(np.int64)
-        rare = w.long[ids[w.long] < 0]
-        stem = self.find_stem(w.stems[rare] << np.uint64(12))
-        ids[rare[stem >= 0]] = len(self.words) + stem[stem >= 0]
-        ids[ids < 0] = self.unknown
-        return ids, np.flatnonzero(w.owner[1:] == w.owner[:-1]) + 1
-
-
-def _pair_keys(shared):
-    def of(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        w = Tokens(raw)
-        ids, second = shared.value.of(w)
-        return [(2, ((ids[second - 1] << 20) | ids[second]).astype(np.uint64), w.owner[second])]
 
-    return of
+def _pairs(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    w = Tokens(raw)
+    second = w.second
+    v, x = w.keys[second - 1], w.keys[second]
+    return [(2, pair_hashes(v, x) >> np.uint64(12), w.owner[second], v, x)]
 
 
-def statistic(t: np.ndarray, o: np.ndarray, share: float) -> np.ndarray:
-    """Log-likelihood ratio statistic of class counts against the toxic share of all counts."""
-    n = t + o
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * (np.where(t > 0, t * np.log(t / (n * share)), 0.0) + np.where(o > 0, o * np.log(o / (n * (1 - share))), 0.0))
+def pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(v) + w)
 
 
 class Model:
-    """Log ratios of the significant expressions, and the curve."""
+    """Log ratios of the significant expressions (broadcasts of sorted hashes and ratios), and the curve."""
 
-    def __init__(self, symbols: Symbols, single: np.ndarray, pairs: np.ndarray, pair: np.ndarray):
-        self.symbols, self.single = symbols, single
-        hashes = mix(pairs.astype(np.uint64))
-        order = np.argsort(hashes)
-        self.pairs, self.pair = hashes[order], pair[order]
+    def __init__(self, parts: list):
+        self.parts = parts
         self.a, self.b, self.find = 1.0, 0.0, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"find": None}
 
+    def ratios(self, hashes: np.ndarray) -> np.ndarray:
+        """NaN for what isn't significant."""
+        out = np.full(len(hashes), np.nan)
+        for keys, values in in_turn(self.parts):
+            find = self.find or Lookup(keys)
+            if len(self.parts) == 1:  # once in each task
+                self.find = find
+            at = find(hashes)
+            out[at >= 0] = values[at[at >= 0]]
+        return out
+
     def arguments(self, raw: list[bytes]) -> np.ndarray:
         """asinh of the scaled mean log-likelihood ratio of each text; 0 for texts without words."""
-        if self.find is None:  # once in each worker
-            self.find = Lookup(self.pairs)
         w = Tokens(raw)
-        ids, second = self.symbols.of(w)
-        ratio = self.single[ids]
-        at = self.find(mix(((ids[second - 1] << 20) | ids[second]).astype(np.uint64)))
-        ratio[second[at >= 0]] = self.pair[at[at >= 0]]
-        mean = np.bincount(w.owner, ratio, len(raw)) / np.maximum(w.counts(), 1)
+        second = w.second
+        asked = np.concatenate((w.keys << np.uint64(12), w.stems[w.long] << np.uint64(12), pair_hashes(w.keys[second - 1], w.keys[second])))
+        ratio, stem, pair = np.split(self.ratios(asked), [len(w.keys), len(w.keys) + len(w.long)])
+        ratio[w.long] = np.where(np.isnan(ratio[w.long]), stem, ratio[w.long])
+        ratio[second] = np.where(np.isnan(pair), ratio[second], pair)
+        mean = np.bincount(w.owner, np.nan_to_num(ratio), len(raw)) / np.maximum(w.counts(), 1)
         return np.arcsinh(SCALE * mean)
 
 
-def _score(shared):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in flat(batches):
-            for at, raw in chunked(batch.column(1)):
+            for at, raw in chunked(batch.column(1), PARTS_CHUNK if isinstance(model, Model) and len(model.parts) > 1 else CHUNK_BYTES):
                 if isinstance(model, Model):
                     x = model.arguments(raw)
                     score = 1 / (1 + np.exp(-np.clip(model.a * x + model.b, -40, 40)))
@@ -237,6 +227,26 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return texts.join(marks, "id").select("fold", F.col("toxic").cast("int").alias("toxic"), "text")
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words and stems (k) and pairs (k, w)."""
+    for batch in batches:
+        k, w = (np.asarray(batch.column(i).fill_null(0)).view(np.uint64) for i in (0, 1))
+        hashes = np.where(np.asarray(batch.column(1).is_null()), k << np.uint64(12), pair_hashes(k, w))
+        yield pa.record_batch([pa.array(hashes.view(np.int64)), batch.column(2)], ["hash", "ratio"])
+
+
+def _parts(expressions: DataFrame) -> list:
+    """Broadcasts of at most about PART expressions each, at least one."""
+    n = max(1, -(-expressions.count() // PART))
+    out = []
+    for i in range(n):
+        found = expressions.where(F.pmod(F.shiftrightunsigned("hash", 20), F.lit(n)) == i).toArrow()
+        keys, at = np.unique(np.asarray(found.column("hash")).view(np.uint64), return_index=True)
+        out.append(expressions.sparkSession.sparkContext.broadcast((keys, np.asarray(found.column("ratio"))[at])))
+        release(out[-1])
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | float:
     """The model from all labelled rows outside the held-out fold; a number if a class has none."""
     spark = docs.sparkSession
@@ -244,61 +254,53 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fitting = rows.where(F.col("fold") != CALIBRATION).groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
     fitting = stash(fitting, "labelled")
     both = F.sum("t").alias("t"), F.sum("o").alias("o")
-    counts = cut(fitting.mapInArrow(_counted(_words_and_stems), COUNTED).groupBy("kind", "k").agg(*both))
-    sums = {r["kind"]: (r["t"], r["o"]) for r in counts.groupBy("kind").agg(*both).collect()}
-    n_t, n_o = sums.get(0, (0, 0))
+    counts = cut(fitting.mapInArrow(_counted(_words_and_stems), COUNTED).groupBy("kind", "k").agg(*both, F.max("v").alias("stem")))
+    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(*both, F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to"), F.count("*").alias("n")).collect()}
+    n_t, n_o = (sums[0]["t"], sums[0]["o"]) if 0 in sums else (0, 0)
     if not n_t or not n_o:
         return 1.0 if n_t else 0.0
-
-    def top(kind: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        often = F.col("t") + F.col("o")
-        found = counts.where((F.col("kind") == kind) & (often > 2)).orderBy(often.desc(), "k").limit(most).toArrow()
-        k = np.asarray(found.column("k")).view(np.uint64)
-        order = np.argsort(k)
-        return k[order], np.asarray(found.column("t"))[order], np.asarray(found.column("o"))[order]
-
-    words, word_t, word_o = top(0, VOCABULARY)
-    stems, stem_t, stem_o = top(1, STEMS)
-    symbols = Symbols(words, stems)
-    shared = spark.sparkContext.broadcast(symbols)
-    pairs = cut(fitting.mapInArrow(_counted(_pair_keys(shared)), COUNTED).groupBy("k").agg(*both))
-    v, w = F.shiftright("k", 20), F.col("k").bitwiseAND(F.lit((1 << 20) - 1))
-    firsts = pairs.groupBy(v.alias("w")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to")).toArrow()
-    seconds = pairs.groupBy(w.alias("w")).agg(F.count("*").alias("n")).toArrow()
-    once, twice = pairs.agg(F.count_if(F.col("t") + F.col("o") == 1), F.count_if(F.col("t") + F.col("o") == 2)).first()
+    pairs = cut(fitting.mapInArrow(_counted(_pairs), COUNTED).groupBy("v", "w").agg(*both))
+    n_pairs, once, twice = pairs.agg(F.count("*"), F.count_if(F.col("t") + F.col("o") == 1), F.count_if(F.col("t") + F.col("o") == 2)).first()
     discount = min(0.95, max(0.3, once / max(1, once + 2 * twice)))
-
-    def spread(t: pa.Table, column: str) -> np.ndarray:
-        out = np.zeros(symbols.unknown + 1)
-        out[np.asarray(t.column("w"))] = np.asarray(t.column(column))
-        return out
-
-    left = spread(seconds, "n") + 0.5
-    base = left / left.sum()
-    share = n_t / (n_t + n_o)
-    single, own = [], [np.concatenate((word_t, stem_t, [0])).astype(float), np.concatenate((word_o, stem_o, [0])).astype(float)]
-    types = counts.where("kind = 0").agg(F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
-    for n, total, distinct in zip(own, (n_t, n_o), types, strict=True):
-        single.append(np.maximum(n - discount, 0) / total + discount * distinct / total * base)
-    ratio = np.log(single[0]) - np.log(single[1])
-    ratio[(statistic(*own, share) < SIGNIFICANT) | (np.abs(ratio) < EFFECT)] = 0.0
-
+    share, edges = n_t / (n_t + n_o), n_pairs + 0.5 * (sums[0]["n"] + 1)
     t, o = F.col("t").cast("double"), F.col("o").cast("double")
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + o) * F.lit(p)))).otherwise(F.lit(0.0))
-    kept = pairs.where(2 * (part(t, share) + part(o, 1 - share)) >= SIGNIFICANT).orderBy((F.col("t") + F.col("o")).desc(), "k").limit(PAIRS).toArrow()
-    keys = np.asarray(kept.column("k"))
-    first, second = keys >> 20, keys & ((1 << 20) - 1)
-    of_pair = []
-    for c, total, kinds, low in zip("to", ("nt", "no"), ("tt", "to"), single, strict=True):
-        seen = spread(firsts, total)
-        back = np.where(seen > 0, discount * spread(firsts, kinds) / np.maximum(seen, 1), 1.0)
-        of_pair.append(np.maximum(np.asarray(kept.column(c)) - discount, 0) / np.maximum(seen, 1)[first] + back[first] * low[second])
-    pair = np.log(of_pair[0]) - np.log(of_pair[1]) if len(keys) else np.zeros(0)
-    large = np.abs(pair) >= EFFECT
-    model = Model(symbols, ratio, keys[large], pair[large])
+    significant = 2 * (part(t, share) + part(o, 1 - share)) >= SIGNIFICANT
+
+    def single(n, total: int, distinct: int):
+        """P_c(w) of rows with their number of left neighbours."""
+        base = (F.coalesce("left", F.lit(0)) + 0.5) / edges
+        return F.greatest(n - discount, F.lit(0.0)) / total + discount * distinct / total * base
+
+    singles = single(t, n_t, sums[0]["tt"]).alias("pt"), single(o, n_o, sums[0]["to"]).alias("po")
+    large = lambda a, b: F.abs(F.log(a) - F.log(b)) >= EFFECT
+    ratio = (F.log("pt") - F.log("po")).alias("ratio")
+    left = pairs.groupBy(F.col("w").alias("k")).agg(F.count("*").alias("left"))
+    words = cut(counts.where("kind = 0").join(left, "k", "left").select("k", "stem", "left", "t", "o", *singles))
+    of_stem = words.where("stem <> 0").groupBy(F.col("stem").alias("k")).agg(F.sum("left").alias("left"))
+    stems = counts.where((F.col("kind") == 1) & (F.col("t") + F.col("o") >= OWN) & significant).join(of_stem, "k").select("k", *singles).where(large("pt", "po"))
+    stems = cut(stems.select("k", ratio))
+    own = words.where(F.col("t") + F.col("o") >= OWN).withColumn("counts", significant & large("pt", "po"))
+    # own words that don't count, as 0, lest they get their stem's ratio
+    silent = own.where("not counts").join(stems.select(F.col("k").alias("stem")), "stem", "left_semi")
+    firsts = pairs.groupBy("v").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to"))
+    kept = pairs.where(significant).join(firsts, "v").join(words.select(F.col("k").alias("w"), "pt", "po"), "w")
+
+    def of_pair(n, seen: str, kinds: str, low: str):
+        seen = F.col(seen)
+        back = F.when(seen > 0, discount * F.col(kinds) / seen).otherwise(F.lit(1.0))
+        return (F.greatest(n - discount, F.lit(0.0)) / F.greatest(seen, F.lit(1)) + back * F.col(low)).alias(low)
+
+    kept = kept.select("v", "w", of_pair(t, "nt", "tt", "pt"), of_pair(o, "no", "to", "po")).where(large("pt", "po"))
+    none = F.lit(None).cast("long").alias("w")
+    of_one = own.where("counts").select("k", none, ratio), silent.select("k", none, F.lit(0.0).alias("ratio")), stems.select("k", none, "ratio")
+    found = kept.select(F.col("v").alias("k"), "w", ratio)
+    for x in of_one:
+        found = found.union(x)
+    model = Model(_parts(cut(found.mapInArrow(_hashed, "hash long, ratio double"))))
 
     calibration = rows.where(F.col("fold") == CALIBRATION)
-    scored = calibration.select(F.col("toxic").cast("long").alias("id"), "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), "id long, argument double, score double")
+    scored = calibration.select(F.col("toxic").cast("long").alias("id"), "text").mapInArrow(_score(model), "id long, argument double, score double")
     clipped = F.least(F.greatest(F.col("argument"), F.lit(-LIMIT)), F.lit(LIMIT))
     bins = scored.groupBy("id", F.floor((clipped + LIMIT) * (BINS / (2 * LIMIT))).alias("bin")).agg(F.count("*").alias("n"), F.sum(clipped).alias("s")).toArrow().to_pylist()
     n = np.array([b["n"] for b in bins], float)
@@ -310,6 +312,5 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, argument, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_score(shared), "id long, argument double, score double")
+    return rows.mapInArrow(_score(model), "id long, argument double, score double")

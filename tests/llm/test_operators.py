@@ -417,6 +417,23 @@ def test_token_counts(spark, tokenizer):
     assert token_counts.token_counts(docs.where("doc_id < 0"), byte_bpe()).count() == 0
 
 
+def test_toxicity_uses_every_significant_expression(spark, monkeypatch):
+    """70,000 words, more than the 65,536 symbols of old, are in more texts than any toxic word, whose stem says nothing."""
+    rng = random.Random(12)
+    toxic = [f"othert{c}" for c in "abcdefghijkl"]
+    plain = [f"otherp{c}{d}" for c in "abcdefghijkl" for d in "xyz"]
+    text = lambda x: f"{sentence(rng, 30)} call {x} {sentence(rng, 5)}"
+    rows = [(i, text(plain[i % 36])) for i in range(999)] + [(1000 + i, text(toxic[i % 12])) for i in range(480)]
+    filler = " ".join(f"{i:05d}" for i in range(70000))
+    rows += [(2000 + i, f"{filler} n{i}") for i in range(65)]
+    marks = [(i, int(1000 <= i < 2000 or i >= 2045)) for i, _ in rows]
+    monkeypatch.setattr(toxicity, "PART", 5, raising=False)
+    model = toxicity.train(documents(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    new = [(i, text(x)) for i, x in enumerate(toxic + plain)]
+    got = {r["id"]: r["score"] >= 0.5 for r in toxicity.score(documents(spark, new), model).collect()}
+    assert got == {i: i < 12 for i, _ in new} and len(model.parts) > 1
+
+
 def test_language_filter_of_any_size(spark):
     """More n-grams than the most slots of one filter: they go into several."""
     rng = random.Random(5)
