@@ -6,7 +6,9 @@ Gaussian test matrix G, every task adds up its part of C = A'(A G), and the smal
 into right singular vectors and values of A. Words are then points idf(w) V(w) (whitened by the singular values); a
 window of words is the sum of its points, and windows that slide over each text are compared with the benchmark's
 items by cosine. A window at or above `cosine` is a candidate, if its
-words make up SHARED of the item's idf at all. It is confirmed on the words themselves: the longest
+words make up SHARED of the item's idf at all. So is one whose first STRIDE words hold a word of the item's key: its rarest
+words, so many that no text without any of them can be confirmed. No copy that the checks confirm in the surroundings of
+its own words is lost to the cosine. A candidate is confirmed on the words themselves: the longest
 common subsequence of the item and the window with its surroundings must hold `direct` of the item's words, or `loose`
 of them if it also holds `answer` of the words of the item's last sentence (a paraphrase that keeps the answer).
 
@@ -158,7 +160,7 @@ def latent_space(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, n
 class Items:
     """Benchmark items: ids, word hashes, latent points, and the places of the answer's words."""
 
-    def __init__(self, ids: list[int], raw: list[bytes], space: np.ndarray, idf: np.ndarray):
+    def __init__(self, ids: list[int], raw: list[bytes], space: np.ndarray, idf: np.ndarray, limits: tuple[float, float, float]):
         w = Tokens(raw)
         f = _features(w)
         points = space[f]
@@ -179,6 +181,10 @@ class Items:
             own = np.searchsorted(self.vocabulary, np.unique(np.array(x, np.uint64)))
             pairs.append(mix((own.astype(np.uint64) << np.uint64(32)) + np.uint64(j)))
             self.least[j] = SHARED * self.weights[own].sum() * min(1.0, WINDOW / len(x))
+        keys = [(np.searchsorted(self.vocabulary, np.array(x, np.uint64)), j) for j, x in enumerate(self.words)]
+        keys = [(k, j) for own, j in keys for k in key_words(own, self.weights, self.answers[j], *limits)]
+        of = np.array(sorted(keys), np.int64).reshape(-1, 2)
+        self.key_at, self.key_items = np.searchsorted(of[:, 0], np.arange(len(self.vocabulary) + 1)), of[:, 1]
         self.pairs = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
         self.find = self.find_pair = None
 
@@ -189,6 +195,14 @@ class Items:
         if self.find is None:  # once in each worker
             self.find, self.find_pair = Lookup(self.vocabulary), Lookup(self.pairs)
 
+    def keyed(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) wherever a row has a word of the item's key."""
+        row, at = np.nonzero(known >= 0)
+        word = known[row, at]
+        n = self.key_at[word + 1] - self.key_at[word]
+        place = np.arange(int(n.sum())) + np.repeat(self.key_at[word] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
+        return np.repeat(row, n), self.key_items[place]
+
     def shared(self, known: np.ndarray, item: np.ndarray) -> np.ndarray:
         """The idf of each row's words (places in the vocabulary, -1 for none) that are words of the row's item."""
         row, at = np.nonzero(known >= 0)
@@ -197,6 +211,21 @@ class Items:
         return np.bincount(row[hit], self.weights[word[hit]], len(known))
 
 
+def key_words(own: np.ndarray, weights: np.ndarray, tail: int, direct: float, loose: float, answer: float) -> set[int]:
+    """Words (places in the vocabulary) of which any text that confirms the item holds one: rarest first, more than may be missing."""
+
+    def rarest(of: np.ndarray, share: float) -> set[int]:
+        missing = len(of) - int(np.ceil(share * len(of) - 1e-9))
+        word, n = np.unique(of, return_counts=True)
+        order = np.argsort(-weights[word], kind="stable")
+        return set(word[order[: int(np.searchsorted(np.cumsum(n[order]), missing, "right")) + 1]].tolist())
+
+    def cost(words: set[int]) -> float:
+        return float(np.exp(-weights[list(words)]).sum())
+
+    return rarest(own, direct) | min(rarest(own, loose), rarest(own[len(own) - tail :], answer), key=cost)
+
+
 def _answer_words(text: bytes, n: int) -> int:
     """How many words at an item's end are its last sentence, between 1 and half of the item."""
     parts = [p for p in re.split(rb"[.?!:]\s", text.strip()) if p.strip()]
@@ -236,6 +265,7 @@ def _search(space_shared, items_shared, limits: tuple[float, float, float, float
                 if not len(f) or not items.words:
                     continue
                 known, _ = _blocks(w, items.find(w.hashes), STRIDE, -1)
+                keyed = items.keyed(known)
                 sums = space[f].sum(axis=1)
                 windows, around = sums.copy(), [known]
                 for k in range(1, steps):
@@ -249,8 +279,10 @@ def _search(space_shared, items_shared, limits: tuple[float, float, float, float
                 near = windows @ items.points.T
                 i, j = np.divmod(np.flatnonzero(near.ravel() >= cosine), len(items.words))
                 held = items.shared(known[i], j) >= items.least[j]
+                n = len(items.words)
+                both = np.unique(np.concatenate((i[held] * n + j[held], keyed[0] * n + keyed[1])))
                 first = np.searchsorted(text, text)
-                for x, y in zip(i[held].tolist(), j[held].tolist(), strict=True):
+                for x, y in zip((both // n).tolist(), (both % n).tolist(), strict=True):
                     t, word = int(text[x]), int(x - first[x]) * STRIDE
                     item, begin = items.words[y], int(w.offsets[t])
                     a, e = max(begin, begin + word - len(item)), min(int(w.offsets[t + 1]), begin + word + WINDOW + len(item))
@@ -284,7 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
 
     def search(block: list[tuple[int, bytes]]) -> DataFrame:
-        items = Items([i for i, _ in block], [t for _, t in block], space, idf)
+        items = Items([i for i, _ in block], [t for _, t in block], space, idf, (direct, loose, answer))
         return rows.mapInArrow(_search(space_shared, spark.sparkContext.broadcast(items), (cosine, direct, loose, answer)), shape)
 
     for row in wanted.toLocalIterator():

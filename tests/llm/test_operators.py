@@ -443,3 +443,22 @@ def test_language_filter_of_any_size(spark):
     model = langid.train(docs.where("doc_id % 4 <> 2"), slots=1 << 10)
     assert {r["id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {i: k for i, _, k in rows}
     assert len(model.parts) > 1 and max(max(f) for f in model.false) < 0.05
+
+
+def test_decontamination_finds_short_copies_in_long_texts(spark):
+    """Each exact copy of a short item, and each paraphrase that the checks confirm, with a cosine that no window reaches."""
+    rng = random.Random(21)
+    common, rare = [f"w{i}" for i in range(300)], [f"r{i}" for i in range(30000)]
+    items = [(k, " ".join(rng.choice(common) for _ in range(7 + k % 6))) for k in range(40)]
+    rows = [(1000 + i, " ".join(rng.choice(common) for _ in range(200))) for i in range(200)]
+    for i in range(160):
+        own = items[i % 40][1].split()
+        if i >= 80:
+            own[rng.randrange(len(own) // 2)] = "changed"
+        w = [rng.choice(rare) for _ in range(300)]
+        at = rng.randint(0, 300)
+        w[at:at] = own
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, rows), bench, cosine=1.01).collect()}
+    assert got == {(i, i % 40) for i in range(160)}
