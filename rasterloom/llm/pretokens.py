@@ -6,12 +6,19 @@ whose boundaries depend on the character classes of a few neighbours only, so th
 texts at once. BPE merges never cross pre-tokens: the ids of a text are those of its pre-tokens, end to end. Distinct
 pre-tokens are encoded with the library's own model and kept by 64-bit hash in the Python worker, up to a bounded
 number; then the store starts anew.
+
+Added tokens of the file (such as `<|endoftext|>`) are found first, leftmost and longest, as the library does unless its
+`encode_special_tokens` is set: each is a pre-token of its own, and what lies between two of them is cut into pre-tokens
+as a text of its own. Files with a normaliser, another pre-tokeniser, or added tokens with conditions are refused.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 
@@ -41,9 +48,12 @@ def classes() -> np.ndarray:
 
 
 class Pretokens:
-    """Boundaries of the pre-tokens of a chunk of texts: starts, ends (in the joined text) and offsets by text."""
+    """Boundaries of the pre-tokens of a chunk of texts: starts, ends (in the joined text) and offsets by text.
+
+    `added` finds the added tokens of a text, if there are any.
+    """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], added: re.Pattern | None = None):
         # a separator after each text ends white space as the end of the text does, and is no pre-token itself
         self.joined = "\0".join(texts) + "\0"
         codes = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -57,6 +67,9 @@ class Pretokens:
         before = np.empty_like(stop)
         before[0] = True
         before[1:] = stop[:-1]
+        whole = self._added(texts, added)
+        for a, b in whole:
+            before[a] = before[b] = True
         blank = codes == 32
         white = (k == SPACE) & ~stop
         start = np.zeros(len(codes), bool)
@@ -68,9 +81,11 @@ class Pretokens:
         start[1:] &= ~(word[1:] & blank[:-1] & ~before[1:])
         # of several white characters, the last stands alone if something other than the text's end follows
         last = np.zeros(len(codes), bool)
-        last[:-1] = white[:-1] & word[1:]
+        last[:-1] = white[:-1] & word[1:] & ~before[1:]
         start |= last
-        self._contract(codes, start, k, stop)
+        self._contract(codes, start, k, before)
+        for a, b in whole:
+            start[a + 1 : b] = False
         start[stop] = True
         at = np.flatnonzero(start)
         close = np.append(at[1:], len(codes))
@@ -78,16 +93,20 @@ class Pretokens:
         self.starts, self.ends = at[keep], close[keep]
         self.offsets = np.searchsorted(self.starts, np.append(self.text_at, len(codes)))
 
+    def _added(self, texts: list[str], added: re.Pattern | None) -> list[tuple[int, int]]:
+        """Spans of added tokens in the joined text; none crosses two texts."""
+        if added is None or not added.search(self.joined):
+            return []
+        return [(int(at) + m.start(), int(at) + m.end()) for at, text in zip(self.text_at, texts, strict=True) for m in added.finditer(text)]
+
     @staticmethod
-    def _contract(codes: np.ndarray, start: np.ndarray, k: np.ndarray, stop: np.ndarray) -> None:
-        quotes = np.flatnonzero((codes == 39) & start & ~stop)
+    def _contract(codes: np.ndarray, start: np.ndarray, k: np.ndarray, before: np.ndarray) -> None:
+        quotes = np.flatnonzero((codes[:-1] == 39) & start[:-1] & (k[1:] == LETTER) & ~before[1:])
         n = len(codes)
         for i in quotes:
-            if i + 1 >= n or k[i + 1] != LETTER or stop[i + 1]:
-                continue
             for suffix in _SUFFIXES:
                 m = len(suffix)
-                if i + m < n and all(codes[i + 1 + j] == ord(c) and not stop[i + 1 + j] for j, c in enumerate(suffix)):
+                if i + m < n and all(codes[i + 1 + j] == ord(c) and not before[i + 1 + j] for j, c in enumerate(suffix)):
                     start[i + 1] = False
                     start[i + 1 + m] = True
                     break
@@ -112,6 +131,20 @@ def text_chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int
         yield at, texts[at:]
 
 
+def added_tokens(path: str) -> tuple[dict[str, int], re.Pattern | None]:
+    """The ids of a file's added tokens, and a pattern that finds them; refuses files that this module can't follow."""
+    file = json.loads(Path(path).read_text(encoding="utf-8"))
+    before = file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError(f"{path}: not a byte-level tokenizer with the byte-level pattern and no normaliser")
+    found = file.get("added_tokens") or []
+    if any(t.get(flag) for t in found for flag in ("single_word", "lstrip", "rstrip")) or len({bool(t.get("normalized")) for t in found}) > 1:
+        raise ValueError(f"{path}: added tokens with conditions on what stands beside them")
+    ids = {t["content"]: int(t["id"]) for t in found if t["content"]}
+    longest = sorted(ids, key=lambda t: (-len(t), t))
+    return ids, re.compile("|".join(map(re.escape, longest))) if ids else None
+
+
 class Encoder:
     """Ids of pre-tokens by the tokenizers library, remembered between chunks and tasks of one worker."""
 
@@ -119,6 +152,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
+        self.added_ids, self.added = added_tokens(path)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.alphabet = {b: chr(b if b in set(kept) else next(spare)) for b in range(256)}
@@ -132,8 +166,14 @@ class Encoder:
         self.pool = np.zeros(1 << 16, np.uint32)
 
     def one(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        if text in self.added_ids:
+            return [self.added_ids[text]]
         return [t.id for t in self.model.tokenize(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))]
 
+    def pretokens(self, texts: list[str]) -> Pretokens:
+        return Pretokens(texts, self.added)
+
     def _learn(self, p: Pretokens, hashes: np.ndarray, missing: np.ndarray) -> None:
         new, where = np.unique(hashes[missing], return_index=True)
         ids = [self.one(p.string(i)) for i in missing[where]]
@@ -188,7 +228,7 @@ class Encoder:
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk of texts, each text closed by `end` if given, and the offsets by text."""
-        p = Pretokens(texts)
+        p = self.pretokens(texts)
         slots = self.slots(p)
         sizes = self.size[slots]
         sums = np.concatenate(([0], np.cumsum(sizes)))

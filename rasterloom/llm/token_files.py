@@ -11,7 +11,7 @@ the format), so that lost executors leave no half files and any store works. Rea
 document offsets need one number for each shard on the driver.
 
 Defined cases. Null texts are empty: they have the end id alone. Null document ids come first; repeated ids stay as rows
-of their own, in order of their texts. Empty tables write no segments. Extra columns are ignored.
+of their own, in order of their texts' xxhash64, which also divides the rows of one id among shards. Empty tables write no segments. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,8 +73,9 @@ def _encode(tokenizer: str, end: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Token files of all documents under path (a folder that all executors share)."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    order = F.col("id").asc_nulls_first(), F.col("digest")
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text").drop("digest")
     dealt.mapInArrow(_encode(tokenizer, end), SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 

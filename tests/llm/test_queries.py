@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from rasterloom.llm import queries
+from rasterloom.llm.token_counts import accepted
 
 from ..conftest import SMALL
 from ..test_catalogue import same
@@ -50,6 +51,27 @@ def test_token_query(spark, texts):
         start += len(ids)
 
 
+def test_token_count_query(spark, texts):
+    """Counts before and after the edits, against the library on the edited texts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.byte_bpe())
+    rows = queries.op9_token_counts(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        assert r["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids)
+        made = []
+        for k, new in enumerate(("", " [edited]", "x")):
+            start = int(hashlib.md5(f"edit{k}:{r['doc_id']}".encode()).hexdigest()[:12], 16) % (len(text) + 1)
+            made.append({"start": start, "end": start + 4 * k, "text": new})
+        chosen, edited, at = accepted(made, len(text)), "", 0
+        for a, b, new in chosen:
+            edited, at = edited + text[at:a] + new, b
+        edited += text[at:]
+        assert (r["n_edits"], r["n_tokens_edited"]) == (len(chosen), len(t.encode(edited, add_special_tokens=False).ids))
+
+
 def test_language_query_on_held_out_documents(spark, tables):
     langs = dict(tables.execute("SELECT doc_id, lang FROM documents").fetchall())
     rows = [r for r in queries.op5_language_id(spark, SMALL).collect() if r["held_out"]]
