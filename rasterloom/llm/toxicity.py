@@ -1,24 +1,27 @@
-"""Toxicity (2): class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihoods.
-
-Method. Words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, outer punctuation dropped), their stems (first STEM bytes of longer
-words) and pairs of neighbours are counted by class over all labelled training rows, once a document, so that neither
-repeated lines nor long documents weigh more; equal texts count once. Every word is a symbol of its own, however many
-there are. For class c
-  P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + D T_c(v) / n_c(v) * P_c(w)
-  P_c(w)     = max(n_c(w) - D, 0) / n_c + D T_c / n_c * P(w),   P(w) = distinct left neighbours of w / distinct pairs
-T are numbers of distinct types, D = n1 / (n1 + 2 n2) by counts of counts. P(w) is shared by both classes. An expression
-whose class counts don't differ significantly (log-likelihood ratio statistic below SIGNIFICANT), or whose log ratio is
-within EFFECT, as with the rare words of a group of near copies, backs off wholly to the shared counts in both classes
-and contributes nothing, so that what is rare doesn't add noise. A pair counts where it is significant itself, else its
-second word does, and for words of fewer than OWN training texts their stem. The mean over a text's words of
-log P_toxic - log P_ordinary, on an asinh scale, goes through a logistic curve, which is fitted on a fold of the
-training rows that the counts leave out.
+"""Toxicity (2): class-conditional Kneser-Ney models, compared by length-normalised log-likelihoods of passages.
+
+Method. Words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, outer punctuation dropped) and their stems (the first STEM bytes of
+longer words, the whole of others) are counted by class over all labelled training rows, once a document, so that neither
+repeated lines nor long documents weigh more; equal texts count once. The class c is the context of a word, and orders
+back off from the word to its stem to counts that the classes share:
+  P_c(w) = max(n_c(w) - D, 0) / n_c + L_c P_c(s) R(w | s)      s: the stem of w
+  P_c(s) = max(m_c(s) - D, 0) / m_c + M_c C(s)
+n_c(w), m_c(s) are numbers of documents of class c that hold the word, the stem; n_c, m_c their sums; L_c, M_c the shares of
+n_c, m_c that the discount D takes away. C and R are Kneser-Ney's continuation counts, shared by both classes: in how many
+classes a stem, a word occurs, as a share of all stems' and of the stem's words' numbers. So a rare expression, of at most D
+documents in either class, is smoothed into its stem's likelihood, and stems that are as rare into one unknown symbol,
+whose likelihood is that of all rare stems together. The log-likelihoods of both classes are summed over each passage of
+PASSAGE neighbouring words (a shorter text is one passage) and divided by its number of words; a text's argument is the
+largest difference, toxic less ordinary, of its passages, since a toxic document is mostly ordinary words. No likelihood
+is set to nought and no threshold chooses expressions: a logistic curve of the argument, fitted on a fold of the training
+rows that the counts leave out, decides. D and PASSAGE were chosen on that fold too, not on held-out documents.
 
 Plan. Labels are joined to texts map-side if there are at most BROADCAST_LABELS (counted), else by a shuffled join: all
 labelled rows are used at any size. Counts are merged inside tasks and by partially aggregated group-bys, and stay
-distributed tables; probabilities are joined to the expressions. All expressions above the thresholds are used: they are
-broadcast in parts of at most PART, by hash, of which driver and tasks hold one at a time. The curve is fitted on a
-histogram of BINS bins over all rows of the calibration fold. Scoring is a map without a shuffle.
+distributed tables; words meet their stems in a shuffled join. Words of at most D documents in both classes differ from a
+new word in nothing (R cancels), hence the model need hold the others only: all of them, at any size, in broadcasts of at
+most PART expressions, by hash, of which driver and tasks hold one at a time. The curve is fitted on a histogram of BINS
+bins over all rows of the calibration fold. Scoring is a map without a shuffle.
 
 Defined cases. Texts without words (null, empty, white space) have argument 0. A label table with several rows for an
 id counts the largest; null ids and labels don't train. If a class has no training text, every score is the share of
@@ -32,21 +35,22 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import CHUNK_BYTES, chunked, cut, flat, fold, stash
+from rasterloom.llm.common import CHUNK_BYTES, chunked, cut, flat, fold
 from rasterloom.llm.lookup import Lookup, in_turn, release
 from rasterloom.llm.words import _CODES, Words, mix, span_hashes
 
-OWN, BINS, STEM = 3, 4096, 5
-SIGNIFICANT, EFFECT = 20.0, 3.0
+DISCOUNT, PASSAGE, STEM, BINS = 2, 3, 5, 4096
 BROADCAST_LABELS = 2_000_000
 #: Most expressions of a broadcast, and bytes of text that are looked up in several ones at once.
-PART, PARTS_CHUNK = 1 << 22, 1 << 22
+PART, PARTS_CHUNK = 1 << 22, 1 << 24
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
-#: Arguments are asinh(SCALE * mean); the histogram spans -LIMIT to LIMIT.
-SCALE, LIMIT = 1000.0, 16.0
+#: A task hands on its counts when it holds so many distinct expressions.
+HELD = 1 << 20
+#: The histogram of arguments spans -LIMIT to LIMIT.
+LIMIT = 16.0
 
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -66,105 +70,78 @@ class Tokens(Words):
         place = np.concatenate(([0], np.cumsum(keep)))
         self.starts, self.ends, self.offsets = a[keep], b[keep], place[self.offsets]
         self.owner = np.repeat(np.arange(len(raw)), self.counts())
-        self.long = np.flatnonzero(self.ends - self.starts > STEM)
 
     @cached_property
     def keys(self) -> np.ndarray:
         return self.hashes >> np.uint64(12)
 
-    @cached_property
-    def second(self) -> np.ndarray:
-        """The places of words that follow one of their own text."""
-        return np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1
-
     @cached_property
     def stems(self) -> np.ndarray:
+        """Keys of the words' stems, which are of another kind than words."""
         if not len(self.starts):
             return self.keys
         return mix(span_hashes(_CODES[self.data], self.starts, np.minimum(self.ends, self.starts + STEM)) ^ np.uint64(0x5EED)) >> np.uint64(12)
 
 
-def tally(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray, *of_key: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys (52 bits), the numbers of toxic and ordinary texts that hold them, and what goes with a key; owner below 4096."""
+def tally(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys (52 bits), the numbers of toxic and ordinary texts that hold them, and their stems; owner below 4096."""
     packed, at = np.unique((keys << np.uint64(12)) | owner.astype(np.uint64), return_index=True)
     t = toxic[(packed & np.uint64(4095)).astype(np.int64)].astype(np.int64)
-    return summed(packed >> np.uint64(12), t, 1 - t, *(x[at] for x in of_key))
+    return summed(packed >> np.uint64(12), t, 1 - t, stem[at])
 
 
-def summed(k: np.ndarray, t: np.ndarray, o: np.ndarray, *of_key: np.ndarray) -> tuple[np.ndarray, ...]:
+def summed(k: np.ndarray, t: np.ndarray, o: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same for sorted keys with counts."""
     if not len(k):
-        return k, t, o, *of_key
+        return k, t, o, stem
     edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[edge], np.add.reduceat(t, edge), np.add.reduceat(o, edge), *(x[edge] for x in of_key)
-
+    return k[edge], np.add.reduceat(t, edge), np.add.reduceat(o, edge), stem[edge]
 
-def _counted(of, most: int = 1 << 20):
-    """A map that merges (key, toxic, ordinary, v, w) inside the task; `of` gives kinds, keys, owners, v and w for a chunk of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
 
-        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            order = np.argsort(columns[0])
-            return summed(*(c[order] for c in columns))
+COUNTED = "word boolean, k long, t long, o long, stem long"
 
-        def give() -> Iterator[pa.RecordBatch]:
-            for kind, parts in held.items():
-                k, t, o, v, w = merged(parts)
-                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(t), pa.array(o), pa.array(v.view(np.int64)), pa.array(w.view(np.int64))], ["kind", "k", "t", "o", "v", "w"])
-
-        for batch in flat(batches):
-            toxic = np.asarray(batch.column(0)).astype(bool)
-            for at, raw in chunked(batch.column(1)):
-                for kind, keys, owner, v, w in of(raw):
-                    parts = held.setdefault(kind, [])
-                    parts.append(tally(keys, owner, toxic[at : at + len(raw)], v, w))
-                    if len(parts) > 12:
-                        held[kind] = [merged(parts)]
-            if sum(len(h[0]) for parts in held.values() for h in parts) > most:
-                yield from give()
-                held = {}
-        yield from give()
-
-    return run
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word or stem, key, toxic, ordinary, stem), merged inside the task."""
+    held: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
 
-COUNTED = "kind int, k long, t long, o long, v long, w long"
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.argsort(columns[0])
+        return summed(*(c[order] for c in columns))
 
+    def give() -> Iterator[pa.RecordBatch]:
+        for word, parts in held.items():
+            if parts:
+                k, t, o, stem = merged(parts)
+                yield pa.record_batch([pa.array(np.full(len(k), word)), pa.array(k.view(np.int64)), pa.array(t), pa.array(o), pa.array(stem.view(np.int64))], ["word", "k", "t", "o", "stem"])
+                parts.clear()
 
-def _words_and_stems(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words go with their stems (v; 0 for short words)."""
-    w = Tokens(raw)
-    stem, stems = np.zeros_like(w.keys), w.stems[w.long]
-    stem[w.long] = stems
-    return [(0, w.keys, w.owner, stem, stem), (1, stems, w.owner[w.long], stems, stems)]
-
-
-def _pairs(raw: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    w = Tokens(raw)
-    second = w.second
-    v, x = w.keys[second - 1], w.keys[second]
-    return [(2, pair_hashes(v, x) >> np.uint64(12), w.owner[second], v, x)]
-
-
-def pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(v) + w)
+    for batch in flat(batches):
+        toxic = np.asarray(batch.column(0)).astype(bool)
+        for at, raw in chunked(batch.column(1)):
+            w = Tokens(raw)
+            for word, keys in ((True, w.keys), (False, w.stems)):
+                held[word].append(tally(keys, w.owner, toxic[at : at + len(raw)], w.stems))
+                if len(held[word]) > 12:
+                    held[word] = [merged(held[word])]
+        if sum(len(h[0]) for parts in held.values() for h in parts) > HELD:
+            yield from give()
+    yield from give()
 
 
 class Model:
-    """Log ratios of the significant expressions (broadcasts of sorted hashes and ratios), and the curve."""
+    """Log ratios of words and stems (broadcasts of sorted hashes and ratios), of what they don't hold, and the curve."""
 
-    def __init__(self, parts: list):
-        self.parts = parts
+    def __init__(self, parts: list, rare_word: float, rare_stem: float):
+        self.parts, self.rare_word, self.rare_stem = parts, rare_word, rare_stem
         self.a, self.b, self.find = 1.0, 0.0, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"find": None}
 
     def ratios(self, hashes: np.ndarray) -> np.ndarray:
-        """NaN for what isn't significant."""
+        """NaN for what the model doesn't hold."""
         out = np.full(len(hashes), np.nan)
         for keys, values in in_turn(self.parts):
             find = self.find or Lookup(keys)
@@ -174,16 +151,26 @@ class Model:
             out[at >= 0] = values[at[at >= 0]]
         return out
 
+    def of_words(self, w: Tokens) -> np.ndarray:
+        """log P_toxic - log P_ordinary of each word."""
+        word, stem = np.split(self.ratios(np.concatenate((w.keys, w.stems)) << np.uint64(12)), 2)
+        return np.where(np.isnan(word), self.rare_word + np.where(np.isnan(stem), self.rare_stem, stem), word)
+
     def arguments(self, raw: list[bytes]) -> np.ndarray:
-        """asinh of the scaled mean log-likelihood ratio of each text; 0 for texts without words."""
+        """The largest mean log-likelihood ratio of a text's passages; 0 for texts without words."""
         w = Tokens(raw)
-        second = w.second
-        asked = np.concatenate((w.keys << np.uint64(12), w.stems[w.long] << np.uint64(12), pair_hashes(w.keys[second - 1], w.keys[second])))
-        ratio, stem, pair = np.split(self.ratios(asked), [len(w.keys), len(w.keys) + len(w.long)])
-        ratio[w.long] = np.where(np.isnan(ratio[w.long]), stem, ratio[w.long])
-        ratio[second] = np.where(np.isnan(pair), ratio[second], pair)
-        mean = np.bincount(w.owner, np.nan_to_num(ratio), len(raw)) / np.maximum(w.counts(), 1)
-        return np.arcsinh(SCALE * mean)
+        n = w.counts()
+        out = np.zeros(len(raw))
+        full = np.flatnonzero(n)
+        if not len(full):
+            return out
+        sums = np.concatenate(([0.0], np.cumsum(self.of_words(w))))
+        at = np.arange(len(w.owner))
+        size = np.minimum(PASSAGE, n)[w.owner]
+        # passages begin where they end inside the text
+        mean = np.where(at + size <= w.offsets[w.owner + 1], (sums[np.minimum(at + size, len(at))] - sums[at]) / size, -np.inf)
+        out[full] = np.maximum.reduceat(mean, w.offsets[full])
+        return out
 
 
 def _score(model):
@@ -227,14 +214,6 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return texts.join(marks, "id").select("fold", F.col("toxic").cast("int").alias("toxic"), "text")
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of words and stems (k) and pairs (k, w)."""
-    for batch in batches:
-        k, w = (np.asarray(batch.column(i).fill_null(0)).view(np.uint64) for i in (0, 1))
-        hashes = np.where(np.asarray(batch.column(1).is_null()), k << np.uint64(12), pair_hashes(k, w))
-        yield pa.record_batch([pa.array(hashes.view(np.int64)), batch.column(2)], ["hash", "ratio"])
-
-
 def _parts(expressions: DataFrame) -> list:
     """Broadcasts of at most about PART expressions each, at least one."""
     n = max(1, -(-expressions.count() // PART))
@@ -249,55 +228,32 @@ def _parts(expressions: DataFrame) -> list:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | float:
     """The model from all labelled rows outside the held-out fold; a number if a class has none."""
-    spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col)
     fitting = rows.where(F.col("fold") != CALIBRATION).groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
-    fitting = stash(fitting, "labelled")
-    both = F.sum("t").alias("t"), F.sum("o").alias("o")
-    counts = cut(fitting.mapInArrow(_counted(_words_and_stems), COUNTED).groupBy("kind", "k").agg(*both, F.max("v").alias("stem")))
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(*both, F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to"), F.count("*").alias("n")).collect()}
-    n_t, n_o = (sums[0]["t"], sums[0]["o"]) if 0 in sums else (0, 0)
-    if not n_t or not n_o:
-        return 1.0 if n_t else 0.0
-    pairs = cut(fitting.mapInArrow(_counted(_pairs), COUNTED).groupBy("v", "w").agg(*both))
-    n_pairs, once, twice = pairs.agg(F.count("*"), F.count_if(F.col("t") + F.col("o") == 1), F.count_if(F.col("t") + F.col("o") == 2)).first()
-    discount = min(0.95, max(0.3, once / max(1, once + 2 * twice)))
-    share, edges = n_t / (n_t + n_o), n_pairs + 0.5 * (sums[0]["n"] + 1)
-    t, o = F.col("t").cast("double"), F.col("o").cast("double")
-    part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + o) * F.lit(p)))).otherwise(F.lit(0.0))
-    significant = 2 * (part(t, share) + part(o, 1 - share)) >= SIGNIFICANT
-
-    def single(n, total: int, distinct: int):
-        """P_c(w) of rows with their number of left neighbours."""
-        base = (F.coalesce("left", F.lit(0)) + 0.5) / edges
-        return F.greatest(n - discount, F.lit(0.0)) / total + discount * distinct / total * base
-
-    singles = single(t, n_t, sums[0]["tt"]).alias("pt"), single(o, n_o, sums[0]["to"]).alias("po")
-    large = lambda a, b: F.abs(F.log(a) - F.log(b)) >= EFFECT
-    ratio = (F.log("pt") - F.log("po")).alias("ratio")
-    left = pairs.groupBy(F.col("w").alias("k")).agg(F.count("*").alias("left"))
-    words = cut(counts.where("kind = 0").join(left, "k", "left").select("k", "stem", "left", "t", "o", *singles))
-    of_stem = words.where("stem <> 0").groupBy(F.col("stem").alias("k")).agg(F.sum("left").alias("left"))
-    stems = counts.where((F.col("kind") == 1) & (F.col("t") + F.col("o") >= OWN) & significant).join(of_stem, "k").select("k", *singles).where(large("pt", "po"))
-    stems = cut(stems.select("k", ratio))
-    own = words.where(F.col("t") + F.col("o") >= OWN).withColumn("counts", significant & large("pt", "po"))
-    # own words that don't count, as 0, lest they get their stem's ratio
-    silent = own.where("not counts").join(stems.select(F.col("k").alias("stem")), "stem", "left_semi")
-    firsts = pairs.groupBy("v").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to"))
-    kept = pairs.where(significant).join(firsts, "v").join(words.select(F.col("k").alias("w"), "pt", "po"), "w")
-
-    def of_pair(n, seen: str, kinds: str, low: str):
-        seen = F.col(seen)
-        back = F.when(seen > 0, discount * F.col(kinds) / seen).otherwise(F.lit(1.0))
-        return (F.greatest(n - discount, F.lit(0.0)) / F.greatest(seen, F.lit(1)) + back * F.col(low)).alias(low)
-
-    kept = kept.select("v", "w", of_pair(t, "nt", "tt", "pt"), of_pair(o, "no", "to", "po")).where(large("pt", "po"))
-    none = F.lit(None).cast("long").alias("w")
-    of_one = own.where("counts").select("k", none, ratio), silent.select("k", none, F.lit(0.0).alias("ratio")), stems.select("k", none, "ratio")
-    found = kept.select(F.col("v").alias("k"), "w", ratio)
-    for x in of_one:
-        found = found.union(x)
-    model = Model(_parts(cut(found.mapInArrow(_hashed, "hash long, ratio double"))))
+    counts = cut(fitting.mapInArrow(_count, COUNTED).groupBy("word", "k").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.max("stem").alias("stem")))
+    rare = (F.col("t") <= DISCOUNT) & (F.col("o") <= DISCOUNT)
+    taken = lambda n: F.sum(F.least(n, F.lit(DISCOUNT)))
+    kinds = (F.col("t") > 0).cast("long") + (F.col("o") > 0).cast("long")
+    sums = counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), taken(F.col("t")).alias("dt"), taken(F.col("o")).alias("do"), F.sum(F.when(rare, F.col("t"))).alias("rt"), F.sum(F.when(rare, F.col("o"))).alias("ro"), F.sum(kinds).alias("kinds"))
+    of = {r["word"]: r for r in sums.collect()}
+    if not of or not of[True]["t"] or not of[True]["o"]:
+        return 1.0 if of and of[True]["t"] else 0.0
+    word, stem = of[True], of[False]
+    # unknown stems: the likelihoods of all rare ones together
+    unknown = float(np.log(((stem["rt"] or 0) + 1) / stem["t"]) - np.log(((stem["ro"] or 0) + 1) / stem["o"]))
+
+    def likelihood(n: str, side: str, of: dict, lower) -> Column:
+        return F.greatest(F.col(n) - DISCOUNT, F.lit(0)) / F.lit(float(of[n])) + F.lit(of[side] / of[n]) * lower
+
+    shared = kinds / F.lit(float(stem["kinds"] + 1))
+    stems = counts.where(~F.col("word")).select(F.col("k").alias("stem"), rare.alias("rare"), likelihood("t", "dt", stem, shared).alias("st"), likelihood("o", "do", stem, shared).alias("so"))
+    stems = stems.select("stem", "rare", F.when(F.col("rare"), F.col("so") * float(np.exp(unknown))).otherwise(F.col("st")).alias("st"), "so")
+    continued = counts.where("word").groupBy("stem").agg((F.sum(kinds) + 1).alias("continued"))
+    words = counts.where(F.col("word") & ~rare).join(continued, "stem").join(stems, "stem")
+    of_class = [likelihood(n, side, word, F.col(low) * kinds / F.col("continued")) for n, side, low in (("t", "dt", "st"), ("o", "do", "so"))]
+    found = words.select(F.shiftleft("k", 12).alias("hash"), (F.log(of_class[0]) - F.log(of_class[1])).alias("ratio"))
+    found = found.union(stems.where(~F.col("rare")).select(F.shiftleft("stem", 12), F.log("st") - F.log("so")))
+    model = Model(_parts(cut(found)), float(np.log(word["dt"] / word["t"]) - np.log(word["do"] / word["o"])), unknown)
 
     calibration = rows.where(F.col("fold") == CALIBRATION)
     scored = calibration.select(F.col("toxic").cast("long").alias("id"), "text").mapInArrow(_score(model), "id long, argument double, score double")

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from rasterloom.llm import decontamination, embedding_links, langid, lookup, mix
 from rasterloom.llm.components import components
 from rasterloom.llm.queries import byte_bpe
 
-from .helpers import base_pii, base_secrets, classes, documents, near_classes, shingle_set
+from .helpers import LOWER, base_pii, base_secrets, classes, documents, fold, near_classes, shingle_set
 
 VOCABULARY = [a + b for a in ("th", "er", "on", "in", "re", "st") for b in ("ea", "ou", "is", "an", "e", "ing")]
 
@@ -456,21 +457,66 @@ def test_token_counts(spark, tokenizer):
     assert token_counts.token_counts(docs.where("doc_id < 0"), byte_bpe()).count() == 0
 
 
-def test_toxicity_uses_every_significant_expression(spark, monkeypatch):
-    """70,000 words, more than the 65,536 symbols of old, are in more texts than any toxic word, whose stem says nothing."""
+def kneser_ney(rows, marks, d=2, size=3, stem_bytes=5):
+    """The model's log ratio of a text's best passage, by dictionaries and straight from the formulas."""
+    def tokens(text):
+        low = (text or "").translate(LOWER).encode()
+        return [w for w in (x.strip(bytes(i for i in range(33, 127) if not chr(i).isalnum())) for x in re.findall(rb"[^\x20\x09-\x0D]+", low)) if w]
+
+    texts = {}
+    for i, t in rows:
+        if i in marks and fold(i, 5) not in (0, 4):
+            texts[t] = max(texts.get(t, 0), marks[i])
+    n, m, kinds_of_stem = Counter(), Counter(), Counter()
+    for t, c in texts.items():
+        own = set(tokens(t))
+        n.update((w, c) for w in own)
+        m.update((s, c) for s in {w[:stem_bytes] for w in own})
+    words, stems = {w for w, _ in n}, {s for s, _ in m}
+    N, M = ([sum(v for (_, k), v in x.items() if k == c) for c in (0, 1)] for x in (n, m))
+    L, MM = ([sum(min(v, d) for (_, k), v in x.items() if k == c) / tot[c] for c in (0, 1)] for x, tot in ((n, N), (m, M)))
+    kinds = lambda x, e: (x[e, 0] > 0) + (x[e, 1] > 0)
+    rare = lambda x, e: x[e, 0] <= d and x[e, 1] <= d
+    total = sum(kinds(m, s) for s in stems) + 1
+    for w in words:
+        kinds_of_stem[w[:stem_bytes]] += kinds(n, w)
+    seldom = [(sum(m[s, c] for s in stems if rare(m, s)) + 1) / M[c] for c in (0, 1)]
+
+    def stem(s, c):
+        own = lambda c: max(m[s, c] - d, 0) / M[c] + MM[c] * kinds(m, s) / total
+        return own(0) * seldom[1] / seldom[0] if c and rare(m, s) else own(c)
+
+    def ratio(w):
+        s = w[:stem_bytes]
+        if not rare(n, w):
+            p = [max(n[w, c] - d, 0) / N[c] + L[c] * stem(s, c) * kinds(n, w) / (kinds_of_stem[s] + 1) for c in (0, 1)]
+            return np.log(p[1] / p[0])
+        low = np.log(seldom[1] / seldom[0]) if rare(m, s) else np.log(stem(s, 1) / stem(s, 0))
+        return np.log(L[1] / L[0]) + low
+
+    def argument(t):
+        r = [ratio(w) for w in tokens(t)]
+        k = min(size, len(r))
+        return max((sum(r[i : i + k]) / k for i in range(len(r) - k + 1)), default=0.0) if k else 0.0
+
+    return argument
+
+
+def test_toxicity_equals_the_formulas(spark, monkeypatch):
+    """Every word's likelihood in both classes, whatever its count, with the model in one part and in several."""
     rng = random.Random(12)
-    toxic = [f"othert{c}" for c in "abcdefghijkl"]
-    plain = [f"otherp{c}{d}" for c in "abcdefghijkl" for d in "xyz"]
-    text = lambda x: f"{sentence(rng, 30)} call {x} {sentence(rng, 5)}"
-    rows = [(i, text(plain[i % 36])) for i in range(999)] + [(1000 + i, text(toxic[i % 12])) for i in range(480)]
-    filler = " ".join(f"{i:05d}" for i in range(70000))
-    rows += [(2000 + i, f"{filler} n{i}") for i in range(65)]
-    marks = [(i, int(1000 <= i < 2000 or i >= 2045)) for i, _ in rows]
-    monkeypatch.setattr(toxicity, "PART", 5, raising=False)
-    model = toxicity.train(documents(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
-    new = [(i, text(x)) for i, x in enumerate(toxic + plain)]
-    got = {r["id"]: r["score"] >= 0.5 for r in toxicity.score(documents(spark, new), model).collect()}
-    assert got == {i: i < 12 for i, _ in new} and len(model.parts) > 1
+    rows = [(i, sentence(rng, rng.randint(0, 30)) + rng.choice(["", " Vilest.", " vileness", " vilely!", " (vile)", " onceseen%d" % i])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(50)]
+    marks = {i: int("vil" in t.lower() and i % 11 > 0) for i, t in rows if i % 13}
+    docs, labels = documents(spark, rows), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    argument = kneser_ney(rows, marks)
+    for part in (1 << 22, 5):
+        monkeypatch.setattr(toxicity, "PART", part)
+        model = toxicity.train(docs, labels)
+        assert (len(model.parts) > 1) == (part == 5)
+        for r in toxicity.score(documents(spark, [*rows, (5000, "vilexx never"), (5001, None)]), model).collect():
+            text = dict([*rows, (5000, "vilexx never"), (5001, None)])[r["id"]]
+            assert abs(r["argument"] - argument(text)) < 1e-9, text
 
 
 def test_language_filter_of_any_size(spark):

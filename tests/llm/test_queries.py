@@ -85,6 +85,16 @@ def test_toxicity_query_shape(spark, texts):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_toxicity_query_on_held_out_documents(spark):
+    """Recall and precision on documents whose labels the model has not seen, of a table with 449 toxic ones."""
+    folder = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in queries.op2_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in toxic]
+    caught = sum(r["predicted"] and toxic[r["doc_id"]] for r in rows)
+    assert caught >= 0.8 * sum(toxic[r["doc_id"]] for r in rows)
+    assert caught >= 0.9 * sum(r["predicted"] for r in rows)
+
+
 def test_decontamination_query_finds_planted_passages(spark, tables, texts):
     items = dict(tables.execute("SELECT item_id, text FROM benchmark").fetchall())
     want = {(i, k) for i, t in texts.items() for k, x in items.items() if t and x and x in t}
