@@ -1,18 +1,20 @@
 """Language ID (5): language-bitmask n-gram filters.
 
-Method. Letter 4-grams (lower case, with word edges) are counted by language over all labelled training texts. A
-language holds an n-gram if its rate there is at least `share` of the n-gram's highest rate in any language, so that
-quotations and licence lines in a foreign language don't enter its set. The sets of all languages share one Bloom
-filter whose slots are language bitmasks, bit-sliced into planes of 64 languages: the AND of an n-gram's slots gives
-every language that holds it at once. A text's n-grams are looked up, bits counted by language, and each count is
-corrected for the language's own false positive rate f (share of slots with its bit, to the number of hashes):
-(count - n * f) / (1 - f), at least 0. The largest corrected count decides; ties go to the first language by name.
+Method. Letter 4-grams (lower case, with word edges) are counted by language over all labelled training texts. A language
+has a bit for each of LEVELS: an n-gram sets the first if the language holds it at all, and each further one if its rate
+among the language's n-grams is at least that level's, so that an n-gram quoted once in a foreign text counts for less
+than one at home. All languages' bits lie in one Bloom filter whose slots are bitmasks, bit-sliced into planes of 64 bits:
+the AND of an n-gram's slots gives every language that holds it at once, and at which levels. A text's n-grams are looked
+up, bits counted, and each count is corrected for the bit's own false positive rate f (share of slots with it, to the
+number of hashes): (count - n * f) / (1 - f), at least 0. A language's popcount is the sum over its levels; the largest
+decides, ties go to the first language by name.
 
 Plan. Counting is a map that merges n-grams inside a task before a partially aggregated group-by; slot positions are
-aggregated with bit_or. The slots grow with the n-grams without a limit, so that the false positive rate is bounded: above
-SLOTS, n-grams are dealt by hash to several filters of that size, which are broadcast one by one. Driver and tasks hold
-one of them at a time; a chunk of texts is looked up in all in turn, and counts add up. Predicting is a map without a
-shuffle. Memory: one filter, a chunk, or the longest text.
+aggregated with bit_or. Every n-gram of every language enters. The slots grow with the n-grams without a limit, so that
+the false positive rate is bounded: above SLOTS, n-grams are dealt by hash to several filters of that size, which are
+broadcast one by one. Driver and tasks hold one of them at a time; a chunk of texts is looked up in all in turn, and
+counts add up. Predicting is a map without a shuffle. Memory: one filter, a chunk, or the longest text; and a few numbers a
+language. N-grams are told apart by 64-bit hashes of whole code points.
 
 Defined cases. Texts that are null or hold no letter: 'und', score 0. Letters but no known n-gram: the language of
 the most training n-grams, score 0. Without any training text: 'und'. Rows without language don't train. One row for
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut, flat
@@ -33,7 +35,11 @@ from rasterloom.llm.lookup import in_turn, release
 from rasterloom.llm.words import mix
 
 UND = "und"
-SHARE, LEAST_COUNT, HASHES = 0.25, 3, 4
+HASHES = 4
+#: Rates from which an n-gram sets a language's further bits; the first is set by any occurrence.
+LEVELS = (0.0, 2.0**-20, 2.0**-16, 2.0**-12)
+#: Languages of a plane of 64 bits.
+EACH = 64 // len(LEVELS)
 #: Most slots of a filter, at PER_GRAM an n-gram: fewer are used for fewer n-grams, several filters for more.
 SLOTS, PER_GRAM = 1 << 22, 12
 #: A task hands on its counts when it holds so many distinct n-grams.
@@ -51,7 +57,7 @@ def letters() -> np.ndarray:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams of all texts, and the text that each belongs to.
+    """Hashes of the 4-grams of all texts, and the text that each belongs to.
 
     The inner places hold letters and the outer ones a letter or a word edge (0); a word of one letter is one n-gram.
     """
@@ -59,14 +65,14 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes + 2)
-    c = np.where(letters()[codes], codes & np.uint32(0xFFFF) | np.uint32(1 << 16), np.uint32(0)).astype(np.uint64)
-    c = np.concatenate((np.zeros(1, np.uint64), c))
+    c = np.concatenate((np.zeros(1, np.uint32), np.where(letters()[codes], codes, np.uint32(0))))
     a, b, d, e = c[:-3], c[1:-2], c[2:-1], c[3:]
     alone = (a == 0) & (d == 0)
     keep = np.flatnonzero((b != 0) & ((d != 0) | alone))
-    a, b, d, e = a[keep], b[keep], d[keep], np.where(alone[keep], np.uint64(0), e[keep])
-    keys = ((a & np.uint64(0xFFFF)) << np.uint64(48)) | ((b & np.uint64(0xFFFF)) << np.uint64(32)) | ((d & np.uint64(0xFFFF)) << np.uint64(16)) | (e & np.uint64(0xFFFF))
-    return keys, np.searchsorted(ends, keep, "right")
+    a, b, d, e = (x[keep].astype(np.uint64) for x in (a, b, d, e))
+    e[alone[keep]] = 0
+    # 21 bits a code point: two halves of 42 bits
+    return mix(((a << np.uint64(21)) | b) * np.uint64(0x9E3779B97F4A7C15) + mix((d << np.uint64(21)) | e)), np.searchsorted(ends, keep, "right")
 
 
 def text_chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -134,39 +140,56 @@ def _place(hashes: int, slots: int, parts: int):
     return run
 
 
-def false_rates(planes: np.ndarray, languages: int) -> list[float]:
-    bits = ((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(languages))
-    return [float(b.mean()) ** HASHES for b in bits]
+def place_of(language: int, level: int) -> tuple[int, np.uint64]:
+    """The plane and the bit of a language's level."""
+    return language // EACH, np.uint64(language % EACH * len(LEVELS) + level)
+
+
+def false_rates(planes: np.ndarray, languages: int) -> list[list[float]]:
+    """For each language, those of its levels."""
+
+    def rate(i: int, level: int) -> float:
+        plane, bit = place_of(i, level)
+        return float(((planes[plane] >> bit) & np.uint64(1)).mean()) ** HASHES
+
+    return [[rate(i, level) for level in range(len(LEVELS))] for i in range(languages)]
 
 
 class Model:
-    """languages by name; planes: (planes, slots) bitmasks, 64 languages a plane, or broadcasts of one for each filter."""
+    """languages by name; planes: (planes, slots) bitmasks, or broadcasts of them for each filter."""
 
-    def __init__(self, languages: list[str], planes: np.ndarray | list, most: int, false: list[list[float]] | None = None):
+    def __init__(self, languages: list[str], planes: np.ndarray | list, most: int, false: list[list[list[float]]] | None = None):
         self.languages, self.most = languages, most
         self.parts = planes if isinstance(planes, list) else [planes]
         self.false = false or [false_rates(p, len(languages)) for p in self.parts]
 
     def corrected(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages) counts less the expected false positives."""
+        """(texts, languages) bits counted, less the expected false positives."""
         keys, owner = grams(texts)
         part = part_of(keys, len(self.parts)) if len(self.parts) > 1 else None
-        out = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages), len(LEVELS)))
         for number, (planes, false) in enumerate(zip(in_turn(self.parts), self.false, strict=True)):
             k, own = (keys, owner) if part is None else (keys[part == number], owner[part == number])
-            total = np.bincount(own, minlength=len(texts)).astype(float)
+            if not len(k):
+                continue
+            # n-grams of a text stand together
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            text = own[first]
+            total = np.diff(np.append(first, len(own)))
             at = slots_of(k, HASHES, planes.shape[1])
             for p, plane in enumerate(planes):
                 mask = plane[at[0]]
                 for a in at[1:]:
                     mask &= plane[a]
-                for i in range(p * 64, min(p * 64 + 64, len(self.languages))):
-                    hits = np.bincount(own, ((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(float), len(texts))
-                    out[:, i] += (hits - total * false[i]) / max(1e-9, 1 - false[i])
-        return np.maximum(0.0, out)
+                for i in range(p * EACH, min((p + 1) * EACH, len(self.languages))):
+                    for level in range(len(LEVELS)):
+                        f = false[i][level]
+                        hits = np.add.reduceat((mask >> place_of(i, level)[1]) & np.uint64(1), first)
+                        out[text, i, level] += (hits - total * f) / max(1e-9, 1 - f)
+        return np.maximum(0.0, out).sum(axis=2)
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share: float = SHARE, least: int = LEAST_COUNT, slots: int = SLOTS) -> Model | None:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", slots: int = SLOTS) -> Model | None:
     """The filter from all rows of docs with a language; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = cut(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -174,20 +197,15 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share
     if not totals:
         return None
     languages = sorted(totals)
-    rate = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, float(totals[lang])))), F.col("lang"))
-    number = F.element_at(F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i))), F.col("lang"))
-    rated = counts.where(F.col("n") >= least).select("gram", rate.alias("rate"), number.alias("i"))
-    # one row a gram: rates of all its languages are at hand in an array as long as there are languages
-    by_gram = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("own"))
-    held = F.filter("own", lambda x: x["rate"] >= share * F.col("top"))
-    planes = (len(languages) + 63) // 64
-
-    def mask(plane: int) -> Column:
-        own = F.filter(held, lambda x: F.floor(x["i"] / 64) == plane)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["i"] % 64))).alias(f"m{plane}")
-
-    masks = [mask(p) for p in range(planes)]
-    masked = cut(by_gram.select("gram", *masks))
+    known = F.broadcast(docs.sparkSession.createDataFrame([(lang, i, float(totals[lang])) for i, lang in enumerate(languages)], "lang string, i int, total double"))
+    rate = F.col("n") / F.col("total")
+    # levels are nested: those that an n-gram reaches are the lowest bits
+    reached = sum(((rate >= least).cast("int") for least in LEVELS[1:]), F.lit(1))
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), reached) - 1
+    own = F.call_function("shiftleft", bits, F.col("i") % EACH * len(LEVELS))
+    planes = (len(languages) + EACH - 1) // EACH
+    masks = [F.bit_or(F.when(F.floor(F.col("i") / EACH) == p, own).otherwise(F.lit(0).cast("long"))).alias(f"m{p}") for p in range(planes)]
+    masked = cut(counts.join(known, "lang").groupBy("gram").agg(*masks))
     n = masked.count()
     parts = max(1, -(-n * PER_GRAM // slots))
     slots = int(min(slots, 1 << max(10, int(np.ceil(np.log2(max(1, n) * PER_GRAM))))))
@@ -226,6 +244,6 @@ def _predict(model: Model | None):
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): score is the best language's share of all corrected counts."""
+    """(id, lang_pred, score): score is the best language's share of all languages' popcounts."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double")

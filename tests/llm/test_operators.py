@@ -219,14 +219,61 @@ def test_language_id(spark):
 
 
 def test_language_filter_is_right_for_many_languages():
-    planes = np.zeros((2, 1 << 12), np.uint64)
+    planes = np.zeros((5, 1 << 12), np.uint64)
     keys, _ = langid.grams(["hello"])
+    plane, bit = langid.place_of(69, 0)
     for slot in langid.slots_of(keys, langid.HASHES, 1 << 12):
-        planes[1, slot] |= np.uint64(1) << np.uint64(5)
+        planes[plane, slot] |= np.uint64(1) << bit
     model = langid.Model([f"l{i:03d}" for i in range(70)], planes, 0)
     assert model.corrected(["hello", "zzz"])[0].argmax() == 69 and model.corrected(["zzz"]).sum() < 1
 
 
+def four_grams(text):
+    """4-grams as langid takes them, by a plain walk."""
+    low, out = (text or "").lower(), []
+    at = lambda i: low[i] if 0 <= i < len(low) and low[i].isalpha() else ""
+    for i in range(len(low)):
+        if at(i):
+            if at(i + 1):
+                out.append((at(i - 1), at(i), at(i + 1), at(i + 2)))
+            elif not at(i - 1):
+                out.append(("", at(i), "", ""))
+    return out
+
+
+def test_language_ngrams_are_of_whole_code_points():
+    texts = ["a \U00020061 \U00020000b", "abc ab a", "\U00020061\U00020062\U00020063", "x\U00010061y", ""]
+    keys, owner = langid.grams(texts)
+    of = {}
+    for i, t in enumerate(texts):
+        own = keys[owner == i].tolist()
+        assert len(own) == len(four_grams(t))
+        for g, k in zip(four_grams(t), own, strict=True):
+            assert of.setdefault(g, k) == k
+    assert len(set(of.values())) == len(of)
+
+
+def test_language_counts_equal_brute_force_with_millions_of_ngrams(spark):
+    """Over 2 million n-grams in several filters: corrected counts within a few of exact ones, and every language that holds one."""
+    rng = np.random.default_rng(3)
+    alphabets = {"aa": np.arange(0x4E00, 0x6E00), "bb": np.arange(0x6800, 0x8800), "cc": np.arange(0x20000, 0x22000)}
+    rows = [(i, " ".join("".join(map(chr, rng.choice(alphabets[k], 9))) for _ in range(900)), k) for i, k in enumerate(["aa", "bb", "cc"] * 100)]
+    rows += [(i + 1000, rows[i][1][:4000], "cc") for i in range(3)]
+    docs = documents(spark, rows)
+    model = langid.train(docs)
+    assert len(model.parts) > 4 and max(x for part in model.false for own in part for x in own) < 0.05
+    counts = {k: Counter() for k in alphabets}
+    for _, t, k in rows:
+        counts[k].update(four_grams(t))
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    assert sum(map(len, counts.values())) > 2_000_000
+    new = [rows[0][1][:3000], rows[1][1][:2000] + rows[2][1][:500], "".join(map(chr, rng.choice(alphabets["aa"], 5000)))]
+    for text, got in zip(new, model.corrected(new), strict=True):
+        for k, x in zip(sorted(alphabets), got, strict=True):
+            exact = sum(sum(counts[k][g] / totals[k] >= max(least, 1e-300) for least in langid.LEVELS) for g in four_grams(text))
+            assert abs(x - exact) <= 0.01 * len(text) + 5
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, marks = [], []
@@ -527,7 +574,7 @@ def test_language_filter_of_any_size(spark):
     docs = documents(spark, rows)
     model = langid.train(docs.where("doc_id % 4 <> 2"), slots=1 << 10)
     assert {r["id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {i: k for i, _, k in rows}
-    assert len(model.parts) > 1 and max(max(f) for f in model.false) < 0.05
+    assert len(model.parts) > 1 and max(x for part in model.false for own in part for x in own) < 0.05
 
 
 def test_decontamination_finds_short_copies_in_long_texts(spark):
