@@ -10,16 +10,19 @@ words make up SHARED of the item's idf at all. So is one whose first STRIDE word
 words, so many that no text without any of them can be confirmed. No copy that the checks confirm in the surroundings of
 its own words is lost to the cosine. A candidate is confirmed on the words themselves: the longest
 common subsequence of the item and the window with its surroundings must hold `direct` of the item's words, or `loose`
-of them if it also holds `answer` of the words of the item's last sentence (a paraphrase that keeps the answer).
-
-Plan. Two sums over all documents (features' counts; the sketch C), each a map that adds up in numpy, then one group-by of
-fixed-size slices: a task hands on 2**FEATURE_BITS * RANK numbers at most, and tasks cover several partitions so that
-this stays small against their input. The latent space has a fixed size and is broadcast. The search is a map; items
-go in blocks of ITEMS, so that a benchmark of any size is searched whole, a pass a block. Nothing is sampled.
-
-Defined cases. Null or empty texts match nothing. Items that are null or of fewer than LEAST words are not searched. A
-text shorter than a window is one window. Repeated ids are reported once an item, by their best window. Extra columns are
-ignored. Empty tables give empty results.
+of them if it also holds `answer` of the words of the item's last sentence (a paraphrase that keeps the answer). Candidates
+whose surroundings hold too few of the item's words, each as often as the item at most, can't pass and aren't compared. Items
+of fewer than LEAST words would pass anywhere by such shares: they are found where all their words stand in a row.
+
+Plan. Two sums over all documents (features' counts; the sketch C), each a map that adds up in numpy, then two group-bys of
+fixed-size slices, by few tasks each and then by slice: a task hands on 2**FEATURE_BITS * RANK numbers at most, and tasks
+cover several partitions so that this stays small against their input. The latent space has a fixed size and is
+broadcast. The search is one map over the documents; items are broadcast in blocks of ITEMS, of which driver and tasks hold
+one at a time, so that a benchmark of any size is searched whole. Nothing is sampled.
+
+Defined cases. Null or empty texts match nothing. Items that are null or have no word are not searched. A
+text shorter than a window is one window. Repeated ids are reported once an item, by their best window; rows without id
+are reported under a null id. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,22 +32,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import chunked, flat
-from rasterloom.llm.lookup import Lookup
+from rasterloom.llm.lookup import Lookup, in_turn, release
 from rasterloom.llm.toxicity import Tokens
 from rasterloom.llm.words import mix
 
-
 FEATURE_BITS, RANK, PASSAGE, LEAST = 14, 64, 32, 5
 WINDOW, STRIDE, ITEMS = 32, 16, 1024
 COSINE, DIRECT, LOOSE, ANSWER = 0.45, 0.75, 0.6, 0.8
 #: A window whose words make up less than this part of an item's idf (of what a window can hold of it) can't confirm it.
 SHARED = 0.25
 SLICES = 64
-CHUNK = 1 << 18
+#: Tasks whose sums are added up together first.
+TOGETHER = 64
+CHUNK, PARTS_CHUNK = 1 << 18, 1 << 22
+#: Words of items by items that are held as a table; beyond that they are looked up by hash.
+TABLE = 1 << 26
+#: Words of surroundings that are compared with their items at once.
+AT_ONCE = 1 << 21
 
 
 def _features(w: Tokens) -> np.ndarray:
@@ -64,7 +73,8 @@ def _blocks(w: Tokens, values: np.ndarray, size: int, pad) -> tuple[np.ndarray,
 
 def _slices(total: np.ndarray) -> pa.RecordBatch:
     parts = np.array_split(total, SLICES)
-    return pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "part"])
+    deal = np.full(SLICES, TaskContext.get().partitionId() // TOGETHER if TaskContext.get() else 0, np.int32)
+    return pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(deal), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "deal", "part"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +127,16 @@ def _sketch(shared):
 def _added(kind: str):
     def run(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_buffer(), kind).astype(np.float64) for x in table.column("part")]
-        return pa.table({"slice": table.column("slice")[:1], "part": pa.array([np.sum(parts, axis=0).astype(kind).tobytes()], pa.binary())})
+        return pa.table({"slice": table.column("slice")[:1], "deal": table.column("deal")[:1], "part": pa.array([np.sum(parts, axis=0).astype(kind).tobytes()], pa.binary())})
 
     return run
 
 
 def _total(rows: DataFrame, of, kind: str) -> np.ndarray | None:
     """The sum of the arrays that the tasks of a map give; None if there is none."""
-    shape = "slice int, part binary"
-    parts = rows.mapInArrow(of, shape).groupBy("slice").applyInArrow(_added(kind), shape).orderBy("slice").toArrow()
+    shape = "slice int, deal int, part binary"
+    some = rows.mapInArrow(of, shape).groupBy("slice", "deal").applyInArrow(_added(kind), shape)
+    parts = some.groupBy("slice").applyInArrow(_added(kind), shape).orderBy("slice").toArrow()
     if not parts.num_rows:
         return None
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in parts.column("part").combine_chunks()])
@@ -158,7 +169,7 @@ def latent_space(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, n
 
 
 class Items:
-    """Benchmark items: ids, word hashes, latent points, and the places of the answer's words."""
+    """Benchmark items: ids, word hashes, latent points, the places of the answer's words, and their words' vocabulary."""
 
     def __init__(self, ids: list[int], raw: list[bytes], space: np.ndarray, idf: np.ndarray, limits: tuple[float, float, float]):
         w = Tokens(raw)
@@ -167,7 +178,7 @@ class Items:
         self.ids, self.words, self.answers, sums = [], [], [], []
         for i, text in enumerate(raw):
             own = w.hashes[w.offsets[i] : w.offsets[i + 1]]
-            if len(own) >= LEAST:
+            if len(own):
                 self.ids.append(ids[i])
                 self.words.append(own.tolist())
                 self.answers.append(_answer_words(text, len(own)))
@@ -176,24 +187,46 @@ class Items:
         self.points = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         self.vocabulary = np.unique(np.concatenate([np.array(x, np.uint64) for x in self.words])) if self.words else np.zeros(0, np.uint64)
         self.weights = idf[(self.vocabulary >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]
-        pairs, self.least = [], np.zeros(len(self.words))
+        self.lengths = np.array([len(x) for x in self.words], np.int64)
+        self.short = self.lengths < LEAST
+        self.least, keys, self.pairs = np.zeros(len(self.words)), [], []
         for j, x in enumerate(self.words):
-            own = np.searchsorted(self.vocabulary, np.unique(np.array(x, np.uint64)))
-            pairs.append(mix((own.astype(np.uint64) << np.uint64(32)) + np.uint64(j)))
+            place = np.searchsorted(self.vocabulary, np.array(x, np.uint64))
+            own, n = np.unique(place, return_counts=True)
+            self.pairs.append(np.stack([own, np.full(len(own), j), n]))
             self.least[j] = SHARED * self.weights[own].sum() * min(1.0, WINDOW / len(x))
-        keys = [(np.searchsorted(self.vocabulary, np.array(x, np.uint64)), j) for j, x in enumerate(self.words)]
-        keys = [(k, j) for own, j in keys for k in key_words(own, self.weights, self.answers[j], *limits)]
+            if not self.short[j]:
+                keys += [(k, j) for k in key_words(place, self.weights, self.answers[j], *limits)]
         of = np.array(sorted(keys), np.int64).reshape(-1, 2)
         self.key_at, self.key_items = np.searchsorted(of[:, 0], np.arange(len(self.vocabulary) + 1)), of[:, 1]
-        self.pairs = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        self.find = self.find_pair = None
+        self.pairs = np.concatenate(self.pairs, axis=1) if self.pairs else np.zeros((3, 0), np.int64)
+        runs = [(run_hashes(np.array(self.words[j], np.uint64), int(self.lengths[j]))[0], j) for j in np.flatnonzero(self.short)]
+        self.runs = {n: sorted((h, j) for h, j in runs if self.lengths[j] == n) for n in sorted(set(self.lengths[self.short].tolist()))}
+        self.find = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"find": None, "find_pair": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "find_pair", "often")} | {"find": None}
 
     def ready(self) -> None:
-        if self.find is None:  # once in each worker
-            self.find, self.find_pair = Lookup(self.vocabulary), Lookup(self.pairs)
+        """Look-ups, built once in each worker that holds the items."""
+        if self.find is not None:
+            return
+        self.find, self.table = Lookup(self.vocabulary), None
+        word, item, n = self.pairs
+        if len(self.vocabulary) * len(self.words) <= TABLE:
+            self.table = np.zeros((len(self.vocabulary), len(self.words)), np.uint8)
+            self.table[word, item] = np.minimum(n, 255)
+        else:
+            hashes = mix((word.astype(np.uint64) << np.uint64(32)) + item.astype(np.uint64))
+            order = np.argsort(hashes)
+            self.find_pair, self.often = Lookup(hashes[order]), np.minimum(n, 255)[order]
+
+    def times(self, word: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How often items hold words (places in the vocabulary); 255 for 255 and more."""
+        if self.table is not None:
+            return self.table[word, item]
+        at = self.find_pair(mix((word.astype(np.uint64) << np.uint64(32)) + item.astype(np.uint64)))
+        return np.where(at >= 0, self.often[at], 0)
 
     def keyed(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) wherever a row has a word of the item's key."""
@@ -203,12 +236,37 @@ class Items:
         place = np.arange(int(n.sum())) + np.repeat(self.key_at[word] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
         return np.repeat(row, n), self.key_items[place]
 
-    def shared(self, known: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """The idf of each row's words (places in the vocabulary, -1 for none) that are words of the row's item."""
-        row, at = np.nonzero(known >= 0)
-        word = known[row, at]
-        hit = self.find_pair(mix((word.astype(np.uint64) << np.uint64(32)) + item[row].astype(np.uint64))) >= 0
-        return np.bincount(row[hit], self.weights[word[hit]], len(known))
+    def shared(self, known: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The idf of the words in rows (places in the vocabulary, -1 for none) that are words of the items."""
+        out = np.zeros(len(row))
+        for i in range(0, len(row), AT_ONCE // known.shape[1]):
+            some = slice(i, i + AT_ONCE // known.shape[1])
+            words = known[row[some]]
+            at, place = np.nonzero(words >= 0)
+            word = words[at, place]
+            hit = self.times(word, item[some][at]) > 0
+            out[some] = np.bincount(at[hit], self.weights[word[hit]], len(words))
+        return out
+
+    def in_a_row(self, w: Tokens) -> list[tuple[int, int]]:
+        """(place of the first word, item) wherever all words of a short item stand in a row."""
+        found = []
+        for n, own in self.runs.items():
+            keys = np.array([h for h, _ in own], np.uint64)
+            runs = run_hashes(w.hashes, n)
+            at = np.searchsorted(keys, runs)
+            at[at == len(keys)] = 0
+            for i in np.flatnonzero((keys[at] == runs) & (w.owner[: len(runs)] == w.owner[n - 1 :])).tolist():
+                found += [(i, j) for h, j in own[at[i] :] if h == runs[i]]
+        return found
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each n words in a row."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n):
+        out = mix(out * np.uint64(31) + words[j : len(words) - n + 1 + j])
+    return out
 
 
 def key_words(own: np.ndarray, weights: np.ndarray, tail: int, direct: float, loose: float, answer: float) -> set[int]:
@@ -248,53 +306,92 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return full & ~v
 
 
-def _search(space_shared, items_shared, limits: tuple[float, float, float, float]):
+def _candidates(items: Items, w: Tokens, text: np.ndarray, known: np.ndarray, sums: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item) of the windows to compare with items, sorted, and the cosines of all; a window begins at its row."""
+    windows, around = sums.copy(), [known]
+    for k in range(1, WINDOW // STRIDE):
+        same = text[k:] == text[:-k]
+        windows[:-k][same] += sums[k:][same]
+        later = np.full_like(known, -1)
+        later[:-k][same] = known[k:][same]
+        around.append(later)
+    windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
+    near = windows @ items.points.T
+    i, j = np.nonzero(near >= cosine)
+    long = ~items.short[j]
+    i, j = i[long], j[long]
+    held = items.shared(np.concatenate(around, axis=1), i, j) >= items.least[j]
+    row, item = items.keyed(known)
+    n = len(items.words)
+    both = np.unique(np.concatenate((i[held] * n + j[held], row * n + item)))
+    return both // n, both % n, near
+
+
+def _compared(items: Items, w: Tokens, known: np.ndarray, a: np.ndarray, e: np.ndarray, item: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """(candidate, longest common subsequence as bits) of words a to e with items, where `least` of the item's words can be met."""
+    ends = np.cumsum(e - a)
+    first = 0
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
+        size = (e - a)[first:last]
+        which = np.repeat(np.arange(first, last), size)
+        place = np.arange(len(which)) + np.repeat(a[first:last] - (np.cumsum(size) - size), size)
+        some = known[place] >= 0
+        which, place = which[some], place[some]
+        often = items.times(known[place], item[which])
+        which, place, often = which[often > 0], place[often > 0], often[often > 0].astype(np.int64)
+        often[often == 255] = 1 << 40
+        # each word counts as often as the item holds it at most
+        _, at, n = np.unique((which - first) * len(items.vocabulary) + known[place], return_index=True, return_counts=True)
+        most = np.bincount(which[at] - first, np.minimum(n, often[at]), last - first)
+        bounds = np.searchsorted(which, np.arange(first, last + 1))
+        for c in np.flatnonzero(most >= least * items.lengths[item[first:last]] - 1e-9).tolist():
+            yield first + c, common_subsequence(items.words[item[first + c]], w.hashes[place[bounds[c] : bounds[c + 1]]].tolist())
+        first = last
+
+
+def _search(space_shared, blocks: list, limits: tuple[float, float, float, float]):
     cosine, direct, loose, answer = limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = items_shared.value
-        items.ready()
         none = len(space_shared.value)
         space = np.concatenate((space_shared.value, np.zeros((1, RANK), np.float32)))
-        steps = WINDOW // STRIDE
         for batch in flat(batches):
-            best: dict[tuple[int, int], tuple] = {}
-            for at, raw in chunked(batch.column(1), CHUNK):
+            out = []
+            for at, raw in chunked(batch.column(1), PARTS_CHUNK if len(blocks) > 1 else CHUNK):
                 w = Tokens(raw)
                 f, text = _blocks(w, _features(w), STRIDE, none)
-                if not len(f) or not items.words:
+                if not len(f):
                     continue
-                known, _ = _blocks(w, items.find(w.hashes), STRIDE, -1)
-                keyed = items.keyed(known)
-                sums = space[f].sum(axis=1)
-                windows, around = sums.copy(), [known]
-                for k in range(1, steps):
-                    same = text[k:] == text[:-k]
-                    windows[:-k][same] += sums[k:][same]
-                    later = np.full_like(known, -1)
-                    later[:-k][same] = known[k:][same]
-                    around.append(later)
-                windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
-                known = np.concatenate(around, axis=1)
-                near = windows @ items.points.T
-                i, j = np.divmod(np.flatnonzero(near.ravel() >= cosine), len(items.words))
-                held = items.shared(known[i], j) >= items.least[j]
-                n = len(items.words)
-                both = np.unique(np.concatenate((i[held] * n + j[held], keyed[0] * n + keyed[1])))
+                sums = np.concatenate([space[f[i : i + 8192]].sum(axis=1) for i in range(0, len(f), 8192)])
                 first = np.searchsorted(text, text)
-                for x, y in zip((both // n).tolist(), (both % n).tolist(), strict=True):
-                    t, word = int(text[x]), int(x - first[x]) * STRIDE
-                    item, begin = items.words[y], int(w.offsets[t])
-                    a, e = max(begin, begin + word - len(item)), min(int(w.offsets[t + 1]), begin + word + WINDOW + len(item))
-                    bits = common_subsequence(item, w.hashes[a:e].tolist())
-                    share = bits.bit_count() / len(item)
-                    tail = items.answers[y]
-                    kept = (bits >> (len(item) - tail)).bit_count() / tail
-                    if share >= direct or (share >= loose and kept >= answer):
-                        row = (share, kept, float(near[x, y]), word)
-                        if best.get((at + t, y), (-1.0,)) < row:
-                            best[at + t, y] = row
-            out = [(t, items.ids[y], *row) for (t, y), row in sorted(best.items())]
+                for items in in_turn(blocks):
+                    items.ready()
+                    if not items.words:
+                        continue
+                    best: dict[tuple[int, int], tuple] = {}
+                    known = items.find(w.hashes)
+                    x, y, near = _candidates(items, w, text, _blocks(w, known, STRIDE, -1)[0], sums, cosine)
+                    t = text[x]
+                    word = (x - first[x]) * STRIDE
+                    begin = w.offsets[t]
+                    a = np.maximum(begin, begin + word - items.lengths[y])
+                    e = np.minimum(w.offsets[t + 1], begin + word + WINDOW + items.lengths[y])
+                    for c, bits in _compared(items, w, known, a, e, y, min(direct, loose)):
+                        j = int(y[c])
+                        size, tail = len(items.words[j]), items.answers[j]
+                        share, kept = bits.bit_count() / size, (bits >> (size - tail)).bit_count() / tail
+                        if share >= direct or (share >= loose and kept >= answer):
+                            row = (share, kept, float(near[x[c], j]), int(word[c]))
+                            if best.get((at + int(t[c]), j), (-1.0,)) < row:
+                                best[at + int(t[c]), j] = row
+                    for i, j in items.in_a_row(w):
+                        own = int(w.owner[i])
+                        place = i - int(w.offsets[own])
+                        row = (1.0, 1.0, float(near[np.searchsorted(text, own) + place // STRIDE, j]), place)
+                        if best.get((at + own, j), (-1.0,)) < row:
+                            best[at + own, j] = row
+                    out += [(i, items.ids[j], *row) for (i, j), row in best.items()]
             rows = np.array([o[0] for o in out], np.int64)
             yield pa.record_batch([batch.column(0).take(pa.array(rows)), *(pa.array([o[k] for o in out], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.int64())))], ["id", "item_id", "share", "answer", "cosine", "word"])
 
@@ -311,20 +408,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return spark.createDataFrame([], shape)
     space, idf = found_space
     space_shared = spark.sparkContext.broadcast(space)
-    found = None
-    block: list[tuple[int, bytes]] = []
     wanted = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    blocks: list = []
+    some: list[tuple[int, bytes]] = []
 
-    def search(block: list[tuple[int, bytes]]) -> DataFrame:
-        items = Items([i for i, _ in block], [t for _, t in block], space, idf, (direct, loose, answer))
-        return rows.mapInArrow(_search(space_shared, spark.sparkContext.broadcast(items), (cosine, direct, loose, answer)), shape)
+    def close() -> None:
+        blocks.append(spark.sparkContext.broadcast(Items([i for i, _ in some], [t for _, t in some], space, idf, (direct, loose, answer))))
+        release(blocks[-1])
+        some.clear()
 
     for row in wanted.toLocalIterator():
-        block.append((row["i"], row["t"].encode()))
-        if len(block) == ITEMS:
-            found = search(block) if found is None else found.union(search(block))
-            block = []
-    if block or found is None:
-        found = search(block) if found is None else found.union(search(block))
+        some.append((row["i"], row["t"].encode()))
+        if len(some) == ITEMS:
+            close()
+    if some:
+        close()
+    found = rows.mapInArrow(_search(space_shared, blocks, (cosine, direct, loose, answer)), shape)
     best = F.max(F.struct("share", "answer", "cosine", (-F.col("word")).alias("word")))
     return found.groupBy("id", "item_id").agg(best.alias("b")).select("id", "item_id", "b.share", "b.answer", "b.cosine", (-F.col("b.word")).alias("word"))

@@ -300,7 +300,7 @@ def test_toxicity(spark):
 def test_decontamination(spark):
     rng = random.Random(9)
     made = [f"w{i}" for i in range(3000)]
-    items = [(k, " ".join(rng.choice(made) for _ in range(rng.randint(15, 58)))) for k in range(12)] + [(50, None), (51, "too short"), (52, "")]
+    items = [(k, " ".join(rng.choice(made) for _ in range(rng.randint(15, 58)))) for k in range(12)] + [(50, None), (51, "too short"), (52, "")]  # (51 is in no text)
     rows, want = [], set()
     for i in range(240):
         w = [rng.choice(made) for _ in range(rng.randint(0, 200))]
@@ -594,3 +594,54 @@ def test_decontamination_finds_short_copies_in_long_texts(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, rows), bench, cosine=1.01).collect()}
     assert got == {(i, i % 40) for i in range(160)}
+
+
+def test_decontamination_finds_items_of_few_words(spark):
+    """Items of one to four words: exactly the texts that hold their words in a row; with the items in several blocks."""
+    rng = random.Random(3)
+    made = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(rng.choice(made) for _ in range(1 + k % 4)) + rng.choice(["", ".", "?"])) for k in range(24)] + [(90, "..."), (91, "W1 w2")]
+    rows = [(i, " ".join(rng.choice(made).upper() for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(None, "x W1, w2 y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: [x.strip(".,?").lower() for x in t.split() if x.strip(".,?")]
+    want = {(i, k) for i, t in rows for k, x in items if words(x) and any(words(t)[a : a + len(words(x))] == words(x) for a in range(len(words(t))))}
+    for size in (1024, 5):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontamination, "ITEMS", size)
+            got = decontamination.contaminated(documents(spark, rows), bench).collect()
+        assert {(r["id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+        assert all(r["share"] == r["answer"] == 1.0 for r in got)
+
+
+def paraphrased(rng, words, share, made):
+    """The item with `share` of its words but the answer's kept, others replaced, and some words put in; the last quarter is the answer."""
+    tail = max(1, len(words) // 4)
+    head = words[: len(words) - tail]
+    gone = set(rng.sample(range(len(head)), len(words) - round(share * len(words))))
+    out = [rng.choice(made) if i in gone else x for i, x in enumerate(head)]
+    for _ in range(len(words) // 10):
+        out.insert(rng.randint(0, len(out)), rng.choice(made))
+    return out + words[len(words) - tail :]
+
+
+def test_decontamination_recall_of_paraphrases(spark):
+    """Paraphrases that keep 70 % of the words and the answer, in texts of 20 to 600 words: 0.9 of them are found at least, and no clean text."""
+    rng = random.Random(31)
+    made = rng.choices([f"w{i}" for i in range(4000)], [1 / (10 + i) for i in range(4000)], k=20000)
+    items = []
+    for k in range(60):
+        w = [rng.choice(made) for _ in range(rng.randint(12, 60))]
+        tail = max(1, len(w) // 4)
+        items.append((k, " ".join(w[: len(w) - tail]) + ". " + " ".join(w[len(w) - tail :])))
+    rows, want = [(1000 + i, " ".join(rng.choice(made) for _ in range(rng.randint(20, 600)))) for i in range(240)], set()
+    for i in range(180):
+        around = [rng.choice(made) for _ in range(rng.randint(5, 500))]
+        at = rng.randint(0, len(around))
+        around[at:at] = paraphrased(rng, items[i % 60][1].replace(".", "").split(), 0.7, made)
+        rows.append((i, " ".join(around)))
+        want.add((i, i % 60))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, rows), bench).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert not {i for i, _ in got if i >= 1000}
+    print("paraphrases found:", len(got & want), "of", len(want), "others:", len(got - want))

@@ -2,12 +2,13 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import queries
+from rasterloom.llm import decontamination, queries
 from rasterloom.llm.token_counts import accepted
 
 from ..conftest import SMALL
@@ -102,6 +103,28 @@ def test_decontamination_query_finds_planted_passages(spark, tables, texts):
     assert want <= got and len(got) <= len(want) + 3
 
 
+def test_decontamination_query_equals_brute_force(spark, tables, texts):
+    """Every window of every text against every item, by the checks alone."""
+    items = {k: t for k, t in tables.execute("SELECT item_id, text FROM benchmark").fetchall() if t}
+    own = {k: decontamination.Tokens([t.encode()]).hashes.tolist() for k, t in items.items()}
+    want = set()
+    for i, t in texts.items():
+        words = decontamination.Tokens([(t or "").encode()]).hashes.tolist()
+        for k, item in own.items():
+            tail, n = decontamination._answer_words(items[k].encode(), len(item)), len(item)
+            if (Counter(words) & Counter(item)).total() < decontamination.LOOSE * n:
+                continue
+            for at in range(0, len(words), decontamination.STRIDE):
+                near = words[max(0, at - n) : at + decontamination.WINDOW + n]
+                if (Counter(near) & Counter(item)).total() >= decontamination.LOOSE * n:
+                    bits = decontamination.common_subsequence(item, near)
+                    share, kept = bits.bit_count() / n, (bits >> (n - tail)).bit_count() / tail
+                    if share >= decontamination.DIRECT or (share >= decontamination.LOOSE and kept >= decontamination.ANSWER):
+                        want.add((i, k))
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op4_decontamination(spark, SMALL).collect()}
+    assert got == want and want
+
+
 def test_pipeline_stages(spark, tables, texts, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
