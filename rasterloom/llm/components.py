@@ -1,4 +1,9 @@
-"""Connected components of a link table, without collecting it: large-star / small-star rounds of joins."""
+"""Connected components of a link table, without collecting it: large-star / small-star rounds of joins.
+
+A vertex of many links (a hub) has its least neighbour from a partially aggregated group-by, which no number of links
+overloads; the join back to its links takes hubs from a broadcast, so that they are never dealt to one task. A hub has more
+than HUB links and more than one in MOST_HUBS of all, which bounds the broadcast to 2 * MOST_HUBS rows of two ids.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,22 @@ from rasterloom.llm.common import cut
 
 #: Rounds double the reach, so that this many are never used up; a link table that needs more raises an error.
 MOST_ROUNDS = 60
+HUB, MOST_HUBS = 256, 500_000
+
 
+def hub_size(rows: int) -> int:
+    """Rows of one key above which it is a hub among so many rows."""
+    return max(HUB, rows // MOST_HUBS)
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """One star round. edges (u, v) with u > v, distinct. Links each neighbour of a vertex to the least of them."""
     seen = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = seen.join(least, "u")
+    least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+    hubs = least.where(F.col("n") > hub_size(rows)).select("u", "m")
+    marked = seen.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("m is null").drop("m").join(least.where(F.col("n") <= hub_size(rows)).select("u", "m"), "u")
+    joined = marked.where("m is not null").union(rest)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,9 +45,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
     now, before = cut(now), None
+    rows = now.count()
     for _ in range(MOST_ROUNDS):
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(cut(_star(now, True, rows)), False, rows))
         mark = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
+        rows = mark[0]
         if mark == before:
             break
         before = mark
@@ -49,6 +65,14 @@ class Forest:
     def __init__(self, n: int):
         self.parent = np.arange(n)
 
+    @classmethod
+    def of_groups(cls, own: np.ndarray) -> Forest:
+        """Members of equal `own` are joined from the start."""
+        out = cls(len(own))
+        _, first, at = np.unique(own, return_index=True, return_inverse=True)
+        out.parent = first[at]
+        return out
+
     def roots(self) -> np.ndarray:
         p = self.parent
         while True:

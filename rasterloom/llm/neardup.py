@@ -6,17 +6,22 @@ number that a pair at the threshold exceeds with a probability below MISSED. The
 chunks; by pigeonhole a pair within `errors` differing symbols has a chunk with at most one of them. Enumerating the one allowed error of a chunk (a
 key for each symbol left out) therefore guarantees that every pair under the signature distance shares a key.
 
-Plan. (1) One pass computes set size, a 128-bit set key and the signature; equal sets collapse to their smallest id in
-a partially aggregated group-by, so that copies never meet pairwise. (2) Keys of the remaining sets are grouped; keys
-of one set only are dropped before signatures are joined on. Groups are swept in key order inside partitions; large
-ones are first cut into pairs of blocks. A sweep emits spanning links of pairs within the signature distance, never
-all pairs. (3) Their components hold every candidate pair. Texts of these only are read again, their full sets are
-dealt by component (large ones by pairs of blocks), and the tasks confirm |A & B| * 100 >= |A | B| * percent exactly,
-again emitting spanning links only. (4) Components of the confirmed links give the classes.
+Plan. (1) One pass computes set size, a 128-bit set key and the signature; equal sets collapse to one vertex in
+a partially aggregated group-by, so that copies never meet pairwise. (2) Keys of the vertices are grouped; keys
+of one vertex only are dropped before signatures are joined on. Groups are swept in key order inside partitions. A sweep
+emits spanning links of pairs within the signature distance, nearest first, never all pairs. Groups larger than a block
+are swept in parts, each with the same few pivots of the group; only if that leaves a group in several components are its
+parts swept in pairs. (3) The components of these links hold every candidate pair. Texts of their vertices only are
+read again. A component of one block is confirmed in one task: |A & B| * 100 >= |A | B| * percent on full sets. In a larger
+one the candidate links themselves are confirmed first, a join of pairs; only if true links leave it in
+several pieces are its blocks dealt in pairs to confirm all pairs of different pieces. Every pair of a component is thus
+confirmed or already linked through others, whatever the component's size. (4) Components of the confirmed links give
+the classes. No step collects; hot keys and hubs are dealt by broadcasts of bounded size (components.py).
 
 Defined cases. Null or empty texts and texts of white space: no shingles, linked with nothing. Fewer than `width`
-words: the whole sequence is the one shingle. Repeated rows of one id: the smallest of their texts stands for the
-id. Rows without id are left out. Extra columns are ignored; empty tables give empty results.
+words: the whole sequence is the one shingle. Each row is a document, also where ids repeat or are null; its component is
+the smallest id that it reaches, which is null if it reaches null ids only. kept is whether both are equal, two nulls
+included. Extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import chunked, cut, flat, stash
-from rasterloom.llm.components import Forest, components
+from rasterloom.llm.common import BROADCAST_IDS, chunked, cut, flat, stash
+from rasterloom.llm.components import Forest, components, hub_size
 from rasterloom.llm.words import Words, mix, shingles
 
 HASHES, WIDTH, MISSED = 64, 5, 1e-5
@@ -38,12 +43,14 @@ HASHES, WIDTH, MISSED = 64, 5, 1e-5
 BLOCK_SETS = 1024
 #: Shingles of a block of full sets.
 BLOCK_SHINGLES = 1 << 20
+#: Vertices of a large key group that are in each of its parts.
+PIVOTS = 4
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _TURNS = _RNG.integers(1, 2**31, 512, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADDED = _RNG.integers(0, 2**32, 512, dtype=np.uint32)
 
-SIGNED = "id long, n_shingles long, k1 long, k2 long, sig binary"
+SIGNED = "id long, digest long, n_shingles long, k1 long, k2 long, sig binary"
 
 
 def allowed_errors(percent: int, hashes: int = HASHES) -> int:
@@ -82,13 +89,13 @@ def signatures(values: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarr
 def _sign(width: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat(batches):
-            ids = np.asarray(batch.column(0))
-            for at, raw in chunked(batch.column(1)):
+            for at, raw in chunked(batch.column(2)):
                 values, offsets = distinct_sets(raw, width)
                 sig = signatures(values, offsets, hashes)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(y))) for y in (mix(values ^ np.uint64(0x9E3779B97F4A7C15)), mix(values * np.uint64(0xD6E8FEB86659FD93)))]
                 k1, k2 = ((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
-                yield pa.record_batch([pa.array(ids[at : at + len(raw)]), pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "n_shingles", "k1", "k2", "sig"])
+                rest = [batch.column(c).slice(at, len(raw)) for c in (0, 1)]
+                yield pa.record_batch([*rest, pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "digest", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
@@ -118,7 +125,7 @@ def _key_rows(hashes: int, chunks: int, allowed: int):
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, hashes)
             keys = chunk_keys(sig, chunks, allowed)
-            yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), keys.shape[1]))], ["key", "id"])
+            yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), keys.shape[1]))], ["key", "node"])
 
     return run
 
@@ -156,24 +163,27 @@ def _bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def _near(hashes: int, errors: int):
-    """Spanning links of the pairs within the signature distance, for each run of (key, part)."""
+    """Spanning links of the pairs within the signature distance, for each run of (key, part); members of one piece are linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["key", "part"]):
             bounds = _bounds(t, ["key", "part"])
-            ids = np.asarray(t.column("id"))
+            ids, piece = np.asarray(t.column("node")), np.asarray(t.column("piece"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, hashes)
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]
-            close = two[(sig[two] != sig[two + 1]).sum(axis=1) <= errors]
+            close = two[((sig[two] != sig[two + 1]).sum(axis=1) <= errors) & (piece[two] != piece[two + 1])]
             left, right = [ids[close]], [ids[close + 1]]
             for a, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-                forest, own = Forest(int(n)), sig[a : a + n]
+                forest, own = Forest.of_groups(piece[a : a + n]), sig[a : a + n]
                 for i in range(1, int(n)):
                     roots = forest.roots()[:i]
                     open_ = np.flatnonzero(roots != forest.find(i))
-                    hits = open_[(own[open_] != own[i]).sum(axis=1) <= errors]
-                    for j in hits:
+                    if not len(open_):
+                        continue
+                    apart = (own[open_] != own[i]).sum(axis=1)
+                    near = np.flatnonzero(apart <= errors)
+                    for j in open_[near[np.argsort(apart[near], kind="stable")]]:
                         if forest.join(i, int(j)):
                             left.append(ids[[a + i]])
                             right.append(ids[[a + j]])
@@ -183,15 +193,51 @@ def _near(hashes: int, errors: int):
     return run
 
 
-def dealt_in_blocks(df: DataFrame, key: str, id_: str, sizes: DataFrame, parts) -> DataFrame:
-    """df joined with sizes (key, parts) and a column `part`: groups of one part whole, others as all pairs of parts.
+def in_pairs_of_parts(df: DataFrame, id_: str) -> DataFrame:
+    """df, whose groups have `parts` parts, with a column `part` of all pairs of parts: a row is repeated `parts` times.
 
-    Every two rows of a group meet in at least one (key, part); a row of a group of p parts is repeated p times.
+    Every two rows of a group meet in at least one part.
     """
-    df = df.join(sizes.withColumn("_parts", parts), key)
-    own = F.pmod(F.xxhash64(id_), F.col("_parts"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda other: F.least(other, F.col("_own")) * F.col("_parts") + F.greatest(other, F.col("_own")))
-    return df.withColumn("_own", own).withColumn("part", F.explode(F.when(F.col("_parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(pair))).drop("_own", "_parts")
+    df = df.withColumn("_own", F.pmod(F.xxhash64(id_), F.col("parts")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: F.least(other, F.col("_own")) * F.col("parts") + F.greatest(other, F.col("_own")))
+    return df.withColumn("part", F.explode(pair)).drop("_own", "parts")
+
+
+def signature_links(reps: DataFrame, hashes: int, errors: int) -> tuple[DataFrame, DataFrame]:
+    """Components (node, comp) of the vertices (node, sig) by signatures within the distance, and the links (a, b) that make them."""
+    chunks = errors // 2 + 1
+    keyed = stash(reps.select("node", "sig").mapInArrow(_key_rows(hashes, chunks, errors // chunks), "key long, node long"), "keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("rows"), *(F.min(F.struct(F.xxhash64("node", F.lit(j)), "node"))["node"].alias(f"p{j}") for j in range(PIVOTS))).where("rows > 1")
+    sizes = cut(sizes)
+    signed = reps.select("node", "sig")
+
+    def swept(met: DataFrame) -> DataFrame:
+        met = met.join(signed, "node").select("key", "part", "node", "piece", "sig")
+        return met.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_near(hashes, errors), "a long, b long")
+
+    # keys of very many vertices are taken from a broadcast, others meet their sizes in a join
+    hot = sizes.where(F.col("rows") > max(BLOCK_SETS, hub_size(int(keyed.count()))))
+    marked = keyed.join(F.broadcast(hot.select("key", F.col("rows").alias("_hot"))), "key", "left")
+    small = marked.where("_hot is null").drop("_hot").join(sizes.select("key", "rows"), "key")
+    large = marked.where("_hot is not null").withColumnRenamed("_hot", "rows").select("key", "node", "rows").union(small.where(F.col("rows") > BLOCK_SETS).select("key", "node", "rows"))
+    small = small.where(F.col("rows") <= BLOCK_SETS)
+    first = swept(small.withColumn("part", F.lit(0).cast("long")).withColumn("piece", F.col("node")))
+    if not sizes.where(F.col("rows") > BLOCK_SETS).limit(1).count():
+        links = cut(first.distinct())
+        return cut(components(links, "a", "b").toDF("node", "comp")), links
+    parts = F.ceil(F.col("rows") / BLOCK_SETS)
+    own = large.withColumn("part", F.pmod(F.xxhash64("node"), parts)).select("key", "part", "node")
+    pivots = sizes.where(F.col("rows") > BLOCK_SETS).select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.explode(F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS))))).alias("node"))
+    links = stash(first.union(swept(own.union(pivots).distinct().withColumn("piece", F.col("node")))), "near")
+    pieces = cut(components(links, "a", "b").toDF("node", "piece"))
+    # large groups that are still in several pieces
+    placed = large.join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    open_ = cut(placed.groupBy("key").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("key"))
+    if open_.limit(1).count():
+        again = placed.join(open_, "key", "left_semi").select("key", "node", "piece", parts.alias("parts"))
+        links = cut(links.union(swept(in_pairs_of_parts(again, "node"))))
+        pieces = cut(components(links, "a", "b").toDF("node", "piece"))
+    return pieces.toDF("node", "comp"), links
 
 
 def _sets(width: int):
@@ -199,24 +245,22 @@ def _sets(width: int):
         for batch in flat(batches):
             for at, raw in chunked(batch.column("text")):
                 values, offsets = distinct_sets(raw, width)
-                rest = [batch.column(c).slice(at, len(raw)) for c in ("id", "comp")]
-                yield pa.record_batch([*rest, pa.array(np.diff(offsets)), pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["id", "comp", "n", "members"])
+                rest = [batch.column(c).slice(at, len(raw)) for c in ("node", "comp")]
+                yield pa.record_batch([*rest, pa.array(np.diff(offsets)), pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "comp", "n", "members"])
 
     return run
 
 
-def confirmed(sets: list[np.ndarray], sigs: np.ndarray | None, percent: int, errors: int) -> list[tuple[int, int]]:
-    """Spanning links among sets: pairs with 100 * |A & B| >= percent * |A | B|, checked on all members."""
+def confirmed(sets: list[np.ndarray], piece: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links among sets: pairs with 100 * |A & B| >= percent * |A | B|, checked on all members. Sets of one piece are linked already."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     ends = np.concatenate(([0], np.cumsum(sizes)))
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
     seen = np.zeros(int(dense.max(initial=0)) + 1, bool)
-    forest, out = Forest(n), []
+    forest, out = Forest.of_groups(piece), []
     for i in range(1, n):
         fits = np.flatnonzero((100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & (forest.roots()[:i] != forest.find(i)))
-        if sigs is not None and len(fits):
-            fits = fits[(sigs[fits] != sigs[i]).sum(axis=1) <= errors]
         if not len(fits):
             continue
         mine = dense[ends[i] : ends[i + 1]]
@@ -234,19 +278,17 @@ def confirmed(sets: list[np.ndarray], sigs: np.ndarray | None, percent: int, err
     return out
 
 
-def _confirm(percent: int, hashes: int, errors: int):
+def _confirm(percent: int):
+    """Spanning links of each run of (comp, part)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["comp", "part"], 1 << 11):
-            bounds, ids, members = _bounds(t, ["comp", "part"]), np.asarray(t.column("id")), t.column("members").combine_chunks()
+            bounds, ids, piece, members = _bounds(t, ["comp", "part"]), np.asarray(t.column("node")), np.asarray(t.column("piece")), t.column("members").combine_chunks()
             a_out, b_out = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
                     own = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.slice(a, b - a)]
-                    sigs = None
-                    if b - a > 64:  # for few, the sets themselves are as fast
-                        flat_, ends = np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
-                        sigs = signatures(flat_, ends, hashes)
-                    for i, j in confirmed(own, sigs, percent, errors):
+                    for i, j in confirmed(own, piece[a:b], percent):
                         a_out.append(ids[a + i])
                         b_out.append(ids[a + j])
             yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
@@ -254,34 +296,85 @@ def _confirm(percent: int, hashes: int, errors: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
-    """(id, n_shingles, component_id, kept): one row per id; see the module's text for method and defined cases."""
-    errors = allowed_errors(percent, hashes)
-    chunks = errors // 2 + 1
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if texts.groupBy("id").count().where("count > 1").limit(1).count():
-        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-    signed = stash(texts.mapInArrow(_sign(width, hashes), SIGNED), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep"))
-    reps = stash(classes, "reps")
-
-    keyed = reps.select(F.col("rep").alias("id"), "sig").mapInArrow(_key_rows(hashes, chunks, errors // chunks), "key long, id long")
-    keyed = stash(keyed, "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = dealt_in_blocks(keyed, "key", "id", sizes, F.ceil(F.col("rows") / BLOCK_SETS))
-    met = met.join(reps.select(F.col("rep").alias("id"), "sig"), "id").select("key", "part", "id", "sig")
-    near = met.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_near(hashes, errors), "a long, b long").distinct()
-    groups = components(near, "a", "b").withColumnRenamed("component", "comp")
-    groups = cut(groups)
-
-    members = texts.join(groups, "id").mapInArrow(_sets(width), "id long, comp long, n long, members binary")
-    members = stash(members, "sets")
+def _confirm_pairs(percent: int):
+    """Those of the pairs (a, b, one, other) whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in flat(batches):
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, name: str, rows: int) -> DataFrame:
+    """pairs with the set of one side's vertex; a hub's pairs are dealt to several tasks, with a copy of its set each."""
+    other = "b" if side == "a" else "a"
+    most = hub_size(rows)
+    hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / most).alias("salts")).where("salts > 1")
+    left = pairs.join(F.broadcast(hubs), side, "left").withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(other), "salts"))).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1))
+    right = sets.select(F.col("node").alias(side), F.col("members").alias(name)).join(F.broadcast(hubs), side, "left").withColumn("salt", copies).drop("salts")
+    return left.join(right, [side, "salt"]).drop("salt")
+
+
+def confirmed_links(members: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of similar sets, enough to give the classes, of members (node, comp, n, members) and links (a, b) of candidates."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
-    dealt = dealt_in_blocks(members, "comp", "id", sizes, F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    links = dealt.select("comp", "part", "id", "members").repartition("comp", "part").sortWithinPartitions("comp", "part", "id").mapInArrow(_confirm(percent, hashes, errors), "a long, b long")
-    linked = components(links, "a", "b")
+    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    large = cut(sizes.withColumn("parts", parts).where("parts > 1"))
+    # at most one in BLOCK_SETS of the vertices, or in BLOCK_SHINGLES of the shingles
+    few = large.count()
+    marked = members.join(F.broadcast(large.select("comp", "parts")) if few <= BROADCAST_IDS else large.select("comp", "parts"), "comp", "left")
+
+    def swept(dealt: DataFrame) -> DataFrame:
+        return dealt.select("comp", "part", "node", "piece", "members").repartition("comp", "part").sortWithinPartitions("comp", "part", "node").mapInArrow(_confirm(percent), "a long, b long")
+
+    links = swept(marked.where("parts is null").withColumn("part", F.lit(0).cast("long")).withColumn("piece", F.col("node")))
+    if not few:
+        return links
+    sets = marked.where("parts is not null")
+    asked = near.join(sets.select(F.col("node").alias("a")), "a", "left_semi").distinct()
+    asked = cut(asked)
+    rows = asked.count()
+    pairs = _with_sets(_with_sets(asked, "a", sets, "one", rows), "b", sets, "other", rows).select("a", "b", "one", "other")
+    links = stash(links.union(pairs.mapInArrow(_confirm_pairs(percent), "a long, b long")), "confirmed")
+    pieces = cut(components(links, "a", "b").toDF("node", "piece"))
+    placed = sets.select("node", "comp").join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    open_ = cut(placed.groupBy("comp").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("comp"))
+    if open_.limit(1).count():
+        again = sets.join(F.broadcast(open_) if few <= BROADCAST_IDS else open_, "comp", "left_semi").join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+        links = links.union(swept(in_pairs_of_parts(again, "node")))
+    return links
 
-    roots = reps.join(linked, reps["rep"] == linked["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("root"))
-    out = signed.drop("sig").join(roots, ["k1", "k2"], "left").select("id", F.col("n_shingles"), F.coalesce("root", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id") == F.col("component_id"))
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
+    """(id, n_shingles, component_id, kept): one row for each row; see the module's text for method and defined cases."""
+    errors = allowed_errors(percent, hashes)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.select("id", F.xxhash64("text").alias("digest"), "text")
+    signed = stash(texts.mapInArrow(_sign(width, hashes), SIGNED), "signed")
+    # a vertex is a distinct set; its text is found again by id and digest
+    classes = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.first("sig").alias("sig"), F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("of"))
+    reps = stash(classes.withColumn("node", F.col("k1")), "reps")
+    groups, candidates = signature_links(reps, hashes, errors)
+
+    found = stash(groups.join(reps.select("node", "of.*"), "node"), "groups")
+    few = found.count() <= BROADCAST_IDS
+    again = texts.join(F.broadcast(found) if few else found, (texts["digest"] == found["digest"]) & texts["id"].eqNullSafe(found["id"])).select("node", "comp", "text")
+    if texts.groupBy("id").count().where("count > 1").limit(1).count():  # rows of one id and text
+        again = again.groupBy("node", "comp").agg(F.first("text").alias("text"))
+    members = stash(again.mapInArrow(_sets(width), "node long, comp long, n long, members binary"), "sets")
+    linked = components(confirmed_links(members, candidates, percent), "a", "b").toDF("node", "class")
+
+    placed = reps.select("k1", "k2", "node", "least").join(linked, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    least = placed.groupBy("class").agg(F.min("least").alias("root"))
+    roots = placed.join(least, "class").select("k1", "k2", "root")
+    out = signed.select("id", "n_shingles", "k1", "k2").join(roots, ["k1", "k2"], "left")
+    out = out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -106,6 +106,25 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce
 FROM embeddings LEFT JOIN least_of ON vec_id = least_of.a LEFT JOIN counted ON vec_id = counted.a
 """
 
+ORACLE_7 = """
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM worded
+), sizes AS (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+members AS (SELECT r, unnest(s) AS x FROM sets),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM members a JOIN members b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+half AS (SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * shared.n >= 85 * (p.n + q.n - shared.n)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a, min(doc_id) AS root FROM reach JOIN sizes ON r = b GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(root, doc_id)) AS kept
+FROM sizes LEFT JOIN least_of ON r = a
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_toxicity": op2_toxicity,
@@ -121,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_embedding_neardup": ORACLE_1,
+    "op7_minhash_neardup": ORACLE_7,
     "op8_mixing": mixing.ORACLE,
 }

@@ -87,8 +87,36 @@ def test_neardup_in_blocks(spark, monkeypatch):
 
 def test_neardup_edges(spark):
     assert neardup.near_duplicates(documents(spark, [(1, None)]).where("doc_id = 0")).count() == 0
-    rows = neardup.near_duplicates(documents(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")])).collect()
-    assert {r["id"]: r["component_id"] for r in rows} == {1: 1, 2: 1}
+    rows = neardup.near_duplicates(documents(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c"), (2, "d e"), (None, "x y"), (None, "x y"), (None, None), (7, "d e")])).collect()
+    assert Counter((r["id"], r["component_id"], r["kept"]) for r in rows) == Counter({(1, 1, True): 2, (None, 1, False): 1, (2, 1, False): 1, (2, 2, True): 1, (None, None, True): 3, (7, 2, False): 1})
+
+
+@pytest.mark.parametrize("block", [1024, 6])
+def test_neardup_of_one_chained_component(spark, monkeypatch, block):
+    """A chain of texts each of which is similar to its neighbours only, a group of near copies, and texts between two of them."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", block)
+    rng = random.Random(13)
+    words_ = [f"v{i}" for i in range(4000)]
+    rng.shuffle(words_)
+    texts = {i: " ".join(words_[i * 4 : i * 4 + 60]) for i in range(120)}  # a step of 4 of 56 shingles: neighbours at 52 / 60
+    base = words_[3000:3100]
+    for i in range(60):
+        copy = base[:]
+        copy[rng.randrange(100)] = f"y{i}"
+        texts[1000 + i] = " ".join(copy)
+    half = base[:50] + words_[3500:3550]
+    texts |= {2000 + i: " ".join(half[:90] + [f"z{i}"] * 10) for i in range(10)}
+    want, _ = near_classes(texts, 85)
+    rows = neardup.near_duplicates(documents(spark, list(texts.items())), percent=85).collect()
+    assert {r["id"]: r["component_id"] for r in rows} == want
+    assert len({want[i] for i in range(120)}) < 20
+
+
+def test_hub_components(spark):
+    """A hub whose links are dealt from a broadcast, in two components with chains."""
+    links = [(1, 1000 + i) for i in range(700)] + [(5000 + i, 5001 + i) for i in range(30)] + [(5000, 900)] + [(900, 6000 + i) for i in range(600)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == classes(links, {x for p in links for x in p})
 
 
 def test_signature_guarantee():
