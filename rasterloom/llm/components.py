@@ -47,7 +47,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now, before = cut(now), None
     rows = now.count()
     for _ in range(MOST_ROUNDS):
-        now = cut(_star(cut(_star(now, True, rows)), False, rows))
+        now = cut(_star(_star(now, True, rows), False, rows))
         mark = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
         rows = mark[0]
         if mark == before:
@@ -82,6 +82,12 @@ class Forest:
                 return q
             p = q
 
+    def moved(self, before: np.ndarray) -> np.ndarray:
+        """(2, n): former roots that have a root now, and that root. As many as there were joins."""
+        now = self.roots()
+        at = np.flatnonzero((before == np.arange(len(now))) & (now != before))
+        return np.stack([at, now[at]])
+
     def find(self, i: int) -> int:
         p = self.parent
         while p[i] != i:

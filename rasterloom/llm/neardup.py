@@ -9,10 +9,10 @@ key for each symbol left out) therefore guarantees that every pair under the sig
 Plan. (1) One pass computes set size, a 128-bit set key and the signature; equal sets collapse to one vertex in
 a partially aggregated group-by, so that copies never meet pairwise. (2) Keys of the vertices are grouped; keys
 of one vertex only are dropped before signatures are joined on. Groups are swept in key order inside partitions. A sweep
-emits spanning links of pairs within the signature distance, nearest first, never all pairs. Groups larger than a block
-are swept in parts, each with the same few pivots of the group; only if that leaves a group in several components are its
-parts swept in pairs. (3) The components of these links hold every candidate pair. Texts of their vertices only are
-read again. A component of one block is confirmed in one task: |A & B| * 100 >= |A | B| * percent on full sets. In a larger
+emits spanning links of pairs within the signature distance, nearest first, never all pairs. Groups of a few blocks are
+swept in pairs of blocks. Larger ones are swept in parts, each with the same few pivots of the group, and in pairs of
+parts only if that leaves the group in several components. (3) The components of these links hold every candidate pair. Texts of their vertices only are
+read again. A component of a few blocks is confirmed in pairs of blocks: |A & B| * 100 >= |A | B| * percent on full sets. In a larger
 one the candidate links themselves are confirmed first, a join of pairs; only if true links leave it in
 several pieces are its blocks dealt in pairs to confirm all pairs of different pieces. Every pair of a component is thus
 confirmed or already linked through others, whatever the component's size. (4) Components of the confirmed links give
@@ -43,7 +43,9 @@ HASHES, WIDTH, MISSED = 64, 5, 1e-5
 BLOCK_SETS = 1024
 #: Shingles of a block of full sets.
 BLOCK_SHINGLES = 1 << 20
-#: Vertices of a large key group that are in each of its parts.
+#: Parts up to which a group is dealt in pairs of parts at once, each row as often as there are parts.
+PAIRED = 4
+#: Vertices of a larger key group that are in each of its parts.
 PIVOTS = 4
 
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -163,7 +165,8 @@ def _bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def _near(hashes: int, errors: int):
-    """Spanning links of the pairs within the signature distance, for each run of (key, part); members of one piece are linked already."""
+    """For each run of (key, part): spanning links (a, b) of pairs within the signature distance, and as many (m, r) that
+    link members to the least of their tree. Members of one piece are linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["key", "part"]):
@@ -173,9 +176,10 @@ def _near(hashes: int, errors: int):
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]
             close = two[((sig[two] != sig[two + 1]).sum(axis=1) <= errors) & (piece[two] != piece[two + 1])]
-            left, right = [ids[close]], [ids[close + 1]]
+            out = [(close, close + 1, close + 1, close)]
             for a, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-                forest, own = Forest.of_groups(piece[a : a + n]), sig[a : a + n]
+                forest, own, links = Forest.of_groups(piece[a : a + n]), sig[a : a + n], []
+                before = forest.roots()
                 for i in range(1, int(n)):
                     roots = forest.roots()[:i]
                     open_ = np.flatnonzero(roots != forest.find(i))
@@ -183,16 +187,19 @@ def _near(hashes: int, errors: int):
                         continue
                     apart = (own[open_] != own[i]).sum(axis=1)
                     near = np.flatnonzero(apart <= errors)
-                    for j in open_[near[np.argsort(apart[near], kind="stable")]]:
-                        if forest.join(i, int(j)):
-                            left.append(ids[[a + i]])
-                            right.append(ids[[a + j]])
-            out = np.concatenate(left), np.concatenate(right)
-            yield pa.record_batch([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
+                    links += [(i, j) for j in open_[near[np.argsort(apart[near], kind="stable")]].tolist() if forest.join(i, j)]
+                if links:
+                    moved = forest.moved(before)
+                    out.append((*(a + np.array(links).T), *(a + moved)))
+            a, b, m, r = (ids[np.concatenate(x)] for x in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(m), pa.array(r)], ["a", "b", "m", "r"])
 
     return run
 
 
+NEAR = "a long, b long, m long, r long"
+
+
 def in_pairs_of_parts(df: DataFrame, id_: str) -> DataFrame:
     """df, whose groups have `parts` parts, with a column `part` of all pairs of parts: a row is repeated `parts` times.
 
@@ -213,31 +220,28 @@ def signature_links(reps: DataFrame, hashes: int, errors: int) -> tuple[DataFram
 
     def swept(met: DataFrame) -> DataFrame:
         met = met.join(signed, "node").select("key", "part", "node", "piece", "sig")
-        return met.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_near(hashes, errors), "a long, b long")
+        return met.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_near(hashes, errors), NEAR)
 
     # keys of very many vertices are taken from a broadcast, others meet their sizes in a join
-    hot = sizes.where(F.col("rows") > max(BLOCK_SETS, hub_size(int(keyed.count()))))
-    marked = keyed.join(F.broadcast(hot.select("key", F.col("rows").alias("_hot"))), "key", "left")
-    small = marked.where("_hot is null").drop("_hot").join(sizes.select("key", "rows"), "key")
-    large = marked.where("_hot is not null").withColumnRenamed("_hot", "rows").select("key", "node", "rows").union(small.where(F.col("rows") > BLOCK_SETS).select("key", "node", "rows"))
-    small = small.where(F.col("rows") <= BLOCK_SETS)
-    first = swept(small.withColumn("part", F.lit(0).cast("long")).withColumn("piece", F.col("node")))
-    if not sizes.where(F.col("rows") > BLOCK_SETS).limit(1).count():
-        links = cut(first.distinct())
-        return cut(components(links, "a", "b").toDF("node", "comp")), links
-    parts = F.ceil(F.col("rows") / BLOCK_SETS)
-    own = large.withColumn("part", F.pmod(F.xxhash64("node"), parts)).select("key", "part", "node")
-    pivots = sizes.where(F.col("rows") > BLOCK_SETS).select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.explode(F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS))))).alias("node"))
-    links = stash(first.union(swept(own.union(pivots).distinct().withColumn("piece", F.col("node")))), "near")
-    pieces = cut(components(links, "a", "b").toDF("node", "piece"))
-    # large groups that are still in several pieces
-    placed = large.join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
-    open_ = cut(placed.groupBy("key").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("key"))
-    if open_.limit(1).count():
-        again = placed.join(open_, "key", "left_semi").select("key", "node", "piece", parts.alias("parts"))
-        links = cut(links.union(swept(in_pairs_of_parts(again, "node"))))
-        pieces = cut(components(links, "a", "b").toDF("node", "piece"))
-    return pieces.toDF("node", "comp"), links
+    hot = sizes.where(F.col("rows") > max(BLOCK_SETS, hub_size(int(keyed.count())))).select("key", F.col("rows").alias("_hot"))
+    marked = keyed.join(F.broadcast(hot), "key", "left")
+    sized = marked.where("_hot is null").drop("_hot").join(sizes.select("key", "rows"), "key").unionByName(marked.where("_hot is not null").withColumnRenamed("_hot", "rows"))
+    sized = sized.withColumn("parts", F.ceil(F.col("rows") / BLOCK_SETS)).select("key", "node", "parts")
+    links = stash(swept(in_pairs_of_parts(sized.where(F.col("parts") <= PAIRED), "node").withColumn("piece", F.col("node"))), "near")
+    large = sizes.withColumn("parts", F.ceil(F.col("rows") / BLOCK_SETS)).where(F.col("parts") > PAIRED)
+    if large.limit(1).count():
+        wide = sized.where(F.col("parts") > PAIRED)
+        own = wide.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("key", "part", "node")
+        pivots = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("node")).withColumn("node", F.explode("node"))
+        links = stash(links.union(swept(own.union(pivots).distinct().withColumn("piece", F.col("node")))), "near")
+        pieces = cut(components(links, "m", "r").toDF("node", "piece"))
+        # large groups that are still in several pieces
+        placed = wide.join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+        open_ = cut(placed.groupBy("key").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("key"))
+        if not open_.limit(1).count():
+            return pieces.toDF("node", "comp"), links
+        links = stash(links.union(swept(in_pairs_of_parts(placed.join(open_, "key", "left_semi").select("key", "node", "piece", "parts"), "node"))), "near")
+    return cut(components(links, "m", "r").toDF("node", "comp")), links
 
 
 def _sets(width: int):
@@ -252,13 +256,14 @@ def _sets(width: int):
 
 
 def confirmed(sets: list[np.ndarray], piece: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links among sets: pairs with 100 * |A & B| >= percent * |A | B|, checked on all members. Sets of one piece are linked already."""
+    """(member, least of its tree) by pairs with 100 * |A & B| >= percent * |A | B|, checked on all members. Sets of one piece are linked already."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     ends = np.concatenate(([0], np.cumsum(sizes)))
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
     seen = np.zeros(int(dense.max(initial=0)) + 1, bool)
-    forest, out = Forest.of_groups(piece), []
+    forest = Forest.of_groups(piece)
+    before = forest.roots()
     for i in range(1, n):
         fits = np.flatnonzero((100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & (forest.roots()[:i] != forest.find(i)))
         if not len(fits):
@@ -272,10 +277,10 @@ def confirmed(sets: list[np.ndarray], piece: np.ndarray, percent: int) -> list[t
                 continue
             both = np.add.reduceat(seen[np.concatenate([dense[ends[j] : ends[j + 1]] for j in some])], np.concatenate(([0], np.cumsum(sizes[some])[:-1])), dtype=np.int64)
             for j, common in zip(some, both, strict=True):
-                if 100 * int(common) >= percent * int(sizes[i] + sizes[j] - common) and forest.join(i, j):
-                    out.append((i, j))
+                if 100 * int(common) >= percent * int(sizes[i] + sizes[j] - common):
+                    forest.join(i, j)
         seen[mine] = False
-    return out
+    return forest.moved(before).T.tolist()
 
 
 def _confirm(percent: int):
@@ -324,33 +329,33 @@ def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, name: str, rows: in
 
 
 def confirmed_links(members: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of similar sets, enough to give the classes, of members (node, comp, n, members) and links (a, b) of candidates."""
+    """Links (a, b) that give the classes, of members (node, comp, n, members) and links (a, b) of candidates."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    large = cut(sizes.withColumn("parts", parts).where("parts > 1"))
+    large = cut(sizes.withColumn("parts", parts).where("parts > 1").select("comp", "parts"))
     # at most one in BLOCK_SETS of the vertices, or in BLOCK_SHINGLES of the shingles
-    few = large.count()
-    marked = members.join(F.broadcast(large.select("comp", "parts")) if few <= BROADCAST_IDS else large.select("comp", "parts"), "comp", "left")
+    few = large.count() <= BROADCAST_IDS
+    marked = members.join(F.broadcast(large) if few else large, "comp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
 
-    def swept(dealt: DataFrame) -> DataFrame:
-        return dealt.select("comp", "part", "node", "piece", "members").repartition("comp", "part").sortWithinPartitions("comp", "part", "node").mapInArrow(_confirm(percent), "a long, b long")
+    def swept(sets: DataFrame) -> DataFrame:
+        dealt = in_pairs_of_parts(sets, "node").select("comp", "part", "node", "piece", "members")
+        return dealt.repartition("comp", "part").sortWithinPartitions("comp", "part", "node").mapInArrow(_confirm(percent), "a long, b long")
 
-    links = swept(marked.where("parts is null").withColumn("part", F.lit(0).cast("long")).withColumn("piece", F.col("node")))
-    if not few:
+    links = swept(marked.where(F.col("parts") <= PAIRED).withColumn("piece", F.col("node")))
+    if not large.where(F.col("parts") > PAIRED).limit(1).count():
         return links
-    sets = marked.where("parts is not null")
-    asked = near.join(sets.select(F.col("node").alias("a")), "a", "left_semi").distinct()
-    asked = cut(asked)
+    sets = marked.where(F.col("parts") > PAIRED)
+    asked = cut(near.select("a", "b").join(sets.select(F.col("node").alias("a")), "a", "left_semi").distinct())
     rows = asked.count()
     pairs = _with_sets(_with_sets(asked, "a", sets, "one", rows), "b", sets, "other", rows).select("a", "b", "one", "other")
     links = stash(links.union(pairs.mapInArrow(_confirm_pairs(percent), "a long, b long")), "confirmed")
     pieces = cut(components(links, "a", "b").toDF("node", "piece"))
     placed = sets.select("node", "comp").join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
     open_ = cut(placed.groupBy("comp").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("comp"))
-    if open_.limit(1).count():
-        again = sets.join(F.broadcast(open_) if few <= BROADCAST_IDS else open_, "comp", "left_semi").join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
-        links = links.union(swept(in_pairs_of_parts(again, "node")))
-    return links
+    if not open_.limit(1).count():
+        return links
+    again = sets.join(F.broadcast(open_) if few else open_, "comp", "left_semi").join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    return links.union(swept(again))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
