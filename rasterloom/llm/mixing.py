@@ -8,8 +8,9 @@ which running sums decide in exact integers. rate = target / size; a document is
 more if a hash of seed and id, uniform in [0, 1), lies below the fraction. Reruns and other partitionings agree.
 
 Plan. One pass with a partial aggregate by source, so that a hot source costs nothing; running sums over the one
-row of each source; a map-side join back to the documents when there are at most BROADCAST_SOURCES sources (counted),
-else a shuffled one. Texts are neither shuffled nor collected.
+row of each source, in range partitions whose totals (a few numbers each) are added up on the driver, so that sources may
+be as many as documents; a map-side join back to the documents when there are at most BROADCAST_SOURCES sources
+(counted), else a shuffled one. Texts are neither shuffled nor collected.
 
 Defined cases. Null texts have size 0 and are taken no words. A null source is a source of its own, last. Null ids
 hash as an empty string; repeated rows of one id are all counted and draw alike. Extra columns pass through
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import stash
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -31,22 +34,42 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size) -> the same with weight and target. One row for each source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    turn = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")).cast("long")
-    order = Window.orderBy((F.col("cap").cast("double") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    df = sizes.withColumn("weight", turn).withColumn("cap", F.col("source_size") * most)
-    df = df.withColumn("rest", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(earlier), F.lit(0)))
-    df = df.withColumn("shares", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
-    df = df.withColumn("capped", F.col("cap") * F.col("shares") <= F.col("rest") * F.col("weight"))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0))
-    free = F.coalesce(F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything), F.lit(0))
-    df = df.withColumn("left", left).withColumn("free", free)
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("left")).cast("double") / F.col("free").cast("double"))
-    return df.select("source", "source_size", "weight", target.alias("target"))
+def running(df: DataFrame, order: list[Column], values: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """df with the sums of values over all rows before each in an order without ties, and their totals.
+
+    Rows are dealt by ranges; a window runs inside each range only.
+    """
+    ranged = stash(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = [F.sum(v).cast("long").alias(name) for name, v in values.items()]
+    before, offsets = dict.fromkeys(values, 0), []
+    for row in sorted(ranged.groupBy("_part").agg(*sums).collect(), key=lambda r: r["_part"]):
+        offsets.append((row["_part"], *before.values()))
+        before = {name: n + int(row[name] or 0) for name, n in before.items()}
+    schema = "_part int" + "".join(f", _{name} long" for name in values)
+    first = F.broadcast(df.sparkSession.createDataFrame(offsets or [(-1, *before.values())], schema))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(first, "_part").select("*", *((F.col(f"_{name}") + F.coalesce(F.sum(v).over(own), F.lit(0))).alias(name) for name, v in values.items()))
+    return out.drop("_part", *(f"_{name}" for name in values)), before
+
+
+def _product(a: Column, b: Column) -> Column:
+    """Exact beyond 64 bits."""
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, int]:
+    """(source, source_size) -> the same with weight and target, one row for each source; and the number of sources."""
+    ranked, all_ = running(sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long"), "total": F.col("source_size")})
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    df = ranked.select("source", "source_size", turn.alias("weight"), (F.col("source_size") * most).alias("cap"))
+    order = [(F.col("cap").cast("double") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    df, sums = running(df, order, {"caps": F.col("cap"), "shares": F.col("weight")})
+    rest, shares = F.lit(all_["total"]) - F.col("caps"), F.lit(sums["shares"]) - F.col("shares")
+    df = df.withColumn("capped", _product(F.col("cap"), shares) <= _product(rest, F.col("weight")))
+    cut_off = df.agg(F.sum(F.when(F.col("capped"), F.col("cap"))).alias("caps"), F.sum(F.when(~F.col("capped"), F.col("weight"))).alias("free")).first()
+    left, free = all_["total"] - int(cut_off["caps"] or 0), int(cut_off["free"] or 0)
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.lit(left)).cast("double") / F.lit(float(free)))
+    return df.select("source", "source_size", "weight", target.alias("target")), all_["rank"]
 
 
 def uniform(id_: Column, seed: str) -> Column:
@@ -59,8 +82,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """One row per document: doc (all its columns), id, size, source_size, target, copies."""
     sized = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(source_col).alias("source"), words_in(F.col("doc").getField(text_col)).alias("size"))
     totals = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, most).select(F.struct("source").alias("key"), "source_size", "target")
-    if totals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    targets, sources = source_targets(totals, weights, most)
+    targets = targets.select(F.struct("source").alias("key"), "source_size", "target")
+    if sources <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     both = sized.join(targets, F.struct(sized["source"]).eqNullSafe(targets["key"]))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))

@@ -5,8 +5,9 @@ class (hex digits; letters, digits and + / _ - =) a window of fixed width slides
 of that class. Counts of its characters, and the sum of c * log2(c) over them, change by one addition and one removal
 a step, so that each step costs the same; entropy = log2(width) - sum / width. Windows at or above the class's
 threshold are merged to a span. An allow-list suppresses what only looks random: letters of one case alone (long
-words), digits alone (numbers have operators of their own), UUIDs, ascending or repeating runs, and strings that hold
-a placeholder word. Spans of the three base patterns are always kept and never suppressed.
+words), letters of which few have the other case (names joined by capitals), digits alone (numbers have operators of their own),
+ascending or repeating runs, UUIDs, and windows that hold a placeholder word; what stands beside such a window is
+scanned as ever. Spans of the three base patterns are always kept and never suppressed.
 
 Plan. A map over Arrow batches, without any shuffle: runs are found for a whole chunk of UTF-8 bytes in numpy, and
 Python sees candidates only. All classes are ASCII, so that bytes match as characters do; positions are then turned
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ PLACEHOLDERS = (b"example", b"sample", b"placeholder", b"changeme", b"dummy", b"
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _UUID = re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
-_TERMS = [0.0] + [c * math.log2(c) for c in range(1, 1025)]
+_PLACEHOLDER = re.compile(b"|".join(map(re.escape, PLACEHOLDERS)), re.IGNORECASE)
 
 
 def _members(chars: bytes) -> np.ndarray:
@@ -68,15 +70,22 @@ def runs_of(member: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarra
     return starts[keep], ends[keep]
 
 
+@lru_cache(maxsize=8)
+def _terms(width: int) -> list[float]:
+    """c * log2(c) of each count of a window."""
+    return [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
+
+
 def sliding_entropy(text: bytes, width: int) -> Iterator[tuple[int, float]]:
     """(position, bits) of each window of `width` bytes, from counts that change by one byte in and one out."""
+    terms = _terms(width)
     counts, total, top = [0] * 256, 0.0, math.log2(width)
     for i, c in enumerate(text):
-        total += _TERMS[counts[c] + 1] - _TERMS[counts[c]]
+        total += terms[counts[c] + 1] - terms[counts[c]]
         counts[c] += 1
         if i >= width:
             gone = text[i - width]
-            total += _TERMS[counts[gone] - 1] - _TERMS[counts[gone]]
+            total += terms[counts[gone] - 1] - terms[counts[gone]]
             counts[gone] -= 1
         if i >= width - 1:
             yield i - width + 1, top - total / width
@@ -85,18 +94,21 @@ def sliding_entropy(text: bytes, width: int) -> Iterator[tuple[int, float]]:
 def allowed(text: bytes) -> bool:
     """Whether the allow-list suppresses a string found by entropy alone."""
     kinds = bool(re.search(rb"[0-9]", text)), bool(re.search(rb"[a-z]", text)), bool(re.search(rb"[A-Z]", text))
-    if sum(kinds) < 2 or kinds == (False, True, True):  # one case, digits alone, or letters alone
+    if sum(kinds) < 2:  # one case, or digits alone
         return True
+    if not kinds[0]:  # letters alone: in words joined by capitals, one case is rare
+        upper, lower = len(re.findall(rb"[A-Z]", text)), len(re.findall(rb"[a-z]", text))
+        if 10 * min(upper, lower) < 3 * (upper + lower):
+            return True
     low = text.lower()
     steps = [b - a for a, b in zip(low, low[1:], strict=False)]
     return max((sum(s == k for s in steps) for k in (-1, 0, 1)), default=0) * 2 > len(steps)
 
 
 def entropy_spans(text: bytes, start: int, window: int, thresholds: dict[str, float]) -> Iterator[tuple[str, int, int, float]]:
-    """Spans of one candidate; start is its offset. UUIDs are cut out of it, and a placeholder word suppresses it whole."""
-    if any(w in text.lower() for w in PLACEHOLDERS):
-        return
-    text = _UUID.sub(lambda m: b"\0" * len(m.group()), text)
+    """Spans of one candidate; start is its offset. No window reaches into a UUID or a placeholder word."""
+    for known in (_UUID, _PLACEHOLDER):
+        text = known.sub(lambda m: b"\0" * len(m.group()), text)
     data = np.frombuffer(text + b" ", np.uint8)
     for kind, least in thresholds.items():
         for a, b in zip(*runs_of(_CLASSES[kind], data, window), strict=True):
@@ -124,7 +136,7 @@ def chunk_spans(raw: list[bytes], window: int, thresholds: dict[str, float]) ->
     for a, b in zip(*runs_of(_TEXT, data, window), strict=True):
         i = int(np.searchsorted(first, a, "right")) - 1
         text = raw[i][a - first[i] : b - first[i]]
-        if re.search(rb"[0-9]", text):  # without digits the allow-list takes it in any case
+        if re.search(rb"[0-9]", text) or not (text.islower() or text.isupper()):  # the allow-list takes letters of one case
             found[i] += entropy_spans(text, int(a - first[i]), window, thresholds)
     for i, text in enumerate(raw):
         if b"=" in text or b":" in text:

@@ -263,6 +263,18 @@ def test_secrets(spark):
     assert not any(s["kind"].startswith("entropy") for i in (7, 8, 9) for s in rows[i])
 
 
+def test_secrets_beside_what_the_allow_list_takes(spark):
+    """A placeholder suppresses its windows only; mixed-case letters count, joined words don't; windows of any width."""
+    secret, letters_ = "q8Zr3TfW1xPb7LmK9vYc2NsD5hGj", "qZrTfWxPbLmKvYcNsDhGjQwR"
+    block = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+    texts = [f"{secret}/xxxx", f"sample/{secret}", letters_, "thisIsAVeryLongNameOfSomeFunctionOrOther", f"{block[:1500]}xxxx{block[1500:]}", "EXAMPLE" * 6]
+    rows = {r["id"]: [texts[r["id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "entropy_text"] for r in secret_scan.secret_spans(documents(spark, list(enumerate(texts)))).collect()}
+    assert any(secret in x for x in rows[0]) and any(secret in x for x in rows[1]) and rows[2] == [letters_]
+    assert not rows[3] and sum(map(len, rows[4])) > 2800 and not rows[5]
+    wide = secret_scan.secret_spans(documents(spark, [(1, block)]), window=1500, thresholds={"entropy_text": 5.5}).first()["spans"]
+    assert [(s["start"], s["end"]) for s in wide] == [(0, 3000)]
+
+
 def test_sliding_entropy():
     rng = random.Random(1)
     text = bytes(rng.choice(b"abcdef0123456789") for _ in range(90))
@@ -426,6 +438,8 @@ def test_mixing(spark):
     for r in plan:
         s = r["doc"]["source"]
         assert abs(r["target"] - target[s]) < 1e-6 and r["source_size"] == sizes[s] and 0 <= r["copies"] <= 3
+    running, totals = mixing.running(spark.createDataFrame([(i, i * i) for i in range(500)], "i long, n long").repartition(5), [mixing.F.col("i").desc()], {"before": mixing.F.col("n")})
+    assert totals == {"before": sum(i * i for i in range(500))} and {r["i"]: r["before"] for r in running.collect()} == {i: sum(j * j for j in range(i + 1, 500)) for i in range(500)}
     copies = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
     again = Counter(r["doc"]["doc_id"] for r in mixing.mix_plan(docs.repartition(7)).collect() for _ in range(r["copies"]))
     assert copies == again
