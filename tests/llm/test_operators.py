@@ -162,6 +162,28 @@ def test_embedding_links(spark, monkeypatch, block):
     assert embedding_links.embedding_links(df.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_links_of_odd_rows(spark):
+    """Null and repeated ids, several lengths, one very long vector, and more than one list in the index."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, (centre + 0.15 * rng.normal(size=16)).tolist()) for c in range(20) for centre in [rng.normal(size=16)] for i in range(c * 10, c * 10 + 10)]
+    rows += [(500 + i, 0, [*v, 0.5, -0.5]) for i, _, v in rows[:30]] + [(900, 0, rng.normal(size=20_000).tolist()), (901, 0, [1.0, 2.0])]
+    odd = [(None, 0, rows[0][2]), (None, 0, rows[0][2]), (7, 0, rows[50][2]), (None, 1, rows[0][2])]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(embedding_links, "BLOCK", 20)
+        m.setattr(embedding_links, "SAMPLE", 64)
+        got = embedding_links.embedding_links(spark.createDataFrame(rows + odd, "vec_id long, label int, embedding array<double>")).collect()
+    numbered = [(k, label, v) for k, (_, label, v) in enumerate(rows + odd)]
+    ids = [i for i, _, _ in rows + odd]
+    links = cosine_links(numbered)
+    root, n = classes(links, range(len(ids))), Counter(x for p in links for x in p)
+    least = {}
+    for k, r in root.items():
+        if ids[k] is not None:
+            least[r] = min(least.get(r, ids[k]), ids[k])
+    want = Counter((ids[k], n[k], least.get(root[k]), ids[k] == least.get(root[k])) for k in range(len(ids)))
+    assert Counter((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == want and len(links) > 300
+
+
 def test_probes_are_sufficient():
     rng = np.random.default_rng(3)
     x = embedding_links.units_of(rng.normal(size=(400, 16)) + 2 * rng.normal(size=(8, 16)).repeat(50, axis=0))
