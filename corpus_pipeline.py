@@ -2,6 +2,9 @@
 
 Each stage's function takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents. Models and statistics are learned from the stage's own input.
+
+Defined cases. Rows without id take part as others do: filtering stages know them by a hash of the whole row, and of equal
+ones one stays in near-dedup. Of repeated ids the row that is least in the order of its columns, text first, stays there.
 """
 
 from __future__ import annotations
@@ -18,22 +21,34 @@ from rasterloom.llm.queries import byte_bpe
 from rasterloom.llm.token_files import tokens_of
 
 
+def known(docs: DataFrame) -> DataFrame:
+    """docs with _key: the id, or a hash of the row where there is none."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns)))
+
+
+def keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the keys in gone."""
+    return without(known(docs), gone, "_key").drop("_key")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those of no letter, and those none of whose n-grams any language holds."""
-    found = langid.predict(docs, langid.train(docs.where(fold("doc_id", 4) != 2)))
-    return without(docs, found.where((F.col("lang_pred") == langid.UND) | (F.col("score") <= 0)).select("id"), "doc_id")
+    found = langid.predict(known(docs), langid.train(docs.where(fold("doc_id", 4) != 2)), "_key")
+    return keep(docs, found.where((F.col("lang_pred") == langid.UND) | (F.col("score") <= 0)).select("id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; of repeated ids one row stays."""
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = stash(docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), "once")
-    return without(docs, near_duplicates(docs).where("not kept").select("id"), "doc_id")
+    """One document of each group of near-duplicates stays, the one with the smallest id (or hash, where there is none)."""
+    if known(docs).groupBy("_key").count().where("count > 1").limit(1).count():
+        columns = ["text", *(c for c in docs.columns if c != "text")]
+        once = known(docs).groupBy("_key").agg(F.min(F.struct(*columns)).alias("_row"))
+        docs = stash(once.select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns)), "once")
+    return keep(docs, near_duplicates(known(docs), "_key").where("not kept").select("id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("id").distinct(), "doc_id")
+    return keep(docs, contaminated(known(docs), table(spark, sf_dir, "benchmark"), "_key").select("id").distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

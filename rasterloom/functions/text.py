@@ -3,59 +3,133 @@
 from __future__ import annotations
 
 import gzip
-import re
+import math
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType
 
-_TOKEN = re.compile(r"[A-Za-z]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
-_PATHS = re.compile(r'(\sd=")([^"]*)(")')
-_CLIPS = re.compile(r'<clipPath\b[^>]*>.*?</clipPath>|\sclip-path="[^"]*"', re.DOTALL)
-_LAYERS = re.compile(r'<g\b[^>]*\bid="(regions|strokes|edges|shade)"')
+#: Layers whose paths take the second number of places.
+LATER_LAYERS = ("strokes", "edges", "shade")
+
+
+def _written(value: float, places: int) -> tuple[str, str, str]:
+    """Sign, digits before the point ("" for none) and digits behind it, of a number rounded to so many places."""
+    units = round(Fraction(value) * 10**places)
+    whole, part = divmod(abs(units), 10**places)
+    width = places
+    while part and part % 10 == 0:
+        part, width = part // 10, width - 1
+    return "-" if units < 0 else "", str(whole) if whole else "", f"{part:0{width}d}" if part else ""
 
 
 def fixed(value: float, places: int = 1) -> str:
     """A number with at most `places` decimals, without trailing zeros and without a negative zero."""
-    text = f"{value:.{places}f}"
-    if "." in text:
-        text = text.rstrip("0").rstrip(".")
-    return "0" if text in ("-0", "") else text
+    sign, whole, part = _written(value, places)
+    return f"{sign}{whole or 0}.{part}" if part else f"{sign}{whole or 0}"
 
 
 def compact(value: float, places: int = 1) -> str:
     """As fixed(), without the zero before a decimal point."""
-    text = fixed(value, places)
-    if text.startswith("0."):
-        return text[1:]
-    return "-" + text[2:] if text.startswith("-0.") else text
+    sign, whole, part = _written(value, places)
+    return f"{sign}{whole}.{part}" if part else f"{sign}{whole or 0}"
+
+
+def _digits(text: str, at: int) -> int:
+    """Where the digits that begin at a place end."""
+    while at < len(text) and text[at] in "0123456789":
+        at += 1
+    return at
+
+
+def path_tokens(path: str) -> Iterator[str | float]:
+    """Commands (single letters) and numbers of path data; whatever stands between them is passed over."""
+    at = 0
+    while at < len(path):
+        c = path[at]
+        begin = at + (c in "+-")
+        whole = _digits(path, begin)
+        end = whole
+        if end < len(path) and path[end] == ".":
+            behind = _digits(path, end + 1)
+            if whole > begin or behind > end + 1:
+                end = behind
+        if end > begin:
+            if end < len(path) and path[end] in "eE":
+                power = end + 1 + (path[end + 1 : end + 2] in ("+", "-"))
+                if _digits(path, power) > power:
+                    end = _digits(path, power)
+            yield float(path[at:end])
+            at = end
+            continue
+        if c.isascii() and c.isalpha():
+            yield c
+        at += 1
 
 
 def slim_path(path: str, places: int = 1) -> str:
     """Path data with compact numbers: one space between numbers, none around letters; Z becomes z."""
     out: list[str] = []
     number = False
-    for token in _TOKEN.findall(path):
-        if token.isalpha():
+    for token in path_tokens(path):
+        if isinstance(token, str):
             out.append("z" if token == "Z" else token)
-            number = False
         else:
-            out.append((" " if number else "") + compact(float(token), places))
-            number = True
+            out.append((" " if number else "") + compact(token, places))
+        number = not isinstance(token, str)
     return "".join(out)
 
 
+def _attributes(svg: str, name: str, of: Callable[[str], str | None]) -> str:
+    """The document with of(value) as the value of each attribute of a name; without the attribute where that is None."""
+    out, at, mark = [], 0, f'{name}="'
+    while (found := svg.find(mark, at)) >= 0:
+        begin = found + len(mark)
+        end = svg.find('"', begin)
+        if end < 0:
+            break
+        if found and svg[found - 1].isspace():
+            value = of(svg[begin:end])
+            out += [svg[at : found - 1]] if value is None else [svg[at:begin], value, '"']
+        else:
+            out.append(svg[at : end + 1])
+        at = end + 1
+    return "".join([*out, svg[at:]])
+
+
+def without_clips(svg: str) -> str:
+    """The document without clipPath elements and references to them."""
+    out, at = [], 0
+    while (found := svg.find("<clipPath", at)) >= 0:
+        end = svg.find("</clipPath>", found)
+        if end < 0:
+            break
+        whole = svg[found + len("<clipPath")] in "> \t\r\n/"
+        out.append(svg[at:found] if whole else svg[at : end + len("</clipPath>")])
+        at = end + len("</clipPath>")
+    return _attributes("".join([*out, svg[at:]]), "clip-path", lambda _: None)
+
+
+def _later_layers(svg: str) -> int:
+    """Where the first group of a later layer begins."""
+    at = svg.find("<g")
+    while at >= 0:
+        head = svg[at : svg.find(">", at) + 1 or len(svg)]
+        if not head[2:3].isalnum() and any(f' id="{name}"' in head for name in LATER_LAYERS):
+            return at
+        at = svg.find("<g", at + 2)
+    return len(svg)
+
+
 def slim_document(svg: str, places: int = 1, stroke_places: int = 1, tight: bool = False) -> str:
     """A document with slim path data; layers from 'strokes' on use stroke_places. tight drops clip paths."""
     if tight:
-        svg = _CLIPS.sub("", svg)
-    at = next((m.start() for m in _LAYERS.finditer(svg) if m.group(1) != "regions"), len(svg))
-
-    def slimmed(part: str, p: int) -> str:
-        return _PATHS.sub(lambda m: m.group(1) + slim_path(m.group(2), p) + m.group(3), part)
-
-    return slimmed(svg[:at], places) + slimmed(svg[at:], stroke_places)
+        svg = without_clips(svg)
+    at = _later_layers(svg)
+    return _attributes(svg[:at], "d", lambda d: slim_path(d, places)) + _attributes(svg[at:], "d", lambda d: slim_path(d, stroke_places))
 
 
 def valid_xml(svg: str) -> bool:
@@ -74,7 +148,7 @@ def gzipped(svg: str) -> bytes:
 def _text_udf(of):
     @F.pandas_udf(StringType())
     def run(values: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or v != v else of(v, int(p)) for v, p in zip(values, places, strict=True)], dtype=object)
+        return pd.Series([None if v is None or (isinstance(v, float) and not math.isfinite(v)) else of(v, int(p)) for v, p in zip(values, places, strict=True)], dtype=object)
 
     return run
 
