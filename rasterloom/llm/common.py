@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and context.getCheckpointDir() is None and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
     return named or context.getCheckpointDir()

@@ -125,6 +125,21 @@ def test_decontamination_query_equals_brute_force(spark, tables, texts):
     assert got == want and want
 
 
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    """Rows without id, repeated ids and repeated rows: copies and benchmark passages among them go as others do."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    text = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en' and n_chars between 500 and 2000").orderBy("doc_id").limit(3).collect()
+    a, b, c = (r["text"] for r in text)
+    rows = [(1, a), (None, a), (None, a), (None, f"{b} {item} {b}"), (2, b), (2, "A second text of that id, and of other words."), (None, c), (None, None), (3, "1234"), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{SMALL}/documents.parquet").schema)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+    got = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert len([t for _, t in got if t == a]) == 1 and (None, c) in got
+    assert not any(item in t for _, t in got) and len([i for i, _ in got if i == 2]) == 1 and len(got) == 3
+
+
 def test_pipeline_stages(spark, tables, texts, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
