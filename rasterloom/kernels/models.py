@@ -7,7 +7,7 @@ import heapq
 import numpy as np
 
 from rasterloom.kernels import conv, masks
-from rasterloom.kernels.segments import dense, touching
+from rasterloom.kernels.segments import dense, touching, windows
 
 EPS = 1e-12
 
@@ -95,11 +95,12 @@ def merge_by_gradient(labels: np.ndarray, rgb: np.ndarray, tolerance: float = 0.
     edge = np.concatenate((labels[0], labels[-1], labels[:, 0], labels[:, -1]))
     ground = int(np.bincount(edge).argmax())
     own: dict[int, tuple] = {}
+    pixels = {w.label: (w.ys, w.xs) for w in windows(labels)}
     refused: set[tuple[int, int]] = set()
 
     def of(i: int) -> tuple:
         if i not in own:
-            ys, xs = np.nonzero(labels == i)
+            ys, xs = pixels[i]
             own[i] = (ys, xs, rgb[ys, xs], _squared(ys, xs, rgb[ys, xs]))
         return own[i]
 
@@ -137,6 +138,7 @@ def refine(labels: np.ndarray, rgb: np.ndarray, threshold: float = 0.02, min_are
     child = max(32, min_area // 4)
     bad = max(16, child // 2)
     root = {i: i for i in range(n)}
+    pixels = {w.label: (w.ys, w.xs) for w in windows(labels)}
     heap = [(-int(a), i, 0) for i, a in enumerate(np.bincount(labels.ravel())) if a >= min_area]
     heapq.heapify(heap)
     evaluated = 0
@@ -149,13 +151,15 @@ def refine(labels: np.ndarray, rgb: np.ndarray, threshold: float = 0.02, min_are
         _, i, level = heapq.heappop(heap)
         if level >= depth:
             continue
-        ys, xs = np.nonzero(labels == i)
+        ys, xs = pixels[i]
         evaluated += 1
         e, rms, excess, worse = measured(ys, xs)
         if worse < bad or excess <= 0:
             continue
         best = None
-        for part in _splits(labels == i, ys, xs, e, threshold, child, min_area):
+        y0, x0 = int(ys.min()), int(xs.min())
+        mask = labels[y0 : int(ys.max()) + 1, x0 : int(xs.max()) + 1] == i
+        for part in _splits(mask, ys - y0, xs - x0, e, threshold, child, min_area):
             halves = [measured(ys[k], xs[k]) for k in (part, ~part)]
             share = part.mean()
             after = share * halves[0][2] + (1 - share) * halves[1][2], np.sqrt(share * halves[0][1] ** 2 + (1 - share) * halves[1][1] ** 2)
@@ -165,6 +169,7 @@ def refine(labels: np.ndarray, rgb: np.ndarray, threshold: float = 0.02, min_are
             budget -= 1
             new = len(root)
             labels[ys[best[1]], xs[best[1]]] = new
+            pixels[new], pixels[i] = ((ys[k], xs[k]) for k in (best[1], ~best[1]))
             root[new] = root[i]
             for j, area in ((new, int(best[1].sum())), (i, int((~best[1]).sum()))):
                 if area >= min_area:

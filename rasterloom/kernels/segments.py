@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 
 from rasterloom.kernels import conv, masks
@@ -11,6 +14,36 @@ def dense(labels: np.ndarray) -> np.ndarray:
     return np.unique(labels, return_inverse=True)[1].reshape(labels.shape)
 
 
+class Window(NamedTuple):
+    """A region's box in the image, with its mask there and where its pixels lie, in scan order."""
+
+    label: int
+    y0: int
+    x0: int
+    mask: np.ndarray
+    ys: np.ndarray
+    xs: np.ndarray
+
+    def plane(self, whole: np.ndarray) -> np.ndarray:
+        """The same box of another plane."""
+        return whole[self.y0 : self.y0 + self.mask.shape[0], self.x0 : self.x0 + self.mask.shape[1]]
+
+
+def windows(labels: np.ndarray, margin: int = 0) -> Iterator[Window]:
+    """Each label's box, by one sort of the pixels, so that work on regions grows with their own sizes. Negative labels have none."""
+    h, w = labels.shape
+    flat = labels.ravel()
+    order = np.argsort(flat, kind="stable")
+    order = order[np.searchsorted(flat[order], 0) :]
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    for part in np.split(order, first[1:]) if len(order) else ():
+        ys, xs = np.divmod(part, w)
+        i = int(flat[part[0]])
+        y0, y1 = max(0, int(ys[0]) - margin), min(h, int(ys[-1]) + 1 + margin)
+        x0, x1 = max(0, int(xs.min()) - margin), min(w, int(xs.max()) + 1 + margin)
+        yield Window(i, y0, x0, labels[y0:y1, x0:x1] == i, ys, xs)
+
+
 def touching(labels: np.ndarray) -> np.ndarray:
     """Distinct pairs (a < b) of labels that share a pixel edge, in order."""
     a = np.concatenate((labels[:, :-1].ravel(), labels[:-1].ravel()))
@@ -106,10 +139,17 @@ def by_flat_colors(rgb: np.ndarray, bits: int = 5, share: float = 0.0002, cover:
     for i in np.lexsort((peak, -n[peak])):
         if not kept or apart <= 0 or min(((c - centre[i]) ** 2).sum() for c in kept) > apart**2:
             kept.append(centre[i])
-    palette = np.array(kept)
-    flat = rgb.reshape(-1, 3)
-    own = np.concatenate([((palette**2).sum(axis=1) / 2 - flat[i : i + 65536] @ palette.T).argmin(axis=1) for i in range(0, len(flat), 65536)])
-    return merge_similar(masks.components(own.reshape(rgb.shape[:2])), rgb * 255, threshold, 3)
+    # buckets, not pixels, are matched with the palette
+    palette, held = np.array(kept), np.flatnonzero(n)
+    parts = np.stack((held >> 2 * bits, held >> bits & (1 << bits) - 1, held & (1 << bits) - 1), axis=1)
+    table = np.zeros(len(n), int)
+    table[held] = _nearest((parts + 0.5) * (1 << (8 - bits)) / 255, palette)
+    return merge_similar(masks.components(table[key]), rgb * 255, threshold, 3)
+
+
+def _nearest(points: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """The first nearest colour of each point."""
+    return np.concatenate([((points[i : i + 4096, None] - palette[None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(points), 4096)])
 
 
 def edge_map(energy: np.ndarray, gx: np.ndarray, gy: np.ndarray, high: float = 0.97, low: float = 0.92) -> np.ndarray:
@@ -146,12 +186,12 @@ def classified(labels: np.ndarray, luma: np.ndarray, rgb: np.ndarray, min_area:
     scale = max(float(np.percentile(tex, norm)), conv.EPS)
     n = np.bincount(labels.ravel())
     t, s = np.zeros(len(n)), np.zeros(len(n))
-    for i in np.flatnonzero(n >= min_area):
-        own = labels == i
-        inner = masks.eroded(own, 2)
-        t[i] = tex[inner if inner.sum() >= 30 else own].mean()
-        low, high = np.percentile(rgb[own], (5, 95), axis=0)
-        s[i] = (high - low).max()
+    for own in windows(labels):
+        if n[own.label] >= min_area:
+            inner = masks.eroded(own.mask, 2)
+            t[own.label] = own.plane(tex)[inner if inner.sum() >= 30 else own.mask].mean()
+            low, high = np.percentile(rgb[own.ys, own.xs], (5, 95), axis=0)
+            s[own.label] = (high - low).max()
     return {"area": n, "tex": t, "spread": s, "geo": (t / scale < texture_at) & (s < range_at)}
 
 

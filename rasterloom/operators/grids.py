@@ -182,10 +182,10 @@ def rings(px: DataFrame, smooth: float = 1.0, least_area: float = 30.0, toleranc
 
     def of(p: Planes) -> list[dict]:
         out = []
-        for i in np.unique(p["label"]).tolist():
-            for k, ring in enumerate(curves.mask_rings(p["label"] == i, smooth, least_area)):
+        for own in segments.windows(p["label"]):
+            for k, ring in enumerate(curves.mask_rings(own.mask, smooth, least_area, (own.x0, own.y0))):
                 line = ring if tolerance is None else curves.simplified(ring, tolerance)
-                out += [{"label": i, "ring": k, "seq": s, "x": float(x), "y": float(y)} for s, (x, y) in enumerate(line)]
+                out += [{"label": own.label, "ring": k, "seq": s, "x": float(x), "y": float(y)} for s, (x, y) in enumerate(line)]
         return out
 
     return per_image(px, of, "label int, ring int, seq int, x double, y double", ["label"])
@@ -202,7 +202,7 @@ def region_paths(px: DataFrame, fit: str = "bezier", grow: int = 1, snap: str |
         if snap:
             t = conv.structure_tensor(_rgb(p), 1.0, 1.0)
             luma, energy = t["luma"], t["energy"]
-        for i in np.unique(p["label"]).tolist():
+        for own in segments.windows(p["label"], grow):
             moved = [0]
 
             def move(ring: np.ndarray, moved=moved) -> np.ndarray:
@@ -210,9 +210,9 @@ def region_paths(px: DataFrame, fit: str = "bezier", grow: int = 1, snap: str |
                 moved[0] += n
                 return ring
 
-            d = curves.region_path(masks.dilated(p["label"] == i, grow) if grow else p["label"] == i, fit, snap=move if snap else None, **options)
+            d = curves.region_path(masks.dilated(own.mask, grow), fit, offset=(own.x0, own.y0), snap=move if snap else None, **options)
             if d:
-                out.append({"label": i, "d": d, "moved": moved[0]})
+                out.append({"label": own.label, "d": d, "moved": moved[0]})
         return out
 
     return per_image(px, of, "label int, d string, moved int", ["label", *(RGB if snap else [])])
@@ -237,7 +237,8 @@ def stroke_groups(px: DataFrame, seed: int = 7, coarse: tuple[float, float] = (2
         edge = np.concatenate((p["label"][0], p["label"][-1], p["label"][:, 0], p["label"][:, -1]))
         ground = int(np.bincount(edge).argmax())
         out = []
-        for i in np.unique(p["label"]).tolist():
+        sizes = np.bincount(p["label"].ravel())
+        for i in np.flatnonzero(sizes >= options.get("least_pixels", 1)).tolist():
             if i != ground:
                 for s, (d, c, a) in enumerate(strokes.region_strokes(p["label"] == i, rgb, t, p["activity"], i, seed, **options)):
                     out.append({"label": i, "seq": s, "d": d, "r": float(c[0]), "g": float(c[1]), "b": float(c[2]), "alpha": float(a)})
@@ -307,8 +308,7 @@ def gradient_models(px: DataFrame, min_gain: float = 0.12, min_range: float = 0.
         rgb = _rgb(p)
         gy, gx = np.gradient(rgb @ np.array([0.299, 0.587, 0.114])) if min(rgb.shape[:2]) > 1 else (np.zeros(rgb.shape[:2]),) * 2
         out = []
-        for i in np.unique(p["label"]).tolist():
-            ys, xs = np.nonzero(p["label"] == i)
+        for i, _, _, _, ys, xs in segments.windows(p["label"]):
             a, b = gx[ys, xs], gy[ys, xs]
             m = models.fit(ys, xs, rgb[ys, xs], a, b, a * a + b * b, min_gain, min_range, margin)
             if m:
@@ -329,10 +329,9 @@ def seams(px: DataFrame, chroma: float = 12.0, scale: float = 1.0, least: int =
         mask = masks.closed(conv.gaussian(np.hypot(of_lab[..., 1], of_lab[..., 2]), scale) > chroma, 1, masks.RING8)
         own = masks.components(mask.astype(int), mask)
         out = []
-        for i in range(int(own.max(initial=-1)) + 1):
-            part = own == i
-            if part.sum() >= least and (d := curves.region_path(part, "cr", 0.6, 0.375)):
-                out.append({"component": i, "area": int(part.sum()), **{c: float(v) for c, v in zip("rgb", np.median(rgb[part], axis=0), strict=True)}, "d": d})
+        for part in segments.windows(own):
+            if len(part.ys) >= least and (d := curves.region_path(part.mask, "cr", 0.6, 0.375, offset=(part.x0, part.y0))):
+                out.append({"component": part.label, "area": len(part.ys), **{c: float(v) for c, v in zip("rgb", np.median(rgb[part.ys, part.xs], axis=0), strict=True)}, "d": d})
         return out
 
     return per_image(px, of, "component int, area long, r double, g double, b double, d string", RGB)

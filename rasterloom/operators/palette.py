@@ -43,10 +43,9 @@ def palette(px: DataFrame, bits: int = 5, share: float = 0.0002, least: int = 64
     Images with fewer than 2 or more than 512 peaks, or with less than `cover` of their pixels in peaks, have none (they
     take another route). At most 512 colours an image are folded in order.
     """
-    found = peaks(px, bits, share, least)
-    fits = coverage(px, bits, share, least).where((F.col("n_peaks").between(2, MOST_COLORS)) & (F.col("coverage") >= cover))
     color = F.struct(*(bucket_level(F.col("key"), i, bits).alias(c) for i, c in enumerate(CHANNELS)))
-    listed = found.join(fits, "image_id", "left_semi").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "key", color.alias("c")))).alias("all"))
+    listed = peaks(px, bits, share, least).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "key", color.alias("c")))).alias("all"), F.sum("n").alias("n"), F.first("total").alias("total"))
+    listed = listed.where(F.size("all").between(2, MOST_COLORS) & (F.col("n") / F.col("total") >= cover))
     kept = F.aggregate("all", F.array().cast("array<struct<r:double,g:double,b:double>>"), lambda acc, x: F.when(F.exists(acc, lambda c: _distance(c, x["c"]) <= apart * apart) & F.lit(apart > 0), acc).otherwise(F.concat(acc, F.array(x["c"]))))
     return listed.select("image_id", kept.alias("colors"))
 
@@ -58,10 +57,14 @@ def nearest(colors: Column, r: Column, g: Column, b: Column) -> Column:
     return F.array_min(scored)["i"]
 
 
-def lookup(px: DataFrame, palettes: DataFrame) -> DataFrame:
-    """px (channels 0..1) with label, the nearest colour of its image's palette; images without palette are left out."""
-    df = px.join(palettes, "image_id")
-    return df.withColumn("label", nearest(F.col("colors"), *map(F.col, CHANNELS))).drop("colors")
+def lookup(px: DataFrame, palettes: DataFrame, bits: int = 5) -> DataFrame:
+    """px (8-bit channels) with label: its bucket's nearest colour of its image's palette; images without palette are left out.
+
+    Buckets, of which an image has 2 ** (3 * bits) at most, are matched with the palette; pixels look theirs up.
+    """
+    held = histogram(px, bits).join(palettes, "image_id")
+    table = held.select("image_id", "key", nearest(F.col("colors"), *(bucket_level(F.col("key"), i, bits) for i in range(3))).alias("label"))
+    return px.withColumn("key", packed(*map(F.col, CHANNELS), bits)).join(table, ["image_id", "key"]).drop("key")
 
 
 def centroid_array(centroids: np.ndarray) -> Column:

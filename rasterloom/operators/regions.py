@@ -150,9 +150,19 @@ def square(radius: int) -> tuple[tuple[int, int], ...]:
 
 def core(px: DataFrame, radius: int = 3, shape=diamond) -> DataFrame:
     """Pixels whose whole neighbourhood lies in the image and has their own label (erosion; outside counts as other)."""
-    offsets = shape(radius)
-    same = neighbours(px, offsets).groupBy("image_id", "y", "x", "label").agg(F.count_if(F.col("label") == F.col("n_label")).alias("same"))
-    return px.join(same.where(F.col("same") == len(offsets)).select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
+    reach = {dy: max(dx for y, dx in shape(radius) if y == dy) for dy in range(-radius, radius + 1)}
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    runs = px
+    # in each row, how far pixels of the same label go on both sides without a gap
+    for r in sorted(set(reach.values())):
+        w = row.rangeBetween(-r, r)
+        runs = runs.withColumn(f"_r{r}", (F.count("*").over(w) == 2 * r + 1) & (F.min("label").over(w) == F.col("label")) & (F.max("label").over(w) == F.col("label")))
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    whole = F.lit(True)
+    for dy, r in reach.items():
+        there = column.rangeBetween(dy, dy)
+        whole = whole & F.coalesce((F.max("label").over(there) == F.col("label")) & F.max(f"_r{r}").over(there), F.lit(False))
+    return runs.withColumn("_core", whole).where("_core").select(*px.columns)
 
 
 def dilated(px: DataFrame, label: int, radius: int = 1, shape=diamond) -> DataFrame:

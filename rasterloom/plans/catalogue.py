@@ -125,7 +125,7 @@ def lut_nearest_color(spark, d):
 @query
 def palette_lookup(spark, d):
     found = palette.palette(fig(spark, d), least=16)
-    return palette.lookup(_unit(spark, d).drop("label"), found).groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    return palette.lookup(fig(spark, d).drop("label"), found).groupBy("image_id", "label").agg(F.count("*").alias("n"))
 
 
 @query

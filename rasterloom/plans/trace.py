@@ -48,8 +48,11 @@ def _label_planes(rgb: np.ndarray, p: Params) -> dict[str, np.ndarray]:
 
 def labelled(px: DataFrame, p: Params) -> DataFrame:
     """px (channels in 0..1) with label, root and geo."""
-    found = grids.per_pixel(px, lambda planes: _label_planes(np.stack([planes[c] for c in "rgb"], axis=-1), p), "label int, root int, geo boolean", ["r", "g", "b"])
-    return px.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "r", "g", "b").join(found, ["image_id", "y", "x"])
+
+    def of(planes: grids.Planes) -> grids.Planes:
+        return {c: planes[c] for c in "rgb"} | _label_planes(np.stack([planes[c] for c in "rgb"], axis=-1), p)
+
+    return grids.per_pixel(px, of, "r double, g double, b double, label int, root int, geo boolean", ["r", "g", "b"])
 
 
 def region_paths(px: DataFrame, p: Params) -> DataFrame:
@@ -59,9 +62,8 @@ def region_paths(px: DataFrame, p: Params) -> DataFrame:
         own = for_size(p, planes["label"].shape[1], planes["label"].shape[0])
         t = conv.structure_tensor(np.stack([planes[c] for c in "rgb"], axis=-1), own.snap_sigma, own.snap_sigma)
         out = []
-        for i in np.unique(planes["label"]).tolist():
-            mask = planes["label"] == i
-            geo = planes["geo"][mask].mean() >= own.auto_geo_frac
+        for part in segments.windows(planes["label"], 1):
+            geo = planes["geo"][part.ys, part.xs].mean() >= own.auto_geo_frac
             kind = ("bezier" if geo else "cr") if own.fit == "auto" else own.fit
             moved = [0]
 
@@ -71,8 +73,8 @@ def region_paths(px: DataFrame, p: Params) -> DataFrame:
                 return ring
 
             snap = move if own.snap_mode == "refine" and geo else None
-            if d := curves.region_path(masks.dilated(mask), kind, own.contour_smooth, own.contour_tol, own.fit_tol, own.contour_min_area, snap=snap):
-                out.append({"label": i, "d": d, "moved": moved[0]})
+            if d := curves.region_path(masks.dilated(part.mask), kind, own.contour_smooth, own.contour_tol, own.fit_tol, own.contour_min_area, (part.x0, part.y0), snap):
+                out.append({"label": part.label, "d": d, "moved": moved[0]})
         return out
 
     return grids.per_image(px, of, "label int, d string, moved int", ["label", "geo", "r", "g", "b"])
