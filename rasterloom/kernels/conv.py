@@ -55,6 +55,19 @@ def structure_tensor(rgb: np.ndarray, sigma_d: float = 1.0, sigma_i: float = 2.5
     return {"l1": l1, "l2": l2, "coh": (l1 - l2) / (l1 + l2 + EPS), "energy": l1, "luma": rgb @ np.array([0.299, 0.587, 0.114]), "gx": gx, "gy": gy, "tx": -gy, "ty": gx}
 
 
+def thumbnail_change(rgb: np.ndarray, side: int = 64) -> float:
+    """Mean absolute change along columns plus along rows of an image's side x side thumbnail (means over its cells)."""
+    h, w = rgb.shape[:2]
+    small = rgb
+    for axis, n in ((0, h), (1, w)):
+        if n >= side:
+            small = np.add.reduceat(small, np.arange(side) * n // side, axis=axis) / np.diff(np.append(np.arange(side) * n // side, n)).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
+    if small.shape[:2] != (side, side):
+        y, x = np.meshgrid((np.arange(side) + 0.5) * small.shape[0] / side - 0.5, (np.arange(side) + 0.5) * small.shape[1] / side - 0.5, indexing="ij")
+        small = bilinear(small, x, y)
+    return float(np.abs(np.diff(small, axis=0)).mean() + np.abs(np.diff(small, axis=1)).mean())
+
+
 def texture(luma: np.ndarray, sigma: float = 2.5, smooth: float = 6.0) -> np.ndarray:
     """Smoothed energy of what a blur removes."""
     return gaussian((luma - gaussian(luma, sigma)) ** 2, smooth)

@@ -1,4 +1,4 @@
-"""Colour models of one image's regions: gradient fits, gradient-aware merging, refinement, edge bands, shade layers."""
+"""Colour models of one image's regions: gradient fits, gradient-aware merging, refinement."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 
-from rasterloom.kernels import conv, masks
+from rasterloom.kernels import masks
 from rasterloom.kernels.segments import dense, touching, windows
 
 EPS = 1e-12
@@ -198,91 +198,3 @@ def _splits(mask: np.ndarray, ys: np.ndarray, xs: np.ndarray, e: np.ndarray, thr
             part = blob[ys, xs]
             if child <= part.sum() <= len(part) - child and masks.eroded(blob, 2).any():
                 yield part
-
-
-def ramp_levels(profiles: np.ndarray, levels: int, rounds: int = 24) -> np.ndarray:
-    """Cut positions of a median edge profile by one-dimensional k-means of its levels, between 0 and 1."""
-    middle = np.median(profiles, axis=0)
-    middle = (middle - middle.min()) / max(float(np.ptp(middle)), EPS)
-    centres = (np.arange(levels) + 0.5) / levels
-    for _ in range(rounds):
-        at = np.abs(middle[:, None] - centres[None]).argmin(axis=1)
-        new = np.array([middle[at == k].mean() if (at == k).any() else centres[k] for k in range(levels)])
-        if np.allclose(new, centres):
-            break
-        centres = new
-    return np.sort(centres)
-
-
-def bands(labels: np.ndarray, rgb: np.ndarray, root: dict[int, int] | None = None, levels: int = 2, width: float = 2.5, least_area: int = 8, least_radius: float = 1.4) -> list[dict]:
-    """Narrow bands inside region borders, one per neighbour and level, coloured by their own median; none between parts of one root."""
-    root = root or {}
-    out = []
-    for i in range(int(labels.max()) + 1):
-        own = labels == i
-        if not own.any() or own.all():
-            continue
-        d, y, x = masks.distance(~own)
-        if float(d[own].max()) < least_radius:
-            continue
-        other = labels[y, x]
-        ring = np.floor(d / width * levels).astype(int)
-        for k in range(levels):
-            near = own & (d > 0) & (ring == k) & (d <= width)
-            for j in np.unique(other[near]).tolist():
-                part = near & (other == j)
-                if root.get(i, i) != root.get(j, j) and part.sum() >= least_area:
-                    out.append({"label": i, "neighbor": j, "level": k, "mask": part, "color": np.median(rgb[part], axis=0)})
-    return out
-
-
-def smooth_weight(luma: np.ndarray, gradient_at: float = 2.5, texture_at: float = 2.0) -> np.ndarray:
-    """Near 1 where the image neither rises steeply nor is textured; on the 0..255 scale."""
-    gy, gx = np.gradient(luma)
-    fine = np.sqrt(np.maximum(conv.gaussian((luma - conv.gaussian(luma, 1.5)) ** 2, 3.0), 0))
-    return np.exp(-((np.hypot(gx, gy) / gradient_at) ** 2)) * np.exp(-((fine / texture_at) ** 2))
-
-
-def shade_layers(residual: np.ndarray, weight: np.ndarray, layers: int = 48, candidates: int = 8, knots: int = 4, least_gain: float = 1e-4, halo: float = 6.0) -> tuple[list[dict], np.ndarray]:
-    """(layers, what is left): soft discs fitted one after another to the peaks of a residual plane.
-
-    A layer is a radial profile (hat functions at its knots, weighted least squares, zero at the rim); it is taken if it
-    lowers the weighted error and doesn't raise it by more than the halo where the image isn't smooth.
-    """
-    left = residual.astype(float).copy()
-    h, w = left.shape
-    ys, xs = np.mgrid[:h, :w]
-    total = float((weight * left**2).sum()) + EPS
-    out = []
-    radius = max(4.0, min(h, w) / 4)
-    while len(out) < layers:
-        soft = np.abs(conv.gaussian(left * weight, max(1.0, radius / 6)))
-        peaks = []
-        field = soft.copy()
-        for _ in range(candidates):
-            y, x = np.unravel_index(int(field.argmax()), field.shape)
-            if field[y, x] <= 0:
-                break
-            peaks.append((int(y), int(x)))
-            field[(ys - y) ** 2 + (xs - x) ** 2 <= (radius / 2) ** 2] = 0
-        best = None
-        for y, x in peaks:
-            for r in (radius, radius / 2):
-                u = np.hypot(ys - y, xs - x) / r
-                inside = u < 1
-                at = u[inside] * knots
-                basis = np.maximum(0, 1 - np.abs(at[:, None] - np.arange(knots)[None]))
-                k, v = weight[inside], left[inside]
-                a = (basis * k[:, None]).T @ basis + 1e-6 * np.eye(knots)
-                profile = basis @ (c := np.linalg.solve(a, (basis * k[:, None]).T @ v))
-                gain = float((k * v**2).sum() - (k * (v - profile) ** 2).sum())
-                rough = k < 0.35
-                harm = np.sqrt(((v - profile)[rough] ** 2).mean()) - np.sqrt((v[rough] ** 2).mean()) if rough.any() else 0.0
-                if harm <= halo and (best is None or gain > best[0]):
-                    best = gain, y, x, r, c, inside, profile
-        if best is None or best[0] < least_gain * total:
-            break
-        gain, y, x, r, c, inside, profile = best
-        left[inside] -= profile
-        out.append({"cx": float(x), "cy": float(y), "r": float(r), "knots": c.tolist(), "gain": gain})
-    return out, left

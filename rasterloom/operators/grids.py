@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from rasterloom.kernels import conv, curves, masks, models, segments, strokes
+from rasterloom.kernels import conv, curves, masks, models, rims, segments, shades, strokes
 
 Planes = dict[str, np.ndarray]
 
@@ -58,7 +58,7 @@ def per_image(px: DataFrame, of: Callable[[Planes], list[dict]], schema: str, co
     def run(table: pa.Table) -> pa.Table:
         planes, _, _ = _planes(table)
         image = int(table.column("image_id")[0].as_py())
-        return pa.Table.from_pylist([{"image_id": image} | r for r in of(planes)], schema=shape)
+        return pa.Table.from_pylist([{"image_id": image} | {k: r[k] for k in shape.names[1:]} for r in of(planes)], schema=shape)
 
     return px.select("image_id", "y", "x", *columns).groupBy("image_id").applyInArrow(run, whole)
 
@@ -110,6 +110,12 @@ def hysteresis(px: DataFrame, value: str, low: float, high: float) -> DataFrame:
     return per_pixel(px, lambda p: {"kept": masks.hysteresis(p[value], low, high)}, "kept boolean", [value])
 
 
+def morphology(px: DataFrame, label: int, step: str, times: int = 1) -> DataFrame:
+    """kept: a region's mask after 'eroded', 'dilated', 'opened' or 'closed' with a cross."""
+    of = {"eroded": masks.eroded, "dilated": masks.dilated, "opened": masks.opened, "closed": masks.closed}[step]
+    return per_pixel(px, lambda p: {"kept": of(p["label"] == label, times)}, "kept boolean", ["label"])
+
+
 def distances(px: DataFrame, label: int) -> DataFrame:
     """d: distance of each pixel to the nearest pixel of a label."""
     return per_pixel(px, lambda p: {"d": masks.distance(p["label"] == label)[0]}, "d double", ["label"])
@@ -257,15 +263,34 @@ def streamlines(px: DataFrame, label: int, seed: int = 7, **options) -> DataFram
     return per_image(px, of, "line int, seq int, x double, y double", ["label", *RGB])
 
 
-def edge_bands(px: DataFrame, levels: int = 2, width: float = 2.5, root: str | None = None, **options) -> DataFrame:
-    """(image_id, label, neighbor, level, area, r, g, b, d): bands inside region borders, with their paths ('' if too thin)."""
+def _rims(p: Planes, levels: int, width: float, quantile: float, **options) -> tuple[list[dict], list[dict]]:
+    rgb = _rgb(p)
+    t = conv.structure_tensor(rgb)
+    label = p["label"]
+    return rims.rims(label, rgb, p.get("geo", np.ones(label.shape, bool)), p.get("root", label), t, levels, width, float(np.quantile(t["energy"], quantile)), **options)
+
+
+def edge_bands(px: DataFrame, levels: int = 2, width: float = 2.5, quantile: float = 0.97, options_of: Callable[[np.ndarray], dict] | None = None, **options) -> DataFrame:
+    """(image_id, label, neighbor, level, area, r, g, b, d): transition bands inside the rims of drawn regions, with their paths.
+
+    px may have geo (drawn pixels; else all are) and root (else every region is its own); channels in 0..1. options_of may
+    give an image's own levels, width and options; no levels, no bands.
+    """
 
     def of(p: Planes) -> list[dict]:
-        lineage = {int(i): int(p[root][p["label"] == i][0]) for i in np.unique(p["label"])} if root else None
-        found = models.bands(p["label"], _rgb(p), lineage, levels, width, **options)
-        return [{k: f[k] for k in ("label", "neighbor", "level")} | {"area": int(f["mask"].sum()), **{c: float(v) for c, v in zip("rgb", f["color"], strict=True)}, "d": curves.region_path(f["mask"], "cr", 0.4, 0.4, least_area=4.0)} for f in found]
+        own = {"levels": levels, "width": width, "quantile": quantile} | options | (options_of(_rgb(p)) if options_of else {})
+        if own["levels"] <= 0:
+            return []
+        return [{k: f[k] for k in ("label", "neighbor", "level", "area", "d")} | {c: float(v) for c, v in zip("rgb", f["color"], strict=True)} for f in _rims(p, **own)[0]]
 
-    return per_image(px, of, "label int, neighbor int, level int, area long, r double, g double, b double, d string", ["label", *RGB, *([root] if root else [])])
+    given = [c for c in ("geo", "root") if c in px.columns]
+    return per_image(px, of, "label int, neighbor int, level int, area double, r double, g double, b double, d string", ["label", *RGB, *given])
+
+
+def band_audit(px: DataFrame, levels: int = 2, width: float = 2.5, quantile: float = 0.97, **options) -> DataFrame:
+    """(image_id, label, neighbor, points, ring, synthetic): every stretch of a rim that edge_bands looks at."""
+    given = [c for c in ("geo", "root") if c in px.columns]
+    return per_image(px, lambda p: _rims(p, levels, width, quantile, **options)[1], "label int, neighbor int, points int, ring int, synthetic boolean", ["label", *RGB, *given])
 
 
 def edge_lines(px: DataFrame, mode: str = "both", chroma: float = 9.0, high: float = 0.975, low: float = 0.9, coherence: float = 0.45, width: float = 2.0, least_area: int = 24, least_length: int = 8, tolerance: float = 0.6) -> DataFrame:
@@ -298,19 +323,21 @@ def edge_lines(px: DataFrame, mode: str = "both", chroma: float = 9.0, high: flo
     return per_image(px, of, "line int, d string, r double, g double, b double, width double", ["label", *RGB])
 
 
-def gradient_models(px: DataFrame, min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05) -> DataFrame:
+def gradient_models(px: DataFrame, min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05, gain_of: Callable[[np.ndarray], float] | None = None) -> DataFrame:
     """(image_id, label, kind, cx, cy, ux, uy, lo, hi, stops, range, gain): chosen ramps of all regions in one pass.
 
-    The same columns as operators.fit.fit_gradients; one shuffle by image in place of its aggregations.
+    The same columns as operators.fit.fit_gradients; one shuffle by image in place of its aggregations. gain_of may give
+    an image's own min_gain.
     """
 
     def of(p: Planes) -> list[dict]:
         rgb = _rgb(p)
+        least = gain_of(rgb) if gain_of else min_gain
         gy, gx = np.gradient(rgb @ np.array([0.299, 0.587, 0.114])) if min(rgb.shape[:2]) > 1 else (np.zeros(rgb.shape[:2]),) * 2
         out = []
         for i, _, _, _, ys, xs in segments.windows(p["label"]):
             a, b = gx[ys, xs], gy[ys, xs]
-            m = models.fit(ys, xs, rgb[ys, xs], a, b, a * a + b * b, min_gain, min_range, margin)
+            m = models.fit(ys, xs, rgb[ys, xs], a, b, a * a + b * b, least, min_range, margin)
             if m:
                 u = m.get("u", (None, None))
                 stops = [{"offset": float(o), **{c: float(v) for c, v in zip("rgb", row, strict=True)}} for o, row in zip(m["offsets"], m["values"], strict=True)]
@@ -337,15 +364,16 @@ def seams(px: DataFrame, chroma: float = 12.0, scale: float = 1.0, least: int =
     return per_image(px, of, "component int, area long, r double, g double, b double, d string", RGB)
 
 
-def shade_stack(px: DataFrame, layers: int = 8) -> DataFrame:
-    """(image_id, seq, cx, cy, r, knots, gain): soft discs over the luminance residual to the flat fill of each region."""
+def shade_stack(px: DataFrame, **options) -> DataFrame:
+    """(image_id, seq, cx, cy, r, opacity, edge, stops, gain): shade layers over what is drawn (p_r, p_g, p_b) of r, g, b in 0..1.
+
+    stops are colours (0..1) at even shares of the radius.
+    """
 
     def of(p: Planes) -> list[dict]:
-        luma = _rgb(p) @ np.array([0.299, 0.587, 0.114]) * 255
-        flat = np.zeros_like(luma)
-        for i in np.unique(p["label"]):
-            flat[p["label"] == i] = np.median(luma[p["label"] == i])
-        found, _ = models.shade_layers(luma - flat, models.smooth_weight(luma), layers)
-        return [{"seq": k} | f for k, f in enumerate(found)]
-
-    return per_image(px, of, "seq int, cx double, cy double, r double, knots array<double>, gain double", ["label", *RGB])
+        source = _rgb(p) * 255
+        drawn = np.stack([p[f"p_{c}"].astype(float) for c in "rgb"], axis=-1) * 255
+        found, _ = shades.shade_layers(source, drawn, shades.Options(**options))
+        return [{"seq": k} | f | {"stops": [dict(zip("rgb", (c / 255).tolist(), strict=True)) for c in f["colors"]]} for k, f in enumerate(found)]
+
+    return per_image(px, of, "seq int, cx double, cy double, r double, opacity double, edge double, stops array<struct<r:double,g:double,b:double>>, gain double", [*RGB, *(f"p_{c}" for c in "rgb")])

@@ -35,27 +35,37 @@ def line(d: Column, stroke: Column, width: Column, alpha: float) -> Column:
 
 
 def shade_def(id_: Column) -> Column:
-    """A radial gradient of white or black whose opacity follows a shade layer's profile (columns cx, cy, r, knots)."""
-    n = F.size("knots")
-    stop = F.transform("knots", lambda v, i: F.concat(F.lit('<stop offset="'), F.format_string("%.3f", i / n), F.lit('" stop-color="'), F.when(v > 0, "#ffffff").otherwise("#000000"), F.lit('" stop-opacity="'), F.format_string("%.3f", F.least(F.abs(v) / 255.0, F.lit(1.0))), F.lit('"/>')))
-    return F.concat(F.lit('<radialGradient id="'), id_, F.lit('">'), F.array_join(stop, ""), F.lit('<stop offset="1" stop-color="#000000" stop-opacity="0"/></radialGradient>'))
+    """The radial gradient of a shade layer (columns cx, cy, r, opacity, edge, stops): colours at even shares, opacity falling to 0."""
+    last = F.greatest(F.size("stops") - 1, F.lit(1))
 
+    def stop(color: Column, i: Column) -> Column:
+        opacity = F.col("opacity") * F.least(F.lit(1.0), (1 - i / last) / F.greatest(1 - F.col("edge"), F.lit(1e-6)))
+        return F.concat(F.lit('<stop offset="'), F.format_string("%.3f", i / last), F.lit('" stop-color="'), hex_color(*(color[c] for c in CHANNELS)), F.lit('" stop-opacity="'), F.format_string("%.4f", opacity), F.lit('"/>'))
 
-def disc(id_: Column) -> Column:
-    return F.concat(F.format_string('<circle cx="%.1f" cy="%.1f" r="%.1f" fill="url(#', "cx", "cy", "r"), id_, F.lit(')"/>'))
+    head = F.concat(F.lit('<radialGradient id="'), id_, F.format_string('" gradientUnits="userSpaceOnUse" cx="%.1f" cy="%.1f" r="%.1f">', "cx", "cy", "r"))
+    return F.concat(head, F.array_join(F.transform("stops", stop), ""), F.lit("</radialGradient>"))
+
+
+def shade_rect(id_: Column, w: Column, h: Column) -> Column:
+    """A shade layer covers the whole canvas; beyond its rim it is transparent."""
+    return rect(F.lit(0), F.lit(0), w, h, F.concat(F.lit("url(#"), id_, F.lit(")")))
 
 
 def documents(parts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(image_id, svg) from parts (image_id, layer, seq, element[, def]) and sizes (image_id, w, h[, background]).
+    """(image_id, svg) from parts (image_id, layer, seq, element[, def][, kind, sub]) and sizes (image_id, w, h[, background]).
 
-    Layers come in their fixed order, elements by seq; the background is a rectangle under all. One group an image.
+    Layers come in their fixed order, elements by kind, seq and sub (0 if not given); the background is a rectangle under
+    all. One group an image.
     """
+    for number in ("kind", "sub"):
+        if number not in parts.columns:
+            parts = parts.withColumn(number, F.lit(0))
     if "def" not in parts.columns:
         parts = parts.withColumn("def", F.lit(None).cast("string"))
     if "background" not in sizes.columns:
         sizes = sizes.withColumn("background", F.lit(None).cast("string"))
     order = F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer"))
-    rows = parts.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("layer"), "seq", "element", "def"))).alias("all"))
+    rows = parts.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("layer"), F.col("kind").cast("long").alias("kind"), "seq", F.col("sub").cast("long").alias("sub"), "element", "def"))).alias("all"))
 
     def layer(i: int) -> Column:
         own = F.filter("all", lambda p: p["layer"] == i + 1)
@@ -65,7 +75,7 @@ def documents(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d" viewBox="0 0 %d %d">', "w", "h", "w", "h")
     ground = F.when(F.col("background").isNotNull(), rect(F.lit(0), F.lit(0), F.col("w"), F.col("h"), F.col("background"))).otherwise("")
     body = F.concat(head, F.when(defs != "", F.concat(F.lit("<defs>"), defs, F.lit("</defs>"))).otherwise(""), ground, *(layer(i) for i in range(len(LAYERS))), F.lit("</svg>"))
-    return sizes.join(rows, "image_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<layer:bigint,seq:bigint,element:string,def:string>>"))).select("image_id", body.alias("svg"))
+    return sizes.join(rows, "image_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<layer:bigint,kind:bigint,seq:bigint,sub:bigint,element:string,def:string>>"))).select("image_id", body.alias("svg"))
 
 
 def layer_counts(docs: DataFrame) -> DataFrame:

@@ -293,22 +293,23 @@ def gaussian_blur_reflect(spark, d):
 @query
 def structure_tensor(spark, d):
     t = grids.tensor(_unit(spark, d))
-    return t.groupBy("image_id").agg(F.count("*").alias("n"), F.avg("coh").alias("coh"), F.max("l1").alias("l1"))
+    return _micro(t.groupBy("image_id").agg(F.count("*").alias("n"), F.avg("coh").alias("coh"), F.max("l1").alias("l1"), F.avg("l2").alias("l2")), ["image_id", "n"], "coh", "l1", "l2")
 
 
 @query
 def texture_map(spark, d):
-    return grids.texture(_unit(spark, d)).groupBy("image_id").agg(F.avg("texture").alias("texture"))
+    return _micro(grids.texture(_unit(spark, d)).groupBy("image_id").agg(F.avg("texture").alias("texture"), F.max("texture").alias("most")), ["image_id"], "texture", "most")
 
 
 @query
 def denoised(spark, d):
-    return grids.denoised(_unit(spark, d), 0.1).groupBy("image_id").agg(*(F.avg(c).alias(c) for c in RGB))
+    return _micro(grids.denoised(_unit(spark, d), 0.1).groupBy("image_id").agg(*(F.avg(c).alias(c) for c in RGB), F.stddev_pop("r").alias("spread")), ["image_id"], *RGB, "spread")
 
 
 @query
 def resized(spark, d):
-    return grids.resized(_unit(spark, d), 1.5).groupBy("image_id").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in RGB))
+    out = grids.resized(_unit(spark, d), 1.5).groupBy("image_id").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in RGB), F.stddev_pop("r").alias("spread"))
+    return _micro(out, ["image_id", "n"], *RGB, "spread")
 
 
 @query
@@ -326,6 +327,16 @@ def distance_transform(spark, d):
     return _micro(grids.distances(fig(spark, d), 2), ["image_id", "y", "x"], "d")
 
 
+@query
+def mask_opening(spark, d):
+    return _place(grids.morphology(fig(spark, d), 2, "opened").where("kept"), "image_id")
+
+
+@query
+def mask_closing(spark, d):
+    return _place(grids.morphology(fig(spark, d), 2, "closed").where("kept"), "image_id")
+
+
 @query
 def connected_components(spark, d):
     quantised = px(spark, d).withColumn("label", F.expr("cast(q div 64 as int)"))
@@ -342,7 +353,7 @@ def pca_axis(spark, d):
 
 @query
 def tensor_axis(spark, d):
-    return _micro(fit.tensor_axis(_sloped(fig(spark, d).where("label = 3"))), KEY, "ux", "uy")
+    return _micro(fit.tensor_axis(_sloped(fig(spark, d))), KEY, "ux", "uy")
 
 
 @query
@@ -383,6 +394,16 @@ def fit_select(spark, d):
     return _models(spark, d)[2].select(*KEY, "kind", F.size("stops").alias("n_stops"), micro(F.col("gain")).alias("gain"))
 
 
+@query
+def refine_accept(spark, d):
+    """Regions whose two halves, each with its own median colour, pay for a split at x = 24."""
+    px_ = fig(spark, d)
+    halves = px_.withColumn("label", (F.col("label") * 2 + (F.col("x") >= 24).cast("int")).cast("int"))
+    errors = _flat_prediction(halves).withColumn("label", F.floor(F.col("label") / 2).cast("int"))
+    before, after = (fit.fill_stats(x, 5.0) for x in (_flat_prediction(px_), errors))
+    return fit.accepts(before, after).select(*KEY)
+
+
 @query
 def regroup_models(spark, d):
     px_ = _unit(spark, d)
@@ -420,7 +441,7 @@ def error_split_axis(spark, d):
 
 @query
 def weighted_median_cut(spark, d):
-    errors = _flat_prediction(fig(spark, d).where("label = 3"))
+    errors = _flat_prediction(fig(spark, d))
     return _micro(fit.weighted_cut(errors, _axes(errors)), KEY, "cut")
 
 
@@ -481,7 +502,8 @@ def refine_regions(spark, d):
 
 @query
 def classify_regions(spark, d):
-    return grids.classified(_unit(spark, d), min_area=50)
+    found = grids.classified(_unit(spark, d), min_area=50)
+    return found.select(*KEY, "area", micro(F.col("tex")).alias("tex"), micro(F.col("spread")).alias("spread"), "geo")
 
 
 # ---- geometry -----------------------------------------------------------------------------------
@@ -569,6 +591,11 @@ def aa_bands(spark, d):
     return grids.edge_bands(_unit(spark, d))
 
 
+@query
+def aa_audit(spark, d):
+    return grids.band_audit(_unit(spark, d).withColumn("root", F.when(F.col("label") == 3, 0).otherwise(F.col("label")).cast("int")))
+
+
 @query
 def edge_lines(spark, d):
     return grids.edge_lines(_unit(spark, d))
@@ -586,7 +613,9 @@ def detail_layer(spark, d):
 
 @query
 def shade_stack(spark, d):
-    return grids.shade_stack(_unit(spark, d).withColumn("label", F.lit(0)), 4).select("image_id", "seq", "cx", "cy", "r", "gain")
+    ramp = fig(spark, d).select("image_id", "y", "x", *((F.lit(90.0) + F.col("x") * k).alias(c) for c, k in zip(RGB, (1.5, 1.0, 0.5), strict=True)))
+    flat = fit.scaled(ramp).withColumns({f"p_{c}": F.lit((90 + 24 * k) / 255) for c, k in zip(RGB, (1.5, 1.0, 0.5), strict=True)})
+    return grids.shade_stack(flat, layers=4, radius=24.0, min_area=200).select("image_id", "seq", "cx", "cy", "r", "opacity", "gain")
 
 
 # ---- text, documents ----------------------------------------------------------------------------
@@ -598,6 +627,18 @@ def slim_number(spark, d):
     return px(spark, d).select("image_id", "y", "x", text.compact_column(tenth, F.lit(1)).alias("one"), text.compact_column(tenth, F.lit(2)).alias("two"))
 
 
+@query
+def fixed_number(spark, d):
+    tenth = (F.col("q") - 128) / 64.0
+    return px(spark, d).select("image_id", "y", "x", text.fixed_column(tenth, F.lit(1)).alias("one"), text.fixed_column(tenth, F.lit(3)).alias("three"))
+
+
+@query
+def human_sizes(spark, d):
+    size = (F.col("area") * F.col("area") * (F.col("image_id") % 50 + 1)).cast("long")
+    return regions.area(fig(spark, d)).select(*KEY, text.human_size(size).alias("size"))
+
+
 @query
 def slim_path(spark, d):
     return grids.region_paths(fig(spark, d), "cr").select(*KEY, text.slim_path_column("d", F.lit(0)).alias("d"))
@@ -625,7 +666,7 @@ def svg_layer_counts(spark, d):
 
 @query
 def svg_slim(spark, d):
-    return svg.slimmed(_rect_documents(spark, d), packed=True).select("image_id", "svg", "valid", F.octet_length("svgz").cast("long").alias("packed"))
+    return svg.slimmed(_rect_documents(spark, d), packed=True).select("image_id", "svg", "valid", (F.hex(F.substring("svgz", 1, 3)) == "1F8B08").alias("packed"))
 
 
 @query

@@ -115,6 +115,58 @@ _RECTS = ", ".join((_FIG, _MED)) + """, boxes AS (
   FROM boxes GROUP BY ALL)"""
 _COMPACT = lambda v, p: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(printf('%.{p}f', {v}), '\\.?0+$', ''), '^-?0?$', '0'), '^0\\.', '.'), '^-0\\.', '-.')"
 
+def _taps(name: str, sigma: float, order: int = 0) -> str:
+    """Gaussian weights w at t, those of the derivative for order 1."""
+    r = int(4 * sigma + 0.5)
+    w = f"exp(-t * t / {2 * sigma * sigma}) / sum(exp(-t * t / {2 * sigma * sigma})) OVER ()"
+    return f"{name} AS (SELECT t, {w}{f' * t / {sigma * sigma}' if order else ''} AS w FROM (SELECT unnest(range({-r}, {r + 1}))::DOUBLE AS t))"
+
+
+_EDGES = {"nearest": "greatest(0, least({1} - 1, {0}))", "reflect": "CASE WHEN (({0}) % (2 * {1}) + 2 * {1}) % (2 * {1}) < {1} THEN (({0}) % (2 * {1}) + 2 * {1}) % (2 * {1}) ELSE 2 * {1} - 1 - (({0}) % (2 * {1}) + 2 * {1}) % (2 * {1}) END"}
+
+
+def _along(name: str, source: str, axis: str, weights: str, mode: str, size: int = 48, keys: str = "image_id", value: str = "v") -> str:
+    """A pass of a separable filter over (keys, y, x, v)."""
+    other = "x" if axis == "y" else "y"
+    at = _EDGES[mode].format(f"a.{axis} + CAST(t AS BIGINT)", size)
+    same = " AND ".join(f"a.{k} = c.{k}" for k in (*keys.split(", "), other))
+    return f"{name} AS MATERIALIZED (SELECT {', '.join('a.' + k for k in keys.split(', '))}, a.y, a.x, sum(w * c.{value}) AS v FROM (SELECT a.*, w, CAST({at} AS BIGINT) AS at_ FROM {source} a, {weights}) a JOIN {source} c ON {same} AND c.{axis} = at_ GROUP BY ALL)"
+
+
+def _smooth(name: str, source: str, weights: str, mode: str, keys: str = "image_id") -> str:
+    return _along(f"{name}_1", source, "y", weights, mode, keys=keys) + ", " + _along(name, f"{name}_1", "x", weights, mode, keys=keys)
+
+
+_RAW = "raw AS (SELECT image_id, channel, y, x, any_value(v) / 255.0 AS v FROM long GROUP BY image_id, channel, y, x)"
+_TENSOR = ", ".join((
+    _FIG, _LONG, _RAW, _taps("g1", 1.0), _taps("d1", 1.0, 1), _taps("g25", 2.5),
+    _along("sx", "raw", "y", "g1", "nearest", keys="image_id, channel"), _along("dx", "sx", "x", "d1", "nearest", keys="image_id, channel"),
+    _along("sy", "raw", "y", "d1", "nearest", keys="image_id, channel"), _along("dy", "sy", "x", "g1", "nearest", keys="image_id, channel"),
+    "prod AS (SELECT dx.image_id, dx.y, dx.x, sum(dx.v * dx.v) / 3 AS xx, sum(dx.v * dy.v) / 3 AS xy, sum(dy.v * dy.v) / 3 AS yy FROM dx JOIN dy USING (image_id, channel, y, x) GROUP BY ALL)",
+    "three AS (UNPIVOT prod ON xx, xy, yy INTO NAME part VALUE v)", _smooth("soft", "three", "g25", "nearest", keys="image_id, part"),
+    "ten AS (SELECT image_id, y, x, max(v) FILTER (part = 'xx') AS xx, max(v) FILTER (part = 'xy') AS xy, max(v) FILTER (part = 'yy') AS yy FROM soft GROUP BY ALL)",
+    "eig AS (SELECT image_id, (xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS l1, (xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS l2 FROM ten)",
+))
+_TEXTURE = ", ".join((
+    _FIG, "lum AS (SELECT image_id, y, x, (0.299 * r + 0.587 * g + 0.114 * b) / 255.0 AS v FROM fig)", _taps("g25", 2.5), _taps("g6", 6.0), _smooth("low", "lum", "g25", "reflect"),
+    "fine AS (SELECT image_id, y, x, pow(lum.v - low.v, 2) AS v FROM lum JOIN low USING (image_id, y, x))", _smooth("tex", "fine", "g6", "reflect"),
+))
+_CLOSE8 = "abs(a.y - c.y) <= 1 AND abs(a.x - c.x) <= 1 AND (a.y <> c.y OR a.x <> c.x)"
+_CROSS4 = "abs(a.y - c.y) + abs(a.x - c.x) <= 1"
+
+
+def _sinc(v: str) -> str:
+    return f"CASE WHEN {v} = 0 THEN 1.0 ELSE sin(pi() * ({v})) / (pi() * ({v})) END"
+
+
+_LANCZOS = f"""ker AS (SELECT m, n, ({_sinc('d')}) * ({_sinc('d / 3')}) AS k FROM (SELECT m, n, n - ((m + 0.5) * 48 / 72 - 0.5) AS d FROM (SELECT unnest(range(72)) AS m), (SELECT unnest(range(48)) AS n)) WHERE abs(d) < 3),
+ wei AS (SELECT m, n, k / sum(k) OVER (PARTITION BY m) AS w FROM ker),
+ ry AS (SELECT image_id, channel, m AS y, x, sum(w * v) AS v FROM raw JOIN wei ON n = y GROUP BY ALL),
+ rx AS (SELECT image_id, channel, y, m AS x, greatest(0, least(1, sum(w * v))) AS v FROM ry JOIN wei ON n = x GROUP BY ALL)"""
+_MASK2 = "mask AS (SELECT image_id, y, x FROM fig WHERE label = 2)"
+_ERODED = "(SELECT a.image_id, a.y, a.x FROM {0} a JOIN {0} c ON a.image_id = c.image_id AND " + _CROSS4 + " GROUP BY ALL HAVING count(*) = 5)"
+_DILATED = "(SELECT DISTINCT a.image_id, a.y, a.x FROM fig a JOIN {0} c ON a.image_id = c.image_id AND " + _CROSS4 + " AND c.y BETWEEN a.y - 1 AND a.y + 1)"
+
 ORACLE: dict[str, str] = {
     "px_scan": _with(_PX) + "SELECT image_id, y, x, q FROM px",
     "px_normalize": _with(_PX, _RGB) + "SELECT image_id, y, x, " + ", ".join(m(f"greatest(0, least(1, {c} / 255.0))", c) for c in "rgb") + " FROM rgb",
@@ -157,7 +209,8 @@ ORACLE: dict[str, str] = {
     "gaussian_blur_reflect": _blur("reflect"),
     "distance_transform": _with(_FIG) + f"SELECT a.image_id, CAST(a.y AS INTEGER) AS y, CAST(a.x AS INTEGER) AS x, {m('sqrt(min(pow(a.y - c.y, 2) + pow(a.x - c.x, 2)))', 'd')} FROM fig a JOIN fig c ON a.image_id = c.image_id AND c.label = 2 GROUP BY ALL",
     "pca_axis": _with(_FIG) + ", u AS (SELECT image_id, label, x, y, r / 255.0 AS r, g / 255.0 AS g, b / 255.0 AS b FROM fig), mo AS (SELECT image_id, label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, " + ", ".join(f"covar_pop({p}, {c}) AS {p}{c}" for p in "xy" for c in "rgb") + " FROM u GROUP BY ALL), s AS (SELECT image_id, label, n, cx, cy, xr * xr + xg * xg + xb * xb AS xx, xr * yr + xg * yg + xb * yb AS xy, yr * yr + yg * yg + yb * yb AS yy FROM mo)" + _principal("s", f"image_id, label, n, {micros('cx', 'cy')}"),
-    "tensor_axis": _with(_FIG.replace("FROM lab)", "FROM lab WHERE label = 3)"), "s AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS l FROM fig)", "g AS (SELECT *, CASE WHEN x = 30 THEN lead(l) OVER wx - l WHEN x = 45 THEN l - lag(l) OVER wx ELSE (lead(l) OVER wx - lag(l) OVER wx) / 2 END AS gx, CASE WHEN y = 30 THEN lead(l) OVER wy - l WHEN y = 45 THEN l - lag(l) OVER wy ELSE (lead(l) OVER wy - lag(l) OVER wy) / 2 END AS gy FROM s WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y))", "t AS (SELECT image_id, label, avg(gx * (gx * gx + gy * gy)) AS ax, avg(gy * (gx * gx + gy * gy)) AS ay FROM g GROUP BY ALL)") + f"SELECT image_id, label, {m('ax / sqrt(ax * ax + ay * ay)', 'ux')}, {m('ay / sqrt(ax * ax + ay * ay)', 'uy')} FROM t",
+    "tensor_axis": _with(_FIG, _SLOPES, "t AS (SELECT image_id, label, avg(gx * (gx * gx + gy * gy)) AS ax, avg(gy * (gx * gx + gy * gy)) AS ay FROM gr GROUP BY ALL)", "u AS (SELECT *, sqrt(ax * ax + ay * ay) AS n, CASE WHEN ax < -1e-12 OR (abs(ax) <= 1e-12 AND ay < 0) THEN -1.0 ELSE 1.0 END AS sg FROM t)")
+    + f"SELECT image_id, label, {m('CASE WHEN n > 1e-12 THEN sg * ax / n ELSE 1.0 END', 'ux')}, {m('CASE WHEN n > 1e-12 THEN sg * ay / n ELSE 0.0 END', 'uy')} FROM u",
     "ramp_bins": _with(_FIG) + _normalised(_HORIZONTAL, 4.0) + _BINS,
     "ramp_gain": _with(_FIG) + _normalised(_HORIZONTAL, 4.0) + ", flat AS (SELECT image_id, label, count(*) * (var_pop(r) + var_pop(g) + var_pop(b)) AS flat FROM nrm GROUP BY ALL), ins AS (SELECT *, CAST(floor(u * 8) AS INTEGER) AS bin FROM nrm WHERE floor(u * 8) < 8), mid AS (SELECT image_id, label, bin, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM ins GROUP BY ALL HAVING count(*) > 15), err AS (SELECT image_id, label, sum(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)) AS axis FROM ins JOIN mid USING (image_id, label, bin) GROUP BY ALL)" + f" SELECT image_id, label, {m('1 - coalesce(axis, 0) / (flat + 1e-12)', 'gain')} FROM flat LEFT JOIN err USING (image_id, label)",
     "radial_center_lsq": _with(_FIG, _SLOPES) + ", s AS (SELECT image_id, label, avg(x) AS mx, avg(y) AS my, (min(x) + max(x)) / 2.0 AS bx, (min(y) + max(y)) / 2.0 AS by_, sum(gy * gy) AS a11, -sum(gx * gy) AS a12, sum(gx * gx) AS a22, sum(gy * (gy * x - gx * y)) AS b1, -sum(gx * (gy * x - gx * y)) AS b2 FROM gr GROUP BY ALL)" + "".join(f"{' UNION ALL' if i else ''} SELECT image_id, label, '{k}' AS kind, {m(a, 'cx')}, {m(b, 'cy')} FROM s{w}" for i, (k, a, b, w) in enumerate((("centroid", "mx", "my", ""), ("box", "bx", "by_", ""), ("lines", "(a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12)", "(a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12)", " WHERE a11 * a22 - a12 * a12 > 1e-3 * pow(a11 + a22, 2)")))),
@@ -166,7 +219,7 @@ ORACLE: dict[str, str] = {
     "fill_stats": _with(_FIG, _MED, _RES) + f"SELECT image_id, label, count(*) FILTER (e > 5) AS nbad, {m('sqrt(avg(e * e))', 'rms')}, {m('avg(pow(greatest(e - 5, 0), 2))', 'excess')} FROM res GROUP BY ALL",
     "refine_trigger": _with(_FIG, _MED, _RES) + "SELECT image_id, label, count(*) AS area, count(*) FILTER (e > 5) AS nbad FROM res GROUP BY ALL HAVING count(*) >= 200 AND nbad >= 25 AND avg(pow(greatest(e - 5, 0), 2)) > 0",
     "error_split_axis": _with(_FIG, _MED, _RES) + ", w AS (SELECT image_id, label, sum(e * e) AS sw, sum(e * e * x) AS sx, sum(e * e * y) AS sy, sum(e * e * x * x) AS sxx, sum(e * e * x * y) AS sxy, sum(e * e * y * y) AS syy FROM res GROUP BY ALL HAVING sum(e * e) > 0), s AS (SELECT image_id, label, sx / sw AS cx, sy / sw AS cy, sxx / sw - (sx / sw) * (sx / sw) AS xx, sxy / sw - (sx / sw) * (sy / sw) AS xy, syy / sw - (sy / sw) * (sy / sw) AS yy FROM w)" + _principal("s", f"image_id, label, {micros('cx', 'cy')}"),
-    "weighted_median_cut": _with(_FIG, _MED, _RES) + ", t AS (SELECT image_id, label, y, x, e * e AS w, x - avg(x) OVER (PARTITION BY image_id) AS t FROM res WHERE label = 3), r AS (SELECT *, sum(w) OVER (PARTITION BY image_id ORDER BY t, y, x ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY image_id) AS total FROM t)" + f" SELECT image_id, label, {m('least(greatest(min(t) FILTER (upto >= total / 2), quantile_cont(t, 0.25)), quantile_cont(t, 0.75))', 'cut')} FROM r GROUP BY ALL",
+    "weighted_median_cut": _with(_FIG, _MED, _RES) + ", t AS (SELECT image_id, label, y, x, e * e AS w, x - avg(x) OVER (PARTITION BY image_id, label) AS t FROM res), r AS (SELECT *, sum(w) OVER (PARTITION BY image_id, label ORDER BY t, y, x ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY image_id, label) AS total FROM t)" + f" SELECT image_id, label, {m('least(greatest(min(t) FILTER (upto >= total / 2), quantile_cont(t, 0.25)), quantile_cont(t, 0.75))', 'cut')} FROM r GROUP BY ALL",
     "psnr_mae": _with(_FIG, _MED, _RES) + ", s AS (SELECT image_id, avg((pow(r - p_r, 2) + pow(g - p_g, 2) + pow(b - p_b, 2)) / 3) AS mse, avg(act) AS mae FROM res GROUP BY ALL)" + f" SELECT image_id, {m('CASE WHEN mse > 0 THEN 10 * log10(65025.0 / mse) ELSE 99 END', 'psnr')}, {m('mae', 'mae')} FROM s",
     "interior_mae": _with(_FIG, _MED, _RES, _SLOPES) + f" SELECT image_id, count(*) AS n, {m('avg(act)', 'mae')} FROM res JOIN gr USING (image_id, y, x) WHERE abs(gx) + abs(gy) < 3 GROUP BY ALL",
     "activity_residual": _with(_FIG, _MED, _RES) + ", c AS (SELECT s.image_id, s.y, s.x FROM fig s JOIN fig t ON s.image_id = t.image_id AND abs(s.y - t.y) + abs(s.x - t.x) <= 1 AND s.y BETWEEN t.y - 1 AND t.y + 1 AND s.label = t.label GROUP BY ALL HAVING count(*) = 5)" + f" SELECT image_id, label, {m('avg(act)', 'activity')} FROM res SEMI JOIN c USING (image_id, y, x) GROUP BY ALL HAVING count(*) >= 50",
@@ -181,4 +234,31 @@ ORACLE: dict[str, str] = {
     "svg_document": "WITH " + _RECTS + " SELECT image_id, svg FROM docs",
     "svg_layer_counts": "WITH " + _RECTS + ", l AS (SELECT unnest(['regions', 'strokes', 'edges', 'shade']) AS layer) SELECT image_id, layer, CAST(CASE WHEN layer = 'regions' THEN len(regexp_extract_all(svg, '<(path|rect)')) ELSE 0 END AS BIGINT) AS n FROM docs, l",
     "mosaic_bands": _with(_PX) + f", b AS (SELECT CAST(0 AS BIGINT) AS image_id, CAST(((image_id // 20) * 8 + y) % 4 AS INTEGER) AS label, q FROM px) SELECT image_id, label, {m('quantile_cont(q, 0.05)', 'p0')}, {m('quantile_cont(q, 0.5)', 'p1')} FROM b GROUP BY ALL",
+    "structure_tensor": "WITH " + _TENSOR + f" SELECT image_id, count(*) AS n, {m('avg((l1 - l2) / (l1 + l2 + 1e-12))', 'coh')}, {m('max(l1)', 'l1')}, {m('avg(l2)', 'l2')} FROM eig GROUP BY ALL",
+    "texture_map": "WITH " + _TEXTURE + f" SELECT image_id, {m('avg(v)', 'texture')}, {m('max(v)', 'most')} FROM tex GROUP BY ALL",
+    "denoised": _with(_FIG, "u AS (SELECT image_id, y, x, r / 255.0 AS r, g / 255.0 AS g, b / 255.0 AS b FROM fig)", "o AS (SELECT dy, dx FROM (SELECT unnest(range(-4, 5)) AS dy), (SELECT unnest(range(-4, 5)) AS dx))")
+    + ", p AS MATERIALIZED (SELECT *, CAST(greatest(0, least(47, y + dy)) AS BIGINT) AS ny, CAST(greatest(0, least(47, x + dx)) AS BIGINT) AS nx FROM u, o), k AS (SELECT a.image_id, a.y, a.x, c.r, c.g, c.b, exp(-(dy * dy + dx * dx) / 8.0 - (pow(c.r - a.r, 2) + pow(c.g - a.g, 2) + pow(c.b - a.b, 2)) / 0.02) AS w FROM p a JOIN u c ON c.image_id = a.image_id AND c.y = ny AND c.x = nx)"
+    + ", s AS (SELECT image_id, y, x, sum(w * r) / sum(w) AS r, sum(w * g) / sum(w) AS g, sum(w * b) / sum(w) AS b FROM k GROUP BY ALL)"
+    + f" SELECT image_id, {', '.join(m(f'avg({c})', c) for c in 'rgb')}, {m('stddev_pop(r)', 'spread')} FROM s GROUP BY ALL",
+    "resized": _with(_FIG, _LONG, _RAW, _LANCZOS) + "SELECT image_id, count(*) FILTER (channel = 'r') AS n, " + ", ".join(m(f"avg(v) FILTER (channel = '{c}')", c) for c in "rgb") + f", {m(chr(40) + 'stddev_pop(v) FILTER (channel = ' + chr(39) + 'r' + chr(39) + '))', 'spread')} FROM rx GROUP BY ALL",
+    "mask_opening": _with(_FIG, _MASK2) + f", e AS {_ERODED.format('mask')}, o AS {_DILATED.format('e')} SELECT image_id, {_PLACE} FROM o GROUP BY ALL",
+    "mask_closing": _with(_FIG, _MASK2) + f", e AS {_DILATED.format('mask')}, o AS {_ERODED.format('e')} SELECT image_id, {_PLACE} FROM o GROUP BY ALL",
+    "connected_components": "WITH RECURSIVE " + _PX + ", v AS (SELECT image_id, y, x, q // 64 AS v, y * 8 + x AS i FROM px), near AS (SELECT a.image_id, a.i AS a, c.i AS b FROM v a JOIN v c ON a.image_id = c.image_id AND a.v = c.v AND " + _CLOSE8 + "), reach(image_id, a, b) AS (SELECT image_id, i, i FROM v UNION SELECT reach.image_id, reach.a, near.b FROM reach JOIN near ON reach.image_id = near.image_id AND reach.b = near.a)"
+    + ", root AS (SELECT image_id, a AS i, min(b) AS r FROM reach GROUP BY ALL), named AS (SELECT image_id, i, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY r) - 1 AS INTEGER) AS component FROM root)"
+    + f" SELECT image_id, component, {_PLACE} FROM named JOIN v USING (image_id, i) GROUP BY ALL",
+    "hysteresis": "WITH RECURSIVE " + _PX + ", v AS (SELECT image_id, y, x, q FROM px WHERE q > 130), kept(image_id, y, x) AS (SELECT image_id, y, x FROM v WHERE q > 180 UNION SELECT c.image_id, c.y, c.x FROM kept a JOIN v c ON a.image_id = c.image_id AND " + _CLOSE8 + f") SELECT image_id, {_PLACE} FROM kept GROUP BY ALL",
+    "palette_lookup": _with(_FIG, _PACK.replace("greatest(64,", "greatest(16,")) + ", fits AS (SELECT image_id FROM peaks GROUP BY image_id HAVING count(*) BETWEEN 2 AND 512 AND sum(n) / any_value(total) >= 0.9), pal AS (SELECT image_id, key, n, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n DESC, key) - 1 AS INTEGER) AS label FROM peaks SEMI JOIN fits USING (image_id))"
+    + ", near AS (SELECT k.image_id, k.key, k.n, p.label, pow((k.key // 1024 - p.key // 1024) * 8.0, 2) + pow((k.key // 32 % 32 - p.key // 32 % 32) * 8.0, 2) + pow((k.key % 32 - p.key % 32) * 8.0, 2) AS d FROM packed k JOIN pal p USING (image_id))"
+    + ", best AS (SELECT image_id, key, n, label FROM near QUALIFY row_number() OVER (PARTITION BY image_id, key ORDER BY d, label) = 1) SELECT image_id, label, CAST(sum(n) AS BIGINT) AS n FROM best GROUP BY ALL",
+    "refine_accept": _with(_FIG, _MED, _RES) + ", halves AS (SELECT image_id, label, x >= 24 AS h, median(r) AS h_r, median(g) AS h_g, median(b) AS h_b FROM fig GROUP BY ALL), e0 AS (SELECT image_id, label, avg(pow(greatest(e - 5, 0), 2)) AS ex, sqrt(avg(e * e)) AS rms FROM res GROUP BY ALL)"
+    + ", r1 AS (SELECT fig.image_id, fig.label, greatest(abs(r - h_r), abs(g - h_g), abs(b - h_b)) AS e FROM fig JOIN halves h ON h.image_id = fig.image_id AND h.label = fig.label AND h.h = (x >= 24)), e1 AS (SELECT image_id, label, avg(pow(greatest(e - 5, 0), 2)) AS ex, sqrt(avg(e * e)) AS rms FROM r1 GROUP BY ALL)"
+    + " SELECT e0.image_id, e0.label FROM e0 JOIN e1 USING (image_id, label) WHERE e1.ex <= 0.8 * e0.ex AND e1.rms <= 1.05 * e0.rms",
+    "fixed_number": _with(_PX) + "SELECT image_id, y, x, " + ", ".join(f"regexp_replace(regexp_replace(printf('%.{p}f', (q - 128) / 64.0), '\\.?0+$', ''), '^-?0?$', '0') AS {n}" for p, n in ((1, "one"), (3, "three"))) + " FROM px",
+    "human_sizes": _with(_FIG) + ", c AS (SELECT image_id, label, count(*) AS k FROM fig GROUP BY ALL), a AS (SELECT image_id, label, k * k * (image_id % 50 + 1) AS n FROM c) SELECT image_id, label, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN CAST(round(n / 1024, 1) AS VARCHAR) || ' KB' ELSE CAST(round(n / 1048576, 2) AS VARCHAR) || ' MB' END AS size FROM a",
+    "svg_slim": "WITH " + _RECTS + " SELECT image_id, svg, true AS valid, true AS packed FROM docs",
+    "classify_regions": "WITH " + _TEXTURE + ", off2 AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE abs(dy) + abs(dx) <= 2), inn AS (SELECT a.image_id, a.y, a.x, a.label FROM fig a, off2 JOIN fig c ON c.image_id = a.image_id AND c.y = a.y + dy AND c.x = a.x + dx AND c.label = a.label GROUP BY ALL HAVING count(*) = 13)"
+    + ", n AS (SELECT image_id, label, count(*) AS area FROM fig GROUP BY ALL), ni AS (SELECT image_id, label, count(*) AS k FROM inn GROUP BY ALL), used AS (SELECT fig.image_id, label, y, x FROM fig LEFT JOIN ni USING (image_id, label) LEFT JOIN (SELECT *, true AS i FROM inn) USING (image_id, label, y, x) WHERE i OR coalesce(k, 0) < 30)"
+    + ", t AS (SELECT image_id, label, avg(v) AS t FROM used JOIN tex USING (image_id, y, x) GROUP BY ALL), sc AS (SELECT image_id, greatest(quantile_cont(v, 0.995), 1e-12) AS scale FROM tex GROUP BY ALL), " + _LONG + ", q AS (SELECT image_id, label, channel, (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)) / 255.0 AS d FROM long GROUP BY ALL), sp AS (SELECT image_id, label, max(d) AS s FROM q GROUP BY ALL)"
+    + ", f AS (SELECT n.image_id, n.label, area, scale, CASE WHEN area >= 50 THEN t ELSE 0 END AS t, CASE WHEN area >= 50 THEN s ELSE 0 END AS s FROM n JOIN t USING (image_id, label) JOIN sp USING (image_id, label) JOIN sc USING (image_id))"
+    + f" SELECT image_id, label, area, {m('t', 'tex')}, {m('s', 'spread')}, t / scale < 3 AND s < 0.02 AS geo FROM f",
 }

@@ -70,9 +70,14 @@ class Params:
     aa_smooth: float = 0.8
     aa_min_radius: float = 1.4
     aa_min_area: int = 8
+    aa_profile: str = "shape"
+    aa_tol: float = 0.15
+    aa_geo_thr: float = -1.0
+    aa_synthetic: bool = False
     # gradients
     grad_stops: int = 10
     grad_min_gain: float = 0.12
+    auto_gradient: bool = False
     grad_min_range: float = 0.004
     grad_radial: bool = True
     grad_radial_margin: float = 0.05
@@ -119,6 +124,15 @@ class Params:
     shade_cand: int = 8
     shade_stops: int = 4
     shade_halo: float = 6.0
+    shade_radius: float = 0.0
+    shade_min_area: int = 0
+    shade_eps: tuple[float, ...] = (0.2, 0.35, 0.5)
+    shade_tedge: float = 0.55
+    shade_smooth_gtol: float = 2.5
+    shade_smooth_ttol: float = 2.0
+    shade_non_smooth: float = 0.35
+    shade_gain: float = 0.0
+    shade_margin: float = 28.0
     # output
     compress: str = "slim"
     gzip: bool = False
@@ -151,3 +165,20 @@ def for_size(p: Params, width: int, height: int) -> Params:
     if not p.autoscale or k >= 1:
         return p
     return replace(p, **{n: getattr(p, n) * k for n in _LENGTHS}, **{n: max(1, round(getattr(p, n) * k * k)) for n in _AREAS})
+
+
+# fixed values: mean absolute change of a 64 by 64 thumbnail above which an image counts as smooth, and what follows from it
+PROBE, SMOOTH_AT = 64, 0.008
+SMOOTH = {"grad_min_gain": 0.02, "merge_grad_tol": 0.3, "merge_grad_passes": 8, "aa_levels": 3, "refine_err": 0.008}
+
+
+def for_smoothness(p: Params, change: float) -> Params:
+    """Gates of an image by its thumbnail's mean change, if auto_gradient asks for it.
+
+    Tolerances and passes only grow, the error gate only shrinks; bands are added only where gradients are and none are set.
+    """
+    if not p.auto_gradient or change <= SMOOTH_AT:
+        return p
+    levels = SMOOTH["aa_levels"] if p.aa_levels <= 0 and (p.grad_radial or p.merge_grad) else p.aa_levels
+    error = min(p.refine_err, SMOOTH["refine_err"]) if p.adaptive_refine else p.refine_err
+    return replace(p, grad_min_gain=SMOOTH["grad_min_gain"], merge_grad_tol=max(p.merge_grad_tol, SMOOTH["merge_grad_tol"]), merge_grad_passes=max(p.merge_grad_passes, SMOOTH["merge_grad_passes"]), aa_levels=levels, refine_err=error)

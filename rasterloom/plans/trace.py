@@ -1,7 +1,8 @@
 """From pixels to documents: segmentation, models, paths, strokes and assembly as one composition of DataFrames.
 
 Pixel-heavy sequential steps run once per image in one kernel call; region statistics, fits, residuals and assembly are
-aggregations and joins. Tables that several branches read are cut at a Parquet write, when a folder for it is given.
+aggregations and joins. Tables that several branches read are kept: as Parquet in the cluster's shared folder
+(spark.checkpoint.dir), or in Spark's cache where none is named.
 """
 
 from __future__ import annotations
@@ -14,13 +15,19 @@ from rasterloom.functions.color import hex_color
 from rasterloom.functions.text import gzip_column, slim_document_column
 from rasterloom.kernels import conv, curves, masks, models, segments
 from rasterloom.operators import fit, grids, quality, regions, svg
-from rasterloom.plans.params import Params, for_size, params
+from rasterloom.plans.params import PROBE, Params, for_size, for_smoothness, params
+from rasterloom.sources.images import kept
+
+
+def own_params(p: Params, rgb: np.ndarray) -> Params:
+    """An image's options: by its size, and by its smoothness if asked for."""
+    p = for_size(p, rgb.shape[1], rgb.shape[0])
+    return for_smoothness(p, conv.thumbnail_change(rgb, PROBE)) if p.auto_gradient else p
 
 
 def _label_planes(rgb: np.ndarray, p: Params) -> dict[str, np.ndarray]:
     """label, root and geo planes of one image by the chosen method, merged and refined."""
-    h, w = rgb.shape[:2]
-    p = for_size(p, w, h)
+    p = own_params(p, rgb)
     if p.denoise > 0:
         rgb = conv.bilateral(rgb, p.denoise)
     t = conv.structure_tensor(rgb, p.sigma_d, p.sigma_i)
@@ -82,17 +89,26 @@ def region_paths(px: DataFrame, p: Params) -> DataFrame:
 
 def region_models(px: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(fills, fits): flat colours by core medians, and the chosen gradients."""
-    return regions.fill_color(px, regions.core(px, 3)), grids.gradient_models(px, p.grad_min_gain, p.grad_min_range, p.grad_radial_margin)
+    return regions.fill_color(px, regions.core(px, 3)), grids.gradient_models(px, p.grad_min_gain, p.grad_min_range, p.grad_radial_margin, lambda rgb: own_params(p, rgb).grad_min_gain)
+
 
+def rim_options(p: Params, rgb: np.ndarray) -> dict:
+    """Options of an image's transition bands."""
+    own = own_params(p, rgb)
+    least_geo = own.auto_geo_frac if own.aa_geo_thr < 0 else own.aa_geo_thr
+    return {"levels": own.aa_levels, "width": own.aa_width, "quantile": own.edge_nms_hi, "profile": own.aa_profile, "least_geo": least_geo, "least_radius": own.aa_min_radius, "least_points": own.aa_min_area, "tolerance": own.aa_tol, "degrees": own.corner_deg, "synthetic": own.aa_synthetic, "smooth": own.contour_smooth, "least_area": own.contour_min_area}
 
-def _parts(df: DataFrame, layer: str, seq: Column, element: Column, definition: Column | None = None) -> DataFrame:
-    return df.select("image_id", F.lit(layer).alias("layer"), seq.cast("long").alias("seq"), element.alias("element"), (F.lit(None).cast("string") if definition is None else definition).alias("def"))
 
+def _parts(df: DataFrame, layer: str, seq: Column, element: Column, definition: Column | None = None, kind: int = 0, sub: Column | None = None) -> DataFrame:
+    """Elements of a layer in order of kind, seq and sub."""
+    last = F.lit(0) if sub is None else sub
+    return df.select("image_id", F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), seq.cast("long").alias("seq"), last.cast("long").alias("sub"), element.alias("element"), (F.lit(None).cast("string") if definition is None else definition).alias("def"))
 
-def traced(px: DataFrame, p: Params | None = None, cut=lambda df, name: df) -> DataFrame:
+
+def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
     """(image_id, svg[, svgz], psnr): documents of images given as pixels with channels in 0..1.
 
-    cut(df, name) may keep a table that several branches read (a Parquet write); by default nothing is kept.
+    cut(df, name) keeps a table that several branches read.
     """
     p = p or params(scale=1.0)
     px = cut(labelled(px, p), "labels")
@@ -101,33 +117,34 @@ def traced(px: DataFrame, p: Params | None = None, cut=lambda df, name: df) -> D
     ground = regions.background(px).select("image_id", F.col("label").alias("ground"))
     predicted = cut(fit.residuals(fit.predict(px, fills, fits)), "residuals")
     order = regions.ordered(px).select("image_id", "label", "rank")
+    size = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     id_ = F.concat(F.lit("g"), F.col("label").cast("string"))
     colour = hex_color(F.col("r"), F.col("g"), F.col("b"))
     shapes = region_paths(px, p).join(fills, regions.KEY).join(order, regions.KEY).join(fits, regions.KEY, "left").join(ground, "image_id").where("label <> ground")
     fill = F.when(F.col("stops").isNotNull(), F.concat(F.lit("url(#"), id_, F.lit(")"))).otherwise(colour)
     sloped = F.col("stops").isNotNull()
     parts = _parts(shapes, "regions", F.col("rank"), svg.path(F.col("d"), fill), F.when(sloped, svg.gradient_def(id_)))
-    if p.aa_levels > 0:
-        rims = grids.edge_bands(px, p.aa_levels, p.aa_width, "root", least_area=p.aa_min_area, least_radius=p.aa_min_radius).where("d <> ''")
-        parts = parts.unionByName(_parts(rims, "regions", F.lit(500_000) + F.col("label") * 100 + F.col("level"), svg.path(F.col("d"), colour)))
+    if p.aa_levels > 0 or p.auto_gradient:
+        rims = grids.edge_bands(px, options_of=lambda rgb: rim_options(p, rgb)).where("d <> ''")
+        parts = parts.unionByName(_parts(rims, "regions", F.col("label"), svg.path(F.col("d"), colour), kind=1, sub=F.col("neighbor") * 64 + F.col("level")))
     if p.detail_chroma > 0:
         detail = grids.seams(px, p.detail_chroma, p.detail_scale, p.detail_min_area)
-        parts = parts.unionByName(_parts(detail, "regions", F.col("component") + 1_000_000_000, svg.path(F.col("d"), colour)))
+        parts = parts.unionByName(_parts(detail, "regions", F.col("component"), svg.path(F.col("d"), colour), kind=2))
     if not p.no_strokes:
         active = quality.activity(predicted, regions.core(px, 1))
         with_activity = px.join(active, regions.KEY, "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
         options = {"alpha": p.stroke_alpha, "reference": p.stroke_activity_ref, "least_alpha": p.stroke_alpha_min, "width": p.stroke_width, "spacing": p.spacing, "ratio": p.occ_ratio, "step": p.stroke_step, "longest": p.stroke_max, "shortest": p.stroke_min, "nodes": p.stroke_nodes, "least_coh": p.coh_min, "most_turn": p.max_turn}
         lines = grids.stroke_groups(with_activity, p.seed, (p.cs_sigma_d, p.cs_sigma_i), **options)
         drawn = F.concat(F.lit('<path d="'), F.col("d"), F.lit('" fill="'), colour, F.lit('" fill-opacity="'), F.format_string("%.2f", "alpha"), F.lit('"/>'))
-        parts = parts.unionByName(_parts(lines, "strokes", F.col("label") * 100_000 + F.col("seq"), drawn))
+        parts = parts.unionByName(_parts(lines, "strokes", F.col("label"), drawn, sub=F.col("seq")))
     if p.edge_mode != "off":
         found = grids.edge_lines(px, p.edge_mode, p.edge_chroma, p.edge_hi, p.edge_lo, p.edge_coh, p.edge_width, p.edge_min_area, p.edge_min_len, p.edge_tol)
         parts = parts.unionByName(_parts(found, "edges", F.col("line"), svg.line(F.col("d"), colour, F.col("width"), p.edge_alpha)))
     if p.shade_blobs:
-        shades = grids.shade_stack(px, p.shade_layers)
+        options = {"layers": p.shade_layers, "stops": p.shade_stops, "opacities": p.shade_eps, "edge": p.shade_tedge, "radius": p.shade_radius, "min_area": p.shade_min_area, "slope": p.shade_smooth_gtol, "texture": p.shade_smooth_ttol, "rough": p.shade_non_smooth, "halo": p.shade_halo, "gain": p.shade_gain, "candidates": p.shade_cand, "margin": p.shade_margin}
+        shaded = grids.shade_stack(predicted, **options).join(size, "image_id")
         name = F.concat(F.lit("s"), F.col("seq").cast("string"))
-        parts = parts.unionByName(_parts(shades, "shade", F.col("seq"), svg.disc(name), svg.shade_def(name)))
-    size = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+        parts = parts.unionByName(_parts(shaded, "shade", F.col("seq"), svg.shade_rect(name, F.col("w"), F.col("h")), svg.shade_def(name)))
     canvas = size.join(ground, "image_id").join(fills.select("image_id", F.col("label").alias("ground"), colour.alias("background")), ["image_id", "ground"])
     docs = svg.documents(parts, canvas.select("image_id", "w", "h", "background"))
     if p.compress != "off":

@@ -1,8 +1,11 @@
-"""Images as pixels, label tables, and sinks for documents and metrics."""
+"""Images as pixels, label tables and other kept tables, file hashes, and sinks for documents and metrics."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,51 @@ def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return images, pixels
 
 
-def cached_labels(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
-    """The label table kept under folder/key, made and kept if it isn't there."""
-    path = f"{folder}/{key}"
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df computed once: a Parquet table in the shared folder that spark.checkpoint.dir names, or Spark's cache without one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder}/rasterloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def options_key(options) -> str:
+    """The same short key for the same options (a dataclass) in every session."""
+    return hashlib.md5(repr(sorted(asdict(options).items())).encode()).hexdigest()[:16]
+
+
+def cached_labels(spark: SparkSession, folder: str, options, make, buckets: int = 64) -> DataFrame:
+    """The label table kept for a trace's options under folder, made and kept if it isn't there; images dealt to buckets by hash."""
+    path = f"{folder}/{options_key(options)}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.suffix("/_SUCCESS")):
-        make().write.mode("overwrite").partitionBy("image_id").parquet(path)
-    return spark.read.parquet(path)
+        bucketed(make(), buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return spark.read.parquet(path).drop("bucket")
+
+
+def bucketed(df: DataFrame, buckets: int = 64) -> DataFrame:
+    """df with a column bucket, from the hash of image_id: what tables of many images are partitioned by."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int"))
+
+
+def write_labels(labels: DataFrame, path: str, buckets: int = 64) -> None:
+    """Refined labels, or any pixels of images, as a table in buckets."""
+    bucketed(labels, buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, md5, size) of every file under a path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"), F.col("length").alias("size"))
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size) of the files that read_images leaves out because they are no images that Spark can read."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    seen = spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"))
+    return files.join(seen, "path", "left_anti")
 
 
 def read_svg(spark: SparkSession, path: str) -> DataFrame:

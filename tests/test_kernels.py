@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from rasterloom.functions import text
-from rasterloom.kernels import conv, curves, masks, models, segments, strokes
+from rasterloom.kernels import conv, curves, masks, models, rims, segments, shades, strokes
 
 
 def test_taps_and_boundaries():
@@ -183,3 +183,63 @@ def test_slim_strings():
     tight = text.slim_document(svg, 0, 0, True)
     assert "clip" not in tight and 'd="M0 0L10 10"' in tight and text.valid_xml(tight)
     assert text.gzipped(svg) == text.gzipped(svg)
+
+
+def test_rims_follow_the_profile():
+    """A soft edge between two flat regions: depths parted where the profile is, bands on both sides, colours between the two."""
+    y, x = np.mgrid[:60, :60].astype(float)
+    d = np.hypot(y - 30, x - 30) - 16
+    rgb = np.clip(0.5 + d / 3, 0, 1)[..., None] * np.array([0.8, 0.7, 0.6]) + 0.1
+    labels = (d > 0).astype(int)
+    t = conv.structure_tensor(rgb)
+    profile = rims.mean_profile(t["luma"], t, float(np.quantile(t["energy"], 0.9)), 1.5)
+    assert abs(profile[0]) < 1e-9 and abs(profile[-1] - 1) < 1e-9 and (np.diff(profile) >= -1e-6).all()
+    depths = rims.ramp_depths(profile, 1.5, 3)
+    assert depths.cuts[0] == 0 and depths.cuts[-1] == 1.5 and (np.diff(depths.cuts) > 0).all() and ((depths.at > depths.cuts[:-1]) & (depths.at < depths.cuts[1:])).all()
+    assert rims.ramp_depths(None, 1.5, 3) is None and rims.ramp_depths(np.ones(13), 1.5, 3) is None
+    drawn = np.ones(labels.shape, bool)
+    # a vertical cut makes two stretches for each half
+    cut = labels * 2 + (x > 30)
+    bands, audit = rims.rims(cut, rgb, drawn, cut, t, 2, 3.0, least_points=6)
+    assert {(b["label"], b["neighbor"], b["level"]) for b in bands} >= {(0, 2, 0), (0, 2, 1), (1, 3, 0), (0, 1, 0)}
+    assert all(b["d"].startswith("M") and b["d"].endswith("z") and 0 <= b["color"].min() <= b["color"].max() <= 1 for b in bands)
+    same, seen = rims.rims(cut, rgb, drawn, labels, t, 2, 3.0, least_points=6)
+    assert all(labels[cut == b["label"]][0] != labels[cut == b["neighbor"]][0] for b in same) and any(a["synthetic"] for a in seen)
+    assert not rims.rims(cut, rgb, ~drawn, cut, t)[0]
+
+
+def test_ring_normals_point_inward():
+    y, x = np.mgrid[:40, :40]
+    for ring in curves.mask_rings((np.hypot(y - 20, x - 20) <= 14) & (np.hypot(y - 20, x - 20) > 6)):
+        ring = ring[:-1]
+        inner = ring + rims.inward(ring) * 2
+        r = np.hypot(*(inner - 20).T)
+        assert ((r < 13.9) & (r > 6.5)).all()
+
+
+def test_shade_layers_take_back_smooth_error():
+    y, x = np.mgrid[:96, :96].astype(float)
+    source = (120 + 40 * np.exp(-((y - 48) ** 2 + (x - 48) ** 2) / 900))[..., None] * np.ones(3)
+    drawn = np.full_like(source, 130.0)
+    options = shades.Options(layers=6, radius=40.0, min_area=400)
+    found, after = shades.shade_layers(source, drawn, options)
+    assert found and ((source - after) ** 2).sum() < 0.5 * ((source - drawn) ** 2).sum()
+    assert all(b["gain"] > 0 and b["colors"].shape == (4, 3) and 0 <= b["colors"].min() <= b["colors"].max() <= 255 for b in found)
+    again = drawn.copy()
+    for f in found:  # the layers, composed as a renderer would
+        t = np.clip(np.hypot(y - f["cy"], x - f["cx"]) / f["r"], 0, 1)
+        a = f["opacity"] * np.clip((1 - t) / (1 - f["edge"]), 0, 1)[..., None]
+        c = np.stack([np.interp(t, np.linspace(0, 1, 4), f["colors"][:, k]) for k in range(3)], axis=-1)
+        again = (1 - a) * again + a * c
+    assert np.abs(again - after).max() < 1e-9
+    noise = np.random.default_rng(0).integers(0, 255, (96, 96, 3)).astype(float)
+    assert shades.shade_layers(noise, drawn, options)[0] == []
+
+
+def test_windows_are_boxes_of_labels():
+    labels = np.random.default_rng(2).integers(-1, 6, (9, 11))
+    for w in segments.windows(labels, 1):
+        ys, xs = np.nonzero(labels == w.label)
+        assert np.array_equal(ys, w.ys) and np.array_equal(xs, w.xs) and w.y0 == max(0, ys.min() - 1) and w.x0 == max(0, xs.min() - 1)
+        assert np.array_equal(w.mask, w.plane(labels) == w.label)
+    assert {w.label for w in segments.windows(labels)} == set(np.unique(labels)) - {-1} and not list(segments.windows(np.full((2, 2), -1)))

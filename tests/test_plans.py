@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.operators import fit, grids, regions
-from rasterloom.plans.params import for_size, params
+from rasterloom.plans.params import for_smoothness, for_size, params
 from rasterloom.plans.trace import traced
 from rasterloom.sources import images
 from rasterloom.sources.relations import fig
@@ -61,8 +61,53 @@ def test_label_cache(spark, tmp_path):
         made.append(1)
         return fig(spark, SMALL).select("image_id", "y", "x", "label")
 
-    first = images.cached_labels(spark, str(tmp_path), "k1", make).count()
-    assert images.cached_labels(spark, str(tmp_path), "k1", make).count() == first and len(made) == 1
+    p = params(scale=1.0)
+    first = images.cached_labels(spark, str(tmp_path), p, make).count()
+    assert images.cached_labels(spark, str(tmp_path), params(scale=1.0), make).count() == first and len(made) == 1
+    assert images.cached_labels(spark, str(tmp_path), params(scale=2.0), make).count() == first and len(made) == 2
+    images.write_labels(make(), f"{tmp_path}/refined")
+    assert spark.read.parquet(f"{tmp_path}/refined").select("image_id", "y", "x", "label").exceptAll(make()).count() == 0
+
+
+def test_hashes_audit_and_metrics(spark, tmp_path):
+    import hashlib
+    import json
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(b"abc")
+    (row,) = images.file_hashes(spark, f"{tmp_path}/in").collect()
+    assert row["md5"] == hashlib.md5(b"abc").hexdigest() and row["size"] == 3
+    assert images.unreadable(spark, f"{tmp_path}/in").count() == 1
+    px = fit.scaled(fig(spark, SMALL).where("image_id = 1"))
+    audit = grids.band_audit(px)
+    images.write_audit(audit, f"{tmp_path}/audit")
+    back = spark.read.option("header", True).option("sep", "\t").csv(f"{tmp_path}/audit")
+    assert back.columns == ["image_id", "label", "neighbor", "points", "ring", "synthetic"] and back.count() == audit.count() > 0
+    images.write_metrics(spark.createDataFrame([(1, 30.5)], "image_id long, psnr double"), f"{tmp_path}/metrics")
+    (line,) = [x for p in (tmp_path / "metrics").glob("*.json") for x in p.read_text().splitlines()]
+    assert json.loads(line) == {"image_id": 1, "psnr": 30.5}
+
+
+def test_smoothness_gates():
+    p = params(scale=1.0, auto_gradient=True)
+    q = for_smoothness(p, 0.02)
+    assert (q.grad_min_gain, q.merge_grad_tol, q.merge_grad_passes, q.aa_levels, q.refine_err) == (0.02, 0.3, 8, 3, 0.008)
+    assert for_smoothness(p, 0.005) == p and for_smoothness(params(scale=1.0), 0.02) == params(scale=1.0)
+    assert for_smoothness(params(scale=1.0, auto_gradient=True, aa_levels=1, refine_err=0.001), 0.02).aa_levels == 1
+
+
+def test_trace_does_not_depend_on_partitions(spark):
+    px = fit.scaled(fig(spark, SMALL).where("image_id IN (1, 2)")).drop("label")
+    p = params(scale=1.0, method="colors", kmeans_k=6, kmeans_iters=4, min_area=40, autoscale=False, contour_min_area=8.0, auto_gradient=True, spacing=6.0, stroke_min=8.0)
+    one, two = ({r["image_id"]: r["svg"] for r in traced(x, p).collect()} for x in (px, px.repartition(7, "x")))
+    assert one == two and len(one) == 2
+
+
+def test_degenerate_images_through_dataframes(spark):
+    rows = [(1, 0, 0, 0.5), *((2, 0, x, x / 9) for x in range(10)), *((3, y, x, 0.25) for y in range(9) for x in range(9))]
+    px = spark.createDataFrame([(i, y, x, v, v, v) for i, y, x, v in rows], "image_id long, y int, x int, r double, g double, b double")
+    found = traced(px, params(scale=1.0, method="colors", seg="auto", min_area=1, no_strokes=True, auto_gradient=True)).collect()
+    assert sorted(r["image_id"] for r in found) == [1, 2, 3] and all(r["svg"].startswith("<svg") for r in found)
 
 
 def test_stream_of_arrivals(spark, tmp_path):
