@@ -24,8 +24,9 @@ def along(plane: np.ndarray, weights: np.ndarray, axis: int, mode: str) -> np.nd
     wide = np.pad(plane, pad, mode="edge" if mode == "nearest" else "symmetric")
     n = plane.shape[axis]
     out = np.zeros_like(plane, dtype=float)
+    ahead = (slice(None),) * axis
     for i, w in enumerate(weights):
-        out += w * np.take(wide, range(i, i + n), axis=axis)
+        out += w * wide[(*ahead, slice(i, i + n))]
     return out
 
 

@@ -111,16 +111,38 @@ def _lower_envelope(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def distance(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Euclidean distance to the nearest true pixel, and that pixel's row and column; infinite if there is none."""
     h, w = mask.shape
-    f = np.where(mask, 0.0, np.inf)
-    rows = np.zeros((h, w), int)
-    for x in range(w):
-        f[:, x], rows[:, x] = _lower_envelope(f[:, x])
-    cols = np.zeros((h, w), int)
-    out = np.empty_like(f)
-    for y in range(h):
+    at = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, at, -1), axis=0)
+    below = np.minimum.accumulate(np.where(mask, at, h)[::-1], axis=0)[::-1]
+    up, down = np.where(above >= 0, at - above, np.inf), np.where(below < h, below - at, np.inf)
+    f = np.minimum(up, down) ** 2
+    rows = np.where(up <= down, np.maximum(above, 0), np.minimum(below, h - 1))
+    out, cols = np.empty_like(f), np.zeros((h, w), int)
+    # rows near true pixels look at each column within reach, others build the envelope of all columns' parabolas
+    near = f.max(axis=1) <= SWEPT**2
+    out[near], cols[near] = _swept(f[near])
+    for y in np.flatnonzero(~near):
         out[y], cols[y] = _lower_envelope(f[y])
-    rows = rows[np.arange(h)[:, None], cols]
-    return np.sqrt(out), rows, cols
+    return np.sqrt(out), rows[at, cols], cols
+
+
+#: The largest distance along a column for which a row is swept.
+SWEPT = 96
+
+
+def _swept(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _lower_envelope(), for many rows at once, by columns of growing distance; the smaller source wins ties."""
+    out, cols = f.copy(), np.broadcast_to(np.arange(f.shape[1]), f.shape).copy()
+    for d in range(1, f.shape[1]):
+        if not out.size or d * d > out.max():
+            break
+        for here, there in ((np.s_[:, d:], np.s_[:, :-d]), (np.s_[:, :-d], np.s_[:, d:])):
+            far = f[there] + d * d
+            source = np.broadcast_to(np.arange(f.shape[1]), f.shape)[there]
+            better = (far < out[here]) | ((far == out[here]) & (source < cols[here]))
+            out[here] = np.where(better, far, out[here])
+            cols[here] = np.where(better, source, cols[here])
+    return out, cols
 
 
 def inside_distance(mask: np.ndarray) -> np.ndarray:

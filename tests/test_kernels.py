@@ -236,6 +236,22 @@ def test_shade_layers_take_back_smooth_error():
     assert shades.shade_layers(noise, drawn, options)[0] == []
 
 
+def test_distance_by_sweeps_and_envelopes(monkeypatch):
+    rng = np.random.default_rng(4)
+    for density in (0.3, 0.02, 0.002):
+        mask = rng.random((40, 55)) < density
+        mask[rng.integers(40), rng.integers(55)] = True
+        swept = masks.distance(mask)
+        with monkeypatch.context() as m:
+            m.setattr(masks, "SWEPT", -1)
+            envelope = masks.distance(mask)
+        assert all(np.array_equal(a, b) for a, b in zip(swept, envelope, strict=True))
+        ys, xs = np.nonzero(mask)
+        y, x = np.mgrid[:40, :55]
+        assert np.allclose(swept[0], np.sqrt(((y[..., None] - ys) ** 2 + (x[..., None] - xs) ** 2).min(axis=2)))
+    assert np.isinf(masks.distance(np.zeros((3, 4), bool))[0]).all()
+
+
 def test_windows_are_boxes_of_labels():
     labels = np.random.default_rng(2).integers(-1, 6, (9, 11))
     for w in segments.windows(labels, 1):
