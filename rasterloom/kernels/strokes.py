@@ -8,6 +8,10 @@ from rasterloom.functions.text import fixed
 from rasterloom.kernels.conv import bilinear
 
 
+# fixed value: how far seeds are moved from their grid, in spacings
+JITTER = 0.45
+
+
 def streamline(start: tuple[float, float], tx: np.ndarray, ty: np.ndarray, coh: np.ndarray, free, step: float, longest: float, least_coh: float, most_turn: float) -> np.ndarray:
     """Points (x, y) from a start, both ways, by midpoint steps; ends where coherence, turn, the image or `free` says so."""
     h, w = coh.shape
@@ -46,8 +50,9 @@ def streamlines(mask: np.ndarray, tensor: dict[str, np.ndarray], seed: int, spac
     """Lines from jittered grid seeds, most coherent first; each takes discs of ratio * spacing that later ones avoid."""
     rng = np.random.default_rng(seed)
     h, w = mask.shape
-    gy, gx = np.mgrid[spacing / 2 : h : spacing, spacing / 2 : w : spacing]
-    gy, gx = (np.clip(g + rng.uniform(-0.35, 0.35, g.shape) * spacing, 0, n - 1) for g, n in ((gy, h), (gx, w)))
+    # the grid keeps a spacing from the image's sides, and no jittered seed leaves its inside
+    grid = np.mgrid[spacing : h - spacing : spacing, spacing : w - spacing : spacing]
+    gy, gx = (np.clip(g + rng.uniform(-JITTER, JITTER, g.shape) * spacing, min(1, n - 1), max(0, n - 2)) for g, n in zip(grid, (h, w), strict=True))
     y, x = gy.ravel(), gx.ravel()
     iy, ix = y.astype(int), x.astype(int)
     good = mask[iy, ix] & (tensor["coh"][iy, ix] >= least_coh)
