@@ -214,8 +214,7 @@ def signature_links(reps: DataFrame, hashes: int, errors: int) -> tuple[DataFram
     """Components (node, comp) of the vertices (node, sig) by signatures within the distance, and the links (a, b) that make them."""
     chunks = errors // 2 + 1
     keyed = stash(reps.select("node", "sig").mapInArrow(_key_rows(hashes, chunks, errors // chunks), "key long, node long"), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("rows"), *(F.min(F.struct(F.xxhash64("node", F.lit(j)), "node"))["node"].alias(f"p{j}") for j in range(PIVOTS))).where("rows > 1")
-    sizes = cut(sizes)
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
     signed = reps.select("node", "sig")
 
     def swept(met: DataFrame) -> DataFrame:
@@ -232,7 +231,8 @@ def signature_links(reps: DataFrame, hashes: int, errors: int) -> tuple[DataFram
     if large.limit(1).count():
         wide = sized.where(F.col("parts") > PAIRED)
         own = wide.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("key", "part", "node")
-        pivots = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("node")).withColumn("node", F.explode("node"))
+        drawn = wide.groupBy("key", "parts").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(j)), "node"))["node"].alias(f"p{j}") for j in range(PIVOTS)))
+        pivots = drawn.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("node")).withColumn("node", F.explode("node"))
         links = stash(links.union(swept(own.union(pivots).distinct().withColumn("piece", F.col("node")))), "near")
         pieces = cut(components(links, "m", "r").toDF("node", "piece"))
         # large groups that are still in several pieces
