@@ -214,8 +214,8 @@ class Items:
         self.find, self.table = Lookup(self.vocabulary), None
         word, item, n = self.pairs
         if len(self.vocabulary) * len(self.words) <= TABLE:
-            self.table = np.zeros((len(self.vocabulary), len(self.words)), np.uint8)
-            self.table[word, item] = np.minimum(n, 255)
+            self.table = np.zeros(len(self.vocabulary) * len(self.words), np.uint8)
+            self.table[word * len(self.words) + item] = np.minimum(n, 255)
         else:
             hashes = mix((word.astype(np.uint64) << np.uint64(32)) + item.astype(np.uint64))
             order = np.argsort(hashes)
@@ -224,14 +224,14 @@ class Items:
     def times(self, word: np.ndarray, item: np.ndarray) -> np.ndarray:
         """How often items hold words (places in the vocabulary); 255 for 255 and more."""
         if self.table is not None:
-            return self.table[word, item]
+            return self.table[word.astype(np.int64) * len(self.words) + item]
         at = self.find_pair(mix((word.astype(np.uint64) << np.uint64(32)) + item.astype(np.uint64)))
         return np.where(at >= 0, self.often[at], 0)
 
     def keyed(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) wherever a row has a word of the item's key."""
-        row, at = np.nonzero(known >= 0)
-        word = known[row, at]
+        held = np.flatnonzero(known.ravel() >= 0)
+        row, word = held // known.shape[1], known.ravel()[held]
         n = self.key_at[word + 1] - self.key_at[word]
         place = np.arange(int(n.sum())) + np.repeat(self.key_at[word] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
         return np.repeat(row, n), self.key_items[place]
@@ -239,13 +239,14 @@ class Items:
     def shared(self, known: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
         """The idf of the words in rows (places in the vocabulary, -1 for none) that are words of the items."""
         out = np.zeros(len(row))
-        for i in range(0, len(row), AT_ONCE // known.shape[1]):
-            some = slice(i, i + AT_ONCE // known.shape[1])
-            words = known[row[some]]
-            at, place = np.nonzero(words >= 0)
-            word = words[at, place]
-            hit = self.times(word, item[some][at]) > 0
-            out[some] = np.bincount(at[hit], self.weights[word[hit]], len(words))
+        width = known.shape[1]
+        for i in range(0, len(row), AT_ONCE // width):
+            some = slice(i, i + AT_ONCE // width)
+            words = known[row[some]].ravel()
+            held = np.flatnonzero(words >= 0)
+            at, word = held // width, words[held]
+            hit = np.flatnonzero(self.times(word, item[some][at]))
+            out[some] = np.bincount(at[hit], self.weights[word[hit]], len(out[some]))
         return out
 
     def in_a_row(self, w: Tokens) -> list[tuple[int, int]]:
@@ -317,7 +318,7 @@ def _candidates(items: Items, w: Tokens, text: np.ndarray, known: np.ndarray, su
         around.append(later)
     windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
     near = windows @ items.points.T
-    i, j = np.nonzero(near >= cosine)
+    i, j = np.divmod(np.flatnonzero(near.ravel() >= cosine), len(items.words))
     long = ~items.short[j]
     i, j = i[long], j[long]
     held = items.shared(np.concatenate(around, axis=1), i, j) >= items.least[j]
