@@ -261,4 +261,7 @@ ORACLE: dict[str, str] = {
     + ", t AS (SELECT image_id, label, avg(v) AS t FROM used JOIN tex USING (image_id, y, x) GROUP BY ALL), sc AS (SELECT image_id, greatest(quantile_cont(v, 0.995), 1e-12) AS scale FROM tex GROUP BY ALL), " + _LONG + ", q AS (SELECT image_id, label, channel, (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)) / 255.0 AS d FROM long GROUP BY ALL), sp AS (SELECT image_id, label, max(d) AS s FROM q GROUP BY ALL)"
     + ", f AS (SELECT n.image_id, n.label, area, scale, CASE WHEN area >= 50 THEN t ELSE 0 END AS t, CASE WHEN area >= 50 THEN s ELSE 0 END AS s FROM n JOIN t USING (image_id, label) JOIN sp USING (image_id, label) JOIN sc USING (image_id))"
     + f" SELECT image_id, label, area, {m('t', 'tex')}, {m('s', 'spread')}, t / scale < 3 AND s < 0.02 AS geo FROM f",
+    "small_region_merge": _with(_PX, _RGB, "v AS (SELECT image_id, y, x, r // 64 AS v FROM rgb)", "sizes AS (SELECT image_id, v, count(*) >= 8 AS keep FROM v GROUP BY ALL)", "k AS (SELECT v.*, keep OR NOT bool_or(keep) OVER (PARTITION BY image_id) AS keep FROM v JOIN sizes USING (image_id, v))")
+    + ", near AS (SELECT a.image_id, a.y, a.x, c.v FROM k a JOIN k c ON a.image_id = c.image_id AND c.keep WHERE NOT a.keep OR (a.y = c.y AND a.x = c.x) QUALIFY row_number() OVER (PARTITION BY a.image_id, a.y, a.x ORDER BY pow(a.y - c.y, 2) + pow(a.x - c.x, 2), c.x, c.y) = 1)"
+    + f", d AS (SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY v) - 1 AS INTEGER) AS label FROM near) SELECT image_id, label, {_PLACE} FROM d GROUP BY ALL",
 }

@@ -85,10 +85,15 @@ def read_svg(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("svg"))
 
 
-def write_svg(docs: DataFrame, path: str, packed: bool = False) -> None:
-    """Documents under path, a folder an image: text files, or a table with gzip bytes (same bytes for the same text)."""
+def write_svg(docs: DataFrame, path: str, packed: bool = False, buckets: int = 0) -> None:
+    """Documents under path: text files, a folder an image; with buckets (for many images) or packed (gzip bytes, the same for
+    the same text) a table."""
     if packed:
-        docs.select("image_id", gzip_column("svg").alias("svgz")).write.mode("overwrite").parquet(path)
+        docs = docs.select("image_id", gzip_column("svg").alias("svgz"))
+    if buckets:
+        bucketed(docs.select("image_id", "svgz" if packed else "svg"), buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    elif packed:
+        docs.write.mode("overwrite").parquet(path)
     else:
         docs.select("image_id", "svg").write.mode("overwrite").partitionBy("image_id").text(path)
 

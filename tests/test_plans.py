@@ -50,6 +50,8 @@ def test_trace_makes_documents(spark, tmp_path):
     assert len(rows) == 2
     for r in rows:
         assert r["svg"].startswith("<svg") and '<g id="regions">' in r["svg"] and r["psnr"] > 15 and r["svgz"][:2] == b"\x1f\x8b"
+    images.write_svg(docs, f"{tmp_path}/many", buckets=4)
+    assert spark.read.parquet(f"{tmp_path}/many").select("image_id", "svg").exceptAll(docs.select("image_id", "svg")).count() == 0
     images.write_svg(docs, f"{tmp_path}/out")
     assert images.read_svg(spark, f"{tmp_path}/out/*").count() == 2
 
