@@ -44,6 +44,14 @@ def windows(labels: np.ndarray, margin: int = 0) -> Iterator[Window]:
         yield Window(i, y0, x0, labels[y0:y1, x0:x1] == i, ys, xs)
 
 
+def cores(labels: np.ndarray, radius: int) -> np.ndarray:
+    """Pixels all of whose neighbours within so many steps along rows and columns lie in the image and have their label."""
+    inside = np.ones(labels.shape, bool)
+    for _ in range(radius):
+        inside = np.logical_and.reduce([(masks.shifted(labels, dy, dx, -1) == labels) & masks.shifted(inside, dy, dx, False) for dy, dx in masks.CROSS])
+    return inside
+
+
 def touching(labels: np.ndarray) -> np.ndarray:
     """Distinct pairs (a < b) of labels that share a pixel edge, in order."""
     a = np.concatenate((labels[:, :-1].ravel(), labels[:-1].ravel()))

@@ -26,7 +26,10 @@ def own_params(p: Params, rgb: np.ndarray) -> Params:
 
 
 def _label_planes(rgb: np.ndarray, p: Params) -> dict[str, np.ndarray]:
-    """label, root and geo planes of one image by the chosen method, merged and refined."""
+    """label, root, geo, core and inner planes of one image by the chosen method, merged and refined.
+
+    core and inner are the pixels whose colours stand for their region: three steps, one step from another label.
+    """
     p = own_params(p, rgb)
     if p.denoise > 0:
         rgb = conv.bilateral(rgb, p.denoise)
@@ -50,16 +53,16 @@ def _label_planes(rgb: np.ndarray, p: Params) -> dict[str, np.ndarray]:
     if p.adaptive_refine:
         labels, lineage = models.refine(labels, rgb, p.refine_err, p.refine_min_area, p.refine_max_depth, p.refine_gain, p.refine_budget)
         root = np.array([lineage[i] for i in range(len(lineage))])
-    return {"label": labels, "root": root[labels], "geo": geo}
+    return {"label": labels, "root": root[labels], "geo": geo, "core": segments.cores(labels, 3), "inner": segments.cores(labels, 1)}
 
 
 def labelled(px: DataFrame, p: Params) -> DataFrame:
-    """px (channels in 0..1) with label, root and geo."""
+    """px (channels in 0..1) with label, root, geo, core and inner."""
 
     def of(planes: grids.Planes) -> grids.Planes:
         return {c: planes[c] for c in "rgb"} | _label_planes(np.stack([planes[c] for c in "rgb"], axis=-1), p)
 
-    return grids.per_pixel(px, of, "r double, g double, b double, label int, root int, geo boolean", ["r", "g", "b"])
+    return grids.per_pixel(px, of, "r double, g double, b double, label int, root int, geo boolean, core boolean, inner boolean", ["r", "g", "b"])
 
 
 def region_paths(px: DataFrame, p: Params) -> DataFrame:
@@ -89,7 +92,7 @@ def region_paths(px: DataFrame, p: Params) -> DataFrame:
 
 def region_models(px: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(fills, fits): flat colours by core medians, and the chosen gradients."""
-    return regions.fill_color(px, regions.core(px, 3)), grids.gradient_models(px, p.grad_min_gain, p.grad_min_range, p.grad_radial_margin, lambda rgb: own_params(p, rgb).grad_min_gain)
+    return regions.fill_color(px, px.where("core")), grids.gradient_models(px, p.grad_min_gain, p.grad_min_range, p.grad_radial_margin, lambda rgb: own_params(p, rgb).grad_min_gain)
 
 
 def rim_options(p: Params, rgb: np.ndarray) -> dict:
@@ -131,7 +134,7 @@ def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
         detail = grids.seams(px, p.detail_chroma, p.detail_scale, p.detail_min_area)
         parts = parts.unionByName(_parts(detail, "regions", F.col("component"), svg.path(F.col("d"), colour), kind=2))
     if not p.no_strokes:
-        active = quality.activity(predicted, regions.core(px, 1))
+        active = quality.activity(predicted.where("inner"))
         with_activity = px.join(active, regions.KEY, "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
         options = {"alpha": p.stroke_alpha, "reference": p.stroke_activity_ref, "least_alpha": p.stroke_alpha_min, "width": p.stroke_width, "spacing": p.spacing, "ratio": p.occ_ratio, "step": p.stroke_step, "longest": p.stroke_max, "shortest": p.stroke_min, "nodes": p.stroke_nodes, "least_coh": p.coh_min, "most_turn": p.max_turn}
         lines = grids.stroke_groups(with_activity, p.seed, (p.cs_sigma_d, p.cs_sigma_i), **options)

@@ -252,6 +252,15 @@ def test_distance_by_sweeps_and_envelopes(monkeypatch):
     assert np.isinf(masks.distance(np.zeros((3, 4), bool))[0]).all()
 
 
+def test_cores_are_erosions_of_each_label():
+    labels = np.kron(np.random.default_rng(5).integers(0, 3, (5, 6)), np.ones((8, 7), int))
+    for radius in (0, 1, 3):
+        want = np.zeros(labels.shape, bool)
+        for i in range(3):
+            want |= masks.eroded(labels == i, radius)
+        assert np.array_equal(segments.cores(labels, radius), want)
+
+
 def test_windows_are_boxes_of_labels():
     labels = np.random.default_rng(2).integers(-1, 6, (9, 11))
     for w in segments.windows(labels, 1):
