@@ -12,14 +12,25 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
+#: Spark's setting for the bytes of a batch between JVM and Python, its default, and what the operators set in its place:
+#: wide rows (texts, shingle sets) would else fill 64 MB in each of several buffers of a task.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "8388608"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches, unless the setting has been changed from its default."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT).rstrip("b") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local (tests)."""
+    small_batches(spark)
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not named and context.getCheckpointDir() is None and not context.master.startswith("local["):

@@ -44,7 +44,7 @@ EACH = 64 // len(LEVELS)
 SLOTS, PER_GRAM = 1 << 22, 12
 #: A task hands on its counts when it holds so many distinct n-grams.
 HELD_GRAMS = 1 << 21
-CHUNK_CHARS, PARTS_CHARS = 1 << 20, 1 << 22
+CHUNK_CHARS, PARTS_CHARS = 1 << 18, 1 << 22
 
 _LETTERS: list[np.ndarray] = []
 

@@ -28,7 +28,7 @@ from rasterloom.llm.words import mix, span_hashes
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Distinct pre-tokens that a worker keeps.
 HELD = 3_000_000
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 # fixed values: white space of the pattern beyond the Z* categories
 _WHITE = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
