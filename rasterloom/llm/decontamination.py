@@ -255,10 +255,9 @@ class Items:
         for n, own in self.runs.items():
             keys = np.array([h for h, _ in own], np.uint64)
             runs = run_hashes(w.hashes, n)
-            at = np.searchsorted(keys, runs)
-            at[at == len(keys)] = 0
-            for i in np.flatnonzero((keys[at] == runs) & (w.owner[: len(runs)] == w.owner[n - 1 :])).tolist():
-                found += [(i, j) for h, j in own[at[i] :] if h == runs[i]]
+            first, last = np.searchsorted(keys, runs), np.searchsorted(keys, runs, "right")
+            for i in np.flatnonzero((first < last) & (w.owner[: len(runs)] == w.owner[n - 1 :])).tolist():
+                found += [(i, j) for _, j in own[first[i] : last[i]]]
         return found
 
 
