@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 TILE, PER_ROW, FIGURE = 8, 20, 48
 
+#: Figures a partition: about half a million pixels.
+FIGURES = 250
+
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 0.5) * 256))).cast("int")
@@ -50,10 +53,17 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.where("n = 3").drop("n")
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """Keys dealt by image_id before they grow into pixels, so that a small file becomes many tasks and an image stays in one."""
+    least = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(max(least, -(-keys.count() // FIGURES)), "image_id")
+
+
 def fig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, y, x, label, r, g, b): a figure of known regions for each supplier."""
+    """(image_id, y, x, label, r, g, b): a figure of known regions for each supplier; aggregations and joins by image need no shuffle."""
     side = F.sequence(F.lit(0).cast("long"), F.lit(FIGURE - 1).cast("long"))
-    grid = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"), F.explode(side).alias("y")).withColumn("x", F.explode(side))
+    keys = _dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id")))
+    grid = keys.withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
     return grid.selectExpr(
         "image_id", "y", "x", "image_id % 8 AS k",
         "cast(case when x between 30 and 45 and y between 30 and 45 then 3 when abs(x + y - 47) <= 1 then 2 "
