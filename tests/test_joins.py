@@ -11,6 +11,7 @@ from .conftest import SMALL
 QUERIES = [
     "adjacency_color_distance",
     "adjacency_pairs",
+    "background_label",
     "border_pixels",
     "region_boundary_pixels",
 ]
