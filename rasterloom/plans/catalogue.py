@@ -58,7 +58,7 @@ def _axes(df: DataFrame) -> DataFrame:
 def _flat_prediction(df: DataFrame) -> DataFrame:
     """Pixels (0..255) with their region's median colour as the prediction, and residuals."""
     fills = regions.median_color(df).select(*KEY, *(F.col(c).alias(f"p_{c}") for c in RGB))
-    return fit.residuals(df.join(fills, KEY))
+    return fit.residuals(regions.matched(df, fills))
 
 
 # ---- scans, projections -------------------------------------------------------------------------

@@ -13,6 +13,7 @@ QUERIES = [
     "adjacency_pairs",
     "background_label",
     "border_pixels",
+    "fill_stats",
     "region_boundary_pixels",
 ]
 
