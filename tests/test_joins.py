@@ -14,6 +14,7 @@ QUERIES = [
     "background_label",
     "border_pixels",
     "fill_stats",
+    "psnr_mae",
     "region_boundary_pixels",
 ]
 
