@@ -13,6 +13,7 @@ QUERIES = [
     "adjacency_pairs",
     "background_label",
     "border_pixels",
+    "fill_residual",
     "fill_stats",
     "psnr_mae",
     "region_boundary_pixels",
