@@ -15,6 +15,7 @@ QUERIES = [
     "border_pixels",
     "fill_residual",
     "fill_stats",
+    "interior_mae",
     "psnr_mae",
     "region_boundary_pixels",
 ]
