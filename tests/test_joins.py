@@ -13,6 +13,7 @@ QUERIES = [
     "adjacency_pairs",
     "background_label",
     "border_pixels",
+    "error_split_axis",
     "fill_residual",
     "fill_stats",
     "interior_mae",
