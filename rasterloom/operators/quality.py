@@ -34,5 +34,5 @@ def mean_abs_gradient(px: DataFrame, value: str) -> DataFrame:
 
 def activity(errors: DataFrame, core: DataFrame | None = None, least: int = 50) -> DataFrame:
     """(…, activity): mean residual act over the core of regions whose core has `least` pixels; errors are of the core if it isn't given."""
-    inner = errors if core is None else errors.join(core.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
+    inner = errors if core is None else errors.join(core.select("image_id", "y", "x").hint("merge"), ["image_id", "y", "x"], "left_semi")
     return inner.groupBy(*KEY).agg(F.avg("act").alias("activity"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")

@@ -9,6 +9,7 @@ from .conftest import SMALL
 
 #: Pixels of these queries meet regions, images or other pixels.
 QUERIES = [
+    "activity_residual",
     "adjacency_color_distance",
     "adjacency_pairs",
     "background_label",
