@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import bucket_level, packed
-from rasterloom.operators.regions import CHANNELS
+from rasterloom.operators.regions import CHANNELS, matched
 
 MOST_COLORS = 512
 
@@ -25,7 +25,7 @@ def peaks(px: DataFrame, bits: int = 5, share: float = 0.0002, least: int = 64)
     """(image_id, key, n, total): buckets of at least max(least, share of the image's pixels)."""
     counts = histogram(px, bits)
     totals = counts.groupBy("image_id").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "image_id").where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("total") * share)))
+    return matched(counts, totals, "image_id").where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("total") * share)))
 
 
 def coverage(px: DataFrame, bits: int = 5, share: float = 0.0002, least: int = 64) -> DataFrame:
@@ -62,9 +62,9 @@ def lookup(px: DataFrame, palettes: DataFrame, bits: int = 5) -> DataFrame:
 
     Buckets, of which an image has 2 ** (3 * bits) at most, are matched with the palette; pixels look theirs up.
     """
-    held = histogram(px, bits).join(palettes, "image_id")
+    held = matched(histogram(px, bits), palettes, "image_id")
     table = held.select("image_id", "key", nearest(F.col("colors"), *(bucket_level(F.col("key"), i, bits) for i in range(3))).alias("label"))
-    return px.withColumn("key", packed(*map(F.col, CHANNELS), bits)).join(table, ["image_id", "key"]).drop("key")
+    return px.withColumn("key", packed(*map(F.col, CHANNELS), bits)).join(table.hint("merge"), ["image_id", "key"]).drop("key")
 
 
 def centroid_array(centroids: np.ndarray) -> Column:

@@ -18,6 +18,7 @@ QUERIES = [
     "fill_residual",
     "fill_stats",
     "interior_mae",
+    "palette_lookup",
     "psnr_mae",
     "region_boundary_pixels",
 ]
