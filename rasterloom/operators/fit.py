@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators.regions import CHANNELS, KEY
+from rasterloom.operators.regions import CHANNELS, KEY, matched
 
 EPS = 1e-12
 LEAST_PIXELS, LEAST_BIN = 200, 15
@@ -82,7 +82,7 @@ def radial_centers(px: DataFrame) -> DataFrame:
 
 def along_axis(px: DataFrame, axes: DataFrame) -> DataFrame:
     """px with t, the position along each region's axis from its centroid (cx, cy, ux, uy)."""
-    return px.join(axes.select(*KEY, "cx", "cy", "ux", "uy"), KEY).withColumn("t", (F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")).drop("cx", "cy", "ux", "uy")
+    return matched(px, axes.select(*KEY, "cx", "cy", "ux", "uy")).withColumn("t", (F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")).drop("cx", "cy", "ux", "uy")
 
 
 def from_center(px: DataFrame, centers: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ QUERIES = [
     "palette_lookup",
     "psnr_mae",
     "region_boundary_pixels",
+    "weighted_median_cut",
 ]
 
 
