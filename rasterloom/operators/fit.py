@@ -93,7 +93,7 @@ def from_center(px: DataFrame, centers: DataFrame) -> DataFrame:
 def _normalised(px_t: DataFrame, keys: list[str], least_range: float) -> DataFrame:
     ends = px_t.groupBy(*keys).agg(F.percentile("t", F.array(F.lit(0.01), F.lit(0.99))).alias("e"), F.count("*").alias("n")).select(*keys, "n", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
     ends = ends.where(F.col("hi") - F.col("lo") >= least_range)
-    return px_t.join(ends, keys).withColumn("u", F.least(F.greatest((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0)))
+    return matched(px_t, ends, keys).withColumn("u", F.least(F.greatest((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0)))
 
 
 def ramp_bins(px_t: DataFrame, keys: list[str], stops: int = 10, least_range: float = 4.0) -> DataFrame:
