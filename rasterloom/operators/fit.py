@@ -87,7 +87,7 @@ def along_axis(px: DataFrame, axes: DataFrame) -> DataFrame:
 
 def from_center(px: DataFrame, centers: DataFrame) -> DataFrame:
     """px with t, the distance from each region's centre, a row for each candidate kind."""
-    return px.join(centers, KEY).withColumn("t", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)).drop("cx", "cy")
+    return matched(px, centers).withColumn("t", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)).drop("cx", "cy")
 
 
 def _normalised(px_t: DataFrame, keys: list[str], least_range: float) -> DataFrame:

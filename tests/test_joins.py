@@ -20,6 +20,7 @@ QUERIES = [
     "interior_mae",
     "palette_lookup",
     "psnr_mae",
+    "radial_bins",
     "ramp_bins",
     "region_boundary_pixels",
     "weighted_median_cut",
