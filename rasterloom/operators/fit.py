@@ -111,8 +111,8 @@ def ramp_gain(px_t: DataFrame, keys: list[str], bins: int = 8, least_range: floa
     flat = u.groupBy(*keys).agg(sum((F.var_pop(c) * F.count("*") for c in CHANNELS), F.lit(0.0)).alias("flat"))
     inside = u.withColumn("bin", F.floor(F.col("u") * bins).cast("int")).where(F.col("bin") < bins)
     middle = inside.groupBy(*keys, "bin").agg(F.count("*").alias("n"), *(F.median(c).alias(f"m_{c}") for c in CHANNELS)).where(F.col("n") > LEAST_BIN)
-    error = inside.join(middle, [*keys, "bin"]).groupBy(*keys).agg(F.sum(sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in CHANNELS), F.lit(0.0))).alias("axis"))
-    return flat.join(error, keys, "left").select(*keys, (1 - F.coalesce("axis", F.lit(0.0)) / (F.col("flat") + EPS)).alias("gain"))
+    error = matched(inside, middle, [*keys, "bin"]).groupBy(*keys).agg(F.sum(sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in CHANNELS), F.lit(0.0))).alias("axis"))
+    return matched(flat, error, keys, "left").select(*keys, (1 - F.coalesce("axis", F.lit(0.0)) / (F.col("flat") + EPS)).alias("gain"))
 
 
 def profiles(px_t: DataFrame, keys: list[str], radial: bool, stops: int = 10, bins: int = 8) -> DataFrame:

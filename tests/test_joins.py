@@ -22,6 +22,7 @@ QUERIES = [
     "psnr_mae",
     "radial_bins",
     "ramp_bins",
+    "ramp_gain",
     "region_boundary_pixels",
     "weighted_median_cut",
 ]
