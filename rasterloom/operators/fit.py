@@ -199,7 +199,7 @@ def fill_stats(errors: DataFrame, threshold: float = 0.02) -> DataFrame:
 def needs_refinement(stats: DataFrame, areas: DataFrame, min_area: int = 400) -> DataFrame:
     """Regions whose error asks for a split: enough bad pixels, positive excess, and area for two children."""
     child = max(32, min_area // 4)
-    return stats.join(areas, KEY).where((F.col("nbad") >= max(16, child // 2)) & (F.col("excess") > 0) & (F.col("area") >= min_area))
+    return matched(stats, areas).where((F.col("nbad") >= max(16, child // 2)) & (F.col("excess") > 0) & (F.col("area") >= min_area))
 
 
 def error_axis(errors: DataFrame) -> DataFrame:
