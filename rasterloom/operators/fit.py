@@ -224,7 +224,7 @@ def weighted_cut(errors: DataFrame, axes: DataFrame) -> DataFrame:
 def accepts(before: DataFrame, after: DataFrame, gain: float = 0.2) -> DataFrame:
     """Regions whose children's excess is at most (1 - gain) of theirs while rms grows by 5 % at most."""
     a, b = before.select(*KEY, F.col("excess").alias("e0"), F.col("rms").alias("r0")), after.select(*KEY, F.col("excess").alias("e1"), F.col("rms").alias("r1"))
-    return a.join(b, KEY).where((F.col("e1") <= (1 - gain) * F.col("e0")) & (F.col("r1") <= 1.05 * F.col("r0")))
+    return matched(a, b).where((F.col("e1") <= (1 - gain) * F.col("e0")) & (F.col("r1") <= 1.05 * F.col("r0")))
 
 
 def regroup(px: DataFrame, groups: DataFrame, fits: DataFrame, refit) -> DataFrame:

@@ -23,6 +23,7 @@ QUERIES = [
     "radial_bins",
     "ramp_bins",
     "ramp_gain",
+    "refine_accept",
     "refine_trigger",
     "region_boundary_pixels",
     "weighted_median_cut",
