@@ -234,8 +234,8 @@ def regroup(px: DataFrame, groups: DataFrame, fits: DataFrame, refit) -> DataFra
     models), so that a pass costs what changed.
     """
     members = groups.groupBy("image_id", "group").agg(F.count("*").alias("n"))
-    alone = groups.join(members.where("n = 1"), ["image_id", "group"]).select(*KEY, "group")
-    kept = fits.join(alone, KEY).drop("label").withColumnRenamed("group", "label")
-    changed = groups.join(members.where("n > 1"), ["image_id", "group"]).select(*KEY, "group")
-    moved = px.join(changed, KEY).drop("label").withColumnRenamed("group", "label")
+    alone = matched(groups, members.where("n = 1"), ["image_id", "group"]).select(*KEY, "group")
+    kept = matched(fits, alone).drop("label").withColumnRenamed("group", "label")
+    changed = matched(groups, members.where("n > 1"), ["image_id", "group"]).select(*KEY, "group")
+    moved = matched(px, changed).drop("label").withColumnRenamed("group", "label")
     return kept.unionByName(refit(moved), allowMissingColumns=True)

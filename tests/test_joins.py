@@ -26,6 +26,7 @@ QUERIES = [
     "refine_accept",
     "refine_trigger",
     "region_boundary_pixels",
+    "regroup_models",
     "weighted_median_cut",
 ]
 
