@@ -148,16 +148,16 @@ def fit_gradients(px: DataFrame, axes: DataFrame, centers: DataFrame, min_gain:
     """
     keys = [*KEY, "kind"]
     large = px.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PIXELS)
-    px = px.join(large.select(*KEY), KEY, "left_semi")
-    linear_t = px.join(axes.select(*keys, "cx", "cy", "ux", "uy"), KEY).withColumn("t", (F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy"))
-    linear = profiles(linear_t, keys, False, stops).join(axes.select(*keys, "cx", "cy", "ux", "uy"), keys)
-    radial = profiles(from_center(px, centers), keys, True, stops).join(centers, keys).withColumn("ux", F.lit(None).cast("double")).withColumn("uy", F.lit(None).cast("double"))
+    px = matched(px, large.select(*KEY), how="left_semi")
+    linear_t = matched(px, axes.select(*keys, "cx", "cy", "ux", "uy")).withColumn("t", (F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy"))
+    linear = matched(profiles(linear_t, keys, False, stops), axes.select(*keys, "cx", "cy", "ux", "uy"), keys)
+    radial = matched(profiles(from_center(px, centers), keys, True, stops), centers, keys).withColumn("ux", F.lit(None).cast("double")).withColumn("uy", F.lit(None).cast("double"))
     model = ["kind", "cx", "cy", "ux", "uy", "lo", "hi", "stops", "range", "gain"]
 
     def best(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*KEY).agg(F.max_by(F.struct(*model), F.struct("gain", F.col("kind") == "pca", F.col("kind") == "centroid", "kind")).alias(name))
 
-    both = best(linear, "line").join(best(radial, "ring"), KEY, "left")
+    both = matched(best(linear, "line"), best(radial, "ring"), how="left")
     passes = lambda s: (F.col(f"{s}.range") >= min_range) & (F.col(f"{s}.gain") >= min_gain)
     ring = F.col("ring").isNotNull() & ((1 - F.col("ring.gain")) < (1 - F.col("line.gain")) * (1 - margin)) & passes("ring")
     chosen = F.when(ring, F.col("ring")).when(passes("line"), F.col("line"))

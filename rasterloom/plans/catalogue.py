@@ -384,7 +384,7 @@ def _models(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     px_ = _unit(spark, d)
     sloped = _sloped(px_)
     pca = fit.pca_axis(px_)
-    tensor = pca.drop("ux", "uy").join(fit.tensor_axis(sloped), KEY)
+    tensor = regions.matched(pca.drop("ux", "uy"), fit.tensor_axis(sloped))
     axes = pca.withColumn("kind", F.lit("pca")).unionByName(tensor.withColumn("kind", F.lit("tensor")))
     return px_, regions.median_color(px_), fit.fit_gradients(px_, axes, fit.radial_centers(sloped))
 

@@ -17,6 +17,7 @@ QUERIES = [
     "error_split_axis",
     "fill_residual",
     "fill_stats",
+    "fit_select",
     "interior_mae",
     "palette_lookup",
     "psnr_mae",
