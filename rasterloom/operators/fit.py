@@ -174,8 +174,8 @@ def interpolated(stops: Column, t: Column, channel: str) -> Column:
 
 def predict(px: DataFrame, fills: DataFrame, fits: DataFrame) -> DataFrame:
     """px with p_r, p_g, p_b: the model's colour where its region has one, else the flat fill."""
-    attributes = fills.select(*KEY, *(F.col(c).alias(f"f_{c}") for c in CHANNELS)).join(fits, KEY, "left")
-    df = px.join(attributes, KEY)
+    attributes = matched(fills.select(*KEY, *(F.col(c).alias(f"f_{c}") for c in CHANNELS)), fits, how="left")
+    df = matched(px, attributes)
     line = F.least(F.greatest(((F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
     ring = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) / F.col("hi")
     df = df.withColumn("_t", F.when(F.col("ux").isNotNull(), line).otherwise(ring))

@@ -15,6 +15,7 @@ QUERIES = [
     "background_label",
     "border_pixels",
     "error_split_axis",
+    "fill_predict",
     "fill_residual",
     "fill_stats",
     "fit_select",
