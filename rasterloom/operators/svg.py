@@ -75,7 +75,7 @@ def documents(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d" viewBox="0 0 %d %d">', "w", "h", "w", "h")
     ground = F.when(F.col("background").isNotNull(), rect(F.lit(0), F.lit(0), F.col("w"), F.col("h"), F.col("background"))).otherwise("")
     body = F.concat(head, F.when(defs != "", F.concat(F.lit("<defs>"), defs, F.lit("</defs>"))).otherwise(""), ground, *(layer(i) for i in range(len(LAYERS))), F.lit("</svg>"))
-    return sizes.join(rows, "image_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<layer:bigint,kind:bigint,seq:bigint,sub:bigint,element:string,def:string>>"))).select("image_id", body.alias("svg"))
+    return sizes.join(rows.hint("merge"), "image_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<layer:bigint,kind:bigint,seq:bigint,sub:bigint,element:string,def:string>>"))).select("image_id", body.alias("svg"))
 
 
 def layer_counts(docs: DataFrame) -> DataFrame:

@@ -123,7 +123,8 @@ def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
     size = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     id_ = F.concat(F.lit("g"), F.col("label").cast("string"))
     colour = hex_color(F.col("r"), F.col("g"), F.col("b"))
-    shapes = region_paths(px, p).join(fills, regions.KEY).join(order, regions.KEY).join(fits, regions.KEY, "left").join(ground, "image_id").where("label <> ground")
+    paths = regions.matched(regions.matched(region_paths(px, p), fills), order)
+    shapes = regions.matched(regions.matched(paths, fits, how="left"), ground, "image_id").where("label <> ground")
     fill = F.when(F.col("stops").isNotNull(), F.concat(F.lit("url(#"), id_, F.lit(")"))).otherwise(colour)
     sloped = F.col("stops").isNotNull()
     parts = _parts(shapes, "regions", F.col("rank"), svg.path(F.col("d"), fill), F.when(sloped, svg.gradient_def(id_)))
@@ -135,7 +136,7 @@ def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
         parts = parts.unionByName(_parts(detail, "regions", F.col("component"), svg.path(F.col("d"), colour), kind=2))
     if not p.no_strokes:
         active = quality.activity(predicted.where("inner"))
-        with_activity = px.join(active, regions.KEY, "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
+        with_activity = regions.matched(px, active, how="left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
         options = {"alpha": p.stroke_alpha, "reference": p.stroke_activity_ref, "least_alpha": p.stroke_alpha_min, "width": p.stroke_width, "spacing": p.spacing, "ratio": p.occ_ratio, "step": p.stroke_step, "longest": p.stroke_max, "shortest": p.stroke_min, "nodes": p.stroke_nodes, "least_coh": p.coh_min, "most_turn": p.max_turn}
         lines = grids.stroke_groups(with_activity, p.seed, (p.cs_sigma_d, p.cs_sigma_i), **options)
         drawn = F.concat(F.lit('<path d="'), F.col("d"), F.lit('" fill="'), colour, F.lit('" fill-opacity="'), F.format_string("%.2f", "alpha"), F.lit('"/>'))
@@ -145,14 +146,15 @@ def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
         parts = parts.unionByName(_parts(found, "edges", F.col("line"), svg.line(F.col("d"), colour, F.col("width"), p.edge_alpha)))
     if p.shade_blobs:
         options = {"layers": p.shade_layers, "stops": p.shade_stops, "opacities": p.shade_eps, "edge": p.shade_tedge, "radius": p.shade_radius, "min_area": p.shade_min_area, "slope": p.shade_smooth_gtol, "texture": p.shade_smooth_ttol, "rough": p.shade_non_smooth, "halo": p.shade_halo, "gain": p.shade_gain, "candidates": p.shade_cand, "margin": p.shade_margin}
-        shaded = grids.shade_stack(predicted, **options).join(size, "image_id")
+        shaded = regions.matched(grids.shade_stack(predicted, **options), size, "image_id")
         name = F.concat(F.lit("s"), F.col("seq").cast("string"))
         parts = parts.unionByName(_parts(shaded, "shade", F.col("seq"), svg.shade_rect(name, F.col("w"), F.col("h")), svg.shade_def(name)))
-    canvas = size.join(ground, "image_id").join(fills.select("image_id", F.col("label").alias("ground"), colour.alias("background")), ["image_id", "ground"])
+    canvas = regions.matched(size, ground, "image_id")
+    canvas = regions.matched(canvas, fills.select("image_id", F.col("label").alias("ground"), colour.alias("background")), ["image_id", "ground"])
     docs = svg.documents(parts, canvas.select("image_id", "w", "h", "background"))
     if p.compress != "off":
         tight = p.compress == "tight"
         docs = docs.withColumn("svg", slim_document_column("svg", F.lit(0 if tight else 1), F.lit(0 if tight else 1), F.lit(tight)))
     if p.gzip:
         docs = docs.withColumn("svgz", gzip_column("svg"))
-    return docs.join(quality.psnr(predicted).select("image_id", "psnr"), "image_id")
+    return regions.matched(docs, quality.psnr(predicted).select("image_id", "psnr"), "image_id")

@@ -2,7 +2,10 @@
 
 import pytest
 
+from rasterloom.operators import fit
 from rasterloom.plans import catalogue
+from rasterloom.plans.params import params
+from rasterloom.plans.trace import traced
 from rasterloom.sources.relations import fig
 
 from .conftest import SMALL
@@ -45,3 +48,12 @@ def test_figures_are_dealt(spark):
     """The keys of a small file become pixels in several tasks, each image in one."""
     tasks = fig(spark, SMALL).select("image_id").rdd.glom().map(lambda rows: {r["image_id"] for r in rows}).collect()
     assert len([t for t in tasks if t]) > 1 and sum(map(len, tasks)) == len(set().union(*tasks))
+
+
+def test_trace_broadcasts_no_pixels(spark):
+    """Kept pixels are small files, yet their joins with regions and images are not broadcasts."""
+    px = fit.scaled(fig(spark, SMALL)).drop("label")
+    p = params(scale=1.0, method="colors", kmeans_k=6, kmeans_iters=4, min_area=40, autoscale=False, contour_min_area=8.0, no_strokes=True)
+    seen = []
+    docs = traced(px, p, lambda df, name: (seen.append(df), df)[1])
+    assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in (*seen, docs))
