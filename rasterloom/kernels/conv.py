@@ -18,11 +18,14 @@ def taps(sigma: float, order: int = 0) -> np.ndarray:
 
 def along(plane: np.ndarray, weights: np.ndarray, axis: int, mode: str) -> np.ndarray:
     """Correlation along an axis; mode 'nearest' repeats the edge, 'reflect' mirrors it with the edge repeated."""
-    r = len(weights) // 2
-    pad = [(0, 0)] * plane.ndim
-    pad[axis] = (r, r)
-    wide = np.pad(plane, pad, mode="edge" if mode == "nearest" else "symmetric")
-    n = plane.shape[axis]
+    r, n = len(weights) // 2, plane.shape[axis]
+    at = np.arange(-r, n + r)
+    if mode == "nearest":
+        at = np.clip(at, 0, n - 1)
+    else:
+        at %= 2 * n
+        at = np.minimum(at, 2 * n - 1 - at)
+    wide = plane.take(at, axis)
     out = np.zeros_like(plane, dtype=float)
     ahead = (slice(None),) * axis
     for i, w in enumerate(weights):
@@ -36,6 +39,10 @@ def gaussian(plane: np.ndarray, sigma: float, mode: str = "reflect") -> np.ndarr
     return along(along(plane.astype(float), taps(sigma), 0, mode), taps(sigma), 1, mode)
 
 
+def luma(rgb: np.ndarray) -> np.ndarray:
+    return rgb @ np.array([0.299, 0.587, 0.114])
+
+
 def structure_tensor(rgb: np.ndarray, sigma_d: float = 1.0, sigma_i: float = 2.5) -> dict[str, np.ndarray]:
     """Eigenvalues l1 >= l2, coherence, energy, luma, gradient direction (gx, gy) and tangent (tx, ty) of (H, W, 3)."""
     smooth, slope = taps(sigma_d), taps(sigma_d, 1)
@@ -53,7 +60,7 @@ def structure_tensor(rgb: np.ndarray, sigma_d: float = 1.0, sigma_i: float = 2.5
     norm = np.hypot(gx, gy)
     norm = np.where(norm < EPS, 1.0, norm)
     gx, gy = gx / norm, gy / norm
-    return {"l1": l1, "l2": l2, "coh": (l1 - l2) / (l1 + l2 + EPS), "energy": l1, "luma": rgb @ np.array([0.299, 0.587, 0.114]), "gx": gx, "gy": gy, "tx": -gy, "ty": gx}
+    return {"l1": l1, "l2": l2, "coh": (l1 - l2) / (l1 + l2 + EPS), "energy": l1, "luma": luma(rgb), "gx": gx, "gy": gy, "tx": -gy, "ty": gx}
 
 
 def thumbnail_change(rgb: np.ndarray, side: int = 64) -> float:

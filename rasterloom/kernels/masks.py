@@ -69,10 +69,9 @@ def components(values: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray
             parent = parent[parent]
     root = parent.reshape(h, w)
     inside = np.ones((h, w), bool) if mask is None else mask
-    names, dense = np.unique(root[inside], return_inverse=True)
-    out = np.full((h, w), -1)
-    out[inside] = dense
-    return out
+    # roots are the first pixels of their components
+    number = np.cumsum((parent == np.arange(n)) & inside.ravel()) - 1
+    return np.where(inside, number[root], -1)
 
 
 def hysteresis(plane: np.ndarray, low: float, high: float) -> np.ndarray:

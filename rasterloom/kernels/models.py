@@ -12,32 +12,69 @@ from rasterloom.kernels.segments import dense, touching, windows
 EPS = 1e-12
 
 
-def _ramp(t: np.ndarray, colors: np.ndarray, radial: bool, stops: int = 10, bins: int = 8) -> dict | None:
-    lo, hi = np.percentile(t, (1, 99))
-    if hi - lo < (2 if radial else 4):
-        return None
-    u = np.clip((t - lo) / (hi - lo), 0, 1)
-    at = np.minimum((u * stops).astype(int), stops - 1)
-    listed = []
-    for i in np.flatnonzero(np.bincount(at, minlength=stops) >= 15):
-        centre = (i + 0.5) / stops
-        listed.append(((lo + centre * (hi - lo)) / hi if radial else centre, np.median(colors[at == i], axis=0)))
-    if len(listed) < 2:
-        return None
-    values = np.array([v for _, v in listed])
-    error = 0.0
-    at = np.floor(u * bins).astype(int)  # the far end belongs to no bin
-    for i in range(bins):
-        own = colors[at == i]
-        if len(own) > 15:
-            error += ((own - np.median(own, axis=0)) ** 2).sum()
-    gain = 1 - error / (((colors - colors.mean(axis=0)) ** 2).sum() + EPS)
-    return {"lo": lo, "hi": hi, "offsets": np.array([o for o, _ in listed]), "values": values, "range": float(np.ptp(values, axis=0).max()), "gain": float(gain), "radial": radial}
+STOPS, BINS = 10, 8
+
+
+def _ends(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.percentile(t, (1, 99), axis=1), without its overhead for few values."""
+    n = t.shape[1]
+    at = (n - 1) * np.array([0.01, 0.99])
+    below = np.floor(at).astype(int)
+    above = np.minimum(below + 1, n - 1)
+    part = at - below
+    t = np.partition(t, np.concatenate((below, above)), axis=1)
+    low, high = t[:, below], t[:, above]
+    return tuple(np.where(part >= 0.5, high - (high - low) * (1 - part), low + (high - low) * part).T)
+
+
+class _Shades:
+    """A region's colours, each channel sorted once, for medians by the bins of many axes."""
+
+    def __init__(self, colors: np.ndarray):
+        self.colors = colors
+        self.order = np.argsort(colors.T, axis=1, kind="stable")
+        self.sorted = colors[self.order, np.arange(colors.shape[1])[:, None]]
+        self.whole = not np.isnan(self.sorted[:, -1]).any()
+
+    def medians(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(axes, bins, channels): medians of the colours of each axis' bins, of which at (axes, pixels) has the numbers; any value for none."""
+        # a stable sort by bin keeps each channel's order within the bins
+        moved = np.argsort(at.astype(np.uint8)[:, self.order], axis=2, kind="stable")
+        channel, axis, n = np.arange(self.sorted.shape[0]), np.arange(len(at))[:, None, None], at.shape[1]
+        first = np.cumsum(sizes, axis=1) - sizes
+
+        def value(place: np.ndarray) -> np.ndarray:
+            place = np.minimum(place, n - 1)[:, :, None]
+            return self.sorted[channel, moved[axis, channel, place]]
+
+        found = (value(first + np.maximum(sizes - 1, 0) // 2) + value(first + sizes // 2)) / 2
+        return found if self.whole else np.where(np.isnan(value(first + np.maximum(sizes - 1, 0))), np.nan, found)
+
+
+def _sizes(at: np.ndarray, bins: int) -> np.ndarray:
+    """(axes, bins): how many pixels lie in each bin."""
+    return np.bincount((at + bins * np.arange(len(at))[:, None]).ravel(), minlength=bins * len(at)).reshape(len(at), bins)
+
+
+def _gains(u: np.ndarray, shades: _Shades) -> np.ndarray:
+    """The share of the squared colour error that medians of the bins of each axis' positions remove."""
+    at = np.floor(u * BINS).astype(int)  # the far end belongs to no bin
+    sizes = _sizes(at, BINS + 1)
+    counted = sizes > 15
+    counted[:, BINS] = False
+    axis = np.arange(len(u))[:, None]
+    rest = shades.colors - shades.medians(at, sizes)[axis, at]
+    error = ((rest * rest).sum(axis=2) * counted[axis, at]).sum(axis=1)
+    return 1 - error / (((shades.colors - shades.colors.mean(axis=0)) ** 2).sum() + EPS)
 
 
 def fit(ys: np.ndarray, xs: np.ndarray, colors: np.ndarray, gx: np.ndarray | None = None, gy: np.ndarray | None = None, weight: np.ndarray | None = None, min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05) -> dict | None:
-    """The best linear or radial ramp of a region's pixels; None if a flat colour does."""
-    if len(ys) < 200:
+    """The best linear or radial ramp of a region's pixels; None if a flat colour does.
+
+    All axes and centres are looked at together. A ramp's values are medians of the region's colours; gains are computed
+    only where some ramp has the range asked for.
+    """
+    if len(ys) < 200 or np.ptp(colors, axis=0).max() < min_range:
         return None
     cx, cy = xs.mean(), ys.mean()
     p = np.stack((xs - cx, ys - cy), axis=1)
@@ -47,13 +84,6 @@ def fit(ys: np.ndarray, xs: np.ndarray, colors: np.ndarray, gx: np.ndarray | Non
         d = np.array([(gx * weight).mean(), (gy * weight).mean()])
         if np.hypot(*d) > EPS:
             axes.append(d / np.hypot(*d))
-    lines = []
-    for u in axes:
-        if (found := _ramp(p @ u, colors, False)) is not None:
-            lines.append(found | {"cx": cx, "cy": cy, "u": u})
-    if not lines:
-        return None
-    best = max(lines, key=lambda f: f["gain"])
     centres = [(cx, cy), ((xs.min() + xs.max()) / 2, (ys.min() + ys.max()) / 2)]
     if gx is not None:
         s = gy * xs - gx * ys
@@ -62,15 +92,39 @@ def fit(ys: np.ndarray, xs: np.ndarray, colors: np.ndarray, gx: np.ndarray | Non
         if det > 1e-3 * (a11 + a22) ** 2:
             b1, b2 = (gy * s).sum(), -(gx * s).sum()
             centres.append(((a22 * b1 - a12 * b2) / det, (a11 * b2 - a12 * b1) / det))
-    rings = []
-    for x0, y0 in centres:
-        if (found := _ramp(np.hypot(xs - x0, ys - y0), colors, True)) is not None:
-            rings.append(found | {"cx": x0, "cy": y0})
-    if rings:
-        ring = max(rings, key=lambda f: f["gain"])
-        if 1 - ring["gain"] < (1 - best["gain"]) * (1 - margin) and ring["range"] >= min_range and ring["gain"] >= min_gain:
-            return ring
-    return best if best["range"] >= min_range and best["gain"] >= min_gain else None
+    t = np.stack([*(p @ u for u in axes), *(np.hypot(xs - x0, ys - y0) for x0, y0 in centres)])
+    shapes = [*({"cx": cx, "cy": cy, "u": u, "radial": False} for u in axes), *({"cx": x0, "cy": y0, "radial": True} for x0, y0 in centres)]
+    radial = np.arange(len(t)) >= len(axes)
+    lo, hi = _ends(t)
+    wide = hi - lo >= np.where(radial, 2, 4)
+    u = np.clip((t - lo[:, None]) / np.where(wide, hi - lo, 1)[:, None], 0, 1)
+    at = np.minimum((u * STOPS).astype(int), STOPS - 1)
+    sizes = _sizes(at, STOPS)
+    held = sizes >= 15
+    made = wide & (held.sum(axis=1) >= 2)
+    if not made[~radial].any():
+        return None
+    shades = _Shades(colors)
+    values = shades.medians(at, sizes)
+    ranges = (np.where(held[..., None], values, -np.inf).max(axis=1) - np.where(held[..., None], values, np.inf).min(axis=1)).max(axis=1)
+    enough = made & (ranges >= min_range)
+    if not enough.any():
+        return None
+    asked = np.flatnonzero(made & (~radial | enough[radial].any()))
+    gains = np.full(len(t), -np.inf)
+    gains[asked] = _gains(u[asked], shades)
+
+    def model(i: int) -> dict:
+        centre = (np.flatnonzero(held[i]) + 0.5) / STOPS
+        offsets = (lo[i] + centre * (hi[i] - lo[i])) / hi[i] if radial[i] else centre
+        return {"lo": lo[i], "hi": hi[i], "offsets": offsets, "values": values[i][held[i]], "range": float(ranges[i]), "gain": float(gains[i])} | shapes[i]
+
+    best = int(np.argmax(np.where(radial, -np.inf, gains)))
+    if enough[radial].any():
+        ring = int(np.argmax(np.where(radial, gains, -np.inf)))
+        if 1 - gains[ring] < (1 - gains[best]) * (1 - margin) and enough[ring] and gains[ring] >= min_gain:
+            return model(ring)
+    return model(best) if enough[best] and gains[best] >= min_gain else None
 
 
 def predict(model: dict | None, flat: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
@@ -85,8 +139,14 @@ def predict(model: dict | None, flat: np.ndarray, ys: np.ndarray, xs: np.ndarray
     return np.stack([np.interp(t, model["offsets"], model["values"][:, c]) for c in range(3)], axis=1)
 
 
+def _flat(model: dict | None, colors: np.ndarray) -> np.ndarray:
+    """The flat colour of pixels; a model has no use for it."""
+    return np.median(colors, axis=0) if model is None else colors[0]
+
+
 def _squared(ys: np.ndarray, xs: np.ndarray, colors: np.ndarray) -> float:
-    return float(((colors - predict(fit(ys, xs, colors), np.median(colors, axis=0), ys, xs)) ** 2).mean())
+    model = fit(ys, xs, colors)
+    return float(((colors - predict(model, _flat(model, colors), ys, xs)) ** 2).mean())
 
 
 def merge_by_gradient(labels: np.ndarray, rgb: np.ndarray, tolerance: float = 0.05, rounds: int = 4) -> np.ndarray:
@@ -145,7 +205,8 @@ def refine(labels: np.ndarray, rgb: np.ndarray, threshold: float = 0.02, min_are
 
     def measured(ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, float, float, int]:
         c = rgb[ys, xs]
-        return region_error(ys, xs, c, fit(ys, xs, c), np.median(c, axis=0), threshold)
+        model = fit(ys, xs, c)
+        return region_error(ys, xs, c, model, _flat(model, c), threshold)
 
     while heap and budget and evaluated < budget + 512:
         _, i, level = heapq.heappop(heap)

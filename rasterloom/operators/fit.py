@@ -164,12 +164,11 @@ def fit_gradients(px: DataFrame, axes: DataFrame, centers: DataFrame, min_gain:
     return both.select(*KEY, chosen.alias("m")).where("m is not null").select(*KEY, "m.*")
 
 
-def interpolated(stops: Column, t: Column, channel: str) -> Column:
-    """The value of a channel on the piecewise linear ramp, constant beyond its ends."""
-    below, above = F.filter(stops, lambda s: s["offset"] <= t), F.filter(stops, lambda s: s["offset"] > t)
-    a, b = F.element_at(below, -1), F.get(above, F.lit(0))
+def interpolated(stops: Column, below: Column, t: Column, channel: str) -> Column:
+    """The value of a channel on the piecewise linear ramp, constant beyond its ends; so many of the stops, in order, lie at or below t."""
+    a, b = F.get(stops, below - 1), F.get(stops, below)
     part = a[channel] + (b[channel] - a[channel]) * (t - a["offset"]) / (b["offset"] - a["offset"])
-    return F.when(F.size(below) == 0, b[channel]).when(F.size(above) == 0, a[channel]).otherwise(part)
+    return F.when(below == 0, b[channel]).when(below == F.size(stops), a[channel]).otherwise(part)
 
 
 def predict(px: DataFrame, fills: DataFrame, fits: DataFrame) -> DataFrame:
@@ -179,8 +178,10 @@ def predict(px: DataFrame, fills: DataFrame, fits: DataFrame) -> DataFrame:
     line = F.least(F.greatest(((F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
     ring = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) / F.col("hi")
     df = df.withColumn("_t", F.when(F.col("ux").isNotNull(), line).otherwise(ring))
+    # the place among the stops is looked for once and not for each channel
+    df = df.withColumn("_below", F.when(F.col("stops").isNotNull(), F.size(F.filter("stops", lambda s: s["offset"] <= F.col("_t")))))
     for c in CHANNELS:
-        df = df.withColumn(f"p_{c}", F.when(F.col("stops").isNull(), F.col(f"f_{c}")).otherwise(interpolated(F.col("stops"), F.col("_t"), c)))
+        df = df.withColumn(f"p_{c}", F.when(F.col("stops").isNull(), F.col(f"f_{c}")).otherwise(interpolated(F.col("stops"), F.col("_below"), F.col("_t"), c)))
     return df.select(*px.columns, *(f"p_{c}" for c in CHANNELS))
 
 

@@ -7,6 +7,7 @@ parallel. Kernels that follow each other on the same planes run in one such call
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,14 @@ def per_pixel(px: DataFrame, of: Callable[[Planes], Planes], schema: str, column
     return px.select("image_id", "y", "x", *columns).groupBy("image_id").applyInArrow(run, whole)
 
 
+class Kernel(NamedTuple):
+    """of maps an image's planes of these columns to records with the fields of schema."""
+
+    of: Callable[[Planes], list[dict]]
+    schema: str
+    columns: list[str]
+
+
 def per_image(px: DataFrame, of: Callable[[Planes], list[dict]], schema: str, columns: list[str]) -> DataFrame:
     """(image_id, record columns): `of` maps an image's planes to records."""
     whole = f"image_id long, {schema}"
@@ -63,6 +72,22 @@ def per_image(px: DataFrame, of: Callable[[Planes], list[dict]], schema: str, co
     return px.select("image_id", "y", "x", *columns).groupBy("image_id").applyInArrow(run, whole)
 
 
+def together(px: DataFrame, **kernels: Kernel) -> DataFrame:
+    """(image_id, a struct for each kernel): the records of several kernels in one pass; each row has one kernel's struct, the others are null."""
+
+    def of(planes: Planes) -> list[dict]:
+        nothing = dict.fromkeys(kernels)
+        return [nothing | {name: record} for name, kernel in kernels.items() for record in kernel.of(planes)]
+
+    schema = ", ".join(f"{name} struct<{StructType.fromDDL(kernel.schema).simpleString()[len('struct<') : -1]}>" for name, kernel in kernels.items())
+    return per_image(px, of, schema, list(dict.fromkeys(c for kernel in kernels.values() for c in kernel.columns)))
+
+
+def only(rows: DataFrame, name: str) -> DataFrame:
+    """(image_id, record columns) of one kernel of together()."""
+    return rows.where(rows[name].isNotNull()).select("image_id", f"{name}.*")
+
+
 def _rgb(p: Planes) -> np.ndarray:
     return np.stack([p[c].astype(float) for c in "rgb"], axis=-1)
 
@@ -323,8 +348,8 @@ def edge_lines(px: DataFrame, mode: str = "both", chroma: float = 9.0, high: flo
     return per_image(px, of, "line int, d string, r double, g double, b double, width double", ["label", *RGB])
 
 
-def gradient_models(px: DataFrame, min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05, gain_of: Callable[[np.ndarray], float] | None = None) -> DataFrame:
-    """(image_id, label, kind, cx, cy, ux, uy, lo, hi, stops, range, gain): chosen ramps of all regions in one pass.
+def gradient_kernel(min_gain: float = 0.12, min_range: float = 0.004, margin: float = 0.05, gain_of: Callable[[np.ndarray], float] | None = None) -> Kernel:
+    """(label, kind, cx, cy, ux, uy, lo, hi, stops, range, gain): chosen ramps of all regions in one pass.
 
     The same columns as operators.fit.fit_gradients; one shuffle by image in place of its aggregations. gain_of may give
     an image's own min_gain.
@@ -344,11 +369,16 @@ def gradient_models(px: DataFrame, min_gain: float = 0.12, min_range: float = 0.
                 out.append({"label": i, "kind": "radial" if m["radial"] else "linear", "cx": float(m["cx"]), "cy": float(m["cy"]), "ux": None if u[0] is None else float(u[0]), "uy": None if u[1] is None else float(u[1]), "lo": float(m["lo"]), "hi": float(m["hi"]), "stops": stops, "range": m["range"], "gain": m["gain"]})
         return out
 
-    return per_image(px, of, "label int, kind string, cx double, cy double, ux double, uy double, lo double, hi double, stops array<struct<offset:double,r:double,g:double,b:double>>, range double, gain double", ["label", *RGB])
+    return Kernel(of, "label int, kind string, cx double, cy double, ux double, uy double, lo double, hi double, stops array<struct<offset:double,r:double,g:double,b:double>>, range double, gain double", ["label", *RGB])
+
 
+def gradient_models(px: DataFrame, *options, **more) -> DataFrame:
+    """image_id and the records of gradient_kernel()."""
+    return per_image(px, *gradient_kernel(*options, **more))
 
-def seams(px: DataFrame, chroma: float = 12.0, scale: float = 1.0, least: int = 40) -> DataFrame:
-    """(image_id, component, area, r, g, b, d): colourful seams as a layer of their own; channels in 0..1."""
+
+def seam_kernel(chroma: float = 12.0, scale: float = 1.0, least: int = 40) -> Kernel:
+    """(component, area, r, g, b, d): colourful seams as a layer of their own; channels in 0..1."""
 
     def of(p: Planes) -> list[dict]:
         rgb = _rgb(p)
@@ -361,7 +391,12 @@ def seams(px: DataFrame, chroma: float = 12.0, scale: float = 1.0, least: int =
                 out.append({"component": part.label, "area": len(part.ys), **{c: float(v) for c, v in zip("rgb", np.median(rgb[part.ys, part.xs], axis=0), strict=True)}, "d": d})
         return out
 
-    return per_image(px, of, "component int, area long, r double, g double, b double, d string", RGB)
+    return Kernel(of, "component int, area long, r double, g double, b double, d string", RGB)
+
+
+def seams(px: DataFrame, *options, **more) -> DataFrame:
+    """image_id and the records of seam_kernel()."""
+    return per_image(px, *seam_kernel(*options, **more))
 
 
 def shade_stack(px: DataFrame, **options) -> DataFrame:

@@ -33,10 +33,10 @@ def _label_planes(rgb: np.ndarray, p: Params) -> dict[str, np.ndarray]:
     p = own_params(p, rgb)
     if p.denoise > 0:
         rgb = conv.bilateral(rgb, p.denoise)
-    t = conv.structure_tensor(rgb, p.sigma_d, p.sigma_i)
     labels = segments.by_flat_colors(rgb, p.flat_nb, p.flat_share, p.flat_cov, p.flat_merge, 0.0, p.thresh) if p.seg in ("auto", "flat") else None
     if labels is None:
         colors = {"k": p.kmeans_k, "rounds": p.kmeans_iters, "smooth": p.pre_smooth, "threshold": p.thresh, "second": p.merge_thresh2, "passes": p.merge_passes, "protect": p.protect_sat, "seed": p.seed}
+        t = conv.structure_tensor(rgb, p.sigma_d, p.sigma_i) if p.method in ("edges", "watershed", "hybrid") else {}
         if p.method == "edges":
             labels = segments.by_edges(t["energy"], t["gx"], t["gy"], p.edge_core, p.edge_close, p.edge_dsmooth, high=p.edge_nms_hi, low=p.edge_nms_lo)
         elif p.method == "watershed":
@@ -48,7 +48,7 @@ def _label_planes(rgb: np.ndarray, p: Params) -> dict[str, np.ndarray]:
     labels = segments.merge_small(labels, p.min_area, rgb * 255, p.protect_sat, 8, p.min_width)
     if p.merge_grad:
         labels = models.merge_by_gradient(labels, rgb, p.merge_grad_tol, p.merge_grad_passes)
-    geo = segments.classified(labels, t["luma"], rgb, p.min_area, p.tex_thr, p.range_thr, p.tex_norm)["geo"][labels]
+    geo = segments.classified(labels, conv.luma(rgb), rgb, p.min_area, p.tex_thr, p.range_thr, p.tex_norm)["geo"][labels]
     root = np.arange(labels.max() + 1)
     if p.adaptive_refine:
         labels, lineage = models.refine(labels, rgb, p.refine_err, p.refine_min_area, p.refine_max_depth, p.refine_gain, p.refine_budget)
@@ -65,34 +65,46 @@ def labelled(px: DataFrame, p: Params) -> DataFrame:
     return grids.per_pixel(px, of, "r double, g double, b double, label int, root int, geo boolean, core boolean, inner boolean", ["r", "g", "b"])
 
 
-def region_paths(px: DataFrame, p: Params) -> DataFrame:
-    """(image_id, label, d, moved): each region's path, its fit by its share of drawn pixels, snapped if asked for."""
+def path_kernel(p: Params) -> grids.Kernel:
+    """(label, d, moved): each region's path, its fit by its share of drawn pixels, snapped if asked for."""
 
     def of(planes: grids.Planes) -> list[dict]:
         own = for_size(p, planes["label"].shape[1], planes["label"].shape[0])
-        t = conv.structure_tensor(np.stack([planes[c] for c in "rgb"], axis=-1), own.snap_sigma, own.snap_sigma)
-        out = []
+        t = conv.structure_tensor(np.stack([planes[c] for c in "rgb"], axis=-1), own.snap_sigma, own.snap_sigma) if own.snap_mode == "refine" else {}
+        kinds: dict[str, list[tuple[int, int, np.ndarray]]] = {"bezier": [], "cr": []}
+        moved: dict[int, int] = {}
         for part in segments.windows(planes["label"], 1):
             geo = planes["geo"][part.ys, part.xs].mean() >= own.auto_geo_frac
             kind = ("bezier" if geo else "cr") if own.fit == "auto" else own.fit
-            moved = [0]
+            moved[part.label] = 0
+            for k, ring in enumerate(curves.mask_rings(masks.dilated(part.mask), own.contour_smooth, own.contour_min_area, (part.x0, part.y0))):
+                if geo and t:
+                    ring, n = curves.snapped(ring, t["luma"], t["energy"], own.snap_w, own.snap_step, own.snap_shift, mode=own.snap_sub)
+                    moved[part.label] += n
+                kinds["bezier" if kind == "bezier" else "cr"].append((part.label, k, ring))
+        drawn: dict[int, dict[int, str]] = {}
+        for kind, rings in kinds.items():  # all rings of an image at once
+            for (label, k, _), d in zip(rings, curves.ring_paths([r for _, _, r in rings], kind, own.contour_tol, own.fit_tol), strict=True):
+                drawn.setdefault(label, {})[k] = d
+        paths = {label: "".join(d[k] for k in sorted(d)) for label, d in drawn.items()}
+        return [{"label": label, "d": paths[label], "moved": n} for label, n in moved.items() if paths.get(label)]
+
+    return grids.Kernel(of, "label int, d string, moved int", ["label", "geo", "r", "g", "b"])
+
 
-            def move(ring: np.ndarray, moved=moved) -> np.ndarray:
-                ring, n = curves.snapped(ring, t["luma"], t["energy"], own.snap_w, own.snap_step, own.snap_shift, mode=own.snap_sub)
-                moved[0] += n
-                return ring
+def region_paths(px: DataFrame, p: Params) -> DataFrame:
+    """image_id and the records of path_kernel()."""
+    return grids.per_image(px, *path_kernel(p))
 
-            snap = move if own.snap_mode == "refine" and geo else None
-            if d := curves.region_path(masks.dilated(part.mask), kind, own.contour_smooth, own.contour_tol, own.fit_tol, own.contour_min_area, (part.x0, part.y0), snap):
-                out.append({"label": part.label, "d": d, "moved": moved[0]})
-        return out
 
-    return grids.per_image(px, of, "label int, d string, moved int", ["label", "geo", "r", "g", "b"])
+def model_kernel(p: Params) -> grids.Kernel:
+    """The chosen gradients."""
+    return grids.gradient_kernel(p.grad_min_gain, p.grad_min_range, p.grad_radial_margin, lambda rgb: own_params(p, rgb).grad_min_gain)
 
 
 def region_models(px: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(fills, fits): flat colours by core medians, and the chosen gradients."""
-    return regions.fill_color(px, px.where("core")), grids.gradient_models(px, p.grad_min_gain, p.grad_min_range, p.grad_radial_margin, lambda rgb: own_params(p, rgb).grad_min_gain)
+    return regions.fill_color(px, px.where("core")), grids.per_image(px, *model_kernel(p))
 
 
 def rim_options(p: Params, rgb: np.ndarray) -> dict:
@@ -115,15 +127,21 @@ def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
     """
     p = p or params(scale=1.0)
     px = cut(labelled(px, p), "labels")
-    fills, fits = region_models(px, p)
-    fills, fits = cut(fills, "fills"), cut(fits, "fits")
+    fills = cut(regions.fill_color(px, px.where("core")), "fills")
+    kernels = {"paths": path_kernel(p), "fits": model_kernel(p)}
+    if p.detail_chroma > 0:
+        kernels["seams"] = grids.seam_kernel(p.detail_chroma, p.detail_scale, p.detail_min_area)
+    made = cut(grids.together(px, **kernels), "shapes")
+    fits = grids.only(made, "fits")
     ground = regions.background(px).select("image_id", F.col("label").alias("ground"))
-    predicted = cut(fit.residuals(fit.predict(px, fills, fits)), "residuals")
+    predicted = fit.residuals(fit.predict(px, fills, fits))
+    if not p.no_strokes or p.shade_blobs:
+        predicted = cut(predicted, "residuals")
     order = regions.ordered(px).select("image_id", "label", "rank")
     size = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     id_ = F.concat(F.lit("g"), F.col("label").cast("string"))
     colour = hex_color(F.col("r"), F.col("g"), F.col("b"))
-    paths = regions.matched(regions.matched(region_paths(px, p), fills), order)
+    paths = regions.matched(regions.matched(grids.only(made, "paths"), fills), order)
     shapes = regions.matched(regions.matched(paths, fits, how="left"), ground, "image_id").where("label <> ground")
     fill = F.when(F.col("stops").isNotNull(), F.concat(F.lit("url(#"), id_, F.lit(")"))).otherwise(colour)
     sloped = F.col("stops").isNotNull()
@@ -132,8 +150,7 @@ def traced(px: DataFrame, p: Params | None = None, cut=kept) -> DataFrame:
         rims = grids.edge_bands(px, options_of=lambda rgb: rim_options(p, rgb)).where("d <> ''")
         parts = parts.unionByName(_parts(rims, "regions", F.col("label"), svg.path(F.col("d"), colour), kind=1, sub=F.col("neighbor") * 64 + F.col("level")))
     if p.detail_chroma > 0:
-        detail = grids.seams(px, p.detail_chroma, p.detail_scale, p.detail_min_area)
-        parts = parts.unionByName(_parts(detail, "regions", F.col("component"), svg.path(F.col("d"), colour), kind=2))
+        parts = parts.unionByName(_parts(grids.only(made, "seams"), "regions", F.col("component"), svg.path(F.col("d"), colour), kind=2))
     if not p.no_strokes:
         active = quality.activity(predicted.where("inner"))
         with_activity = regions.matched(px, active, how="left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))

@@ -57,3 +57,18 @@ def test_trace_broadcasts_no_pixels(spark):
     seen = []
     docs = traced(px, p, lambda df, name: (seen.append(df), df)[1])
     assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in (*seen, docs))
+
+
+def test_trace_passes_over_labelled_pixels_once(spark):
+    """Paths, models and seams come from one grouping of an image's pixels, after that of its labels."""
+    px = fit.scaled(fig(spark, SMALL)).drop("label")
+    p = params(scale=1.0, method="colors", kmeans_k=6, kmeans_iters=4, min_area=40, autoscale=False, contour_min_area=8.0, no_strokes=True)
+    seen = {}
+
+    def cut(df, name):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow ")
+        return spark.createDataFrame([], df.schema)
+
+    docs = traced(px, p, cut)
+    assert {n for n, k in seen.items() if k} == {"labels", "shapes"}
+    assert "FlatMapGroupsInArrow" not in docs._jdf.queryExecution().executedPlan().toString()

@@ -268,3 +268,74 @@ def test_windows_are_boxes_of_labels():
         assert np.array_equal(ys, w.ys) and np.array_equal(xs, w.xs) and w.y0 == max(0, ys.min() - 1) and w.x0 == max(0, xs.min() - 1)
         assert np.array_equal(w.mask, w.plane(labels) == w.label)
     assert {w.label for w in segments.windows(labels)} == set(np.unique(labels)) - {-1} and not list(segments.windows(np.full((2, 2), -1)))
+
+
+def plain_ramp(t, colors, radial):
+    """A ramp, its range and gain by the definition, bin by bin."""
+    lo, hi = np.percentile(t, (1, 99))
+    u = np.clip((t - lo) / (hi - lo), 0, 1)
+    at = np.minimum((u * 10).astype(int), 9)
+    listed = {i: np.median(colors[at == i], axis=0) for i in range(10) if (at == i).sum() >= 15}
+    at, error = np.floor(u * 8).astype(int), 0.0
+    for i in range(8):
+        own = colors[at == i]
+        if len(own) > 15:
+            error += ((own - np.median(own, axis=0)) ** 2).sum()
+    return lo, hi, np.array(list(listed.values())), 1 - error / ((colors - colors.mean(axis=0)) ** 2).sum()
+
+
+def test_ramps_of_all_axes_equal_single_ones():
+    rng = np.random.default_rng(3)
+    y, x = (v.ravel() for v in np.mgrid[:31, :23])
+    for radial in (False, True):
+        t = np.hypot(x - 11, y - 15) if radial else x * 0.6 + y * 0.8
+        colors = np.round((t[:, None] * [0.02, 0.01, -0.015] + 0.5 + rng.normal(0, 0.01, (len(t), 3))) * 255) / 255
+        found = models.fit(y, x, colors)
+        assert found["radial"] == radial
+        own = np.hypot(x - found["cx"], y - found["cy"]) if radial else np.stack((x - found["cx"], y - found["cy"]), axis=1) @ found["u"]
+        lo, hi, values, gain = plain_ramp(own, colors, radial)
+        assert (found["lo"], found["hi"]) == (lo, hi) and np.array_equal(found["values"], values)
+        assert abs(found["gain"] - gain) < 1e-12 and found["range"] == np.ptp(values, axis=0).max()
+
+
+def test_all_lines_are_fitted_at_once():
+    """Many lines together give the cubics of each line alone, in its order, within the tolerance; ties go to the first point."""
+    rng = np.random.default_rng(5)
+    lines = [np.cumsum(rng.normal(0.5, 1.0, (n, 2)), axis=0) for n in (2, 3, 4, 9, 40, 150)] + [np.array([[0.0, 0], [0, 0]]), np.stack((np.arange(12.0), np.zeros(12)), axis=1)]
+    calls = []
+    of, curves.cubic_fits = curves.cubic_fits, lambda *given: (calls.append(1), of(*given))[1]
+    try:
+        together = curves.fitted_lines(lines, 0.3)
+    finally:
+        curves.cubic_fits = of
+    assert len(calls) <= 9  # one for each depth, however many parts
+    for line, made in zip(lines, together, strict=True):
+        alone = np.array(curves.fitted(line, 0.3))
+        assert np.allclose(alone, made) and np.array_equal(made[0, 0], line[0]) and np.array_equal(made[-1, 3], line[-1])
+        assert np.array_equal(made[1:, 0], made[:-1, 3])
+    bend = np.array([[0.0, 0], [1, 1], [2, 0.1], [3, 0.1], [4, 1], [5, 0]])  # symmetric: two points are as far
+    assert np.array_equal(curves.fitted(bend, 0.01)[0][3], [1, 1])
+
+
+def test_contours_join_like_cells():
+    rng = np.random.default_rng(7)
+    for shape in ((1, 1), (1, 6), (9, 7), (24, 31)):
+        field = (rng.random(shape) < 0.5).astype(float)
+        rings = curves.contours(field)
+        assert all(np.array_equal(r[0], r[-1]) and np.abs(np.diff(r, axis=0)).max() <= 1 for r in rings)
+        sides = np.abs(np.diff(np.pad(field, 1), axis=0)).sum() + np.abs(np.diff(np.pad(field, 1), axis=1)).sum()
+        assert sum(len(r) - 1 for r in rings) == sides
+        turn = sum(float(r[:-1, 0] @ r[1:, 1] - r[:-1, 1] @ r[1:, 0]) / 2 for r in rings)
+        assert (turn != 0) == bool(field.any())
+
+
+def test_numbers_round_their_binary_value():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(9)
+    for v in [*rng.normal(0, 40, 400), *(np.arange(-40, 40) / 8), 0.05, -0.05, 1e-9, 1e16, 0.35, 2.675]:
+        for places in (1, 2, 3):
+            units = round(Fraction(float(v)) * 10**places)
+            assert Fraction(text.fixed(v, places)) == Fraction(units, 10**places) == Fraction(text.compact(v, places))
+            assert not text.fixed(v, places).startswith("-0") or float(text.fixed(v, places)) < 0
+    assert [text.fixed(v, 0) for v in (0.5, 1.5, 20.0)] == ["0", "2", "20"] and text.compact(-0.25, 2) == "-.25"
